@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from trackspark.llm import chat_format, html_extract, line_frequency
+from trackspark.llm import best_fit, chat_format, html_extract, line_frequency
 
 QUERIES = {
     "op1_line_frequency": line_frequency.op1_line_frequency,
+    "op2_best_fit_packing": best_fit.op2_best_fit_packing,
     "op3_chat_format": chat_format.op3_chat_format,
     "op7_html_extract": html_extract.op7_html_extract,
 }
