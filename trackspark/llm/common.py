@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 #: A word: anything between ASCII white space.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: A-Z only, as the operators on shingles define lower case.
-LOWER = {c: c + 32 for c in range(65, 91)}
 #: Rows that a Python task takes from an Arrow batch at once, and about the most characters of them.
 SLICE_ROWS, SLICE_CHARS = 512, 4_000_000
 
@@ -72,20 +70,14 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, remembered for a bounded number of words."""
+def word_bytes(batch: pa.RecordBatch, column: str = "text") -> Iterator[list[bytes]]:
+    """Words of each text, A-Z in lower case, in UTF-8; bytes.split() parts at the same white space as WORD. Null: none."""
+    for x in batch.column(column).cast(pa.binary()):
+        yield x.as_buffer().to_pybytes().lower().split() if x.is_valid else []
 
-    most = 200_000
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-def word_hashes(words: list[str], table: WordHashes) -> np.ndarray:
-    return np.fromiter(map(table.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
