@@ -145,7 +145,8 @@ def extract_main_text(pages: DataFrame, labelled_pages: int = LABELLED_PAGES) ->
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     marked = rows.where(F.col("html").rlike(r"(?i)<(article|main)\b")).where(F.length("html") < 200_000)
-    sample = marked.orderBy(F.xxhash64("page_id"), "page_id").limit(labelled_pages).select("html").collect()
+    ids = [r.page_id for r in marked.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(labelled_pages).collect()]
+    sample = marked.where(F.col("page_id").isin(ids)).select("html").limit(labelled_pages).collect() if ids else []
     weights = learn_weights(r.html for r in sample)
     return rows.mapInArrow(lambda batches: _extracted(batches, weights), "page_id long, url string, text string, n_chars long")
 

@@ -134,8 +134,7 @@ class Index:
         n = len(query)
         need = -(-percent * n // 100)  # no smaller overlap links, whatever the other's size
         i = np.searchsorted(self.tokens, query)
-        i = i[(i < len(self.tokens))]
-        i = i[np.isin(self.tokens[i], query, assume_unique=False)] if len(i) else i
+        i = i[self.tokens[np.minimum(i, len(self.tokens) - 1)] == query] if len(self.tokens) else i[:0]
         if len(i) < need:
             return np.empty(0, np.int64)
         lengths = self.at[i + 1] - self.at[i]
