@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from trackspark.llm import best_fit, byte_cnn, chat_format, html_extract, jaccard_join, line_frequency, toxicity
+from trackspark.llm import best_fit, byte_cnn, chat_format, containment, gear_chunks, html_extract, jaccard_join, line_frequency, toxicity
 
 QUERIES = {
     "op1_line_frequency": line_frequency.op1_line_frequency,
     "op2_best_fit_packing": best_fit.op2_best_fit_packing,
     "op3_chat_format": chat_format.op3_chat_format,
+    "op4_gear_chunks": gear_chunks.op4_gear_chunks,
+    "op5_minhash_containment": containment.op5_minhash_containment,
     "op7_html_extract": html_extract.op7_html_extract,
     "op8_byte_cnn": byte_cnn.op8_byte_cnn,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
@@ -17,5 +19,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_line_frequency": line_frequency.ORACLE_SQL,
     "op3_chat_format": chat_format.ORACLE_SQL,
+    "op5_minhash_containment": containment.ORACLE_SQL,
     "op9_jaccard_join": jaccard_join.ORACLE_SQL,
 }
