@@ -1,8 +1,8 @@
 """N-gram Jaccard join by T-occurrence search.
 
 Documents are sets of word shingles. Two documents link when 100 * intersection >= percent * union. Sets that are equal
-form one class; classes that share a shingle of their prefixes fall into one family; inside a family an inverted index is
-searched for the classes that reach the required overlap: short lists are merged, long ones are only probed for what the
+form one class; classes that share a shingle of their prefixes, and that parity bits do not prove apart, fall into one
+family; inside a family an inverted index is searched for the classes that reach the required overlap: short lists are merged, long ones are only probed for what the
 short ones left (DivideSkip).
 """
 
@@ -25,6 +25,10 @@ FREQUENT = 65_536
 #: Classes, and shingles of them, that one task indexes. Larger families are searched block by block.
 BLOCK_SETS, BLOCK_SHINGLES = 2048, 2_000_000
 _LOCAL = 1_000_000
+#: Tables of so few rows go to all tasks; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Classes under one shingle that are compared by their parity bits; more are all joined to one of them.
+COMPARED = 4000
 
 
 class FrequentCounter:
@@ -73,23 +77,49 @@ def _short(digest: bytes) -> int:
     return xxhash.xxh3_64_intdigest(digest) - (1 << 63)
 
 
+def parity_bits(s: np.ndarray) -> bytes:
+    """Parities of the set's hash values in about half as many bits as it has shingles, a power of two from 64.
+
+    The bits in which two sets differ are at most the shingles in which they do, so many differing bits prove two sets apart.
+    """
+    size = max(64, 1 << int(max(len(s) - 1, 1) // 2).bit_length())
+    return np.packbits(np.bincount((common.mixed(s) & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def may_link(bits: int, size: int, n: int, other_bits: int, other_size: int, m: int, percent: int) -> bool:
+    """False only for sets that do not link. Bits of unequal length compare after the longer is folded."""
+    if 100 * min(n, m) < percent * max(n, m):
+        return False
+    while size > other_size:
+        size //= 2
+        bits = (bits & ((1 << size) - 1)) ^ (bits >> size)
+    while other_size > size:
+        other_size //= 2
+        other_bits = (other_bits & ((1 << other_size) - 1)) ^ (other_bits >> other_size)
+    return (100 + percent) * (bits ^ other_bits).bit_count() <= (100 - percent) * (n + m)
+
+
 def _sets(part: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
     for words in common.word_bytes(part):
         yield np.unique(common.shingle_hashes(common.word_hashes(words), k))
 
 
 def _classes(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n", "digest", "short", "h", "c"]
+    names = ["doc_id", "n", "digest", "short", "bits", "h", "c"]
     often = FrequentCounter()
     for part in common.slices(batches):
         sets = list(_sets(part, k))
         often.add(np.concatenate(sets))
         digests = [_digest(s) if len(s) else None for s in sets]
         none = pa.nulls(len(sets), pa.int64())
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([d and _short(d) for d in digests], pa.int64()), none, none], names)
+        yield pa.RecordBatch.from_arrays(
+            [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([d and _short(d) for d in digests], pa.int64()),
+             pa.array([parity_bits(s) if len(s) else None for s in sets], pa.binary()), none, none],
+            names,
+        )
     keys, counts = often.top(FREQUENT // 2, 8)
     none = pa.nulls(len(keys), pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(keys), pa.binary()), none, pa.array(keys.view(np.int64)), pa.array(counts)], names)
+    yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(keys), pa.binary()), none, pa.nulls(len(keys), pa.binary()), pa.array(keys.view(np.int64)), pa.array(counts)], names)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -98,23 +128,70 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _prefixes(batches: Iterable[pa.RecordBatch], k: int, percent: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+    told: set[bytes] = set()
     for part in common.slices(batches):
         names, tokens = [], []
         for s in _sets(part, k):
-            if len(s):
+            digest = _digest(s)
+            if len(s) and digest not in told:
+                if len(told) < _LOCAL:
+                    told.add(digest)
                 late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s if len(frequent) else np.zeros(len(s), bool)
                 own = np.concatenate([s[~late], s[late]])[: prefix_length(len(s), percent)]
-                names.append(np.full(len(own), _short(_digest(s)), np.int64))
+                names.append(np.full(len(own), _short(digest), np.int64))
                 tokens.append(own.view(np.int64))
         if names:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, names)], ["token", "short"])
 
 
+def _candidates(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (token, short, n, bits) in order of the token -> edges (a, b) that connect all classes under a token that may link."""
+    token, run, hub = None, [], None
+    seen: set[tuple[int, int]] = set()
+
+    def connected() -> Iterator[tuple[int, int]]:
+        groups: list[list[tuple]] = []  # of members that are connected so far
+        for x in run:
+            own: list[list[tuple]] = []
+            for g in groups:
+                y = next((y for y in g if may_link(x[3], x[2], x[1], y[3], y[2], y[1], percent)), None)
+                if y:
+                    own.append(g)
+                    yield (y[0], x[0])
+            if own:
+                for g in own[1:]:
+                    own[0].extend(g)
+                    groups = [z for z in groups if z is not g]
+                own[0].append(x)
+            else:
+                groups.append([x])
+
+    for batch in batches:
+        edges: list[tuple[int, int]] = []
+        for t, short, n, bits in zip(*(batch.column(c).to_pylist() for c in ("token", "short", "n", "bits")), strict=True):
+            if t != token:
+                edges += connected()
+                token, run, hub = t, [], None
+            if hub is None:
+                run.append((short, n, 8 * len(bits), int.from_bytes(bits, "little")))
+                if len(run) > COMPARED:
+                    hub = short
+                    edges += ((hub, x[0]) for x in run[:-1])
+                    run = []
+            else:
+                edges.append((hub, short))
+        new = {(min(e), max(e)) for e in edges if e[0] != e[1]} - seen
+        seen = seen | new if len(seen) < _LOCAL else new
+        yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in new], pa.int64()) for i in (0, 1)], ["a", "b"])
+    new = set(connected()) - seen
+    yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in new], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
 def _full_sets(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for part in common.slices(batches):
         sets = list(_sets(part, k))
         keep = [len(s) > 0 and _digest(s) == d for s, d in zip(sets, part.column("digest").to_pylist(), strict=True)]
-        out = part.select(["family", "digest", "copies"]).append_column("shingles", pa.array([s.tobytes() for s in sets], pa.binary()))
+        out = part.select(["family", "blocks", "digest", "copies"]).append_column("shingles", pa.array([s.tobytes() for s in sets], pa.binary()))
         yield out.filter(pa.array(keep))
 
 
@@ -190,6 +267,11 @@ def _search(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"digest": group.digest, "root": group.digest.to_numpy()[roots], "links": links})
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A staged table, marked for broadcast where it has few rows; else Spark joins it by a shuffle."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def ngram_jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, n_shingles, component_id, n_links.
 
@@ -203,29 +285,34 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, block_set
     blocks, each a task of bounded memory. All links count: nothing is capped.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    told = common.staged(rows.mapInArrow(lambda b: _classes(b, k), "doc_id long, n long, digest binary, short long, h long, c long"), "sets")
+    told = common.staged(rows.mapInArrow(lambda b: _classes(b, k), "doc_id long, n long, digest binary, short long, bits binary, h long, c long"), "sets")
     counts = told.where("h is not null").groupBy("h").agg(F.sum("c").alias("c"))
     top = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).select("h").toPandas()
     frequent = np.sort(top.h.to_numpy(np.int64).view(np.uint64))
 
-    postings = rows.mapInArrow(lambda b: _prefixes(b, k, percent, frequent), "token long, short long")
-    postings = common.staged(postings, "postings")
-    shared = postings.groupBy("token").agg(F.min("short").alias("a"), F.max("short").alias("z")).where("a <> z").select("token", "a")
-    families = common.staged(connected_components(postings.join(shared, "token").where("short <> a").select("a", F.col("short").alias("b")).distinct()), "families")
+    per_row = told.where("h is null").select("doc_id", F.col("n").alias("n_shingles"), "digest")
+    classes = (
+        told.where("digest is not null").groupBy("digest")
+        .agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("short").alias("short"), F.max("bits").alias("bits"))
+    )
+    postings = common.staged(rows.mapInArrow(lambda b: _prefixes(b, k, percent, frequent), "token long, short long"), "postings")
+    shared = common.staged(postings.groupBy("token").agg(F.min("short").alias("a"), F.max("short").alias("z")).where("a <> z").select("token"), "shared")
+    met = common.staged(postings.join(_small(shared), "token").distinct(), "met")
     common.unstage(postings)
+    known = classes.select("short", "n", "bits").join(met.select("short").distinct(), "short", "left_semi")
+    in_order = met.join(known, "short").select("token", "short", "n", "bits").repartition("token").sortWithinPartitions("token", "n", "short")
+    families = common.staged(connected_components(in_order.mapInArrow(lambda b: _candidates(b, percent), "a long, b long")), "families")
 
-    per_row = told.where("h is null").select("doc_id", F.col("n").alias("n_shingles"), "digest", "short")
-    classes = per_row.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"), F.max("short").alias("short"))
-    members = families.select(F.col("node").alias("short"), F.col("root").alias("family")).join(classes, "short")
+    members = families.select(F.col("node").alias("short"), F.col("root").alias("family")).join(classes.drop("bits"), "short")
     members = common.staged(members.select("family", "digest", "first_id", "copies", "n"), "members")
     sizes = members.groupBy("family").agg(F.count("*").alias("f_sets"), F.sum("n").alias("f_shingles")).where("f_sets > 1").withColumn(
         "blocks", F.greatest(F.ceil(F.col("f_sets") / block_sets), F.ceil(F.col("f_shingles") / block_shingles)).cast("int")
     )
-    wanted = members.join(sizes.select("family"), "family", "left_semi").select("family", "digest", "copies", F.col("first_id").alias("doc_id"))
-    full = rows.join(wanted, "doc_id").select("family", "digest", "copies", "text").mapInArrow(
-        lambda b: _full_sets(b, k), "family long, digest binary, copies long, shingles binary"
+    wanted = common.staged(members.join(sizes.select("family", "blocks"), "family").select("family", "blocks", "digest", "copies", F.col("first_id").alias("doc_id")), "wanted")
+    full = rows.join(_small(wanted), "doc_id").select("family", "blocks", "digest", "copies", "text").mapInArrow(
+        lambda b: _full_sets(b, k), "family long, blocks int, digest binary, copies long, shingles binary"
     )
-    placed = full.join(sizes.select("family", "blocks"), "family").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    placed = full.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "family", "digest", "copies", "shingles", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")
     )
