@@ -1,13 +1,61 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: quality, near duplicates, repeated passages, benchmark items, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of
+documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trackspark.llm import best_fit, byte_cnn, common, containment, jaccard_join, suffix_dedup
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the byte network scores at its threshold or above. It is fitted on labelled rows of the table itself."""
+    net = byte_cnn.train_quality(docs, common.read(spark, sf_dir, "labels"))
+    return byte_cnn.with_quality(docs, net, "quality_score_").where(F.col("quality_score_") >= byte_cnn.THRESHOLD).drop("quality_score_")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least doc_id of each group of near duplicates: sets of 5-word shingles that link at 0.8 or more."""
+    found = common.staged(jaccard_join.ngram_jaccard_join(docs, k=5, percent=80).select("doc_id", "component_id"), "groups")
+    gone = common.staged(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id_")).distinct(), "gone")
+    kept = docs.join(suffix_dedup._small(gone), F.col("doc_id").cast("long") == F.col("gone_id_"), "left_anti")
+    repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the bytes that strings of 200 bytes cover which stand more than once."""
+    return suffix_dedup.without_repeats(docs)
+
+
+def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return containment.decontaminated(docs, common.read(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids and their places in sequences of at most 2048."""
+    return best_fit.pack_documents(docs, best_fit.tokenizer_path())
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_items),
+    ("best-fit packing", packing),
+]
+
+#: A network, and which tokens share a sequence, are beyond SQL; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

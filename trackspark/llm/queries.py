@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trackspark.llm import best_fit, byte_cnn, chat_format, containment, gear_chunks, html_extract, jaccard_join, line_frequency, toxicity
+from trackspark.llm import best_fit, byte_cnn, chat_format, containment, gear_chunks, html_extract, jaccard_join, line_frequency, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_line_frequency": line_frequency.op1_line_frequency,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_chat_format": chat_format.op3_chat_format,
     "op4_gear_chunks": gear_chunks.op4_gear_chunks,
     "op5_minhash_containment": containment.op5_minhash_containment,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_html_extract": html_extract.op7_html_extract,
     "op8_byte_cnn": byte_cnn.op8_byte_cnn,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
