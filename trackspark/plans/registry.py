@@ -1,4 +1,6 @@
 """Registered queries by name, and their DuckDB twins."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from trackspark.plans import series_queries, stream_queries, track_queries
+
+QUERIES: dict = track_queries.QUERIES | series_queries.QUERIES | stream_queries.QUERIES
+ORACLE_SQL: dict = track_queries.ORACLE_SQL | series_queries.ORACLE_SQL | stream_queries.ORACLE_SQL
