@@ -6,7 +6,7 @@ A template marks the turns and escapes control strings inside them, so that the
 
     ### role: text </turn>\n
 
-A backslash stands before each backslash and `#`, and inside `</`; in a role also before `:`.
+A backslash stands before each backslash and `#`, and inside `</`; in a role also before a space after `:`.
 """
 
 from __future__ import annotations
@@ -101,7 +101,7 @@ def render(turns: list[tuple[str, str]], learn: str = "assistant") -> tuple[str,
     """The formatted text, and the spans of the loss mask: code points of the texts of role `learn`."""
     out, spans, at = [], [], 0
     for role, text in turns:
-        head, body = f"### {escape(role).replace(':', chr(92) + ':')}: ", escape(text)
+        head, body = f"### {escape(role).replace(': ', ':' + chr(92) + ' ')}: ", escape(text)
         if role == learn:
             spans.append({"start": at + len(head), "end": at + len(head) + len(body)})
         out += (head, body, " </turn>\n")
@@ -201,7 +201,7 @@ select conv_id, count(*) as n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
        coalesce(cast(sum(length(text)) filter (where role = 'assistant') as bigint), 0) as loss_chars,
        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
-       cast(sum(15 + 2 * length(role) - length(replace(role, ':', '')) + 2 * length(text)
+       cast(sum(15 + length(role) + (length(role) - length(replace(role, ': ', ''))) / 2 + 2 * length(text)
                 - length(replace(replace(text, '\', ''), '#', ''))
                 + (length(text) - length(replace(text, '</', ''))) / 2) as bigint) as formatted_chars
 from c group by conv_id
