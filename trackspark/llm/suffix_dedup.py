@@ -2,8 +2,9 @@
 
 Each string of WIDTH bytes is named by its minimizer, the 32 bytes of least hash inside it, so equal strings share a name
 at the same place. Runs of neighbouring strings of one minimizer form a context. Contexts that stand more than once repeat
-as a whole. Where different contexts share a minimizer, their texts meet in one task; a suffix array, built by grouping
-(suffix_grouping), brings equal strings side by side.
+as a whole. Where different contexts share a minimizer, their texts meet in one task, each cut down to the longest part
+that another one has around the minimizer; where these parts differ, a suffix array, built by grouping (suffix_grouping),
+brings equal strings side by side.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ def _table() -> np.ndarray:
     return common.mixed(np.arange(1, 257, dtype=np.uint64))
 
 
-def contexts(raw: np.ndarray, table: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimizer, first start and last start of the contexts of at least `width` and at most 2 ** 24 bytes."""
+def contexts(raw: np.ndarray, table: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Minimizer, its place, first start and last start of the contexts of at least `width` and at most 2 ** 24 bytes."""
     h = table[raw]
     for span in (1, 2, 4, 8, 16):
         longer = h.copy()
@@ -50,7 +51,7 @@ def contexts(raw: np.ndarray, table: np.ndarray, width: int = WIDTH) -> tuple[np
     behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
     place = (np.minimum(behind[: n - w + 1], ahead[w - 1 : n]) & _TOP).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    return v[place[first]], first, np.append(first[1:], len(place)) - 1
+    return v[place[first]], place[first], first, np.append(first[1:], len(place)) - 1
 
 
 def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,26 +61,28 @@ def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start[new], np.append(reach[np.flatnonzero(new)[1:] - 1], reach[-1])
 
 
-_ANCHOR = "name long, digest long, doc_id long, tag long, start long, end long, many boolean"
+_ANCHOR = "name long, digest long, doc_id long, tag long, start long, end long, mark int"
 
 
 def _anchors(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """A row for each different context of a document; many: it stands more than once there. Rows without a name are spans to remove."""
+    """A row for each different context of a document; mark: twice the minimizer's place in it, and 1 more if it stands there
+    more than once. Rows without a name are spans to remove."""
     table = _table()
     for part in common.slices(batches):
         out: list[list[np.ndarray]] = [[], [], [], [], [], []]
         for d, x in enumerate(part.column("text").cast(pa.binary())):
             text = x.as_buffer().to_pybytes() if x.is_valid else b""
-            name, first, last = [], [], []
+            name, place, first, last = [], [], [], []
             for a in range(0, max(len(text) - width + 1, 0), _PART):
                 raw = np.frombuffer(text, np.uint8, min(_PART + width - 1, len(text) - a), a)
-                m, f, z = contexts(raw, table, width)
+                m, p, f, z = contexts(raw, table, width)
                 name.append(m)
+                place.append(p - f)
                 first.append(f + a)
                 last.append(z + a)
             if not name:
                 continue
-            name, first, end = np.concatenate(name), np.concatenate(first), np.concatenate(last) + width
+            name, place, first, end = np.concatenate(name), np.concatenate(place), np.concatenate(first), np.concatenate(last) + width
             digest = np.fromiter((xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(first.tolist(), end.tolist(), strict=True)), np.uint64, len(first))
             _, index, inverse, counts = np.unique(name ^ common.mixed(digest), return_index=True, return_inverse=True, return_counts=True)
             again = counts[inverse] > 1
@@ -87,15 +90,15 @@ def _anchors(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.Recor
                 s, e = _merged(first[again], end[again])
                 for column, value in zip(out, (np.full(len(s), d), np.zeros(len(s), np.uint64), np.zeros(len(s), np.uint64), s, e, np.full(len(s), -1)), strict=True):
                     column.append(value)
-            for column, value in zip(out, (np.full(len(index), d), name[index], digest[index], first[index], end[index], counts > 1), strict=True):
+            for column, value in zip(out, (np.full(len(index), d), name[index], digest[index], first[index], end[index], 2 * place[index] + (counts > 1)), strict=True):
                 column.append(value)
         if out[0]:
-            row, name, digest, start, end, many = (np.concatenate(x) for x in out)
-            row, span = pa.array(row), many == -1
+            row, name, digest, start, end, mark = (np.concatenate(x) for x in out)
+            row, span = pa.array(row), mark == -1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(name.view(np.int64), mask=span), pa.array(digest.view(np.int64), mask=span), part.column("doc_id").take(row), part.column("tag").take(row),
-                 pa.array(start), pa.array(end), pa.array(many == 1, mask=span)],
-                ["name", "digest", "doc_id", "tag", "start", "end", "many"],
+                 pa.array(start), pa.array(end), pa.array(mark.astype(np.int32), mask=span)],
+                ["name", "digest", "doc_id", "tag", "start", "end", "mark"],
             )
 
 
@@ -108,13 +111,13 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
 def _same(batches: Iterable[pa.RecordBatch], least: int = 100_000) -> Iterator[pa.RecordBatch]:
     """Anchors in order of (name, digest) -> contexts that repeat as a whole, as spans without a name, and one row for each
     different context of names that have several. A name with a single context that stands once gives nothing."""
-    names = ["name", "digest", "doc_id", "tag", "start", "end", "many"]
+    names = ["name", "digest", "doc_id", "tag", "start", "end", "mark"]
     held: list[pa.RecordBatch] = []
     several = None  # a name that is known to have several contexts
 
     def settle(table: pa.Table, final: bool) -> tuple[Iterator[pa.RecordBatch], list[pa.RecordBatch]]:
         nonlocal several
-        name, digest, many = (table.column(c).to_numpy() for c in ("name", "digest", "many"))
+        name, digest = (table.column(c).to_numpy() for c in ("name", "digest"))
         n = len(name)
         if not final:
             whole = int(np.searchsorted(np.cumsum(_runs(name)), np.cumsum(_runs(name))[-1], "left"))  # where the last name begins
@@ -123,7 +126,8 @@ def _same(batches: Iterable[pa.RecordBatch], least: int = 100_000) -> Iterator[p
                 whole = int(starts[-1])
                 if whole == 0:  # one context: it repeats; one row is enough to go on with
                     out = table.slice(1).select(names[2:6])
-                    rest = table.slice(0, 1).set_column(6, "many", pa.array([True]))
+                    rest = table.slice(0, 1)
+                    rest = rest.set_column(6, "mark", pa.array([rest.column("mark")[0].as_py() | 1], pa.int32()))
                     return _spans(out), rest.to_batches()
                 several, last = name[0], table.slice(whole)
                 return _split(table.slice(0, whole), {several}), last.to_batches()
@@ -143,23 +147,23 @@ def _same(batches: Iterable[pa.RecordBatch], least: int = 100_000) -> Iterator[p
 
 def _spans(table: pa.Table) -> Iterator[pa.RecordBatch]:
     n = table.num_rows
-    full = pa.table({"name": pa.nulls(n, pa.int64()), **{c: table.column(c) for c in ("doc_id", "tag", "start", "end")}, "many": pa.nulls(n, pa.bool_())})
+    full = pa.table({"name": pa.nulls(n, pa.int64()), **{c: table.column(c) for c in ("doc_id", "tag", "start", "end")}, "mark": pa.nulls(n, pa.int32())})
     yield from full.to_batches(max_chunksize=50_000)
 
 
 def _split(table: pa.Table, several: set) -> Iterator[pa.RecordBatch]:
-    name, digest, many = (table.column(c).to_numpy() for c in ("name", "digest", "many"))
+    name, digest, mark = (table.column(c).to_numpy() for c in ("name", "digest", "mark"))
     new_name, new = _runs(name), _runs(name, digest)
     starts = np.flatnonzero(new)
     counts = np.diff(np.append(starts, len(name)))
-    repeated = (counts > 1) | many[starts]
+    repeated = (counts > 1) | (mark[starts] & 1 == 1)
     of_name = np.cumsum(new_name[starts]) - 1
     per_name = np.bincount(of_name)
     mixed = (per_name[of_name] > 1) | np.isin(name[starts], [x for x in several if x is not None])
     yield from _spans(table.filter(pa.array(np.repeat(repeated, counts))))
     chosen = table.take(pa.array(starts[mixed]))
     yield from pa.table({
-        "name": chosen.column("name"), **{c: chosen.column(c) for c in ("doc_id", "tag", "start", "end")}, "many": pa.array(repeated[mixed]),
+        "name": chosen.column("name"), **{c: chosen.column(c) for c in ("doc_id", "tag", "start", "end")}, "mark": pa.array(mark[starts[mixed]] | repeated[mixed], pa.int32()),
     }).to_batches(max_chunksize=50_000)
 
 
@@ -169,14 +173,14 @@ def _fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for d, (x, wanted) in enumerate(zip(part.column("text").cast(pa.binary()), part.column("wanted").to_pylist(), strict=True)):
             text = x.as_buffer().to_pybytes() if x.is_valid else b""
-            rows += [(d, w["name"], w["start"], w["end"], w["many"], text[w["start"] : w["end"]]) for w in wanted]
+            rows += [(d, w["name"], w["start"], w["end"], w["mark"], text[w["start"] : w["end"]]) for w in wanted]
         if rows:
-            d, name, start, end, many, raw = zip(*rows, strict=True)
+            d, name, start, end, mark, raw = zip(*rows, strict=True)
             d = pa.array(d, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(name, pa.int64()), part.column("doc_id").take(d), part.column("tag").take(d), pa.array(start, pa.int64()), pa.array(end, pa.int64()),
-                 pa.array(many, pa.bool_()), pa.array(raw, pa.binary())],
-                ["name", "doc_id", "tag", "start", "end", "many", "raw"],
+                 pa.array(mark, pa.int32()), pa.array(raw, pa.binary())],
+                ["name", "doc_id", "tag", "start", "end", "mark", "raw"],
             )
 
 
@@ -222,9 +226,47 @@ def repeated_starts(groups: list[list[tuple[bytes, bool]]], width: int) -> list[
     return [every[x:y] for x, y in zip(sizes[:-1], sizes[1:], strict=True)]
 
 
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return int((np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)).argmax())
+
+
+def _reach(parts: list[bytes]) -> list[int]:
+    """For each text the longest prefix that it shares with another one: with a neighbour in their order."""
+    order = sorted(range(len(parts)), key=parts.__getitem__)
+    out, last = [0] * len(parts), 0
+    for i, j in zip(order, order[1:] + [-1], strict=True):
+        ahead = _common(parts[i], parts[j]) if j >= 0 else 0
+        out[i], last = max(last, ahead), ahead
+    return out
+
+
+def shared_parts(group: list[tuple], width: int) -> tuple[list[tuple[bytes, bool]], list[list[tuple]]]:
+    """Contexts of one minimizer, (doc, tag, start, mark, raw), cut down to what they can share around it.
+
+    -> different parts of at least `width` bytes, with whether they stand more than once, and by part its documents' (doc,
+    tag, start). Equal strings lie alike around their minimizer, so no shared string reaches beyond a part.
+    """
+    at = [c[3] >> 1 for c in group]
+    right = _reach([c[4][a:] for c, a in zip(group, at, strict=True)])
+    left = _reach([c[4][:a][::-1] for c, a in zip(group, at, strict=True)])
+    parts: dict[tuple[bytes, int], list[tuple]] = {}
+    again: dict[tuple[bytes, int], int] = {}
+    for (doc, tag, start, mark, raw), a, r, n in zip(group, at, right, left, strict=True):
+        if n + r >= width:
+            key = (raw[a - n : a + r], n)
+            parts.setdefault(key, []).append((doc, tag, start + a - n))
+            again[key] = again.get(key, 0) + 1 + (mark & 1)
+    return [(key[0], again[key] > 1) for key in parts], list(parts.values())
+
+
 def _resolve(batches: Iterable[pa.RecordBatch], width: int, group_bytes: int) -> Iterator[pa.RecordBatch]:
     """Contexts in order of their names -> spans to remove; of names with too many, digests of all strings instead."""
-    ready: list[list[tuple]] = []
+    ready: list[tuple[list, list]] = []
+    done: list[tuple] = []
     size, name, group, group_size, hot = 0, None, [], 0, False
 
     def rows(out: list[tuple]) -> pa.RecordBatch:
@@ -232,33 +274,42 @@ def _resolve(batches: Iterable[pa.RecordBatch], width: int, group_bytes: int) ->
         return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (doc, tag, start, end)), pa.array(window, pa.binary())], ["doc_id", "tag", "start", "end", "window"])
 
     def windows(context: tuple) -> Iterator[tuple]:
-        doc, tag, start, many, raw = context
+        doc, tag, start, mark, raw = context
         for k in range(len(raw) - width + 1):
             own = (doc, tag, start + k, start + k + width, xxhash.xxh3_128_digest(raw[k : k + width]))
             yield own
-            if many:  # it stands elsewhere as well
+            if mark & 1:  # it stands elsewhere as well
                 yield (doc, tag, -1, -1, own[4])
 
+    def take(group: list[tuple]) -> int:
+        """Bytes that the group adds to what is to be ordered."""
+        texts, members = shared_parts(group, width)
+        if len(texts) > 1:
+            ready.append((texts, members))
+            return sum(len(t) for t, _ in texts)
+        done.extend((doc, tag, start, start + len(texts[0][0]), None) for m in members if texts[0][1] for doc, tag, start in m)
+        return 0
+
     def resolved() -> Iterator[pa.RecordBatch]:
-        nonlocal ready, size
+        nonlocal ready, done, size
+        out, done = done, []
         if ready:
-            out = []
-            for group, hits in zip(ready, repeated_starts([[(c[4], c[3]) for c in g] for g in ready], width), strict=True):
-                for (doc, tag, start, _, _), own in zip(group, hits, strict=True):
+            for (_, members), hits in zip(ready, repeated_starts([t for t, _ in ready], width), strict=True):
+                for places, own in zip(members, hits, strict=True):
                     if len(own):
-                        s, e = _merged(own + start, own + start + width)
-                        out += zip([doc] * len(s), [tag] * len(s), s.tolist(), e.tolist(), [None] * len(s), strict=True)
+                        spans = list(zip(*(x.tolist() for x in _merged(own, own + width)), strict=True))
+                        out += ((doc, tag, start + a, start + b, None) for doc, tag, start in places for a, b in spans)
             ready, size = [], 0
-            yield rows(out)
+        for a in range(0, len(out), 50_000):
+            yield rows(out[a : a + 50_000])
 
     for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in ("name", "doc_id", "tag", "start", "many", "raw"))
+        columns = (batch.column(c).to_pylist() for c in ("name", "doc_id", "tag", "start", "mark", "raw"))
         for n, *context in zip(*columns, strict=True):
             if n != name:
                 if group and not hot:
-                    ready.append(group)
-                    size += group_size
-                    if size >= BATCH_BYTES:
+                    size += take(group)
+                    if size >= BATCH_BYTES or len(done) >= 200_000:
                         yield from resolved()
                 name, group, group_size, hot = n, [], 0, False
             if hot:
@@ -272,7 +323,7 @@ def _resolve(batches: Iterable[pa.RecordBatch], width: int, group_bytes: int) ->
                     yield rows(list(windows(c)))
                 group = []
     if group and not hot:
-        ready.append(group)
+        take(group)
     yield from resolved()
 
 
@@ -284,10 +335,10 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH, group_bytes: int = GROUP
     """rows(doc_id, tag, text) -> doc_id, tag and the spans of bytes that repeated strings cover, in a list for each document."""
     anchors = rows.mapInArrow(lambda b: _anchors(b, width), _ANCHOR)
     ordered = anchors.repartition("name", F.when(F.col("name").isNull(), F.col("doc_id"))).sortWithinPartitions("name", "digest")
-    settled = common.staged(ordered.mapInArrow(_named, "name long, doc_id long, tag long, start long, end long, many boolean"), "contexts")
+    settled = common.staged(ordered.mapInArrow(_named, "name long, doc_id long, tag long, start long, end long, mark int"), "contexts")
     some = settled.where("name is not null")
-    wanted = common.staged(some.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("name", "start", "end", "many")).alias("wanted")), "wanted")
-    met = rows.join(_small(wanted), ["doc_id", "tag"]).select("doc_id", "tag", "text", "wanted").mapInArrow(_fetch, "name long, doc_id long, tag long, start long, end long, many boolean, raw binary")
+    wanted = common.staged(some.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("name", "start", "end", "mark")).alias("wanted")), "wanted")
+    met = rows.join(_small(wanted), ["doc_id", "tag"]).select("doc_id", "tag", "text", "wanted").mapInArrow(_fetch, "name long, doc_id long, tag long, start long, end long, mark int, raw binary")
     in_order = met.repartition("name").sortWithinPartitions("name")
     found = common.staged(in_order.mapInArrow(lambda b: _resolve(b, width, group_bytes), "doc_id long, tag long, start long, end long, window binary"), "spans")
     windows = found.where("window is not null")
