@@ -112,9 +112,9 @@ def w6(spark, d):
     return T.sample_gradient(ticks(spark, d), K, "t", "v", "g").select("user_id", "t", rounded("g", 3).alias("g"))
 
 
-@query("w8_rolling_median", TICKS + " select user_id, t, " + rnd("quantile_cont(v, 0.5) over (partition by user_id order by t rows between 2 preceding and 2 following)", 4) + " as med from tk")
+@query("w8_rolling_median", TICKS + " select user_id, t, " + rnd("quantile_cont(v, 0.5) over (partition by user_id order by t rows between 2 preceding and 2 following)", 7) + " as med from tk")
 def w8(spark, d):
-    return T.rolling_median(ticks(spark, d), K, ["t"], "v", 5, "med").select("user_id", "t", rounded("med", 4).alias("med"))
+    return T.rolling_median(ticks(spark, d), K, ["t"], "v", 5, "med").select("user_id", "t", rounded("med", 7).alias("med"))
 
 
 @query("w9_chord_residual", TICKS + """, c as (select user_id, t, v, first_value(t) over f as ta, last_value(t) over f as tb, first_value(v) over f as va, last_value(v) over f as vb from tk
@@ -174,9 +174,9 @@ def w25(spark, d):
     return T.resample(ticks(spark, d), K, "t", 24.0).select("user_id", F.round("t", 6).alias("t"))
 
 
-@query("a7_statistics", TICKS + " select user_id, " + ", ".join((rnd("sqrt(avg(v * v))", 4) + " as rms", rnd("quantile_cont(v, 0.95)", 4) + " as p95", rnd("max(v)", 4) + " as most", rnd("min(v)", 4) + " as least", "count(*) filter (v > 60) as n_over")) + " from tk group by user_id")
+@query("a7_statistics", TICKS + " select user_id, " + ", ".join((rnd("sqrt(avg(v * v))", 7) + " as rms", rnd("quantile_cont(v, 0.95)", 7) + " as p95", rnd("max(v)", 7) + " as most", rnd("min(v)", 7) + " as least", "count(*) filter (v > 60) as n_over")) + " from tk group by user_id")
 def a7(spark, d):
-    return ticks(spark, d).groupBy("user_id").agg(rounded(T.rms(F.col("v")), 4).alias("rms"), rounded(F.percentile("v", 0.95), 4).alias("p95"), rounded(F.max("v"), 4).alias("most"), rounded(F.min("v"), 4).alias("least"), F.count_if(F.col("v") > 60).alias("n_over"))
+    return ticks(spark, d).groupBy("user_id").agg(rounded(T.rms(F.col("v")), 7).alias("rms"), rounded(F.percentile("v", 0.95), 7).alias("p95"), rounded(F.max("v"), 7).alias("most"), rounded(F.min("v"), 7).alias("least"), F.count_if(F.col("v") > 60).alias("n_over"))
 
 
 @query("a8_weighted_mean", "select l_suppkey, " + rnd("sum(l_quantity * l_extendedprice) / sum(l_quantity)", 3) + " as mean, " + rnd("sqrt(sum(l_quantity * l_extendedprice * l_extendedprice) / sum(l_quantity))", 3) + " as rms from lineitem where l_quantity > 0 group by 1")
@@ -194,9 +194,9 @@ def a9(spark, d):
 
 
 @query("a10_mad_scale", TICKS + """, m as (select user_id, quantile_cont(v, 0.5) as med from tk group by 1), x as (select user_id, any_value(med) as med, quantile_cont(abs(v - med), 0.5) as mad, stddev_pop(v) as sd from tk join m using (user_id) group by 1)
-select user_id, """ + rnd("med", 4) + " as median, " + rnd("case when 1.4826e0 * mad > 1e-9 then 1.4826e0 * mad when sd > 1e-9 then sd else 0e0 end", 4) + " as scale from x")
+select user_id, """ + rnd("med", 7) + " as median, " + rnd("case when 1.4826e0 * mad > 1e-9 then 1.4826e0 * mad when sd > 1e-9 then sd else 0e0 end", 7) + " as scale from x")
 def a10(spark, d):
-    return T.mad_scale(ticks(spark, d), K, "v").select("user_id", rounded("median", 4).alias("median"), rounded("scale", 4).alias("scale"))
+    return T.mad_scale(ticks(spark, d), K, "v").select("user_id", rounded("median", 7).alias("median"), rounded("scale", 7).alias("scale"))
 
 
 @query("a13_dominant_label", """with c as (select user_id, event_type, count(*) as n from events group by 1, 2)
