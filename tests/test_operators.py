@@ -45,3 +45,29 @@ def test_stabilized_runs_have_support(spark):
     df = spark.createDataFrame(rows, "track_id string, t double, speed double, vz_smooth double, label string")
     got = features.stabilize_labels(df, 4, 6.0).collect()
     assert [(r.label, r.n) for r in got] == [("climb", 40)]
+
+
+def test_checksum_of_an_intact_and_a_broken_frame(spark):
+    from trackspark.operators import decode
+
+    df = spark.createDataFrame([("8D4840D6202CC371C32CE0576098",), ("8D4840D6202CC371C32CE0576099",), ("",)], "payload_hex string")
+    good, bad, none = [r[0] for r in df.select(decode.crc_remainder(F.col("payload_hex"))).collect()]
+    assert good == 0 and bad != 0 and none is None
+    assert [tuple(r) for r in decode.frame_header(df).select("df", "icao").collect()][:2] == [(17, "4840D6")] * 2
+
+
+def test_selected_boundaries_keep_their_distance(spark):
+    from trackspark.operators import segmentation
+
+    rows = [("a", i, float(i), 80.0 + i, "climb") for i in (0, 3, 20, 25, 60)]
+    df = spark.createDataFrame(rows, "track_id string, sample_index long, t double, score double, to_label string")
+    got = sorted(r.sample_index for r in segmentation.select_boundaries(df).collect())
+    assert got == [3, 25, 60]
+
+
+def test_warping_of_equal_curves_is_free(spark):
+    from trackspark.operators import evaluation
+
+    rows = [("a", k, float(t), float(t * t), float(t)) for k in (0, 1) for t in range(30)] + [("b", 0, 0.0, 1.0, 1.0)]
+    got = {r.track_id: r.dtw for r in evaluation.dtw_mean(spark.createDataFrame(rows, "track_id string, which int, t double, x double, y double")).collect()}
+    assert got["a"] == 0 and got["b"] is None
