@@ -22,8 +22,10 @@ from .gear_chunks import cut_spans, tagged
 from .suffix_grouping import suffix_arrays
 
 WIDTH, GRAM = 200, 32
-#: Bytes of contexts whose suffixes are ordered at once, and the most under one minimizer; strings of more are counted by digest.
-BATCH_BYTES, GROUP_BYTES = 4_000_000, 24_000_000
+#: Bytes of texts whose suffixes are ordered at once; a task takes about a hundred times as much memory.
+BATCH_BYTES = 2_000_000
+#: Bytes of contexts of one minimizer that a task holds, at most. Strings of more, or of parts beyond BATCH_BYTES, are counted by digest.
+GROUP_BYTES = 6_000_000
 #: Tables of so few rows go to all tasks; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _PART = 1 << 22
@@ -267,6 +269,7 @@ def _resolve(batches: Iterable[pa.RecordBatch], width: int, group_bytes: int) ->
     """Contexts in order of their names -> spans to remove; of names with too many, digests of all strings instead."""
     ready: list[tuple[list, list]] = []
     done: list[tuple] = []
+    late: list[tuple] = []
     size, name, group, group_size, hot = 0, None, [], 0, False
 
     def rows(out: list[tuple]) -> pa.RecordBatch:
@@ -284,6 +287,9 @@ def _resolve(batches: Iterable[pa.RecordBatch], width: int, group_bytes: int) ->
     def take(group: list[tuple]) -> int:
         """Bytes that the group adds to what is to be ordered."""
         texts, members = shared_parts(group, width)
+        if sum(len(t) for t, _ in texts) > min(BATCH_BYTES, group_bytes):
+            late.extend((doc, tag, start, int(many), text) for (text, many), places in zip(texts, members, strict=True) for doc, tag, start in places)
+            return 0
         if len(texts) > 1:
             ready.append((texts, members))
             return sum(len(t) for t, _ in texts)
@@ -302,6 +308,8 @@ def _resolve(batches: Iterable[pa.RecordBatch], width: int, group_bytes: int) ->
             ready, size = [], 0
         for a in range(0, len(out), 50_000):
             yield rows(out[a : a + 50_000])
+        while late:
+            yield rows(list(windows(late.pop())))
 
     for batch in batches:
         columns = (batch.column(c).to_pylist() for c in ("name", "doc_id", "tag", "start", "mark", "raw"))
@@ -309,7 +317,7 @@ def _resolve(batches: Iterable[pa.RecordBatch], width: int, group_bytes: int) ->
             if n != name:
                 if group and not hot:
                     size += take(group)
-                    if size >= BATCH_BYTES or len(done) >= 200_000:
+                    if size >= BATCH_BYTES or len(done) >= 200_000 or late:
                         yield from resolved()
                 name, group, group_size, hot = n, [], 0, False
             if hot:
