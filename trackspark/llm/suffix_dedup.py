@@ -268,7 +268,6 @@ def shared_parts(group: list[tuple], width: int) -> tuple[list[tuple[bytes, bool
 def _resolve(batches: Iterable[pa.RecordBatch], width: int, group_bytes: int) -> Iterator[pa.RecordBatch]:
     """Contexts in order of their names -> spans to remove; of names with too many, digests of all strings instead."""
     ready: list[tuple[list, list]] = []
-    done: list[tuple] = []
     late: list[tuple] = []
     size, name, group, group_size, hot = 0, None, [], 0, False
 
@@ -290,15 +289,16 @@ def _resolve(batches: Iterable[pa.RecordBatch], width: int, group_bytes: int) ->
         if sum(len(t) for t, _ in texts) > min(BATCH_BYTES, group_bytes):
             late.extend((doc, tag, start, int(many), text) for (text, many), places in zip(texts, members, strict=True) for doc, tag, start in places)
             return 0
+        if len(texts) == 1 and texts[0][1]:  # all cut down to one part: two copies of it are ordered
+            texts, members = [(texts[0][0], False)] * 2, [members[0], []]
         if len(texts) > 1:
             ready.append((texts, members))
             return sum(len(t) for t, _ in texts)
-        done.extend((doc, tag, start, start + len(texts[0][0]), None) for m in members if texts[0][1] for doc, tag, start in m)
         return 0
 
     def resolved() -> Iterator[pa.RecordBatch]:
-        nonlocal ready, done, size
-        out, done = done, []
+        nonlocal ready, size
+        out: list[tuple] = []
         if ready:
             for (_, members), hits in zip(ready, repeated_starts([t for t, _ in ready], width), strict=True):
                 for places, own in zip(members, hits, strict=True):
@@ -317,7 +317,7 @@ def _resolve(batches: Iterable[pa.RecordBatch], width: int, group_bytes: int) ->
             if n != name:
                 if group and not hot:
                     size += take(group)
-                    if size >= BATCH_BYTES or len(done) >= 200_000 or late:
+                    if size >= BATCH_BYTES or late:
                         yield from resolved()
                 name, group, group_size, hot = n, [], 0, False
             if hot:
