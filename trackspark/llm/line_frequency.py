@@ -20,7 +20,7 @@ SYMBOLS = "#*$%&|<>"
 #: A line goes when more than LINE_DOCS documents of its host hold it, and more than LINE_SHARE of them.
 LINE_DOCS, LINE_SHARE = 20, 0.001
 #: A document is depleted when fewer words, or a smaller share of its words, are left.
-LEFT_WORDS, LEFT_SHARE = 10, 0.3
+LEFT_WORDS, LEFT_SHARE = 5, 0.2
 
 _SCHEMA = (
     "rid long, doc_id long, host string, digest binary, n_words long, word_chars long, n_symbols long, "
@@ -154,7 +154,7 @@ with d as (
   from d left join dups using (doc_id) left join rep using (doc_id) left join taken using (doc_id)
 ), b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       not base_failed and n_words - n_removed_words >= 10 and n_words - n_removed_words >= 0.3 * n_words as kept,
+       not base_failed and n_words - n_removed_words >= 5 and n_words - n_removed_words >= 0.2 * n_words as kept,
        n_removed_words, n_removed_lines
 from b
 """
