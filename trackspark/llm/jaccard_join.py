@@ -21,7 +21,7 @@ from . import common
 from .components import connected_components
 
 #: Frequent shingles that come last in the prefix order, at most. Only the order, never the result, depends on them.
-FREQUENT = 65_536
+FREQUENT = 262_144
 #: Classes, and shingles of them, that one task indexes. Larger families are searched block by block.
 BLOCK_SETS, BLOCK_SHINGLES = 2048, 2_000_000
 _LOCAL = 1_000_000
@@ -117,7 +117,7 @@ def _classes(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
              pa.array([parity_bits(s) if len(s) else None for s in sets], pa.binary()), none, none],
             names,
         )
-    keys, counts = often.top(FREQUENT // 2, 8)
+    keys, counts = often.top(FREQUENT // 2, 4)
     none = pa.nulls(len(keys), pa.int64())
     yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(keys), pa.binary()), none, pa.nulls(len(keys), pa.binary()), pa.array(keys.view(np.int64)), pa.array(counts)], names)
 
