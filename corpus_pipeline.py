@@ -22,7 +22,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The document of least doc_id of each group of near duplicates: sets of 5-word shingles that link at 0.8 or more."""
     found = common.staged(jaccard_join.ngram_jaccard_join(docs, k=5, percent=80).select("doc_id", "component_id"), "groups")
     gone = common.staged(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id_")).distinct(), "gone")
-    kept = docs.join(suffix_dedup._small(gone), F.col("doc_id").cast("long") == F.col("gone_id_"), "left_anti")
+    kept = docs.join(common.small(gone), F.col("doc_id").cast("long") == F.col("gone_id_"), "left_anti")
     repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
 

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Rows that a Python task takes from an Arrow batch at once, and about the most characters of them.
 SLICE_ROWS, SLICE_CHARS = 512, 4_000_000
+#: Staged tables of so few rows, or items in lists, go to all tasks.
+BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,6 +50,12 @@ def unstage(df: DataFrame) -> None:
         jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+def small(table: DataFrame, items: str | None = None) -> DataFrame:
+    """A staged table, marked for broadcast where it has at most BROADCAST_ROWS rows, or items in its lists; else Spark joins it by a shuffle."""
+    size = table.count() if items is None else table.agg(F.coalesce(F.sum(F.size(items)), F.lit(0))).first()[0]
+    return F.broadcast(table) if size <= BROADCAST_ROWS else table
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -25,8 +25,6 @@ FREQUENT = 262_144
 #: Classes, and shingles of them, that one task indexes. Larger families are searched block by block.
 BLOCK_SETS, BLOCK_SHINGLES = 2048, 2_000_000
 _LOCAL = 1_000_000
-#: Tables of so few rows go to all tasks; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 #: Classes under one shingle that are compared by their parity bits; more are all joined to one of them.
 COMPARED = 4000
 
@@ -267,11 +265,6 @@ def _search(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"digest": group.digest, "root": group.digest.to_numpy()[roots], "links": links})
 
 
-def _small(table: DataFrame) -> DataFrame:
-    """A staged table, marked for broadcast where it has few rows; else Spark joins it by a shuffle."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-
-
 def ngram_jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, n_shingles, component_id, n_links.
 
@@ -297,7 +290,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, block_set
     )
     postings = common.staged(rows.mapInArrow(lambda b: _prefixes(b, k, percent, frequent), "token long, short long"), "postings")
     shared = common.staged(postings.groupBy("token").agg(F.min("short").alias("a"), F.max("short").alias("z")).where("a <> z").select("token"), "shared")
-    met = common.staged(postings.join(_small(shared), "token").distinct(), "met")
+    met = common.staged(postings.join(common.small(shared), "token").distinct(), "met")
     common.unstage(postings)
     known = classes.select("short", "n", "bits").join(met.select("short").distinct(), "short", "left_semi")
     in_order = met.join(known, "short").select("token", "short", "n", "bits").repartition("token").sortWithinPartitions("token", "n", "short")
@@ -309,7 +302,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, block_set
         "blocks", F.greatest(F.ceil(F.col("f_sets") / block_sets), F.ceil(F.col("f_shingles") / block_shingles)).cast("int")
     )
     wanted = common.staged(members.join(sizes.select("family", "blocks"), "family").select("family", "blocks", "digest", "copies", F.col("first_id").alias("doc_id")), "wanted")
-    full = rows.join(_small(wanted), "doc_id").select("family", "blocks", "digest", "copies", "text").mapInArrow(
+    full = rows.join(common.small(wanted), "doc_id").select("family", "blocks", "digest", "copies", "text").mapInArrow(
         lambda b: _full_sets(b, k), "family long, blocks int, digest binary, copies long, shingles binary"
     )
     placed = full.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))

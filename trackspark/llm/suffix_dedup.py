@@ -26,8 +26,6 @@ WIDTH, GRAM = 200, 32
 BATCH_BYTES = 2_000_000
 #: Bytes of contexts of one minimizer that a task holds, at most. Strings of more, or of parts beyond BATCH_BYTES, are counted by digest.
 GROUP_BYTES = 6_000_000
-#: Tables of so few rows go to all tasks; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 _PART = 1 << 22
 _TOP = np.uint64(0xFFFFFF)
 
@@ -335,10 +333,6 @@ def _resolve(batches: Iterable[pa.RecordBatch], width: int, group_bytes: int) ->
     yield from resolved()
 
 
-def _small(table: DataFrame) -> DataFrame:
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-
-
 def repeated_spans(rows: DataFrame, width: int = WIDTH, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """rows(doc_id, tag, text) -> doc_id, tag and the spans of bytes that repeated strings cover, in a list for each document."""
     anchors = rows.mapInArrow(lambda b: _anchors(b, width), _ANCHOR)
@@ -346,7 +340,7 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH, group_bytes: int = GROUP
     settled = common.staged(ordered.mapInArrow(_named, "name long, doc_id long, tag long, start long, end long, mark int"), "contexts")
     some = settled.where("name is not null")
     wanted = common.staged(some.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("name", "start", "end", "mark")).alias("wanted")), "wanted")
-    met = rows.join(_small(wanted), ["doc_id", "tag"]).select("doc_id", "tag", "text", "wanted").mapInArrow(_fetch, "name long, doc_id long, tag long, start long, end long, mark int, raw binary")
+    met = rows.join(common.small(wanted, "wanted"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "wanted").mapInArrow(_fetch, "name long, doc_id long, tag long, start long, end long, mark int, raw binary")
     in_order = met.repartition("name").sortWithinPartitions("name")
     found = common.staged(in_order.mapInArrow(lambda b: _resolve(b, width, group_bytes), "doc_id long, tag long, start long, end long, window binary"), "spans")
     windows = found.where("window is not null")
@@ -356,7 +350,20 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH, group_bytes: int = GROUP
         settled.where("name is null").select(*place).unionByName(found.where("window is null").select(*place))
         .unionByName(windows.where("start >= 0").join(often, "window", "left_semi").select(*place))
     )
-    return spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    listed = spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return listed.mapInArrow(_united, "doc_id long, tag long, spans array<struct<start:long,end:long>>")
+
+
+def _united(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's list of spans as few spans that neither overlap nor touch."""
+    for batch in batches:
+        out = []
+        for spans in batch.column("spans").to_pylist():
+            own = sorted((s["start"], s["end"]) for s in spans)
+            start, end = _merged(np.array([a for a, _ in own]), np.array([b for _, b in own]))
+            out.append([{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(out, kind)], ["doc_id", "tag", "spans"])
 
 
 def _named(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,7 +402,7 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, group_bytes: int = GROUP_B
     """
     rows = tagged(docs)
     spans = common.staged(repeated_spans(rows, width, group_bytes), "removed")
-    return rows.join(_small(spans), ["doc_id", "tag"], "left").select("doc_id", "text", "spans").mapInArrow(
+    return rows.join(common.small(spans, "spans"), ["doc_id", "tag"], "left").select("doc_id", "text", "spans").mapInArrow(
         cut_spans, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     )
 
@@ -420,7 +427,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs with the repeated strings cut out of their text; all rows and columns stay, n_chars (if there) is counted anew."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     text, doc_id = (names[docs.columns.index(c)] for c in ("text", "doc_id"))
-    spans = _small(common.staged(repeated_spans(tagged(docs), width), "removed"))
+    spans = common.small(common.staged(repeated_spans(tagged(docs), width), "removed"), "spans")
     inner = docs.toDF(*names).withColumn("tag", F.xxhash64(text))
     joined = inner.join(spans.withColumnRenamed("doc_id", "id"), (F.col(doc_id).cast("long") == F.col("id")) & (inner["tag"] == spans["tag"]), "left")
     schema = ", ".join(f"{n} {docs.schema[i].dataType.simpleString()}" for i, n in enumerate(names))
