@@ -47,7 +47,7 @@ class TokenBytes(dict):
     `tokenizers`; `exact` is the latter.
     """
 
-    most = 400_000
+    most = 200_000
 
     def __init__(self, path: str, lead: str):
         from tokenizers import Tokenizer

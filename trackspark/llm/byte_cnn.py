@@ -146,12 +146,12 @@ def _scored(batches: Iterable[pa.RecordBatch], net: Network) -> Iterator[pa.Reco
         own = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in part.column("text").cast(pa.binary())]
         out: list[np.ndarray] = []
         at = 0
-        while at < len(own):  # about a megabyte of bytes at once
+        while at < len(own):  # about half a megabyte at once
             to, size = at, 0
-            while to < len(own) and (size == 0 or size + len(own[to]) < 1_000_000):
+            while to < len(own) and (size == 0 or size + len(own[to]) < 500_000):
                 size += len(own[to])
                 to += 1
-            out.append(score_long(net, own[at]) if size > 1_000_000 else score(net, own[at:to]))
+            out.append(score_long(net, own[at]) if size > 500_000 else score(net, own[at:to]))
             at = to
         scores = pa.array(np.concatenate(out).astype(np.float64)) if out else pa.array([], pa.float64())
         yield part.select([n for n in part.schema.names if n != "text"]).append_column("score", scores)

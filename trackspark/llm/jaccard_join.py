@@ -132,7 +132,7 @@ def _prefixes(batches: Iterable[pa.RecordBatch], k: int, percent: int, frequent:
         for s in _sets(part, k):
             digest = _digest(s)
             if len(s) and digest not in told:
-                if len(told) < _LOCAL:
+                if len(told) < _LOCAL // 4:
                     told.add(digest)
                 late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s if len(frequent) else np.zeros(len(s), bool)
                 own = np.concatenate([s[~late], s[late]])[: prefix_length(len(s), percent)]

@@ -23,7 +23,7 @@ from .suffix_grouping import suffix_arrays
 
 WIDTH, GRAM = 200, 32
 #: Bytes of texts whose suffixes are ordered at once; a task takes about a hundred times as much memory.
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
 #: Bytes of contexts of one minimizer that a task holds, at most. Strings of more, or of parts beyond BATCH_BYTES, are counted by digest.
 GROUP_BYTES = 6_000_000
 _PART = 1 << 22
