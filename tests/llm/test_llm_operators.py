@@ -56,6 +56,11 @@ def small_docs(spark, seed=0, n=60):
     return spark.createDataFrame(rows, DOCS)
 
 
+def without_ids(docs):
+    """A third of the rows without doc_id, another third with reused ids."""
+    return docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 != 0, F.when(F.col("doc_id") % 3 == 1, F.col("doc_id") % 4).otherwise(F.col("doc_id"))))
+
+
 def empty(spark, schema=DOCS):
     return spark.createDataFrame([], schema)
 
@@ -171,6 +176,15 @@ def test_chunk_dedup_keeps_first_places(spark):
     assert gear_chunks.chunk_dedup(empty(spark)).count() == 0
 
 
+def test_chunk_dedup_of_rows_without_ids(spark):
+    docs = without_ids(small_docs(spark).dropDuplicates(["text"])).withColumn("tag", F.xxhash64("text"))
+    got = gear_chunks.chunk_dedup(docs).toPandas()
+    frame = docs.orderBy("doc_id", "tag").toPandas()
+    texts = [(t or "").encode() for t in frame.text]
+    want = [(len(t), len(t) - len(k), len(gear_chunks.chunk_ends(t, gear_chunks.gear_table())), k) for t, k in zip(texts, brute_chunks(texts), strict=True)]
+    assert sorted((r.n_bytes, r.n_removed, r.n_chunks, bytes(r.kept)) for r in got.itertuples()) == sorted(want)
+
+
 def test_chunks_resist_insertions():
     rng = np.random.default_rng(3)
     text = rng.integers(97, 123, 20_000).astype(np.uint8).tobytes()
@@ -241,6 +255,19 @@ def test_suffix_dedup_equals_brute_force(spark, group_bytes):
     assert suffix_dedup.suffix_dedup(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("group_bytes", [24_000_000, 1500])
+def test_suffix_dedup_of_rows_without_ids(spark, group_bytes):
+    docs = without_ids(small_docs(spark))
+    docs = docs.unionByName(docs.where("doc_id is null and length(text) > 200").limit(3))
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    got = suffix_dedup.suffix_dedup(docs, group_bytes=group_bytes).collect()
+    want = brute_repeats([(t or "").encode() for t in docs.toPandas().text], 200)
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == want
+    plain = docs.where("text is not null and text rlike '^[ -~\\\\n]*$'")
+    want = brute_repeats([t.encode() for t in plain.toPandas().text], 200)
+    assert sorted(r.text for r in suffix_dedup.without_repeats(plain).collect()) == sorted(w[3].decode() for w in want)
+
+
 def test_texts_without_repeats_keep_rows_and_columns(spark):
     docs = small_docs(spark)
     out = suffix_dedup.without_repeats(docs)
@@ -345,6 +372,28 @@ def test_jaccard_join_equals_brute_force(spark, k, percent, block):
     assert jaccard_join.ngram_jaccard_join(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("block", [2048, 3])
+def test_jaccard_join_of_rows_without_ids(spark, block):
+    base = [f"b{i}" for i in range(60)]
+    chain = [" ".join([f"c{j}" for j in range(i * 4)] + base[i * 4 :]) for i in range(6)]  # neighbours link, others do not
+    docs = without_ids(small_docs(spark)).select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(900, chain[0]), (None, chain[1]), (None, chain[1]), (901, chain[2]), (None, chain[4]), (None, chain[5])], "doc_id long, text string"))
+    rows = [tuple(r) for r in docs.collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(str, map(tuple, jaccard_join.ngram_jaccard_join(docs, 4, 85, block_sets=block).collect())))
+    sets, links = brute_links([t for _, t in rows], 4, 85)
+    label = list(range(len(rows)))
+    for _ in rows:
+        for a in range(len(rows)):
+            for b in range(len(rows)):
+                if links[a][b] and label[b] > label[a]:
+                    label[b] = label[a]
+    lowest = {x: min((i for (i, _), y in zip(rows, label, strict=True) if y == x and i is not None), default=None) for x in set(label)}
+    want = [(i, len(s), lowest[x], max(sum(own) - bool(own[at]), 0)) for at, ((i, _), s, x, own) in enumerate(zip(rows, sets, label, links, strict=True))]
+    assert links[len(rows) - 6][len(rows) - 5] and not links[len(rows) - 6][len(rows) - 3]
+    assert got == sorted(map(str, want))
+
+
 def test_parity_bits_never_part_linked_sets():
     rng = np.random.default_rng(8)
     for _ in range(300):

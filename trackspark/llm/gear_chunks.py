@@ -101,10 +101,17 @@ def tagged(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text")
 
 
+def beside(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+    """Join on the row, (doc_id, tag); a null doc_id meets a null one."""
+    other = table.withColumnsRenamed({"doc_id": "id_", "tag": "tag_"})
+    return rows.join(other, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("tag") == F.col("tag_")), how).drop("id_", "tag_")
+
+
 def chunk_dedup(docs: DataFrame, least: int = LEAST, most: int = MOST, bits: int = BITS) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_bytes, n_chunks, n_shared, n_removed, n_spans, kept (bytes).
 
     Each chunk stays where it stands first, in order of (doc_id, start), and goes elsewhere, also in the same document;
+    rows without doc_id come first, in order of a digest of their text;
     n_shared: bytes of chunks that stand more than once, the first included. Null text is empty. A row that repeats doc_id
     and text whole is the same document and is treated alike. Only doc_id and text are read.
 
@@ -122,8 +129,8 @@ def chunk_dedup(docs: DataFrame, least: int = LEAST, most: int = MOST, bits: int
         F.collect_list(F.when(F.col("goes"), F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("spans"),
     )
     counted = chunks.groupBy("doc_id", "tag").agg(F.count("*").alias("n_chunks"))
-    extra = counted.join(spans, ["doc_id", "tag"], "left")
-    joined = rows.join(extra, ["doc_id", "tag"], "left").select("doc_id", "text", "spans", F.coalesce("n_chunks", F.lit(0)).cast("long").alias("n_chunks"), F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"))
+    extra = beside(counted, spans, "left")
+    joined = beside(rows, extra, "left").select("doc_id", "text", "spans", F.coalesce("n_chunks", F.lit(0)).cast("long").alias("n_chunks"), F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches):

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import connected_components
+from .gear_chunks import beside, tagged
 
 #: Frequent shingles that come last in the prefix order, at most. Only the order, never the result, depends on them.
 FREQUENT = 262_144
@@ -103,7 +104,7 @@ def _sets(part: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
 
 
 def _classes(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n", "digest", "short", "bits", "h", "c"]
+    names = ["doc_id", "tag", "n", "digest", "short", "bits", "h", "c"]
     often = FrequentCounter()
     for part in common.slices(batches):
         sets = list(_sets(part, k))
@@ -111,13 +112,13 @@ def _classes(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
         digests = [_digest(s) if len(s) else None for s in sets]
         none = pa.nulls(len(sets), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([d and _short(d) for d in digests], pa.int64()),
+            [part.column("doc_id"), part.column("tag"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([d and _short(d) for d in digests], pa.int64()),
              pa.array([parity_bits(s) if len(s) else None for s in sets], pa.binary()), none, none],
             names,
         )
     keys, counts = often.top(FREQUENT // 2, 4)
     none = pa.nulls(len(keys), pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(keys), pa.binary()), none, pa.nulls(len(keys), pa.binary()), pa.array(keys.view(np.int64)), pa.array(counts)], names)
+    yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(keys), pa.binary()), none, pa.nulls(len(keys), pa.binary()), pa.array(keys.view(np.int64)), pa.array(counts)], names)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -186,9 +187,15 @@ def _candidates(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.
 
 
 def _full_sets(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Sets of the wanted classes; of rows that repeat one, few a task go on."""
+    told: set[bytes] = set()
     for part in common.slices(batches):
         sets = list(_sets(part, k))
-        keep = [len(s) > 0 and _digest(s) == d for s, d in zip(sets, part.column("digest").to_pylist(), strict=True)]
+        keep = []
+        for s, d in zip(sets, part.column("digest").to_pylist(), strict=True):
+            keep.append(len(s) > 0 and d not in told and _digest(s) == d)
+            if keep[-1] and len(told) < _LOCAL // 4:
+                told.add(d)
         out = part.select(["family", "blocks", "digest", "copies"]).append_column("shingles", pa.array([s.tobytes() for s in sets], pa.binary()))
         yield out.filter(pa.array(keep))
 
@@ -271,22 +278,30 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, block_set
     A document's set: its distinct k-word shingles, of words between ASCII white space with A-Z in lower case; the whole
     sequence where it has fewer words. component_id: the smallest doc_id reachable by links, itself included; n_links:
     other rows that it links with. Null and word-free texts have empty sets, link with nothing and are their own component.
+    Rows without doc_id link like others; a component of such rows alone has a null component_id.
     Repeated rows are copies of each other. Only doc_id and text are read. An empty table gives no rows.
+    """
+    return row_groups(docs, k, percent, block_sets, block_shingles).select("doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"), "n_links")
+
+
+def row_groups(docs: DataFrame, k: int, percent: int, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """One row for each row of docs(doc_id, text): doc_id, tag, n_shingles, n_links and first, the component's row (no_id, doc_id, tag)
+    of least doc_id, or where none has one, of least tag; null for empty sets. The tag is a digest of the text.
 
     Scale: sets travel only for classes that share a prefix shingle with another class; exact copies collapse to one class
     before any pairing; counts and minima combine before their shuffles; families beyond a block are searched as pairs of
     blocks, each a task of bounded memory. All links count: nothing is capped.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    told = common.staged(rows.mapInArrow(lambda b: _classes(b, k), "doc_id long, n long, digest binary, short long, bits binary, h long, c long"), "sets")
+    rows = tagged(docs)
+    told = common.staged(rows.mapInArrow(lambda b: _classes(b, k), "doc_id long, tag long, n long, digest binary, short long, bits binary, h long, c long"), "sets")
     counts = told.where("h is not null").groupBy("h").agg(F.sum("c").alias("c"))
     top = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).select("h").toPandas()
     frequent = np.sort(top.h.to_numpy(np.int64).view(np.uint64))
 
-    per_row = told.where("h is null").select("doc_id", F.col("n").alias("n_shingles"), "digest")
+    per_row = told.where("h is null").select("doc_id", "tag", F.col("n").alias("n_shingles"), "digest")
     classes = (
         told.where("digest is not null").groupBy("digest")
-        .agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("short").alias("short"), F.max("bits").alias("bits"))
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag")).alias("first"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("short").alias("short"), F.max("bits").alias("bits"))
     )
     postings = common.staged(rows.mapInArrow(lambda b: _prefixes(b, k, percent, frequent), "token long, short long"), "postings")
     shared = common.staged(postings.groupBy("token").agg(F.min("short").alias("a"), F.max("short").alias("z")).where("a <> z").select("token"), "shared")
@@ -297,12 +312,12 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, block_set
     families = common.staged(connected_components(in_order.mapInArrow(lambda b: _candidates(b, percent), "a long, b long")), "families")
 
     members = families.select(F.col("node").alias("short"), F.col("root").alias("family")).join(classes.drop("bits"), "short")
-    members = common.staged(members.select("family", "digest", "first_id", "copies", "n"), "members")
+    members = common.staged(members.select("family", "digest", "first", "copies", "n"), "members")
     sizes = members.groupBy("family").agg(F.count("*").alias("f_sets"), F.sum("n").alias("f_shingles")).where("f_sets > 1").withColumn(
         "blocks", F.greatest(F.ceil(F.col("f_sets") / block_sets), F.ceil(F.col("f_shingles") / block_shingles)).cast("int")
     )
-    wanted = common.staged(members.join(sizes.select("family", "blocks"), "family").select("family", "blocks", "digest", "copies", F.col("first_id").alias("doc_id")), "wanted")
-    full = rows.join(common.small(wanted), "doc_id").select("family", "blocks", "digest", "copies", "text").mapInArrow(
+    wanted = common.staged(members.join(sizes.select("family", "blocks"), "family").select("family", "blocks", "digest", "copies", "first.doc_id", "first.tag"), "wanted")
+    full = beside(rows, common.small(wanted)).select("family", "blocks", "digest", "copies", "text").mapInArrow(
         lambda b: _full_sets(b, k), "family long, blocks int, digest binary, copies long, shingles binary"
     )
     placed = full.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
@@ -315,12 +330,12 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, block_set
     roots = connected_components(found.where("digest <> root").select(F.col("digest").alias("a"), F.col("root").alias("b")))
 
     labelled = classes.join(links, "digest", "left").join(roots.withColumnRenamed("node", "digest"), "digest", "left").select(
-        "digest", "first_id", F.coalesce("root", "digest").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+        "digest", "first", F.coalesce("root", "digest").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
-    lowest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_class = labelled.join(lowest, "root").select("digest", "component_id", "n_links")
+    lowest = labelled.groupBy("root").agg(F.min("first").alias("first"))
+    by_class = labelled.drop("first").join(lowest, "root").select("digest", "first", "n_links")
     return per_row.join(by_class, "digest", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+        "doc_id", "tag", "n_shingles", "first", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .gear_chunks import cut_spans, tagged
+from .gear_chunks import beside, cut_spans, tagged
 from .suffix_grouping import suffix_arrays
 
 WIDTH, GRAM = 200, 32
@@ -168,10 +168,15 @@ def _split(table: pa.Table, several: set) -> Iterator[pa.RecordBatch]:
 
 
 def _fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, tag, text, wanted) -> the contexts with their bytes."""
+    """(doc_id, tag, text, wanted) -> the contexts with their bytes. Of equal rows without doc_id one a task is enough: their marks tell of the others."""
+    told: set[int] = set()
     for part in common.slices(batches):
         rows = []
-        for d, (x, wanted) in enumerate(zip(part.column("text").cast(pa.binary()), part.column("wanted").to_pylist(), strict=True)):
+        for d, (x, wanted, own, tag) in enumerate(zip(part.column("text").cast(pa.binary()), *(part.column(c).to_pylist() for c in ("wanted", "doc_id", "tag")), strict=True)):
+            if own is None:
+                if tag in told:
+                    continue
+                told.add(tag)
             text = x.as_buffer().to_pybytes() if x.is_valid else b""
             rows += [(d, w["name"], w["start"], w["end"], w["mark"], text[w["start"] : w["end"]]) for w in wanted]
         if rows:
@@ -336,11 +341,11 @@ def _resolve(batches: Iterable[pa.RecordBatch], width: int, group_bytes: int) ->
 def repeated_spans(rows: DataFrame, width: int = WIDTH, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """rows(doc_id, tag, text) -> doc_id, tag and the spans of bytes that repeated strings cover, in a list for each document."""
     anchors = rows.mapInArrow(lambda b: _anchors(b, width), _ANCHOR)
-    ordered = anchors.repartition("name", F.when(F.col("name").isNull(), F.col("doc_id"))).sortWithinPartitions("name", "digest")
+    ordered = anchors.repartition("name", F.when(F.col("name").isNull(), F.xxhash64("doc_id", "tag"))).sortWithinPartitions("name", "digest")
     settled = common.staged(ordered.mapInArrow(_named, "name long, doc_id long, tag long, start long, end long, mark int"), "contexts")
     some = settled.where("name is not null")
     wanted = common.staged(some.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("name", "start", "end", "mark")).alias("wanted")), "wanted")
-    met = rows.join(common.small(wanted, "wanted"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "wanted").mapInArrow(_fetch, "name long, doc_id long, tag long, start long, end long, mark int, raw binary")
+    met = beside(rows, common.small(wanted, "wanted")).select("doc_id", "tag", "text", "wanted").mapInArrow(_fetch, "name long, doc_id long, tag long, start long, end long, mark int, raw binary")
     in_order = met.repartition("name").sortWithinPartitions("name")
     found = common.staged(in_order.mapInArrow(lambda b: _resolve(b, width, group_bytes), "doc_id long, tag long, start long, end long, window binary"), "spans")
     windows = found.where("window is not null")
@@ -350,7 +355,7 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH, group_bytes: int = GROUP
         settled.where("name is null").select(*place).unionByName(found.where("window is null").select(*place))
         .unionByName(windows.where("start >= 0").join(often, "window", "left_semi").select(*place))
     )
-    listed = spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    listed = spans.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     return listed.mapInArrow(_united, "doc_id long, tag long, spans array<struct<start:long,end:long>>")
 
 
@@ -402,7 +407,7 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, group_bytes: int = GROUP_B
     """
     rows = tagged(docs)
     spans = common.staged(repeated_spans(rows, width, group_bytes), "removed")
-    return rows.join(common.small(spans, "spans"), ["doc_id", "tag"], "left").select("doc_id", "text", "spans").mapInArrow(
+    return beside(rows, common.small(spans, "spans"), "left").select("doc_id", "text", "spans").mapInArrow(
         cut_spans, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     )
 
@@ -429,7 +434,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     text, doc_id = (names[docs.columns.index(c)] for c in ("text", "doc_id"))
     spans = common.small(common.staged(repeated_spans(tagged(docs), width), "removed"), "spans")
     inner = docs.toDF(*names).withColumn("tag", F.xxhash64(text))
-    joined = inner.join(spans.withColumnRenamed("doc_id", "id"), (F.col(doc_id).cast("long") == F.col("id")) & (inner["tag"] == spans["tag"]), "left")
+    joined = inner.join(spans.withColumnRenamed("doc_id", "id"), F.col(doc_id).cast("long").eqNullSafe(F.col("id")) & (inner["tag"] == spans["tag"]), "left")
     schema = ", ".join(f"{n} {docs.schema[i].dataType.simpleString()}" for i, n in enumerate(names))
     out = joined.select(*names, "spans").mapInArrow(lambda b: _cut_texts(b, text), schema).toDF(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
