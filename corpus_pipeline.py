@@ -19,12 +19,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group of near duplicates: sets of 5-word shingles that link at 0.8 or more."""
-    found = common.staged(jaccard_join.ngram_jaccard_join(docs, k=5, percent=80).select("doc_id", "component_id"), "groups")
-    gone = common.staged(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id_")).distinct(), "gone")
-    kept = docs.join(common.small(gone), F.col("doc_id").cast("long") == F.col("gone_id_"), "left_anti")
-    repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    """One row of each group of near duplicates, sets of 5-word shingles that link at 0.8 or more: that of least doc_id.
+
+    Rows without doc_id come last. A row is known by doc_id and a digest of its text: rows of one id with unlike texts, or
+    without id, are documents like others. Texts without words link with nothing; only repeated rows of one doc_id go.
+    """
+    found = common.staged(jaccard_join.row_groups(docs, k=5, percent=80).select("doc_id", "tag", "first"), "groups")
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tag") == F.col("first.tag"))
+    gone = common.staged(found.where(F.col("first").isNotNull() & ~own).select("doc_id", "tag").distinct(), "gone")
+    again = found.where(F.col("first").isNull() & F.col("doc_id").isNotNull() | own).groupBy("doc_id", "tag").agg(F.count("*").alias("n"))
+    again = common.staged(again.where("n > 1").select("doc_id", "tag"), "again")
+    keyed = docs.withColumns({"id_": F.col("doc_id").cast("long"), "tag_": F.xxhash64("text")})
+
+    def beside(rows: DataFrame, table: DataFrame, how: str) -> DataFrame:
+        other = common.small(table).toDF("other_id_", "other_tag_")
+        return rows.join(other, F.col("id_").eqNullSafe(F.col("other_id_")) & (F.col("tag_") == F.col("other_tag_")), how)
+
+    kept = beside(keyed, gone, "left_anti")
+    if not again.isEmpty():  # of rows that repeat whole, one stays
+        kept = beside(kept, again, "left_anti").unionByName(beside(kept, again, "left_semi").dropDuplicates(["id_", "tag_"]))
+    return kept.drop("id_", "tag_")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

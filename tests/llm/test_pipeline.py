@@ -28,3 +28,19 @@ def test_stages(spark):
     packed = kept["best-fit packing"]
     assert packed.select("doc_id").distinct().count() == kept["benchmark decontamination"].count()
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+def test_one_row_of_each_group_stays_with_null_and_reused_ids(spark):
+    word = lambda a, n=40: " ".join(f"{a}{i}" for i in range(n))
+    near = lambda a: word(a) + " more"
+    rows = [
+        (None, word("a")), (None, word("b")), (None, near("b")), (None, word("b")),  # unlike rows without id, and near copies
+        (7, word("c")), (7, word("d")), (7, word("d")),  # one id: unlike texts, and a repeated row
+        (3, word("e")), (8, near("e")), (8, word("f")), (None, word("e")),  # 8 loses only its near copy
+        (5, word("g")), (5, near("g")),  # near copies of one id
+        (None, None), (None, ""), (9, None), (9, None), (10, ""),
+    ]
+    kept = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id int, text string"), SF).collect()]
+    text = lambda r: r[1] and r[1].removesuffix(" more")
+    want = [(None, word("a")), (None, word("b")), (7, word("c")), (7, word("d")), (3, word("e")), (8, word("f")), (5, word("g")), (None, None), (None, ""), (9, None), (10, "")]
+    assert sorted(str((r[0], text(r))) for r in kept) == sorted(map(str, want))
