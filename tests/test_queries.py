@@ -21,3 +21,10 @@ def test_entry_point(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["s3_deduplicated", "s4_tumbling", "s6_sessions", "s8_sliding", "s11_stream_stream_join"])
+def test_streams_of_many_unordered_files_equal_sql(spark, tmp_path, name):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.repartition(40).write.parquet(f"{tmp_path}/events.parquet")
+    assert_same(registry.QUERIES[name](spark, str(tmp_path)), registry.ORACLE_SQL[name], SF)
