@@ -71,3 +71,28 @@ def test_warping_of_equal_curves_is_free(spark):
     rows = [("a", k, float(t), float(t * t), float(t)) for k in (0, 1) for t in range(30)] + [("b", 0, 0.0, 1.0, 1.0)]
     got = {r.track_id: r.dtw for r in evaluation.dtw_mean(spark.createDataFrame(rows, "track_id string, which int, t double, x double, y double")).collect()}
     assert got["a"] == 0 and got["b"] is None
+
+
+def test_curve_distances_see_every_point_and_axis(spark):
+    from trackspark.operators import evaluation, quality
+
+    rng = np.random.default_rng(5)
+    a, b = np.cumsum(rng.normal(size=(650, 3)), 0), np.cumsum(rng.normal(size=(600, 3)), 0)
+    a[301] += 500  # one point, and an error that is vertical only, decide
+    curves = {"far": (a, b), "up": (a, a + [0, 0, 40.0])}
+    rows = [(k, w, float(t), *map(float, p)) for k, pair in curves.items() for w, c in enumerate(pair) for t, p in enumerate(c)]
+    pairs = spark.createDataFrame(rows, "track_id string, which int, t double, x double, y double, z double")
+    h = {r.track_id: r for r in evaluation.hausdorff(pairs).collect()}
+    w = {r.track_id: r.dtw for r in evaluation.dtw_mean(pairs).collect()}
+    f = {r.track_id: r.frechet for r in quality.frechet(pairs).collect()}
+    for k, (x, y) in curves.items():
+        d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(2))
+        there, back = d.min(1).max(), d.min(0).max()
+        assert np.allclose([h[k].hausdorff, h[k].reverse, h[k].symmetric], [there, back, max(there, back)])
+        warp, reach = np.full(d.shape, np.inf), np.full(d.shape, np.inf)
+        for i in range(len(x)):
+            for j in range(len(y)):
+                before = [(p, q) for p, q in ((i - 1, j), (i, j - 1), (i - 1, j - 1)) if p >= 0 and q >= 0]
+                warp[i, j] = d[i, j] + min((warp[p] for p in before), default=0)
+                reach[i, j] = max(d[i, j], min((reach[p] for p in before), default=0))
+        assert np.isclose(w[k], warp[-1, -1] / sum(d.shape)) and np.isclose(f[k], reach[-1, -1])

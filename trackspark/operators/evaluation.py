@@ -41,23 +41,38 @@ def envelope_violations(samples: DataFrame, speed: float = 350.0, vertical: floa
     return samples.groupBy("track_id").agg(F.count_if(v > speed).alias("n_fast"), F.count_if(F.abs("vz") > vertical).alias("n_vertical"), F.count("*").alias("n"))
 
 
-def directed_hausdorff(a: DataFrame, b: DataFrame, keys: list[str], n: int = 200) -> DataFrame:
-    """Largest distance from a point of a to its nearest of b; at most n evenly spread points of each curve."""
-    x = T.downsample(a, keys, ["t"], n)
-    y = T.downsample(b, keys, ["t"], n).select(*[F.col(k).alias(f"_{k}") for k in keys], *(F.col(c).alias(f"_{c}") for c in ("x", "y", "z")))
-    on = [F.col(k) == F.col(f"_{k}") for k in keys]
-    d = sum(((F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in ("x", "y", "z")), F.lit(0.0))
-    return x.join(y, on).groupBy(*keys, "t").agg(F.min(d).alias("d")).groupBy(*keys).agg(F.sqrt(F.max("d")).alias("hausdorff"))
+def curve(pairs: pd.DataFrame, which: int, n: int) -> np.ndarray:
+    """Points of one curve of (which, t, x, y and z where there is one) in order of time, at most n of them, evenly spread."""
+    own = pairs[pairs.which == which].sort_values("t")[[c for c in ("x", "y", "z") if c in pairs]].dropna().to_numpy(float)
+    return own if len(own) <= n else own[np.linspace(0, len(own) - 1, n).round().astype(int)]
 
 
-def dtw_mean(pairs: DataFrame, n: int = 300) -> DataFrame:
-    """E5: mean cost of dynamic time warping of two curves of (track_id, which, t, x, y); anti-diagonals in numpy."""
+def hausdorff(pairs: DataFrame, n: int = 2000) -> DataFrame:
+    """Largest distance from a point of curve 0 of (track_id, which, t, x, y, z) to its nearest of curve 1, the reverse, and the
+    larger of both; at most n evenly spread points of each curve, as the reference has it."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        a, b = (g[g.which == k].sort_values("t")[["x", "y"]].to_numpy() for k in (0, 1))
+        a, b = (curve(g, k, n) for k in (0, 1))
+        there, back = None, None
+        if len(a) and len(b):
+            nearest, back_ = np.empty(len(a)), np.full(len(b), np.inf)
+            for i in range(0, len(a), 512):
+                d = ((a[i : i + 512, None] - b[None]) ** 2).sum(2)
+                nearest[i : i + 512] = d.min(1)
+                back_ = np.minimum(back_, d.min(0))
+            there, back = float(np.sqrt(nearest.max())), float(np.sqrt(back_.max()))
+        return pd.DataFrame([{"track_id": g.track_id.iloc[0], "hausdorff": there, "reverse": back, "symmetric": there if there is None else max(there, back)}])
+
+    return pairs.groupBy("track_id").applyInPandas(run, "track_id string, hausdorff double, reverse double, symmetric double")
+
+
+def dtw_mean(pairs: DataFrame, n: int = 700) -> DataFrame:
+    """E5: mean cost of dynamic time warping of two curves of (track_id, which, t, x, y, z), of at most n points each; anti-diagonals in numpy."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        a, b = (curve(g, k, n) for k in (0, 1))
         if len(a) == 0 or len(b) == 0:
             return pd.DataFrame([{"track_id": g.track_id.iloc[0], "dtw": None}])
-        a, b = (c[np.unique(np.rint(np.linspace(0, len(c) - 1, min(n, len(c)))).astype(int))] for c in (a, b))
         cost = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
         total = np.full((len(a) + 1, len(b) + 1), np.inf)
         total[0, 0] = 0

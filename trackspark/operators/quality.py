@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trackspark.functions import scalars as S
 from trackspark.operators import timeseries as T
+from trackspark.operators.evaluation import curve
 
 
 def motion_outliers(samples: DataFrame, floor: float = 1200.0, factor: float = 5.0) -> DataFrame:
@@ -63,14 +64,13 @@ def verify_continuity(segments: DataFrame) -> DataFrame:
     return segments.withColumns({f"jump_{c}": F.abs(F.lead(f"first_{c}").over(w) - F.col(f"last_{c}")) for c in ("x", "vx")}).where("jump_x is not null")
 
 
-def frechet(pairs: DataFrame, n: int = 200) -> DataFrame:
-    """Discrete Frechet distance of two curves of (track_id, which, t, x, y); one group a track, anti-diagonals in numpy."""
+def frechet(pairs: DataFrame, n: int = 700) -> DataFrame:
+    """Discrete Frechet distance of two curves of (track_id, which, t, x, y, z), of at most n points each; one group a track, anti-diagonals in numpy."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        a, b = (g[g.which == k].sort_values("t")[["x", "y"]].to_numpy() for k in (0, 1))
+        a, b = (curve(g, k, n) for k in (0, 1))
         if len(a) == 0 or len(b) == 0:
             return pd.DataFrame([{"track_id": g.track_id.iloc[0], "frechet": None}])
-        a, b = (c[np.unique(np.rint(np.linspace(0, len(c) - 1, min(n, len(c)))).astype(int))] for c in (a, b))
         cost = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
         total = np.full((len(a) + 1, len(b) + 1), np.inf)
         total[0, 0] = 0

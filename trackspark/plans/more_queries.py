@@ -125,15 +125,15 @@ def k21(spark, d):
 @query("e4_hausdorff")
 def e4(spark, d):
     s = samples(spark, d)
-    r = smoothing.smooth_ca(s).where("error is null").select("track_id", "t", "x", "y", "z")
-    return evaluation.directed_hausdorff(s.select("track_id", "t", "x", "y", "z"), r, ["track_id"])
+    r = smoothing.smooth_ca(s).where("error is null")
+    return evaluation.hausdorff(s.select("track_id", F.lit(0).alias("which"), "t", "x", "y", "z").unionByName(r.select("track_id", F.lit(1).alias("which"), "t", "x", "y", "z")))
 
 
 @query("e5_dtw")
 def e5(spark, d):
     s = samples(spark, d)
     r = smoothing.smooth_ca(s).where("error is null")
-    return evaluation.dtw_mean(s.select("track_id", F.lit(0).alias("which"), "t", "x", "y").unionByName(r.select("track_id", F.lit(1).alias("which"), "t", "x", "y")))
+    return evaluation.dtw_mean(s.select("track_id", F.lit(0).alias("which"), "t", "x", "y", "z").unionByName(r.select("track_id", F.lit(1).alias("which"), "t", "x", "y", "z")))
 
 
 _LONG = """with g as (select user_id % 7 as method, sqrt(avg(value * value)) as a, quantile_cont(value, 0.95) as b, max(value) as c from events group by 1

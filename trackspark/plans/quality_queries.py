@@ -103,7 +103,7 @@ def e9(spark, d):
 def e6(spark, d):
     s = samples(spark, d)
     r = smoothing.smooth_ca(s).where("error is null")
-    return quality.frechet(s.select("track_id", F.lit(0).alias("which"), "t", "x", "y").unionByName(r.select("track_id", F.lit(1).alias("which"), "t", "x", "y")))
+    return quality.frechet(s.select("track_id", F.lit(0).alias("which"), "t", "x", "y", "z").unionByName(r.select("track_id", F.lit(1).alias("which"), "t", "x", "y", "z")))
 
 
 @query("e14_model_score", SAMPLES_SQL + f""", ac as (select track_id, sqrt(pow({_grad("vx")}, 2) + pow({_grad("vy")}, 2) + pow({_grad("vz")}, 2)) as a from s window w as (partition by track_id order by t)
