@@ -284,6 +284,17 @@ def test_main_text_drops_templates():
     assert html_extract.main_text("just words & more") == "just words & more"
 
 
+@pytest.mark.parametrize("around", [
+    "<body class='has-sidebar'><div class='content no-sidebar'>%s</div></body>", "<body class='sidebar search'><div id='page-header widget'>%s</div></body>",
+    "<body><article><div class='entry-content share-enabled'>%s</div></article></body>", "<body><article class='post legal'><div class='entry share'>%s</div></article></body>",
+    "<head><title>T</title><body class='nav-menu'><div class='side'>%s</div>",
+])
+def test_wrappers_with_marked_names_keep_their_text(around):
+    paragraphs = [f"Paragraph {i} of the text has some words of its own." for i in range(8)]
+    body = "<nav class='menu'><a href=x>Home</a> <a href=y>News</a></nav>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "<div class='ad'>Buy it now please</div>"
+    assert html_extract.main_text(f"<html>{around % body}</html>") == "\n".join(paragraphs)
+
+
 def test_pages_of_the_table(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     odd = spark.createDataFrame([(-1, None, None), (-2, "u", "")], pages.schema)

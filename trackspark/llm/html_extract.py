@@ -39,21 +39,46 @@ _MARK = re.compile(
 _COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|replies|respond|disqus)(?=$|[\s_\d-])", re.I)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 
+#: Names that tell of the page's layout or state, not of what the element is.
+_MODIFIER = re.compile(r"(?:has|no|with|without|is|not|hide|show)[-_].*|.*[-_](?:enabled|disabled|on|off|open|closed)", re.I)
+
 #: Weights before any labelled page is seen: of a word, a word in a template element, and tags by kind.
 PRIOR = {"word": 1.0, "template word": -1.0, "link word": 0.3, "inline": -0.1, "block": -0.3, "container": -1.0, "template": -5.0}
 
 
 def _marks(attributes: str) -> str:
-    return " ".join("".join(x) for x in _NAMES.findall(attributes)) if "=" in attributes else ""
+    return " ".join(y for x in _NAMES.findall(attributes) for y in "".join(x).split() if not _MODIFIER.fullmatch(y)) if "=" in attributes else ""
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
-    """(kind, text of a text token or the tag's name, whether the tag ends a block). Attributes never count as text."""
+    """(kind, text of a text token or the tag's name, whether the tag ends a block). Attributes never count as text.
+
+    An element whose names alone make it a template, but which holds more than half of the words of the page's articles, or
+    of a page without article, is its content's wrapper: its words are left to the weights.
+    """
+    words = {True: Counter(), False: Counter()}
+    for _ in _tokens(page, frozenset(), words):
+        pass
+    own = words[bool(words[True][-1])]
+    return _tokens(page, frozenset(at for at, n in own.items() if at >= 0 and 2 * n > own[-1]))
+
+
+def _tokens(page: str, wrappers: frozenset[int] = frozenset(), words: dict[bool, Counter] | None = None) -> Iterator[tuple[str, str, bool]]:
+    """tokens(), with the elements that start at `wrappers` plain. words: counts those inside and outside articles, in all (-1)
+    and by the starts of the elements around them that are templates by their names alone."""
     open_: list[tuple[str, int]] = []  # (element, 0 plain, 1 template, 2 reader comments)
+    named: list[tuple[int, bool, bool]] = []  # of each open element: its start if its names alone mark it, or -1; inside an article; inside what is a template anyway
     for m in _TOKEN.finditer(page):
         text, name = m[5], m[3]
         if text is not None:
             held = open_[-1][1] if open_ else 0
+            if words is not None and not (named and named[-1][2]):
+                n, inside = len(text.split()), bool(named) and named[-1][1]
+                for into in (True, False) if inside else (False,):
+                    words[into][-1] += n
+                    for at, within, _ in named:
+                        if at >= 0 and (within or not into):
+                            words[into][at] += n
             yield "template word" if held else "link word" if any(x == "a" for x, _ in open_[-4:]) else "word", text, False
         elif name is not None:
             name = name.lower()
@@ -63,18 +88,24 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
                 at = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name), None)
                 if at is not None:
                     held = max(x for _, x in open_[at:])
-                    del open_[at:]
+                    del open_[at:], named[at:]
             elif name not in _VOID:
                 marks = _marks(m[4])
                 inside = any(x in ("article", "main") for x, _ in open_)
-                own = 2 if _COMMENT.search(marks) else 1 if name in _TEMPLATE and not (name == "header" and inside and not marks) or _MARK.search(marks) else 0
-                if name in ("article", "main", "body") and own == 0 and held == 1:
+                marked = 2 if _COMMENT.search(marks) else 1 if _MARK.search(marks) else 0
+                always = name in _TEMPLATE and not (name == "header" and inside and not marks)
+                named_only = marked == 1 and not always
+                own = 0 if name in ("html", "body", "article", "main") or named_only and m.start() in wrappers else max(marked, always)
+                if name in ("article", "main") and marked == 0 and held == 1 or name in ("html", "body"):
                     held = 0  # an unclosed menu ends where the article begins
                 if name == "p" and open_ and open_[-1][0] == "p":
                     open_.pop()
+                    named.pop()
                     held = open_[-1][1] if open_ else 0
                 held = max(held, own)
                 open_.append((name, held))
+                anyway = held > 0 and (always or own == 2 or bool(named) and named[-1][2])
+                named.append((m.start() if named_only and own else -1, inside, anyway))
             yield "template" if held else "inline" if not end else "block" if re.fullmatch(r"p|h[1-6]|li|ul|ol|dl|dt|dd|blockquote|pre|t[rdh]|table|tbody|figure|figcaption|hr", name) else "container", name, end
 
 
@@ -115,7 +146,7 @@ def learn_weights(pages: Iterable[str]) -> dict[str, float]:
             continue
         end = page.lower().rfind(f"</{m[1].lower()}")
         for part, into in ((page[: m.start()], outside), (page[m.end() : end if end > 0 else None], inside), (page[end:] if end > 0 else "", outside)):
-            for kind, text, _ in tokens(part):
+            for kind, text, _ in _tokens(part):
                 into[kind] += len(text.split()) if "word" in kind else 1
     if not inside:
         return dict(PRIOR)
