@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,25 +13,31 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word: anything between ASCII white space.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Rows that a Python task takes from an Arrow batch at once, and about the most characters of them.
 SLICE_ROWS, SLICE_CHARS = 512, 4_000_000
-#: Staged tables of so few rows, or items in lists, go to all tasks.
-BROADCAST_ROWS = 1_000_000
+#: Staged tables of so few rows, or items in lists, and bytes go to all tasks.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset: a new one in local mode, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+_meanwhile: list[list[DataFrame]] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: the lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
@@ -39,6 +45,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
+    for tables in _meanwhile:
+        tables.append(out)
+    return out
+
+
+def staged_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """staged() of what make() gives; the tables that were staged for it are deleted."""
+    _meanwhile.append([])
+    try:
+        out = staged(make(), name)
+    finally:
+        tables = _meanwhile.pop()
+    for t in tables:
+        if t is not out:
+            unstage(t)
     return out
 
 
@@ -50,10 +71,22 @@ def unstage(df: DataFrame) -> None:
         jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+def width(kind: T.DataType) -> int:
+    """Bytes of a value, about: 8 of a number, 24 of a text or digest; of a list those of an item."""
+    if isinstance(kind, T.StructType):
+        return sum(width(f.dataType) for f in kind)
+    if isinstance(kind, T.ArrayType):
+        return width(kind.elementType)
+    return 24 if isinstance(kind, T.StringType | T.BinaryType) else 8
+
+
 def small(table: DataFrame, items: str | None = None) -> DataFrame:
-    """A staged table, marked for broadcast where it has at most BROADCAST_ROWS rows, or items in its lists; else Spark joins it by a shuffle."""
-    size = table.count() if items is None else table.agg(F.coalesce(F.sum(F.size(items)), F.lit(0))).first()[0]
-    return F.broadcast(table) if size <= BROADCAST_ROWS else table
+    """A staged table, marked for broadcast where it has at most BROADCAST_ROWS rows, or items in its lists, and BROADCAST_BYTES;
+    else Spark joins it by a shuffle. Texts and digests count as 24 bytes: tables with long ones are not for this."""
+    n, in_lists = table.agg(F.count("*"), F.coalesce(F.sum(F.size(items)), F.lit(0)) if items else F.lit(0)).first()
+    listed = width(table.schema[items].dataType) if items else 0
+    size = n * (width(table.schema) - listed) + in_lists * listed
+    return F.broadcast(table) if max(n, in_lists) <= BROADCAST_ROWS and size <= BROADCAST_BYTES else table
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

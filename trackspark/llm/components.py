@@ -19,10 +19,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
     first = edges.select("a", "b").where("a is not null and b is not null").distinct()
     left = common.staged(first, "edges")
-    loops = left.where("a = b").select(F.col("a").alias("node")).distinct()
+    loops = common.staged(left.where("a = b").select(F.col("a").alias("node")).distinct(), "loops")
     left_now = left.where("a <> b")
+    old = left
     rounds: list[DataFrame] = []
-    old = None
     while not left_now.isEmpty():
         both = left_now.select("a", "b").union(left_now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(order("b")).alias("m"))
@@ -31,10 +31,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         ends = lambda c: to.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: E731, B023
         contracted = left_now.join(ends("a"), "a").join(ends("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).where("a <> b")
         contracted = contracted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = common.staged(contracted, "edges")
-        if old is not None:
-            common.unstage(old)
-        left_now = old = new
+        left_now = common.staged(contracted, "edges")
+        common.unstage(old)
+        old = left_now
+    common.unstage(old)
     if not rounds:
         return loops.select("node", F.col("node").alias("root"))
     out = rounds[0]

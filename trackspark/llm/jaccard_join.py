@@ -2,12 +2,13 @@
 
 Documents are sets of word shingles. Two documents link when 100 * intersection >= percent * union. Sets that are equal
 form one class; classes that share a shingle of their prefixes, and that parity bits do not prove apart, fall into one
-family; inside a family an inverted index is searched for the classes that reach the required overlap: short lists are merged, long ones are only probed for what the
-short ones left (DivideSkip).
+family; inside a family an inverted index is searched for the classes that reach the required overlap: short lists are merged by a heap,
+long ones are only probed for what the short ones left (DivideSkip).
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -143,6 +144,24 @@ def _prefixes(batches: Iterable[pa.RecordBatch], k: int, percent: int, frequent:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, names)], ["token", "short"])
 
 
+def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (token, short) in order of both -> the different rows of tokens that stand with several classes."""
+    last, told = None, False  # the last row so far, and whether it has gone out
+    for batch in batches:
+        rows = np.stack([batch.column(c).to_numpy() for c in ("token", "short")], 1)
+        if last is not None:
+            rows = np.concatenate([last, rows])
+        rows = rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])] if len(rows) else rows
+        if len(rows) == 0:
+            continue
+        same = rows[1:, 0] == rows[:-1, 0]
+        out = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        last, final = rows[-1:].copy(), bool(out[-1]) or told and len(rows) == 1
+        out[0] &= not told
+        told = final
+        yield pa.RecordBatch.from_arrays([pa.array(rows[out, i]) for i in (0, 1)], ["token", "short"])
+
+
 def _candidates(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows (token, short, n, bits) in order of the token -> edges (a, b) that connect all classes under a token that may link."""
     token, run, hub = None, [], None
@@ -200,6 +219,40 @@ def _full_sets(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
         yield out.filter(pa.array(keep))
 
 
+#: Entries of short lists that are merged one by one; more are merged run by run.
+_SINGLY = 2000
+
+
+def heap_merge(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rising lists of numbers -> the different numbers in order, and how many lists hold each.
+
+    Few entries pass a heap one by one; else the heap holds whole runs with their counts, and the two shortest merge until one is left.
+    """
+    if sum(map(len, lists)) <= _SINGLY:
+        found: list[int] = []
+        counts: list[int] = []
+        for x in heapq.merge(*(own.tolist() for own in lists)):
+            if found and found[-1] == x:
+                counts[-1] += 1
+            else:
+                found.append(x)
+                counts.append(1)
+        return np.array(found, np.int64), np.array(counts, np.int64)
+    runs = [(len(own), i, own, np.ones(len(own), np.int64)) for i, own in enumerate(lists)]
+    heapq.heapify(runs)
+    while len(runs) > 1:
+        _, _, b, nb = heapq.heappop(runs)
+        _, i, a, na = heapq.heappop(runs)
+        at = np.searchsorted(a, b)
+        hit = a[np.minimum(at, len(a) - 1)] == b
+        na = na.copy()
+        na[at[hit]] += nb[hit]
+        if not hit.all():
+            a, na = np.insert(a, at[~hit], b[~hit]), np.insert(na, at[~hit], nb[~hit])
+        heapq.heappush(runs, (len(a), i, a, na))
+    return runs[0][2], runs[0][3]
+
+
 class Index:
     """Inverted lists of sets of numbers."""
 
@@ -223,8 +276,7 @@ class Index:
         i = i[np.argsort(-lengths, kind="stable")]
         n_long = min(need - 1, int(need / (0.05 * np.log2(lengths.max() + 1) + 1)))
         long_, short = i[:n_long], i[n_long:]
-        merged = np.sort(np.concatenate([self.lists[self.at[x] : self.at[x + 1]] for x in short]))
-        found, counts = np.unique(merged, return_counts=True)
+        found, counts = heap_merge([self.lists[self.at[x] : self.at[x + 1]] for x in short])
         keep = (counts >= need - n_long) & (100 * np.minimum(self.sizes[found], n) >= percent * np.maximum(self.sizes[found], n))
         found, counts = found[keep], counts[keep]
         required = -(-percent * (n + self.sizes[found]) // (100 + percent))
@@ -288,7 +340,7 @@ def row_groups(docs: DataFrame, k: int, percent: int, block_sets: int = BLOCK_SE
     """One row for each row of docs(doc_id, text): doc_id, tag, n_shingles, n_links and first, the component's row (no_id, doc_id, tag)
     of least doc_id, or where none has one, of least tag; null for empty sets. The tag is a digest of the text.
 
-    Scale: sets travel only for classes that share a prefix shingle with another class; exact copies collapse to one class
+    Scale: prefixes pass one shuffle, at every size, and only those of tokens with several classes are written; sets travel only for classes that share a prefix shingle with another class; exact copies collapse to one class
     before any pairing; counts and minima combine before their shuffles; families beyond a block are searched as pairs of
     blocks, each a task of bounded memory. All links count: nothing is capped.
     """
@@ -303,16 +355,16 @@ def row_groups(docs: DataFrame, k: int, percent: int, block_sets: int = BLOCK_SE
         told.where("digest is not null").groupBy("digest")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag")).alias("first"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("short").alias("short"), F.max("bits").alias("bits"))
     )
-    postings = common.staged(rows.mapInArrow(lambda b: _prefixes(b, k, percent, frequent), "token long, short long"), "postings")
-    shared = common.staged(postings.groupBy("token").agg(F.min("short").alias("a"), F.max("short").alias("z")).where("a <> z").select("token"), "shared")
-    met = common.staged(postings.join(common.small(shared), "token").distinct(), "met")
-    common.unstage(postings)
+    postings = rows.mapInArrow(lambda b: _prefixes(b, k, percent, frequent), "token long, short long")
+    met = common.staged(postings.repartition("token").sortWithinPartitions("token", "short").mapInArrow(_met, "token long, short long"), "met")
     known = classes.select("short", "n", "bits").join(met.select("short").distinct(), "short", "left_semi")
     in_order = met.join(known, "short").select("token", "short", "n", "bits").repartition("token").sortWithinPartitions("token", "n", "short")
     families = common.staged(connected_components(in_order.mapInArrow(lambda b: _candidates(b, percent), "a long, b long")), "families")
+    common.unstage(met)
 
     members = families.select(F.col("node").alias("short"), F.col("root").alias("family")).join(classes.drop("bits"), "short")
     members = common.staged(members.select("family", "digest", "first", "copies", "n"), "members")
+    common.unstage(families)
     sizes = members.groupBy("family").agg(F.count("*").alias("f_sets"), F.sum("n").alias("f_shingles")).where("f_sets > 1").withColumn(
         "blocks", F.greatest(F.ceil(F.col("f_sets") / block_sets), F.ceil(F.col("f_shingles") / block_shingles)).cast("int")
     )
@@ -326,6 +378,8 @@ def row_groups(docs: DataFrame, k: int, percent: int, block_sets: int = BLOCK_SE
     )
     found = pairs.groupBy("family", "one", "two").applyInPandas(lambda g: _search(g, percent), "digest binary, root binary, links long")
     found = common.staged(found, "links")
+    common.unstage(wanted)
+    common.unstage(members)
     links = found.groupBy("digest").agg(F.sum("links").alias("links"))
     roots = connected_components(found.where("digest <> root").select(F.col("digest").alias("a"), F.col("root").alias("b")))
 
