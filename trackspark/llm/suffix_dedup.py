@@ -4,7 +4,8 @@ Each string of WIDTH bytes is named by its minimizer, the 32 bytes of least hash
 at the same place. Runs of neighbouring strings of one minimizer form a context. Contexts that stand more than once repeat
 as a whole. Where different contexts share a minimizer, their texts meet in one task, each cut down to the longest part
 that another one has around the minimizer; where these parts differ, a suffix array, built by grouping (suffix_grouping),
-brings equal strings side by side.
+brings equal strings side by side. A group that is too large for that is split: strings with like many bytes before the
+minimizer, in four ranges, and by the bytes that all strings of such a range share; split groups go on like others.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ from .gear_chunks import beside, cut_spans, tagged
 from .suffix_grouping import suffix_arrays
 
 WIDTH, GRAM = 200, 32
-#: Bytes of texts whose suffixes are ordered at once; a task takes about a hundred times as much memory.
+#: Bytes of texts whose suffixes are ordered at once; a task takes about a hundred times as much memory. Larger groups are split in the task.
 BATCH_BYTES = 1_000_000
-#: Bytes of contexts of one minimizer that a task holds, at most. Strings of more, or of parts beyond BATCH_BYTES, are counted by digest.
+#: Bytes of contexts of one group that a task holds, at most. Larger groups are split row by row, and their parts meet in another round.
 GROUP_BYTES = 6_000_000
 _PART = 1 << 22
 _TOP = np.uint64(0xFFFFFF)
@@ -178,14 +179,13 @@ def _fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 told.add(tag)
             text = x.as_buffer().to_pybytes() if x.is_valid else b""
-            rows += [(d, w["name"], w["start"], w["end"], w["mark"], text[w["start"] : w["end"]]) for w in wanted]
+            rows += [(d, w["name"], w["start"], w["mark"], text[w["start"] : w["end"]]) for w in wanted]
         if rows:
-            d, name, start, end, mark, raw = zip(*rows, strict=True)
+            d, name, start, mark, raw = zip(*rows, strict=True)
             d = pa.array(d, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(name, pa.int64()), part.column("doc_id").take(d), part.column("tag").take(d), pa.array(start, pa.int64()), pa.array(end, pa.int64()),
-                 pa.array(mark, pa.int32()), pa.array(raw, pa.binary())],
-                ["name", "doc_id", "tag", "start", "end", "mark", "raw"],
+                [pa.array(name, pa.int64()), part.column("doc_id").take(d), part.column("tag").take(d), pa.array(start, pa.int64()), pa.array(mark, pa.int32()), pa.array(raw, pa.binary())],
+                ["name", "doc_id", "tag", "start", "mark", "raw"],
             )
 
 
@@ -249,112 +249,167 @@ def _reach(parts: list[bytes]) -> list[int]:
     return out
 
 
-def shared_parts(group: list[tuple], width: int) -> tuple[list[tuple[bytes, bool]], list[list[tuple]]]:
-    """Contexts of one minimizer, (doc, tag, start, mark, raw), cut down to what they can share around it.
+def shared_parts(group: list[tuple], width: int) -> tuple[list[tuple[bytes, bool, int]], list[list[tuple]]]:
+    """Contexts of one minimizer, (places, mark, raw), cut down to what they can share around it. A place: (doc, tag, start).
 
-    -> different parts of at least `width` bytes, with whether they stand more than once, and by part its documents' (doc,
-    tag, start). Equal strings lie alike around their minimizer, so no shared string reaches beyond a part.
+    -> different parts of at least `width` bytes, with whether they stand more than once and their bytes before the minimizer,
+    and by part its places. Equal strings lie alike around their minimizer, so no shared string reaches beyond a part.
     """
-    at = [c[3] >> 1 for c in group]
-    right = _reach([c[4][a:] for c, a in zip(group, at, strict=True)])
-    left = _reach([c[4][:a][::-1] for c, a in zip(group, at, strict=True)])
+    at = [mark >> 1 for _, mark, _ in group]
+    right = _reach([c[2][a:] for c, a in zip(group, at, strict=True)])
+    left = _reach([c[2][:a][::-1] for c, a in zip(group, at, strict=True)])
     parts: dict[tuple[bytes, int], list[tuple]] = {}
     again: dict[tuple[bytes, int], int] = {}
-    for (doc, tag, start, mark, raw), a, r, n in zip(group, at, right, left, strict=True):
+    for (places, mark, raw), a, r, n in zip(group, at, right, left, strict=True):
+        if len(places) > 1 or len(group) == 1:  # all of it stands more than once, whatever others share with it
+            r, n = len(raw) - a, a
         if n + r >= width:
             key = (raw[a - n : a + r], n)
-            parts.setdefault(key, []).append((doc, tag, start + a - n))
-            again[key] = again.get(key, 0) + 1 + (mark & 1)
-    return [(key[0], again[key] > 1) for key in parts], list(parts.values())
+            parts.setdefault(key, []).extend((doc, tag, start + a - n) for doc, tag, start in places)
+            again[key] = again.get(key, 0) + len(places) + (mark & 1)
+    return [(key[0], again[key] > 1, key[1]) for key in parts], list(parts.values())
 
 
-def _resolve(batches: Iterable[pa.RecordBatch], width: int, group_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Contexts in order of their names -> spans to remove; of names with too many, digests of all strings instead."""
+def ranges(low: int, high: int) -> list[tuple[int, int]]:
+    """Four ranges, as even as can be, or fewer where there are fewer numbers."""
+    cuts = sorted({low + (high - low + 1) * i // 4 for i in range(5)})
+    return [(a, b - 1) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def split(raw: bytes, at: int, low: int, high: int, width: int) -> Iterator[tuple[int, int, bytes, int, bytes, int]]:
+    """A context around the minimizer at `at`, whose strings have low to high bytes before it -> by range of these: the range,
+    the bytes that all its strings share, and the part that its strings cover: its start, bytes, and bytes before the minimizer."""
+    for a, b in ranges(low, high):
+        least, most = max(a, at + width - len(raw)), min(b, at)
+        if least <= most:
+            yield a, b, raw[at - a : at - b + width], at - most, raw[at - most : at - least + width], most
+
+
+_PART_ROW = "name long, low int, high int, doc_id long, tag long, start long, end long, mark int, raw binary"
+
+
+def _resolve(batches: Iterable[pa.RecordBatch], width: int, group_bytes: int, batch_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Contexts (_PART_ROW) in order of their names -> spans to remove, without a name, and the parts of groups beyond group_bytes."""
     ready: list[tuple[list, list]] = []
-    late: list[tuple] = []
-    size, name, group, group_size, hot = 0, None, [], 0, False
-
-    def rows(out: list[tuple]) -> pa.RecordBatch:
-        doc, tag, start, end, window = zip(*out, strict=True) if out else ((),) * 5
-        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (doc, tag, start, end)), pa.array(window, pa.binary())], ["doc_id", "tag", "start", "end", "window"])
-
-    def windows(context: tuple) -> Iterator[tuple]:
-        doc, tag, start, mark, raw = context
-        for k in range(len(raw) - width + 1):
-            own = (doc, tag, start + k, start + k + width, xxhash.xxh3_128_digest(raw[k : k + width]))
-            yield own
-            if mark & 1:  # it stands elsewhere as well
-                yield (doc, tag, -1, -1, own[4])
-
-    def take(group: list[tuple]) -> int:
-        """Bytes that the group adds to what is to be ordered."""
-        texts, members = shared_parts(group, width)
-        if sum(len(t) for t, _ in texts) > min(BATCH_BYTES, group_bytes):
-            late.extend((doc, tag, start, int(many), text) for (text, many), places in zip(texts, members, strict=True) for doc, tag, start in places)
-            return 0
-        if len(texts) == 1 and texts[0][1]:  # all cut down to one part: two copies of it are ordered
-            texts, members = [(texts[0][0], False)] * 2, [members[0], []]
-        if len(texts) > 1:
-            ready.append((texts, members))
-            return sum(len(t) for t, _ in texts)
-        return 0
+    size = 0
+    spans: list[tuple] = []
+    parts: list[tuple] = []
+
+    def rows(full: bool) -> Iterator[pa.RecordBatch]:
+        """What has been found so far, if that is enough for a batch or at the end."""
+        nonlocal spans, parts
+        if len(spans) >= 50_000 or spans and full:
+            doc, tag, start, end = zip(*spans, strict=True)
+            none = pa.nulls(len(doc))
+            yield pa.RecordBatch.from_arrays(
+                [none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int32()), *(pa.array(x, pa.int64()) for x in (doc, tag, start, end)), none.cast(pa.int32()), none.cast(pa.binary())], _NAMES
+            )
+            spans = []
+        if len(parts) >= 10_000 or parts and full:
+            name, low, high, doc, tag, start, mark, raw = zip(*parts, strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(name, pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32()), *(pa.array(x, pa.int64()) for x in (doc, tag, start)), pa.nulls(len(doc), pa.int64()),
+                 pa.array(mark, pa.int32()), pa.array(raw, pa.binary())], _NAMES
+            )
+            parts = []
 
-    def resolved() -> Iterator[pa.RecordBatch]:
+    def ordered() -> Iterator[pa.RecordBatch]:
         nonlocal ready, size
-        out: list[tuple] = []
         if ready:
-            for (_, members), hits in zip(ready, repeated_starts([t for t, _ in ready], width), strict=True):
+            for (_, members), hits in zip(ready, repeated_starts([[(t, many) for t, many, _ in texts] for texts, _ in ready], width), strict=True):
                 for places, own in zip(members, hits, strict=True):
                     if len(own):
-                        spans = list(zip(*(x.tolist() for x in _merged(own, own + width)), strict=True))
-                        out += ((doc, tag, start + a, start + b, None) for doc, tag, start in places for a, b in spans)
-            ready, size = [], 0
-        for a in range(0, len(out), 50_000):
-            yield rows(out[a : a + 50_000])
-        while late:
-            yield rows(list(windows(late.pop())))
+                        found = list(zip(*(x.tolist() for x in _merged(own, own + width)), strict=True))
+                        spans.extend((doc, tag, start + a, start + b) for doc, tag, start in places for a, b in found)
+                        yield from rows(False)
+        ready, size = [], 0
+
+    def take(group: list[tuple], low: int, high: int) -> Iterator[pa.RecordBatch]:
+        nonlocal size
+        texts, members = shared_parts(group, width)
+        total = sum(len(t) for t, _, _ in texts)
+        if total > batch_bytes and low < high:
+            smaller: dict[tuple[int, int, bytes], list[tuple]] = {}
+            for (text, many, at), places in zip(texts, members, strict=True):
+                for a, b, core, start, raw, before in split(text, at, low, high, width):
+                    own = ([(doc, tag, s + start) for doc, tag, s in places], 2 * before + (many and len(places) == 1), raw)
+                    smaller.setdefault((a, b, core), []).append(own)
+            for (a, b, _), own in smaller.items():
+                if len(own) > 1 or len(own[0][0]) > 1 or own[0][1] & 1:
+                    yield from take(own, a, b)
+            return
+        if len(texts) == 1 and texts[0][1]:  # all cut down to one part: two copies of it are ordered
+            texts, members, total = [(texts[0][0], False, texts[0][2])] * 2, [members[0], []], 2 * total
+        if len(texts) > 1:
+            ready.append((texts, members))
+            size += total
+            if size >= batch_bytes:
+                yield from ordered()
+
+    name, group, held, hot = None, [], 0, False
+    low = high = 0
+    alike: dict[bytes, list[tuple]] = {}  # of a hot group of single strings: the first place of each string, until a second one comes
+
+    def out(context: tuple) -> None:
+        """A context of a hot group, in parts."""
+        ((doc, tag, start),), mark, raw = context
+        if low == high:  # the group's strings are equal, but for names that clash
+            first = alike.get(raw)
+            found = [] if first is None and not mark & 1 else [(doc, tag, start)]
+            alike[raw] = [] if found or first is not None else [(doc, tag, start)]
+            spans.extend((d, t, s, s + width) for d, t, s in [*(first or ()), *found])
+            return
+        for a, b, core, at, part, before in split(raw, mark >> 1, low, high, width):
+            parts.append((xxhash.xxh3_64_intdigest(core, seed=(name * 1024 + a) & (1 << 64) - 1) - (1 << 63), a, b, doc, tag, start + at, 2 * before + (mark & 1), part))
 
     for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in ("name", "doc_id", "tag", "start", "mark", "raw"))
-        for n, *context in zip(*columns, strict=True):
+        columns = (batch.column(c).to_pylist() for c in ("name", "low", "high", "doc_id", "tag", "start", "mark", "raw"))
+        for n, a, b, doc, tag, start, mark, raw in zip(*columns, strict=True):
             if n != name:
-                if group and not hot:
-                    size += take(group)
-                    if size >= BATCH_BYTES or late:
-                        yield from resolved()
-                name, group, group_size, hot = n, [], 0, False
+                if group:
+                    yield from take(group, low, high)
+                name, low, high, group, held, hot, alike = n, a, b, [], 0, False, {}
+            context = ([(doc, tag, start)], mark, raw)
             if hot:
-                yield rows(list(windows(tuple(context))))
+                out(context)
+                yield from rows(False)
                 continue
-            group.append(tuple(context))
-            group_size += len(context[4])
-            if group_size > group_bytes:
+            group.append(context)
+            held += len(raw)
+            if held > group_bytes:
                 hot = True
                 for c in group:
-                    yield rows(list(windows(c)))
+                    out(c)
                 group = []
-    if group and not hot:
-        take(group)
-    yield from resolved()
+                yield from rows(False)
+    if group:
+        yield from take(group, low, high)
+    yield from ordered()
+    yield from rows(True)
+
+
+_NAMES = ["name", "low", "high", "doc_id", "tag", "start", "end", "mark", "raw"]
 
 
-def repeated_spans(rows: DataFrame, width: int = WIDTH, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def repeated_spans(rows: DataFrame, width: int = WIDTH, group_bytes: int = GROUP_BYTES, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """rows(doc_id, tag, text) -> doc_id, tag and the spans of bytes that repeated strings cover, in a list for each document."""
     anchors = rows.mapInArrow(lambda b: _anchors(b, width), _ANCHOR)
     ordered = anchors.repartition("name", F.when(F.col("name").isNull(), F.xxhash64("doc_id", "tag"))).sortWithinPartitions("name", "digest")
     settled = common.staged(ordered.mapInArrow(_named, "name long, doc_id long, tag long, start long, end long, mark int"), "contexts")
     some = settled.where("name is not null")
     wanted = common.staged(some.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("name", "start", "end", "mark")).alias("wanted")), "wanted")
-    met = beside(rows, common.small(wanted, "wanted")).select("doc_id", "tag", "text", "wanted").mapInArrow(_fetch, "name long, doc_id long, tag long, start long, end long, mark int, raw binary")
-    in_order = met.repartition("name").sortWithinPartitions("name")
-    found = common.staged(in_order.mapInArrow(lambda b: _resolve(b, width, group_bytes), "doc_id long, tag long, start long, end long, window binary"), "spans")
-    windows = found.where("window is not null")
-    often = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
+    left = beside(rows, common.small(wanted, "wanted")).select("doc_id", "tag", "text", "wanted").mapInArrow(_fetch, "name long, doc_id long, tag long, start long, mark int, raw binary")
+    left = left.select("name", F.lit(0).alias("low"), F.lit(width - GRAM).alias("high"), "doc_id", "tag", "start", "mark", "raw")
     place = ["doc_id", "tag", "start", "end"]
-    spans = (
-        settled.where("name is null").select(*place).unionByName(found.where("window is null").select(*place))
-        .unionByName(windows.where("start >= 0").join(often, "window", "left_semi").select(*place))
-    )
+    spans = settled.where("name is null").select(*place)
+    while left is not None:  # a round more for each time that a group has to be split, at most five in all
+        in_order = left.repartition("name").sortWithinPartitions("name")
+        found = common.staged(in_order.mapInArrow(lambda b: _resolve(b, width, group_bytes, batch_bytes), _PART_ROW), "spans")
+        spans = spans.unionByName(found.where("name is null").select(*place))
+        left = found.where("name is not null").select("name", "low", "high", "doc_id", "tag", "start", "mark", "raw")
+        if left.isEmpty():
+            left = None
+    common.unstage(wanted)
     listed = spans.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     return listed.mapInArrow(_united, "doc_id long, tag long, spans array<struct<start:long,end:long>>")
 
@@ -393,20 +448,20 @@ def _named(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from spans
 
 
-def suffix_dedup(docs: DataFrame, width: int = WIDTH, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = WIDTH, group_bytes: int = GROUP_BYTES, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept (bytes): a row for each row.
 
     Bytes are removed that are covered by a string of `width` bytes which starts anywhere else too, in the same or another
     row; all such strings go, the first included. Strings do not cross rows. Null text is empty; repeated rows are copies of
-    each other. Only doc_id and text are read.
+    each other; rows without doc_id take part like others. Only doc_id and text are read. An empty table gives no rows.
 
     Scale: a context travels as two hashes and its place, and copies settle without their bytes; bytes travel only for
-    names with different contexts. Contexts of one name beyond `group_bytes` are counted string by string by digest, with
-    counts that combine before the shuffle, so no task holds an unbounded group. Lists of spans, of one document each,
-    are broadcast when few, else joined by a shuffle.
+    names with different contexts. `group_bytes` and `batch_bytes` only bound what a task holds and orders at once: a larger
+    group is split by what its strings share, again and again, so that every part is ordered. Lists of spans, of one
+    document each, are broadcast when few, else joined by a shuffle.
     """
     rows = tagged(docs)
-    spans = common.staged(repeated_spans(rows, width, group_bytes), "removed")
+    spans = common.staged_alone(lambda: repeated_spans(rows, width, group_bytes, batch_bytes), "removed")
     return beside(rows, common.small(spans, "spans"), "left").select("doc_id", "text", "spans").mapInArrow(
         cut_spans, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     )
@@ -432,7 +487,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs with the repeated strings cut out of their text; all rows and columns stay, n_chars (if there) is counted anew."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     text, doc_id = (names[docs.columns.index(c)] for c in ("text", "doc_id"))
-    spans = common.small(common.staged(repeated_spans(tagged(docs), width), "removed"), "spans")
+    spans = common.small(common.staged_alone(lambda: repeated_spans(tagged(docs), width), "removed"), "spans")
     inner = docs.toDF(*names).withColumn("tag", F.xxhash64(text))
     joined = inner.join(spans.withColumnRenamed("doc_id", "id"), F.col(doc_id).cast("long").eqNullSafe(F.col("id")) & (inner["tag"] == spans["tag"]), "left")
     schema = ", ".join(f"{n} {docs.schema[i].dataType.simpleString()}" for i, n in enumerate(names))
