@@ -59,20 +59,21 @@ def chunk_ends(text: bytes, gear: np.ndarray, least: int = LEAST, most: int = MO
 def _chunks(batches: Iterable[pa.RecordBatch], sizes: tuple[int, int, int]) -> Iterator[pa.RecordBatch]:
     gear = gear_table()
     for part in common.slices(batches):
-        row, start, length, digest = [], [], [], []
+        row, nth, start, length, digest = [], [], [], [], []
         for d, x in enumerate(part.column("text").cast(pa.binary())):
             text = x.as_buffer().to_pybytes() if x.is_valid else b""
             at = 0
-            for end in chunk_ends(text, gear, *sizes):
+            for k, end in enumerate(chunk_ends(text, gear, *sizes)):
                 row.append(d)
+                nth.append(k)
                 start.append(at)
                 length.append(end - at)
                 digest.append(hashlib.blake2b(text[at:end], digest_size=16).digest())
                 at = end
         at = pa.array(row, pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id").take(at), part.column("tag").take(at), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(digest, pa.binary())],
-            ["doc_id", "tag", "start", "length", "digest"],
+            [part.column("doc_id").take(at), part.column("tag").take(at), pa.array(nth, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(digest, pa.binary())],
+            ["doc_id", "tag", "nth", "start", "length", "digest"],
         )
 
 
@@ -111,24 +112,26 @@ def chunk_dedup(docs: DataFrame, least: int = LEAST, most: int = MOST, bits: int
     """docs(doc_id, text) -> doc_id, n_bytes, n_chunks, n_shared, n_removed, n_spans, kept (bytes).
 
     Each chunk stays where it stands first, in order of (doc_id, start), and goes elsewhere, also in the same document;
-    rows without doc_id come first, in order of a digest of their text;
+    rows without doc_id come first, in order of a digest of their text; a text of any length is read part by part;
     n_shared: bytes of chunks that stand more than once, the first included. Null text is empty. A row that repeats doc_id
     and text whole is the same document and is treated alike. Only doc_id and text are read.
 
-    Scale: a chunk travels as its digest and place. Counts and first places combine before the shuffle; the join back meets
-    one row for each repeated digest, so a chunk that a third of the documents share only makes a partition that Spark
-    splits. Texts meet their spans in a join on the document.
+    Scale: a chunk travels as its digest and place. First and last places of a digest combine before the shuffle, and differ where
+    it stands more than once, so no row is compared with another; the join back meets one row for each repeated digest, so a
+    chunk that a third of the documents share only makes a partition that Spark splits. Texts meet their spans in a join on
+    the document.
     """
     rows = tagged(docs)
-    chunks = common.staged(rows.mapInArrow(lambda b: _chunks(b, (least, most, bits)), "doc_id long, tag long, start long, length int, digest binary").distinct(), "chunks")
-    often = chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tag", "start")).alias("first")).where("n > 1").select("digest", "first")
+    chunks = common.staged(rows.mapInArrow(lambda b: _chunks(b, (least, most, bits)), "doc_id long, tag long, nth int, start long, length int, digest binary"), "chunks")
     place = F.struct("doc_id", "tag", "start")
-    shared = chunks.join(often, "digest").select("doc_id", "tag", "start", "length", (place != F.col("first")).alias("goes"))
-    spans = shared.groupBy("doc_id", "tag").agg(
-        F.sum("length").alias("n_shared"),
-        F.collect_list(F.when(F.col("goes"), F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("spans"),
-    )
-    counted = chunks.groupBy("doc_id", "tag").agg(F.count("*").alias("n_chunks"))
+    often = chunks.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select("digest", "first")
+    shared = chunks.join(often, "digest").select("doc_id", "tag", "start", "length", (~place.eqNullSafe(F.col("first"))).alias("goes"))
+    listed = shared.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end"), "goes")).alias("found"))
+    spans = listed.select(
+        "doc_id", "tag", F.aggregate("found", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]).alias("n_shared"),
+        F.transform(F.filter("found", lambda x: x["goes"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("spans"),
+    )
+    counted = chunks.groupBy("doc_id", "tag").agg((F.max("nth") + 1).alias("n_chunks"))
     extra = beside(counted, spans, "left")
     joined = beside(rows, extra, "left").select("doc_id", "text", "spans", F.coalesce("n_chunks", F.lit(0)).cast("long").alias("n_chunks"), F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"))
 
