@@ -29,7 +29,8 @@ class Mapping:
     """paths: those that a record must have; also: those that it may have.
 
     each = (list of turns, field of the role, field of the text); parts = ((role, (fields joined by an empty line)), ...);
-    parts come before the turns of each. roles: canonical names of a layout's own.
+    parts come before the turns of each. roles: canonical names of a layout's own. Fields are paths like `chat.messages` or
+    `content[].text`; texts at one path join without a break.
     """
 
     name: str
@@ -47,6 +48,7 @@ def _listed(name: str, items: str, role: str, text: str, system: str = "system",
 MAPPINGS = (
     _listed("turn rows", "turns", "role", "text"),
     _listed("messages", "messages", "role", "content"),
+    _listed("message parts", "messages", "role", "content[].text"),
     _listed("from and value", "conversations", "from", "value", roles=(("human", "user"), ("gpt", "assistant"))),
     Mapping("instruction", frozenset({"instruction", "output"}), frozenset({"input", "system"}), None, (("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))),
     Mapping("prompt", frozenset({"prompt", "completion"}), frozenset({"system"}), None, (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",)))),
@@ -55,13 +57,42 @@ MAPPINGS = (
 )
 
 
-def field_paths(record: object, at: str = "") -> set[str]:
+def field_paths(record: object) -> set[str]:
     """Paths of a record's leaves; all items of a list share one path; nulls and empty lists have none."""
-    if isinstance(record, dict):
-        return set().union(*(field_paths(v, f"{at}.{k}" if at else str(k)) for k, v in record.items()))
-    if isinstance(record, list):
-        return set().union(*(field_paths(v, f"{at}[]") for v in record))
-    return set() if record is None else {at}
+    out, left = set(), [("", record)]
+    while left:
+        at, value = left.pop()
+        if isinstance(value, dict):
+            left += ((f"{at}.{k}" if at else str(k), v) for k, v in value.items())
+        elif isinstance(value, list):
+            left += ((f"{at}[]", v) for v in value)
+        elif value is not None:
+            out.add(at)
+    return out
+
+
+def values_at(record: object, path: str) -> list:
+    """Values at a path of names and `[]`, in order; what is no object or list on the way gives none."""
+    found = [record]
+    for step in path.replace("[]", ".[]").split("."):
+        if step == "[]":
+            found = [y for x in found if isinstance(x, list) for y in x]
+        else:
+            found = [x[step] for x in found if isinstance(x, dict) and x.get(step) is not None]
+    return found
+
+
+def text_at(record: object, path: str) -> str | None:
+    found = values_at(record, path)
+    return "".join(map(str, found)) if found else None
+
+
+def wrapped(paths: set[str]) -> str:
+    """The object that all paths lie in, like `data.` or `data.chat.`; else nothing."""
+    out = ""
+    while len(heads := {p[len(out) :].partition(".")[0] for p in paths}) == 1 and "[]" not in (head := heads.pop()) and all(len(p) > len(out) + len(head) for p in paths):
+        out += head + "."
+    return out
 
 
 def fingerprint(paths: Iterable[str]) -> str:
@@ -74,18 +105,20 @@ def select_mapping(paths: set[str], mappings: tuple[Mapping, ...] = MAPPINGS) ->
     return max(fit, key=lambda m: (paths <= m.paths | m.also, len(paths & (m.paths | m.also))), default=None)
 
 
-def canonical_turns(record: dict, mapping: Mapping) -> list[tuple[str, str]]:
+def canonical_turns(record: object, mapping: Mapping) -> list[tuple[str, str]]:
+    """Turns (role, text) of a record; items of the list that are no objects have no role and no text and are left out."""
     names = dict(mapping.roles)
     turns = []
     for role, fields in mapping.parts:
-        found = [str(record[f]) for f in fields if record.get(f) is not None]
+        found = [x for x in (text_at(record, f) for f in fields) if x is not None]
         if found:
             turns.append((role, "\n\n".join(x for x in found if x) if len(found) > 1 else found[0]))
     if mapping.each:
         items, role, text = mapping.each
-        for item in record.get(items) or []:
-            said = "" if item.get(role) is None else str(item[role])
-            turns.append((names.get(said, said), "" if item.get(text) is None else str(item[text])))
+        for item in values_at(record, f"{items}[]"):
+            if isinstance(item, dict):
+                said = text_at(item, role) or ""
+                turns.append((names.get(said, said), text_at(item, text) or ""))
     return turns
 
 
@@ -119,21 +152,26 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 def _formatted(batches: Iterable[pa.RecordBatch], mappings: tuple[Mapping, ...]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, Mapping | None] = {}
+    known: dict[str, tuple[Mapping | None, str]] = {}  # and the object around its fields
     for part in common.slices(batches, "record"):
         rows: dict[str, list] = {k: [] for k in ("fingerprint", "layout", "n_turns", "formatted", "loss_spans")}
         for text in part.column("record").to_pylist():
             try:
                 record = json.loads(text) if text else None
-            except ValueError:
+            except (ValueError, RecursionError):
                 record = None
             paths = field_paths(record) if isinstance(record, dict) else set()
             key = fingerprint(paths)
             if key not in known:
                 if len(known) > 10_000:
                     known.clear()
-                known[key] = select_mapping(paths, mappings)
-            mapping = known[key]
+                inside = wrapped(paths)
+                known[key] = select_mapping(paths, mappings), ""
+                if known[key][0] is None and inside:
+                    known[key] = select_mapping({p[len(inside) :] for p in paths}, mappings), inside[:-1]
+            mapping, inside = known[key]
+            if mapping and inside:
+                record = values_at(record, inside)[0]
             turns = canonical_turns(record, mapping) if mapping else []
             formatted, spans = render(turns)
             for k, v in zip(rows, (key, mapping.name if mapping else None, len(turns), formatted if mapping else None, spans), strict=True):
@@ -148,8 +186,9 @@ def _formatted(batches: Iterable[pa.RecordBatch], mappings: tuple[Mapping, ...])
 def format_chats(records: DataFrame, id_col: str, record_col: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """records(id, JSON text) -> id, fingerprint, layout, n_turns, formatted, loss_spans.
 
-    A record that is null, no JSON object, or of a layout without a mapping stays, with a null layout and text and no turns.
-    Repeated ids stay repeated. Other columns are not read. One pass without a shuffle; a task holds a batch of records.
+    A record that is null, no JSON object, nested too deeply for JSON, or of a layout without a mapping stays, with a null layout
+    and text and no turns; items of a list of turns that are null or no objects are left out. A record inside a wrapper object is
+    read from there. Repeated and null ids stay. Other columns are not read. One pass without a shuffle; a task holds a batch of records.
     """
     id_type = records.schema[id_col].dataType.simpleString()
     return records.select(F.col(id_col).alias("id"), F.col(record_col).alias("record")).mapInArrow(
