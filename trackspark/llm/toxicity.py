@@ -164,11 +164,11 @@ def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 60, rate: float = 0.2,
 
 
 def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: knots and their probabilities, rising; between knots a line."""
-    order = np.argsort(raw, kind="stable")
+    """Pool adjacent violators: knots and their probabilities, rising; between knots a line. Equal scores are one pool from the start."""
+    knot, place, rows = np.unique(raw, return_inverse=True, return_counts=True)
     pools: list[list[float]] = []  # sum of labels, rows, sum of scores
-    for s, label in zip(raw[order], y[order], strict=True):
-        pools.append([float(label), 1.0, float(s)])
+    for s, n, labels in zip(knot, rows, np.bincount(place, y, len(knot)), strict=True):
+        pools.append([float(labels), float(n), float(s * n)])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             a = pools.pop()
             pools[-1] = [u + v for u, v in zip(pools[-1], a, strict=True)]
