@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from . import common
 
 SYMBOLS = "#*$%&|<>"
-#: A line goes when more than LINE_DOCS documents of its host hold it, and more than LINE_SHARE of them.
-LINE_DOCS, LINE_SHARE = 20, 0.001
-#: A document is depleted when fewer words, or a smaller share of its words, are left.
-LEFT_WORDS, LEFT_SHARE = 5, 0.2
+#: A line goes when more than LINE_DOCS documents of its host hold it, however large the host is.
+LINE_DOCS = 20
+#: A document is depleted when fewer words are left than the base rule asks of any document, or a smaller share of its words.
+LEFT_WORDS, LEFT_SHARE = 10, 0.2
 
 _SCHEMA = (
     "rid long, doc_id long, host string, digest binary, n_words long, word_chars long, n_symbols long, "
@@ -62,7 +62,7 @@ def _measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     words += own
                     dup += line in full
                     full.add(line)
-                    h = xxhash.xxh3_64_intdigest(" ".join(own).lower()) - (1 << 63)
+                    h = _hash(own)
                     lines[h] = lines.get(h, 0) + len(own)
             out.append((
                 xxhash.xxh3_128_digest(text), len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), dup,
@@ -77,9 +77,21 @@ def _measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _hash(words: list[str]) -> int:
+    return xxhash.xxh3_64_intdigest(" ".join(words).lower()) - (1 << 63)
+
+
+def _rows(docs: DataFrame, host: str) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"))
+
+
+def _frequent(lines: DataFrame, line_docs: int) -> DataFrame:
+    """lines(host, h, digest) -> host, h of the lines that more than line_docs different documents of the host hold."""
+    return lines.select("host", "h", "digest").distinct().groupBy("host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > line_docs).select("host", "h")
+
+
 def line_frequency_rules(
-    docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE,
-    left_words: int = LEFT_WORDS, left_share: float = LEFT_SHARE,
+    docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, left_words: int = LEFT_WORDS, left_share: float = LEFT_SHARE,
 ) -> DataFrame:
     """One row for each row of docs(doc_id, text, host): the base measures, the words that frequent lines take, and the verdict.
 
@@ -92,18 +104,9 @@ def line_frequency_rules(
     combine before each shuffle, so a host or line with a third of all rows is no hot group; the join back meets only
     lines above the limits, of which there are at most (all lines / line_docs), and Spark broadcasts or splits it.
     """
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text",
-        F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"),
-    )
-    measured = common.staged(rows.mapInArrow(_measure, _SCHEMA), "lines")
-    hosts = measured.select("host", "digest").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+    measured = common.staged(_rows(docs, host).mapInArrow(_measure, _SCHEMA), "lines")
     lines = measured.select("rid", "host", "digest", F.explode("lines").alias("x")).select("rid", "host", "digest", "x.h", "x.w")
-    frequent = (
-        lines.select("host", "h", "digest").distinct().groupBy("host", "h").agg(F.count("*").alias("n_docs"))
-        .where(F.col("n_docs") > line_docs)
-        .join(hosts, "host").where(F.col("n_docs") > line_share * F.col("host_docs")).select("host", "h")
-    )
+    frequent = _frequent(lines, line_docs)
     taken = lines.join(frequent, ["host", "h"]).groupBy("rid").agg(F.sum("w").cast("long").alias("n_removed_words"), F.count("*").alias("n_removed_lines"))
     removed, n = F.coalesce("n_removed_words", F.lit(0).cast("long")), F.col("n_words")
     base = (n < 10) | (100 * F.col("n_repeat_words") > 20 * n)
@@ -115,6 +118,44 @@ def line_frequency_rules(
     )
 
 
+def _without(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in common.slices(batches):
+        out = []
+        for text, gone in zip(part.column("text").to_pylist(), part.column("gone").to_pylist(), strict=True):
+            if gone:
+                taken = set(gone)
+                text = "\n".join(x for x in text.split("\n") if not (own := common.WORD.findall(x)) or _hash(own) not in taken)
+            out.append(text)
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("host"), pa.array(out, pa.string())], ["doc_id", "host", "text"])
+
+
+def without_frequent_lines(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS) -> DataFrame:
+    """doc_id, host and text of each row of docs(doc_id, text, host), without the lines that more than line_docs documents of its host hold.
+
+    Lines without words stay, and so do null texts and texts that hold no such line. Rows, limits and odd cases are those of
+    line_frequency_rules(). Each text meets the list of its own frequent lines, so no list grows with the corpus.
+    """
+    rows = _rows(docs, host)
+    keyed = rows.drop("rid").withColumns({"id_": F.col("doc_id"), "tag_": F.xxhash64("text")})
+    lines = common.staged(keyed.mapInArrow(_line_hashes, "id_ long, tag_ long, host string, digest binary, h long"), "lines")
+    found = lines.join(_frequent(lines, line_docs), ["host", "h"]).groupBy("id_", "tag_", "host").agg(F.collect_set("h").alias("gone"))
+    gone = common.small(common.staged(found, "gone"), "gone").toDF("id2", "tag2", "host2", "gone")
+    same = F.col("id_").eqNullSafe(F.col("id2")) & (F.col("tag_") == F.col("tag2")) & (F.col("host") == F.col("host2"))
+    return keyed.join(gone, same, "left").select("doc_id", "host", "text", "gone").mapInArrow(_without, "doc_id long, host string, text string")
+
+
+def _line_hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in common.slices(batches):
+        row, digest, hashes = [], [], []
+        for i, text in enumerate(common.texts(part)):
+            own = {_hash(w) for line in text.split("\n") if (w := common.WORD.findall(line))}
+            hashes += own
+            row += [i] * len(own)
+            digest += [xxhash.xxh3_128_digest(text)] * len(own)
+        at = pa.array(row, pa.int64())
+        yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in ("id_", "tag_", "host")), pa.array(digest, pa.binary()), pa.array(hashes, pa.int64())], ["id_", "tag_", "host", "digest", "h"])
+
+
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency_rules(common.read(spark, sf_dir, "documents"))
 
@@ -132,11 +173,8 @@ with d as (
   select doc_id, host, text, line, lower(array_to_string(lw, ' ')) as norm, len(lw) as k from l where len(lw) > 0
 ), dups as (
   select doc_id, cast(count(*) - count(distinct line) as bigint) as n_dup_lines from lw group by doc_id
-), hosts as (
-  select host, count(distinct text) as host_docs from d group by host
 ), frequent as (
-  select host, norm from lw join hosts using (host) group by host, norm, host_docs
-  having count(distinct text) > 20 and count(distinct text) > 0.001 * host_docs
+  select host, norm from lw group by host, norm having count(distinct text) > 20
 ), taken as (
   select doc_id, cast(sum(k) as bigint) as n_removed_words, cast(count(distinct norm) as bigint) as n_removed_lines
   from lw join frequent using (host, norm) group by doc_id
@@ -154,7 +192,7 @@ with d as (
   from d left join dups using (doc_id) left join rep using (doc_id) left join taken using (doc_id)
 ), b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       not base_failed and n_words - n_removed_words >= 5 and n_words - n_removed_words >= 0.2 * n_words as kept,
+       not base_failed and n_words - n_removed_words >= 10 and n_words - n_removed_words >= 0.2 * n_words as kept,
        n_removed_words, n_removed_lines
 from b
 """
