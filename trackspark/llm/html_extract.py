@@ -21,6 +21,8 @@ from . import common
 
 #: Pages from which weights are learned, at most. A label is the page's own article or main element.
 LABELLED_PAGES = 400
+#: Characters from which on a page is no example.
+LONG_PAGE = 200_000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|object|select|title)\b[^>]*+>.*?(?:</\1\s*+>|\Z)"
@@ -171,13 +173,14 @@ def extract_main_text(pages: DataFrame, labelled_pages: int = LABELLED_PAGES) ->
     """pages(page_id, url, html) -> page_id, url, text, n_chars; a row for each row.
 
     Null, empty and text-free pages give an empty text. Repeated rows stay; other columns are not read. The weights come
-    from at most `labelled_pages` pages that mark their own article (those of least hash of the page_id), which bounds what
-    the driver gets; every page is then read whole, in one pass without a shuffle.
+    from at most `labelled_pages` pages that mark their own article (those of least hash of page_id and html, so that the choice
+    does not depend on the order of tasks; pages of LONG_PAGE characters or more teach nothing), which bounds what the driver
+    gets; every page is then read whole, in one pass without a shuffle. Unclosed elements end with the page.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    marked = rows.where(F.col("html").rlike(r"(?i)<(article|main)\b")).where(F.length("html") < 200_000)
-    ids = [r.page_id for r in marked.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(labelled_pages).collect()]
-    sample = marked.where(F.col("page_id").isin(ids)).select("html").limit(labelled_pages).collect() if ids else []
+    marked = rows.where(F.col("html").rlike(r"(?i)<(article|main)\b")).where(F.length("html") < LONG_PAGE).withColumn("key", F.xxhash64("page_id", "html"))
+    last = marked.select("key").distinct().orderBy("key").limit(labelled_pages).agg(F.max("key")).first()[0]
+    sample = marked.where(F.col("key") <= last).select("key", "html").dropDuplicates(["key"]).orderBy("key").collect() if last is not None else []
     weights = learn_weights(r.html for r in sample)
     return rows.mapInArrow(lambda batches: _extracted(batches, weights), "page_id long, url string, text string, n_chars long")
 
