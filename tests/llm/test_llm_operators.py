@@ -81,6 +81,25 @@ def test_line_limits_and_depletion(spark):
     assert line_frequency.line_frequency_rules(empty(spark)).count() == 0
 
 
+def test_texts_without_frequent_lines(spark):
+    shared = ["Subscribe  to us", "All rights RESERVED"]
+    rows = [(i if i % 3 else None, f"{shared[0]}\nown {i}\n\n{shared[1].lower()}\nend", "h") for i in range(7)] + [(50, shared[0], "other"), (51, None, "h"), (52, "", None), (53, "own 1", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"gone": F.lit("clash"), "tag_": F.lit(1)})
+    got = line_frequency.without_frequent_lines(docs.unionByName(docs.limit(1)), line_docs=5).toPandas()
+    assert got.columns.tolist() == ["doc_id", "host", "text"] and len(got) == len(rows) + 1
+    want = [f"own {i}\n" for i in range(7)]  # "end" goes as well: seven documents hold it
+    assert sorted(t for t in got.text.dropna() if t.startswith("own") and t != "own 1") == sorted([*want, want[0]]) and got.text.isna().sum() == 1
+    assert got[got.doc_id == 50].text.tolist() == [shared[0]]
+    assert line_frequency.without_frequent_lines(empty(spark)).count() == 0
+
+
+def test_line_rules_ignore_other_columns_and_read_long_lines(spark):
+    long_ = " ".join(f"w{i}" for i in range(200_000))
+    rows = [(None, long_, "h", 1, "x"), (None, long_, "h", 1, "x"), (3, "a b c d e f g h i j k", None, 1, "x")]
+    got = line_frequency.line_frequency_rules(spark.createDataFrame(rows, "doc_id int, text string, source string, rid long, host string")).toPandas()
+    assert sorted(got.n_words) == [11, 200_000, 200_000] and got.kept.all() and got.doc_id.isna().sum() == 2
+
+
 def test_repeat_words():
     assert line_frequency.repeat_words("a b c d e a b c d e".split()) == 10
     assert line_frequency.repeat_words("a b c d e f".split()) == 0
@@ -119,6 +138,61 @@ def test_packing_is_whole_and_gapless(spark):
     assert best_fit.pack_documents(empty(spark), best_fit.tokenizer_path()).count() == 0
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "\t", "\u3000", " \n", "a", "7", "!", "\u00e9"])
+def test_very_long_runs_are_encoded_whole(run):
+    from tokenizers import Tokenizer
+
+    path = best_fit.tokenizer_path()
+    text = "a" + run * (2_000_000 // len(run) if not run.strip() else 50_000) + "b c"
+    ids = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert best_fit.token_bytes(text, best_fit.TokenBytes(path, " "), best_fit.TokenBytes(path, "")) == np.array(ids, "<u4").tobytes()
+
+
+def test_packing_equals_a_naive_cutter_and_is_near_the_lower_bound(spark):
+    """The query's pieces against a document-by-document cutter on `tokenizers`; sequences against total tokens / 2048."""
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(-1, "long text, " * 4000), (-2, None), (None, "no id"), (-3, "w " * 2047)], docs.schema))
+    got = best_fit.pack_documents(docs.withColumns({"rid": F.lit(1), "piece": F.lit("clash"), "ids": F.lit(0)}), best_fit.tokenizer_path()).toPandas()
+    encode = Tokenizer.from_file(best_fit.tokenizer_path()).encode
+    want = []
+    for r in docs.collect():
+        ids = encode(r.text or "", add_special_tokens=False).ids + [0]
+        at = 0
+        while at < len(ids):
+            size = (len(ids) - at) % 2048 or 2048
+            want.append((r.doc_id, sum(w[0] == r.doc_id for w in want) if r.doc_id is not None else 0, at, size, zlib.crc32(np.array(ids[at : at + size], "<u4").tobytes())))
+            at += size
+    key = lambda rows: sorted(tuple(-9 if pd.isna(x) else int(x) for x in r) for r in rows)
+    assert key(got[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False)) == key(want)
+    assert got.sequence_id.nunique() <= -(-got.length.sum() // 2048) + 2
+
+
+@pytest.mark.parametrize("score", ["norm", "dot"])
+def test_vector_best_fit_selects_by_its_score(score):
+    """Against a plain loop over all open bins, where every capacity binds."""
+    lengths = np.random.default_rng(1).integers(1, 60, 150)
+    caps = best_fit.Capacities(100, 4, 4200, (1.0, 0.5, 0.7))
+    bins, offsets = best_fit.vector_best_fit(lengths, caps, score)
+    limit = np.array([100, 4, 4200.0])
+    open_, want = [], {}
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        need = np.array([lengths[i], 1, lengths[i] ** 2], float)
+        fit = [b for b in open_ if (b["left"] >= need).all()]
+        w = np.array(caps.weights)
+        value = (lambda b: -(w * (b["left"] - need) / limit * need / limit).sum()) if score == "dot" else (lambda b: (w * ((b["left"] - need) / limit) ** 2).sum())  # noqa: B023
+        best = min(fit, key=value, default=None)
+        if best is None:
+            best = {"left": limit.copy(), "name": len(open_)}
+            open_.append(best)
+        want[i] = (best["name"], value(best))
+        best["left"] -= need
+    assert len(set(bins)) <= len(open_) + 1 and (offsets >= 0).all()
+    first = [i for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))][:40]
+    assert [int(bins[i]) for i in first] == [want[i][0] for i in first]
+
+
 @pytest.mark.parametrize("score", ["norm", "dot"])
 def test_vector_best_fit_keeps_every_capacity(score):
     lengths = np.random.default_rng(0).integers(1, 100, 400)
@@ -135,9 +209,16 @@ def test_layouts_become_canonical_turns(spark):
         (2, '{"conversations":[{"from":"human","value":"hi"},{"from":"gpt","value":"yo"}],"id":3}'),
         (3, '{"instruction":"hi","input":"","output":"yo"}'), (4, '{"prompt":"hi","completion":"yo"}'), (5, '{"question":"hi","answer":"yo"}'),
         (6, '{"what":1}'), (7, None), (8, "{"), (9, '{"turns":[]}'),
+        (10, '{"messages":[{"role":"user","content":"hi"},null,"x",[1],{"role":"assistant","content":"yo"}]}'), (11, "[" * 100_000), (12, '{"a":' * 20_000 + "1" + "}" * 20_000),
+        (13, '{"messages":[{"role":"user","content":[{"type":"text","text":"h"},{"type":"text","text":"i"},null]},{"role":"assistant","content":[{"text":"yo"}]}]}'),
+        (14, '{"data":{"chat":{"prompt":"hi","completion":"yo"}}}'), (15, '{"row":{"turns":[{"role":"user","text":"hi"},{"role":"assistant","text":"yo"}]}}'), (15, '{"messages":7}'),
     ]
-    got = chat_format.format_chats(spark.createDataFrame(records, "id long, r string"), "id", "r").toPandas().set_index("id")
-    assert got.formatted.loc[[1, 2, 3, 4, 5]].nunique() == 1
+    frame = spark.createDataFrame([(*r, "clash") for r in records], "id long, r string, formatted string")
+    got = chat_format.format_chats(frame, "id", "r").toPandas()
+    assert len(got) == len(records) and chat_format.format_chats(frame.limit(0), "id", "r").count() == 0
+    assert got[got.id == 15].layout.tolist() == ["turn rows", None]
+    got = got[~((got.id == 15) & got.layout.isna())].set_index("id")
+    assert got.formatted.loc[[1, 2, 3, 4, 5, 10, 13, 14, 15]].nunique() == 1 and got.layout.loc[[11, 12]].isna().all()
     assert chat_format.parse(got.formatted[1]) == [("user", "hi"), ("assistant", "yo")]
     assert got.layout.loc[[6, 7, 8, 9]].isna().all() and (got.n_turns.loc[[6, 7, 8, 9]] == 0).all()
     assert got.fingerprint[1] != got.fingerprint[2]
@@ -153,11 +234,29 @@ def test_template_reads_back_exactly():
         assert [chat_format.unescape(text[s["start"] : s["end"]]) for s in spans] == [t for r, t in turns if r == "assistant"]
 
 
+def naive_ends(text):
+    """Cuts of the rolling hash, byte by byte: shift, add, cut after at least 48 bytes at six leading zeros, or at 1024."""
+    gear, ends, at, h = [int(x) for x in gear_chunks.gear_table()], [], 0, 0
+    for i, byte in enumerate(text):
+        h = ((h << 1) + gear[byte]) & 0xFFFFFFFF
+        if i + 1 - at >= 48 and h >> 26 == 0 or i + 1 - at == 1024:
+            ends.append(i + 1)
+            at = i + 1
+    return ends if at == len(text) else [*ends, len(text)]
+
+
+def test_chunk_ends_equal_a_byte_by_byte_hash():
+    rng = np.random.default_rng(9)
+    for size, letters in ((0, 256), (1, 256), (47, 4), (48, 4), (49, 256), (5000, 256), (5000, 3), (40_000, 26), (3000, 1)):
+        text = rng.integers(0, letters, size).astype(np.uint8).tobytes()
+        assert gear_chunks.chunk_ends(text, gear_chunks.gear_table()) == naive_ends(text)
+
+
 def brute_chunks(texts):
-    gear, seen, out = gear_chunks.gear_table(), set(), []
+    seen, out = set(), []
     for text in texts:
         at, kept = 0, []
-        for end in gear_chunks.chunk_ends(text, gear):
+        for end in naive_ends(text):
             if text[at:end] not in seen:
                 kept.append(text[at:end])
             seen.add(text[at:end])
@@ -246,21 +345,21 @@ def brute_repeats(texts, width):
     return sorted(out)
 
 
-@pytest.mark.parametrize("group_bytes", [24_000_000, 1500])
-def test_suffix_dedup_equals_brute_force(spark, group_bytes):
+@pytest.mark.parametrize("group_bytes,batch_bytes", [(24_000_000, 1_000_000), (24_000_000, 400), (1500, 1_000_000), (1000, 300)])
+def test_suffix_dedup_equals_brute_force(spark, group_bytes, batch_bytes):
     docs = small_docs(spark)
-    got = suffix_dedup.suffix_dedup(docs, group_bytes=group_bytes).collect()
+    got = suffix_dedup.suffix_dedup(docs, group_bytes=group_bytes, batch_bytes=batch_bytes).collect()
     want = brute_repeats([(t or "").encode() for t in docs.toPandas().text], 200)
     assert sorted((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == want
     assert suffix_dedup.suffix_dedup(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("group_bytes", [24_000_000, 1500])
-def test_suffix_dedup_of_rows_without_ids(spark, group_bytes):
+@pytest.mark.parametrize("group_bytes,batch_bytes", [(24_000_000, 1_000_000), (24_000_000, 400), (1500, 1_000_000), (1000, 300)])
+def test_suffix_dedup_of_rows_without_ids(spark, group_bytes, batch_bytes):
     docs = without_ids(small_docs(spark))
     docs = docs.unionByName(docs.where("doc_id is null and length(text) > 200").limit(3))
     docs = spark.createDataFrame(docs.collect(), docs.schema)
-    got = suffix_dedup.suffix_dedup(docs, group_bytes=group_bytes).collect()
+    got = suffix_dedup.suffix_dedup(docs, group_bytes=group_bytes, batch_bytes=batch_bytes).collect()
     want = brute_repeats([(t or "").encode() for t in docs.toPandas().text], 200)
     assert sorted((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == want
     plain = docs.where("text is not null and text rlike '^[ -~\\\\n]*$'")
@@ -322,6 +421,80 @@ def test_network_learns_and_scores_whole_texts():
     assert byte_cnn.fit([], np.array([])) and byte_cnn.fit([b"a"], np.array([1]))
 
 
+def test_pooled_equals_a_sliding_convolution():
+    net, rng = byte_cnn.new_network(3), np.random.default_rng(4)
+    net.bias[:] = rng.normal(size=len(net.bias))
+    texts = [b"", b"a", bytes(rng.integers(0, 256, 700).astype(np.uint8)), b"over and over again " * 40]
+    _, best = byte_cnn.pooled(net, *byte_cnn.blocks(texts))
+    for text, got in zip(texts, best, strict=True):
+        n = max(1, -(-len(text) // byte_cnn.BLOCK))
+        codes = np.full((n + 1) * byte_cnn.BLOCK, 256)
+        codes[: len(text)] = np.frombuffer(text, np.uint8)
+        again = np.zeros(len(codes), np.float32)
+        for i in range(7, len(text)):
+            again[i] = any(i - 7 - lag >= 0 and text[i - 7 : i + 1] == text[i - 7 - lag : i + 1 - lag] for lag in byte_cnn.LAGS) if len(text) > 10 else 0
+        want = np.full(len(got), 0.0)
+        for k in range(n):
+            total = net.bias.astype(float).copy()
+            for side in (0, 1):
+                if side and k == n - 1:
+                    continue
+                for j in range(byte_cnn.BLOCK):
+                    at = (k + side) * byte_cnn.BLOCK + j
+                    total += net.embed[codes[at]] @ net.kernel[side][j * byte_cnn.EMBEDDING : (j + 1) * byte_cnn.EMBEDDING] + again[at] * net.repeat[side][j]
+            want = np.maximum(want, total)
+        assert np.allclose(got, want, atol=1e-3)
+
+
+def test_classifiers_take_nulls_repeats_clashing_columns_and_empty_tables(spark):
+    rows = [(i, t, None, None) for i, t in enumerate([None, "", "the sun", "you idiot " * 50_000, "the sun"])] + [(2, "the sun", None, None), (None, "no id", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, c0 string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)] + [(2, None, None), (None, 1, 1), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    for own in (labels, labels.limit(0), labels.where("quality = 1")):
+        net, model = byte_cnn.train_quality(docs, own), toxicity.train_toxicity(docs, own)
+        for scored in (byte_cnn.quality_scores(docs, net), toxicity.toxicity_scores(docs, model)):
+            got = scored.toPandas()
+            assert len(got) == len(rows) and got.score.between(0, 1).all() and got[got.doc_id == 2].score.nunique() == 1
+        wide = byte_cnn.with_quality(docs, net, "q")
+        assert wide.columns == [*docs.columns, "q"] and wide.where("text is null").count() == 1
+        assert byte_cnn.quality_scores(docs.limit(0), net).count() == 0 and toxicity.toxicity_scores(docs.limit(0), model).count() == 0
+
+
+def test_isotonic_pools_ties_and_equals_brute_force():
+    for labels in ([0, 0, 0, 1], [1, 0, 0, 0], [0, 1, 0, 0]):
+        knots, values = toxicity.isotonic(np.ones(4), np.array(labels))
+        assert len(knots) == 1 and np.isclose(values[0], 1.05 / 4.5)
+    rng = np.random.default_rng(11)
+    for _ in range(50):
+        raw, y = rng.integers(0, 12, 40).astype(float), rng.integers(0, 2, 40)
+        knots, values = toxicity.isotonic(raw, y)
+        mean = lambda a, b: y[(raw >= a) & (raw <= b)].mean() if ((raw >= a) & (raw <= b)).any() else None  # noqa: B023, E731
+        seen = np.unique(raw)
+        fit = {x: max(min(m for b in seen if b >= x and (m := mean(a, b)) is not None) for a in seen if a <= x) for x in seen}  # max-min formula
+        rows = {v: sum(raw == x for x in seen if fit[x] == v).sum() for v in set(fit.values())}
+        assert np.allclose(values, np.maximum.accumulate([(v * rows[v] + 0.05) / (rows[v] + 0.5) for v in sorted(rows)]))
+        assert (np.diff(values) >= 0).all() and (np.diff(knots) > 0).all()
+
+
+def test_trees_equal_row_by_row_descent_and_lower_the_loss():
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(400, 3))
+    y = ((x[:, 0] > 0.2) ^ (x[:, 1] > 0)).astype(int)
+    model = toxicity.fit_trees(x, y, rounds=30)
+    for i in range(0, 400, 37):
+        want = model.base
+        for feature, cut, leaf in model.trees:
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if x[i, feature[node]] > cut[node] else 1)
+            want += leaf[node - len(feature)]
+        assert np.isclose(model.raw(x)[i], want)
+    loss = lambda m: np.mean(np.log1p(np.exp(-(2 * y - 1) * m.raw(x))))
+    assert loss(model) < 0.25 < loss(toxicity.fit_trees(x, y, rounds=1)) + 0.25
+    stump = toxicity.fit_trees(x[:, :1], (x[:, 0] > 0.2).astype(int), rounds=1, depth=1, ridge=0.0, bins=400)
+    assert abs(stump.trees[0][1][0] - 0.2) < 0.05, "the first cut is the one that brute force finds"
+
+
 def held_out_accuracy(spark, name, label, fold, share):
     got = queries.QUERIES[name](spark, "/root/testdata/sf0.01").toPandas()
     assert (got.held_out == [zlib.crc32(str(i).encode()) % fold[0] == fold[1] for i in got.doc_id]).all()
