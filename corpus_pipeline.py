@@ -24,11 +24,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows without doc_id come last. A row is known by doc_id and a digest of its text: rows of one id with unlike texts, or
     without id, are documents like others. Texts without words link with nothing; only repeated rows of one doc_id go.
     """
-    found = common.staged(jaccard_join.row_groups(docs, k=5, percent=80).select("doc_id", "tag", "first"), "groups")
+    found = common.staged_alone(lambda: jaccard_join.row_groups(docs, k=5, percent=80).select("doc_id", "tag", "first"), "groups")
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tag") == F.col("first.tag"))
     gone = common.staged(found.where(F.col("first").isNotNull() & ~own).select("doc_id", "tag").distinct(), "gone")
     again = found.where(F.col("first").isNull() & F.col("doc_id").isNotNull() | own).groupBy("doc_id", "tag").agg(F.count("*").alias("n"))
     again = common.staged(again.where("n > 1").select("doc_id", "tag"), "again")
+    common.unstage(found)
     keyed = docs.withColumns({"id_": F.col("doc_id").cast("long"), "tag_": F.xxhash64("text")})
 
     def beside(rows: DataFrame, table: DataFrame, how: str) -> DataFrame:
@@ -71,5 +72,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before = docs
+        docs = common.staged_alone(lambda stage=stage, before=before: stage(spark, before, sf_dir), name.replace(" ", "-"))
+        common.unstage(before)
     return STAGES[-1][1](spark, docs, sf_dir)
