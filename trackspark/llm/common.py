@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,11 @@ SLICE_ROWS, SLICE_CHARS = 512, 4_000_000
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64_000_000
 
 
+#: Bytes of an Arrow batch, about.
+BATCH = 8 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset: a new one in local mode, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -38,9 +44,19 @@ def shared_dir(spark: SparkSession) -> str:
 _meanwhile: list[list[DataFrame]] = []
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH bytes from here on: JVM and Python workers hold several at once beside the executor's heap."""
+    try:
+        if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH_CONF)) > BATCH:
+            spark.conf.set(_BATCH_CONF, BATCH)
+    except PySparkException:  # a Spark without this setting
+        pass
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: the lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -90,6 +106,7 @@ def small(table: DataFrame, items: str | None = None) -> DataFrame:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -199,7 +199,7 @@ def _candidates(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.
             else:
                 edges.append((hub, short))
         new = {(min(e), max(e)) for e in edges if e[0] != e[1]} - seen
-        seen = seen | new if len(seen) < _LOCAL else new
+        seen = seen | new if len(seen) < _LOCAL // 8 else new
         yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in new], pa.int64()) for i in (0, 1)], ["a", "b"])
     new = set(connected()) - seen
     yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in new], pa.int64()) for i in (0, 1)], ["a", "b"])

@@ -24,7 +24,7 @@ from .suffix_grouping import suffix_arrays
 
 WIDTH, GRAM = 200, 32
 #: Bytes of texts whose suffixes are ordered at once; a task takes about a hundred times as much memory. Larger groups are split in the task.
-BATCH_BYTES = 1_000_000
+BATCH_BYTES = 500_000
 #: Bytes of contexts of one group that a task holds, at most. Larger groups are split row by row, and their parts meet in another round.
 GROUP_BYTES = 6_000_000
 _PART = 1 << 22
