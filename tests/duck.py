@@ -3,12 +3,13 @@
 import os
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def value(v):
-    return "None" if v is None or v != v else f"{v:.9g}" if isinstance(v, float) else str(v)
+    return "None" if v is None or pd.api.types.is_scalar(v) and pd.isna(v) else f"{v:.9g}" if isinstance(v, float) else str(v)
 
 
 def rows(frame, columns):

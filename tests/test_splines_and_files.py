@@ -58,7 +58,14 @@ def written(rules):
 def test_rules_are_checked(spark):
     r = files.read_rules(spark, written([rule("a"), rule("b")]))
     assert r.count() == 2
-    assert files.select_rules(r, ["a", "a"]).count() == 1 and files.select_rules(r, ["abc"]).count() == 2
+    assert files.select_rules(r, ["a"]).count() == 1 and files.select_rules(r.where("track_id = 'a'"), ["abc"]).count() == 1
+    with pytest.warns(UserWarning, match="twice"):
+        assert files.select_rules(r, ["a", "a"]).count() == 1
+    with pytest.raises(Exception, match="several rules"):  # an address of two rules does not say which
+        files.select_rules(r, ["abc"]).collect()
+    for bad in ([rule("a") | {"outlier_multiplier": {"value": 3, "unit": "sigma"}}], [rule("a") | {"field_elevation": {"value": 3, "unit": "yd"}}], [rule("a", float("nan"), 1.0)]):
+        with pytest.raises(Exception, match="invalid rule"):
+            files.read_rules(spark, written(bad)).collect()
     for bad in ([rule("a"), rule("a")], [rule("a", 2, 1)], [rule("a") | {"boundary": {"value": 1, "unit": "mi"}}]):
         with pytest.raises(Exception, match="invalid rule"):
             files.read_rules(spark, written(bad)).collect()

@@ -163,3 +163,134 @@ def register_sql(spark) -> None:
         "create or replace temporary function haversine_km(a double, b double, c double, d double) returns double return "
         "2D * 6371.0088D * asin(sqrt(pow(sin(radians(c - a) / 2D), 2) + cos(radians(a)) * cos(radians(c)) * pow(sin(radians(d - b) / 2D), 2)))"
     )
+
+
+def vertical_rate_source(json: Column) -> Column:
+    """What the list's sixth item says of the rate's source; NULL with fewer items."""
+    listed = F.from_json(_velocity_list(json), "array<string>")
+    return F.when(F.size(listed) >= 6, F.get(listed, F.lit(5)))
+
+
+def _velocity_list(json: Column) -> Column:
+    """The text of velocity_raw; a list that is itself encoded as text comes back decoded once by get_json_object."""
+    return F.get_json_object(json, "$.velocity_raw")
+
+
+def vertical_rate_columns(json: Column) -> dict[str, Column]:
+    """Fpm, m/s, source and whether there is a rate."""
+    fpm = vertical_rate_fpm(json)
+    return {"vertical_rate_fpm": fpm, "vertical_rate_mps": fpm_to_mps(fpm), "vertical_rate_source": vertical_rate_source(json), "vertical_rate_available": fpm.isNotNull()}
+
+
+def fill_vertical_rate(fpm: Column, mps: Column, json: Column) -> tuple[Column, Column]:
+    """P5: fpm from m/s where it is missing, from JSON where that is missing too; then m/s from fpm."""
+    full = F.coalesce(fpm, mps * 60 / FT_TO_M, vertical_rate_fpm(json))
+    return full, F.coalesce(mps, fpm_to_mps(full))
+
+
+def presence_flags(lat: Column, lon: Column, alt: Column, gs: Column, track: Column, rate: Column) -> dict[str, Column]:
+    """Which parts of position and velocity a row has."""
+    xy, hv = lat.isNotNull() & lon.isNotNull(), gs.isNotNull() & track.isNotNull()
+    return {"position_xy": xy, "full_position": xy & alt.isNotNull(), "horizontal_velocity": hv, "vertical_velocity": rate.isNotNull(), "full_velocity": hv & rate.isNotNull()}
+
+
+def source_event_kind(source: Column | None, lat: Column, lon: Column, gs: Column, track: Column, rate: Column) -> Column:
+    """P15 without a rule: the source's own kind, trimmed and in lower case, else derived; a vertical rate alone is a velocity too."""
+    pos, vel = lat.isNotNull() & lon.isNotNull(), (gs.isNotNull() & track.isNotNull()) | rate.isNotNull()
+    derived = F.when(pos & vel, "position_velocity").when(pos, "position").when(vel, "velocity").otherwise("other")
+    return derived if source is None else F.coalesce(F.lower(F.trim(source)), F.lit("none"))
+
+
+def field_height(alt_ft: Column, field_ft: Column, clip: bool = False) -> tuple[Column, Column]:
+    """Metres above sea level and above the field; the latter not below 0 when clipped for display."""
+    height = (alt_ft - field_ft) * FT_TO_M
+    return alt_ft * FT_TO_M, F.greatest(height, F.lit(0.0)) if clip else height
+
+
+def on_ground_override(t: Column, alt_ft: Column, field_ft: Column, first: Column, last: Column) -> Column:
+    """The field's elevation inside the inclusive on-ground window, also where altitude is missing; no window changes nothing."""
+    return F.when(F.coalesce(t.between(first, last), F.lit(False)), field_ft).otherwise(alt_ft)
+
+
+def first_finite(*columns: Column) -> Column:
+    """The first of the aliases that is a finite number."""
+    return F.coalesce(*(to_finite(c) for c in columns))
+
+
+def heading_from_velocity(east: Column, north: Column) -> Column:
+    """P20: compass degrees in [0, 360); NULL below 1e-6 m/s."""
+    return F.when(F.sqrt(east * east + north * north) >= 1e-6, F.pmod(F.degrees(F.atan2(east, north)), F.lit(360.0)))
+
+
+def vector_end(x: Column, y: Column, z: Column, vx: Column, vy: Column, vz: Column, seconds: float, least: float = 0.0) -> Column:
+    """Where a velocity or acceleration vector of so many seconds ends, stretched to a least length; NULL for a vector without length."""
+    size = F.sqrt(vx * vx + vy * vy + vz * vz)
+    k = F.greatest(F.lit(seconds), least / size)
+    return F.when(size > 1e-12, F.struct((x + k * vx).alias("x"), (y + k * vy).alias("y"), (z + k * vz).alias("z")))
+
+
+def render_structs(field_ft: Column, lat0: float = REFERENCE_LAT, lon0: float = REFERENCE_LON) -> dict[str, Column]:
+    """Position, velocity and acceleration structs of rendered columns x..az."""
+    x, y, z, e, n, u, ae, an, au = (F.col(c) for c in ("x", "y", "z", "vx", "vy", "vz", "ax", "ay", "az"))
+    at, speed = xy_to_latlon(x, y, lat0, lon0), F.sqrt(e * e + n * n)
+    msl = z + field_ft * FT_TO_M
+    return {
+        "position": F.struct(x.alias("x_m"), y.alias("y_m"), z.alias("z_m"), at["lat"].alias("lat"), at["lon"].alias("lon"), msl.alias("altitude_m_msl"), (msl / FT_TO_M).alias("altitude_ft_msl"), z.alias("height_m")),
+        "velocity": F.struct(e.alias("east_mps"), n.alias("north_mps"), u.alias("up_mps"), speed.alias("ground_speed_mps"), (speed / KNOT_TO_MPS).alias("ground_speed_kt"), F.when(speed > 0, F.pmod(F.degrees(F.atan2(e, n)), F.lit(360.0))).alias("track_deg")),
+        "acceleration": F.struct(ae.alias("east_mps2"), an.alias("north_mps2"), au.alias("up_mps2"), F.sqrt(ae * ae + an * an).alias("horizontal_mps2"), F.sqrt(ae * ae + an * an + au * au).alias("total_mps2")),
+    }
+
+
+def score_low(x: Column, soft: float, hard: float) -> Column:
+    """P25: 100 up to soft, 0 from hard on, a line between; NULL stays NULL."""
+    return F.when(x <= soft, 100.0).when(x >= hard, 0.0).when(x.isNotNull(), 100 * (hard - x) / (hard - soft))
+
+
+def boundary_event_bucket(reasons: Column, hard_gap: Column) -> Column:
+    """What kind of event a boundary is, by its reasons (an array); normal_segment_join where they are NULL."""
+    text = F.lower(F.coalesce(F.array_join(reasons, " "), F.lit("")))
+    has = lambda *x: reduce(lambda a, b: a | b, [text.contains(y) for y in x])
+    return (
+        F.when(F.coalesce(hard_gap, F.lit(False)) | has("hard_gap"), "hard_gap").when(has("go_around", "missed_approach"), "go_around")
+        .when(has("surveillance", "track_discontinuity", "true_discontinuity"), "surveillance_or_track_discontinuity").otherwise("normal_segment_join")
+    )
+
+
+def is_true_discontinuity(reasons: Column, hard_gap: Column) -> Column:
+    """Gaps, go-arounds and named discontinuities part a track; other boundaries join."""
+    text = F.lower(F.coalesce(F.array_join(reasons, " "), F.lit("")))
+    named = [text.contains(x) for x in ("hard_gap", "go_around", "missed_approach", "surveillance_discontinuity", "track_discontinuity", "true_discontinuity")]
+    return reduce(lambda a, b: a | b, named, F.coalesce(hard_gap, F.lit(False)))
+
+
+def regime_bucket(label: Column, speed: Column) -> Column:
+    """P28."""
+    text = F.lower(label)
+    return F.when(text.contains("ground") | (F.coalesce(speed, F.lit(0.0)) < 20), "ground").when(text.contains("descent") | text.contains("approach") | text.contains("final"), "approach_final").when(label.isNotNull(), "airborne").otherwise("unknown")
+
+
+#: Speed floors (m/s) by regime bucket: accurate, balanced, smooth.
+SPEED_FLOORS = {"ground": (3.0, 5.0, 8.0), "approach_final": (35.0, 45.0, 55.0), "airborne": (25.0, 35.0, 45.0), "unknown": (20.0, 30.0, 40.0)}
+_PRESETS = ("accurate", "balanced", "smooth")
+
+
+def speed_floor(bucket: Column, preset: Column) -> Column:
+    """An unknown preset counts as balanced."""
+    out = F.lit(None).cast("double")
+    for name, floors in SPEED_FLOORS.items():
+        own = F.when(preset == "accurate", floors[0]).when(preset == "smooth", floors[2]).otherwise(floors[1])
+        out = F.when(bucket == name, own).otherwise(out)
+    return out
+
+
+def classify_regime(speed: Column, mismatch: Column, dominant: Column) -> Column:
+    """ground_slow, the dominant label, or that label marked as noisy where reported and position velocity part too far."""
+    label = F.coalesce(dominant, F.lit("energy_unknown"))
+    noisy = (F.coalesce(mismatch, F.lit(0.0)) > F.greatest(F.lit(20.0), 0.45 * F.greatest(F.coalesce(speed, F.lit(0.0)), F.lit(1.0)))) & ~label.contains("rough_air")
+    return F.when((F.coalesce(speed, F.lit(0.0)) < 25) | (label == "ground_slow"), "ground_slow").when(noisy & (label == "energy_unknown"), "noisy_airborne").when(noisy, F.concat(label, F.lit("__surveillance_noisy"))).otherwise(label)
+
+
+def iso_utc(t: Column) -> Column:
+    """Unix seconds as ISO text in UTC, whatever the session's zone."""
+    seconds = F.floor(t)
+    return F.concat(F.date_format(F.to_utc_timestamp(F.timestamp_seconds(seconds), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))

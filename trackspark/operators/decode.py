@@ -38,3 +38,99 @@ def pair_even_odd(frames: DataFrame) -> DataFrame:
     w = Window.partitionBy("icao", "surface").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = lambda odd: F.last(F.when(F.col("odd") == odd, F.col("id")), ignorenulls=True).over(w)
     return frames.withColumns({"even_id": last(0), "odd_id": last(1)})
+
+
+def bits(payload_hex: Column, first: int, n: int) -> Column:
+    """Bits first .. first + n - 1 of a frame, counted from 1, as a number; n at most 48."""
+    a, b = (first - 1) // 4, (first + n - 2) // 4
+    value = F.conv(F.substring(payload_hex, a + 1, b - a + 1), 16, 10).cast("long")
+    return F.shiftright(value, 4 * (b + 1) - (first + n - 1)).bitwiseAND(F.lit((1 << n) - 1))
+
+
+_LETTERS = "#ABCDEFGHIJKLMNOPQRSTUVWXYZ##### ###############0123456789######"
+
+
+def decode_frames(frames: DataFrame) -> DataFrame:
+    """Checksum, type code, callsign, altitude, raw position and velocity of frames(payload_hex); other formats keep NULL fields.
+
+    Downlink formats 17 and 18 only. Altitude in feet: barometric codes with 25 ft steps (others NULL), metres of type codes 20 to 22
+    converted. Velocity of subtypes 1 and 2: ground speed in knots, track in degrees, vertical rate in feet a minute. Position: the
+    parity bit (odd) and the 17-bit coordinates; surface: type codes 5 to 8.
+    """
+    f = frame_header(frames)
+    h = F.col("payload_hex")
+    rest = crc_remainder(h)
+    long_ = (F.length(h) == 28) & F.col("df").isin(17, 18)
+    tc = F.when(long_, bits(h, 33, 5))
+    f = f.withColumns({"crc": F.when(F.length(h).isin(14, 28), rest), "tc": tc})
+    f = f.withColumn("crc_ok", F.when(F.col("crc").isNull(), None).when(F.col("crc") == 0, 1).otherwise(0))
+    tc = F.col("tc")
+    letters = F.concat(*(F.expr(f"substring('{_LETTERS}', cast(_c{k} + 1 as int), 1)") for k in range(8)))
+    f = f.withColumns({f"_c{k}": bits(h, 41 + 6 * k, 6) for k in range(8)})
+    code = bits(h, 41, 12)
+    feet = F.shiftright(code, 5) * 16 + code.bitwiseAND(F.lit(15))
+    alt = F.when(tc.between(9, 18) & (F.shiftright(code, 4).bitwiseAND(F.lit(1)) == 1), feet * 25.0 - 1000).when(tc.between(20, 22), code / 0.3048)
+    moving = tc.isin(19) & bits(h, 38, 3).isin(1, 2)
+    scale = F.when(bits(h, 38, 3) == 2, 4).otherwise(1)
+    part = lambda sign, size: F.when(bits(h, size, 10) > 0, (bits(h, size, 10) - 1) * scale * F.when(bits(h, sign, 1) == 1, -1).otherwise(1))
+    east, north = F.when(moving, part(46, 47)), F.when(moving, part(57, 58))
+    rate = F.when(moving & (bits(h, 70, 9) > 0), (bits(h, 70, 9) - 1) * 64 * F.when(bits(h, 69, 1) == 1, -1).otherwise(1))
+    place = tc.between(5, 8) | tc.between(9, 18) | tc.between(20, 22)
+    f = f.withColumns({
+        "callsign": F.when(tc.between(1, 4), F.nullif(F.trim(F.regexp_replace(letters, "#", "")), F.lit(""))), "alt": alt, "surface": F.when(place, tc.between(5, 8)), "odd": F.when(place, bits(h, 54, 1)),
+        "cpr_lat": F.when(place, bits(h, 55, 17)), "cpr_lon": F.when(place, bits(h, 72, 17)), "gs": F.sqrt((east * east + north * north).cast("double")),
+        "track": F.when((east != 0) | (north != 0), F.pmod(F.degrees(F.atan2(east.cast("double"), north.cast("double"))), F.lit(360.0))), "vertical_rate": rate.cast("double"),
+    })
+    return f.drop(*(f"_c{k}" for k in range(8)))
+
+
+def _zones(lat: Column) -> Column:
+    """Number of longitude zones at a latitude, of the public compact position format with 15 latitude zones."""
+    inner = 1 - (1 - F.cos(F.pi() / 30)) / F.pow(F.cos(F.radians(F.abs(lat))), F.lit(2))
+    return F.when(F.abs(lat) >= 87, F.when(F.abs(lat) > 87, 1).otherwise(2)).otherwise(F.floor(2 * F.pi() / F.acos(inner)))
+
+
+def resolve_position(decoded: DataFrame, lat0: float, lon0: float) -> DataFrame:
+    """Lat and lon of airborne frames from the last even and odd ones of the address (both zones must agree), else from the
+    reference point within half a zone; surface frames by the reference alone. Order: id. No age limit."""
+    w = Window.partitionBy("icao", "surface").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    raw = F.struct("cpr_lat", "cpr_lon", "id")
+    d = decoded.withColumns({f"_{n}": F.last(F.when(F.col("odd") == o, raw), ignorenulls=True).over(w) for n, o in (("even", 0), ("last_odd", 1))})
+    full = float(1 << 17)
+    y0, y1, x0, x1 = F.col("_even.cpr_lat") / full, F.col("_last_odd.cpr_lat") / full, F.col("_even.cpr_lon") / full, F.col("_last_odd.cpr_lon") / full
+    j = F.floor(59 * y0 - 60 * y1 + 0.5)
+    fold = lambda lat: F.when(lat >= 270, lat - 360).otherwise(lat)
+    d = d.withColumns({"_lat0": fold(6.0 * (F.pmod(j, F.lit(60)) + y0)), "_lat1": fold(360 / 59 * (F.pmod(j, F.lit(59)) + y1))})
+    late = F.col("odd") == 1
+    d = d.withColumn("_lat", F.when(late, F.col("_lat1")).otherwise(F.col("_lat0")))
+    d = d.withColumns({"_z0": _zones(F.col("_lat0")), "_z1": _zones(F.col("_lat1"))})
+    z = F.col("_z0")
+    n = F.greatest(z - F.when(late, 1).otherwise(0), F.lit(1))
+    m = F.floor(x0 * (z - 1) - x1 * z + 0.5)
+    lon = 360.0 / n * (F.pmod(m, n) + F.when(late, x1).otherwise(x0))
+    pair = (F.col("_z0") == F.col("_z1")) & ~F.col("surface") & F.col("odd").isNotNull()
+    span = F.when(F.col("surface"), 90.0).otherwise(360.0)
+    dlat = span / (60 - F.col("odd"))
+    y, x = F.col("cpr_lat") / full, F.col("cpr_lon") / full
+    at = F.floor(lat0 / dlat) + F.floor(0.5 + (lat0 - dlat * F.floor(lat0 / dlat)) / dlat - y)
+    near_lat = dlat * (at + y)
+    dlon = span / F.greatest(_zones(near_lat) - F.col("odd"), F.lit(1))
+    on = F.floor(lon0 / dlon) + F.floor(0.5 + (lon0 - dlon * F.floor(lon0 / dlon)) / dlon - x)
+    d = d.withColumns({
+        "lat": F.coalesce(F.when(pair, F.col("_lat")), near_lat), "lon": F.coalesce(F.when(pair, F.when(lon >= 180, lon - 360).otherwise(lon)), dlon * (on + x)),
+        "position_source": F.when(F.col("odd").isNull(), None).when(F.coalesce(pair, F.lit(False)), "pair").otherwise("reference"), "even_id": F.col("_even.id"), "odd_id": F.col("_last_odd.id"),
+    })
+    return d.drop("_even", "_last_odd", "_lat", "_lat0", "_lat1", "_z0", "_z1")
+
+
+def decode_incremental(frames: DataFrame, decoded: DataFrame, batch: int | None = None) -> DataFrame:
+    """Decoded fields of the frames (id) above the largest id in decoded that are not in it; batch: the oldest so many, one step of a loop."""
+    last = decoded.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("_last"))
+    new = frames.join(F.broadcast(last), F.col("id") > F.col("_last")).drop("_last").join(decoded.select("id"), "id", "left_anti")
+    return decode_frames(new.orderBy("id").limit(batch) if batch else new)
+
+
+def decoded_json(decoded: DataFrame) -> DataFrame:
+    """The decoded fields that are known as one JSON text, with velocity_raw [gs, track, rate, source]."""
+    raw = F.when(F.col("gs").isNotNull(), F.array(*(F.col(c).cast("string") for c in ("gs", "track", "vertical_rate")), F.lit("GS")))
+    return decoded.withColumn("decoded_json", F.to_json(F.struct("df", "icao", "tc", "callsign", "alt", "gs", "track", "vertical_rate", raw.alias("velocity_raw"))))

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackspark.functions import scalars as S
 
 
-def join_rules(messages: DataFrame, rules: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
-    """Rules are matched by address and inclusive window; broadcast while there are few, else shuffled on the address."""
+def join_rules(messages: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rules are matched by address and inclusive window. No pass to count them: Spark broadcasts a rule table by its size, or at run time."""
     r = rules.withColumnsRenamed({"track_id": "rule_track", "icao": "rule_icao"})
-    small = F.broadcast(r) if rules.count() <= broadcast_rows else r
     m = messages.drop("track_id")
-    return m.join(small, (S.norm_icao(m["icao"]) == F.col("rule_icao")) & m["ts_utc"].between(F.col("t_first"), F.col("t_last"))).withColumnRenamed("rule_track", "track_id")
+    return m.join(r, (S.norm_icao(m["icao"]) == F.col("rule_icao")) & m["ts_utc"].between(F.col("t_first"), F.col("t_last"))).withColumnRenamed("rule_track", "track_id")
+
+
+def allowed_kinds(events: Column) -> Column:
+    """where positions and velocities are both allowed, so are rows that are both."""
+    both = F.array_contains(events, "position") & F.array_contains(events, "velocity")
+    return F.when(both, F.array_union(events, F.array(F.lit("position_velocity"), F.lit("mixed")))).otherwise(events)
 
 
 def rule_counts(messages: DataFrame, rules: DataFrame) -> DataFrame:
@@ -23,7 +28,7 @@ def rule_counts(messages: DataFrame, rules: DataFrame) -> DataFrame:
     m = messages.drop("track_id").withColumn("kind", kind)
     j = m.join(r, S.norm_icao(m["icao"]) == F.col("rule_icao"))
     crc = F.col("crc_ok") == 1
-    event = crc & F.array_contains("events", F.col("kind"))
+    event = crc & F.array_contains(allowed_kinds(F.col("events")), F.col("kind"))
     window = event & F.col("ts_utc").between(F.col("t_first"), F.col("t_last"))
     return j.groupBy(F.col("rule_track").alias("track_id")).agg(F.count("*").alias("n_icao"), *(F.count_if(c).alias(n) for n, c in (("n_crc", crc), ("n_events", event), ("n_window", window))))
 
@@ -36,7 +41,7 @@ def events(messages: DataFrame, rules: DataFrame) -> DataFrame:
         "kind": S.event_kind(F.col("lat"), F.col("lon"), F.col("gs"), F.col("track")), "ve": ve, "vn": vn,
         "vz": S.fpm_to_mps(S.vertical_rate_fpm(F.col("decoded_json"))), "bucket": F.rint(F.col("ts_utc") / F.col("q")) * F.col("q"),
     })
-    return e.where(F.array_contains("events", F.col("kind"))).drop("rule_icao", "events")
+    return e.where(F.array_contains(allowed_kinds(F.col("events")), F.col("kind"))).drop("rule_icao", "events")
 
 
 def filter_radius(ev: DataFrame, lat0: float = S.REFERENCE_LAT, lon0: float = S.REFERENCE_LON) -> DataFrame:
@@ -85,13 +90,18 @@ def build_keyframes(ev: DataFrame) -> DataFrame:
     """A1: one row for each track and bucket; means combine before the shuffle."""
     pos, vel = F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.col("ve").isNotNull()
     mean = lambda c, where: F.avg(F.when(where, F.col(c))).alias(c)
+    if "ground_first" in ev.columns:  # P17
+        ev = ev.withColumn("alt", S.on_ground_override(F.col("ts_utc"), F.col("alt"), F.col("field_ft"), F.col("ground_first"), F.col("ground_last")))
     k = ev.groupBy("track_id", F.col("bucket").alias("t")).agg(
+        F.avg(F.when(vel, F.col("gs"))).alias("reported_gs"), F.sort_array(F.collect_list("raw_id")).alias("raw_ids"), F.transform(F.sort_array(F.collect_list(F.struct("ts_utc", "raw_id", "kind"))), lambda x: x["kind"]).alias("event_kinds"),
         mean("lat", pos), mean("lon", pos), mean("alt", pos), mean("ve", vel), mean("vn", vel), mean("vz", vel),
         F.count_if(pos).alias("n_position"), F.count_if(vel).alias("n_velocity"), F.sort_array(F.collect_set("kind")).alias("kinds"), F.min("field_ft").alias("field_ft"),
     )
     full_p, full_v = F.col("lat").isNotNull() & F.col("alt").isNotNull(), F.col("ve").isNotNull() & F.col("vz").isNotNull()
     kind = F.when(F.array_contains("kinds", "position_velocity") | (F.array_contains("kinds", "position") & F.array_contains("kinds", "velocity")), "position_velocity").otherwise(F.col("kinds")[0])
     w = Window.partitionBy("track_id").orderBy("t")
+    speed = F.sqrt(F.col("ve") * F.col("ve") + F.col("vn") * F.col("vn"))
+    k = k.withColumns({"ground_speed": speed, "track_deg": S.heading_from_velocity(F.col("ve"), F.col("vn")), "source_kinds": unique_in_order(F.col("event_kinds")), "mixed_kind": aggregate_event_kind(F.col("event_kinds"))})
     return k.withColumns({"event_kind": kind, "full_position": full_p, "full_velocity": full_v, "paired": full_p & full_v, "keyframe_id": F.format_string("kf_%06d", F.row_number().over(w))})
 
 
@@ -113,6 +123,124 @@ def paired_samples(kf: DataFrame) -> DataFrame:
     return rounded.withColumn("i", (F.row_number().over(Window.partitionBy("track_id").orderBy("t")) - 1).cast("long"))
 
 
+def unique_in_order(values: Column) -> Column:
+    """A2 and U4: different values in the order in which they come first."""
+    return F.array_distinct(values)
+
+
+def aggregate_event_kind(kinds: Column) -> Column:
+    """A2: position_velocity where both parts occur, the single kind, mixed, or unknown without any."""
+    known = F.array_distinct(F.array_compact(kinds))
+    both = F.array_contains(known, "position_velocity") | (F.array_contains(known, "position") & F.array_contains(known, "velocity"))
+    return F.when(F.size(known) == 0, "unknown").when(F.coalesce(both, F.lit(False)), "position_velocity").when(F.size(known) == 1, F.get(known, F.lit(0))).otherwise("mixed")
+
+
+def flatten_keyframes(kf: DataFrame, field_ft: str = "field_ft") -> DataFrame:
+    """A3: keyframes as flat columns: heights, local metres, speeds, flags and counts; lists as their sizes and first items."""
+    x, y = S.local_xy(F.col("lat"), F.col("lon"))
+    msl, height = S.field_height(F.col("alt"), F.col(field_ft))
+    return kf.select(
+        "track_id", "keyframe_id", "t", S.iso_utc(F.col("t")).alias("t_iso"), "event_kind", "mixed_kind", F.array_join("source_kinds", ",").alias("source_kinds"), F.size("raw_ids").alias("n_rows"), F.get("raw_ids", F.lit(0)).alias("first_raw_id"),
+        F.element_at("raw_ids", -1).alias("last_raw_id"), "lat", "lon", F.col("alt").alias("alt_ft"), msl.alias("alt_m"), height.alias("height_m"), x.alias("x_m"), y.alias("y_m"), F.col("ve").alias("east_mps"), F.col("vn").alias("north_mps"),
+        F.col("vz").alias("up_mps"), "ground_speed", (F.col("ground_speed") / S.KNOT_TO_MPS).alias("ground_speed_kt"), "track_deg", "reported_gs", "n_position", "n_velocity", "full_position", "full_velocity", "paired",
+    )
+
+
+def drop_invalid_time(messages: DataFrame, time: str = "ts_utc") -> DataFrame:
+    """rows without a finite time go; a table that then is empty is an error when it is read: the count that says so adds no row."""
+    kept = messages.where(S.to_finite(F.col(time)).isNotNull())
+    none = kept.groupBy().agg(F.count("*").alias("_n")).where(F.when(F.col("_n") > 0, False).otherwise(F.raise_error(F.lit("no row has a valid time")).cast("boolean")))
+    return kept.unionByName(none.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in messages.schema)))
+
+
+def position_rows(messages: DataFrame, icao: str | None = None, df: int | None = None, tc: tuple[int, int] | None = None) -> DataFrame:
+    """rows of one address, downlink format and range of type codes with a position in range; the first of equal (time, lat, lon, alt)."""
+    m = messages.where("lat between -90 and 90 and lon between -180 and 180")
+    if icao is not None:
+        m = m.where(S.norm_icao(F.col("icao")) == icao.upper())
+    if df is not None:
+        m = m.where(F.col("df") == df)
+    if tc is not None:
+        m = m.where(F.col("tc").between(*tc))
+    w = Window.partitionBy(S.norm_icao(F.col("icao")), "ts_utc", "lat", "lon", "alt").orderBy("raw_id")
+    return m.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def filter_kinematic_outliers(ev: DataFrame, k: Column | float = 3.0) -> DataFrame:
+    """F7 on tracks: a row goes, once, when its speed from the previous position or its acceleration from the previous velocity is above
+    Q3 + k * IQR of its track; tests with fewer than four values or no spread drop nothing. k may be a rule's column."""
+    k = k if isinstance(k, Column) else F.lit(k)
+    speed = position_diagnostics(ev).select("track_id", "raw_id", F.col("speed_kmh").alias("_speed"))
+    accel = velocity_diagnostics(ev).select("track_id", "raw_id", F.col("accel").alias("_accel"))
+    j = ev.join(speed, ["track_id", "raw_id"], "left").join(accel, ["track_id", "raw_id"], "left")
+    part = Window.partitionBy("track_id")
+    bad = F.lit(False)
+    for c in ("_speed", "_accel"):
+        q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).over(part)
+        j = j.withColumns({f"{c}_q": q, f"{c}_n": F.count(c).over(part)})
+        iqr = F.col(f"{c}_q")[1] - F.col(f"{c}_q")[0]
+        bad = bad | F.coalesce((F.col(f"{c}_n") >= 4) & (iqr > 0) & (F.col(c) > F.col(f"{c}_q")[1] + k * iqr), F.lit(False))
+    return j.where(~bad).select(*ev.columns)
+
+
+def prepared(ev: DataFrame, k: float = 3.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """F7 on first diagnostics, F8, and both diagnostics again on what is left: rows, position and velocity diagnostics."""
+    kept = trim_to_first_position(filter_kinematic_outliers(ev, k))
+    return kept, position_diagnostics(kept), velocity_diagnostics(kept)
+
+
+#: Checks of a keyframe in order, the first failure counts.
+CHECKS = (
+    ("not paired", "paired"), ("no full position", "full_position"), ("no full velocity", "full_velocity"), ("no objects", "lat is not null and ve is not null"), ("not three-dimensional", "alt is not null"),
+    ("other frame", "coalesce(frame, 'local_enu') like 'local_enu%'"), ("no vertical rate", "vz is not null"),
+)
+
+
+def skip_reason(kf: DataFrame) -> DataFrame:
+    """keyframes with skip_reason, NULL for those that make samples. A keyframe table without a frame column is in local_enu."""
+    k = kf if "frame" in kf.columns else kf.withColumn("frame", F.lit("local_enu"))
+    reason = F.lit(None).cast("string")
+    finite = [S.to_finite(F.col(c)).isNotNull() for c in ("t", "lat", "lon", "alt", "ve", "vn", "vz")]
+    whole = finite[0]
+    for c in finite[1:]:
+        whole = whole & c
+    reason = F.when(~whole, "number not finite")
+    for name, check in CHECKS[::-1]:
+        reason = F.when(~F.coalesce(F.expr(check), F.lit(False)), name).otherwise(reason)
+    return k.withColumn("skip_reason", reason)
+
+
+def unique_times(samples: DataFrame, keys: list[str], time: str = "t") -> DataFrame:
+    """samples; a time that a key has twice is an error when they are read."""
+    w = Window.partitionBy(*keys).orderBy(time)
+    twice = F.coalesce(F.col(time) <= F.lag(time).over(w), F.lit(False))
+    s = samples.withColumn("_twice", twice)
+    fine = F.when(~F.col("_twice"), True).otherwise(F.raise_error(F.concat(F.lit("repeated time "), F.col(time).cast("string"))).cast("boolean"))
+    return s.where(fine).drop("_twice")
+
+
+def min_support(df: DataFrame, keys: list[str], least: int, fail: bool = False) -> DataFrame:
+    """rows of keys with at least so many rows; fail: a key with fewer is an error."""
+    n = F.count("*").over(Window.partitionBy(*keys))
+    d = df.withColumn("_n", n)
+    ok = F.col("_n") >= least
+    return d.where(F.when(ok, True).otherwise(F.raise_error(F.lit("too few rows")).cast("boolean")) if fail else ok).drop("_n")
+
+
+def problem_previews(df: DataFrame, keys: list[str], order: list[str], k: int = 10) -> DataFrame:
+    """The first k rows of each key in a stable order."""
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= k).drop("_r")
+
+
+def stage_report(**stages: DataFrame) -> DataFrame:
+    """A4: rows, position rows and velocity rows of each named stage of preparation, and the share of the first stage that is left."""
+    out, first = None, next(iter(stages.values())).agg(F.count("*").alias("n_first"))
+    for k, (name, df) in enumerate(stages.items()):
+        one = df.agg(F.lit(k).alias("nth"), F.lit(name).alias("stage"), F.count("*").alias("n"), F.count("lat").alias("n_position"), F.count("gs").alias("n_velocity"))
+        out = one if out is None else out.unionByName(one)
+    return out.crossJoin(F.broadcast(first)).withColumn("share", F.col("n") / F.nullif("n_first", F.lit(0))).drop("n_first")
+
+
 def skip_reasons(kf: DataFrame) -> DataFrame:
     """how many keyframes each check turns away first."""
     reason = F.when(~F.col("full_position"), "no full position").when(~F.col("full_velocity"), "no full velocity").otherwise("used")

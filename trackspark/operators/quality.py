@@ -26,15 +26,32 @@ def motion_outliers(samples: DataFrame, floor: float = 1200.0, factor: float = 5
     return s.withColumn("outlier", F.coalesce(inner, F.lit(False)) | F.coalesce(first, F.lit(False)) | F.coalesce(last, F.lit(False))).drop("_v", "_bad", "_next", "_after", "_before")
 
 
+def filter_motion_outliers(samples: DataFrame, passes: int = 4, least: int = 8, most: int | None = None, key: str = "track_id") -> DataFrame:
+    """up to `passes` times: rows that motion_outliers() marks go, or where a track has none the single row with the worst step ratio
+    above 1 (ties: the first); the worst first where more than `most` are marked, and never below `least` rows. Native; passes unrolled."""
+    s = samples
+    part = Window.partitionBy(key)
+    for _ in range(passes):
+        w = part.orderBy("t")
+        m = motion_outliers(s).withColumn("_v", F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy") + F.col("vz") * F.col("vz")))
+        step = F.sqrt(sum(((F.col(c) - F.lag(c).over(w)) ** 2 for c in ("x", "y", "z")), F.lit(0.0))) / (F.col("t") - F.lag("t").over(w))
+        m = m.withColumn("_q", step / F.greatest(F.lit(1200.0), 5.0 * F.greatest((F.col("_v") + F.lag("_v").over(w)) / 2, F.lit(1.0))))
+        m = m.withColumn("_worst", F.greatest(F.coalesce("_q", F.lit(0.0)), F.coalesce(F.lead("_q").over(w), F.lit(0.0))))
+        m = m.withColumns({"_n": F.count("*").over(part), "_any": F.max("outlier").over(part), "_place": F.row_number().over(part.orderBy(F.desc("outlier"), F.desc("_worst"), "t"))})
+        allowed = F.col("_n") - least if most is None else F.least(F.col("_n") - least, F.lit(most))
+        goes = F.when(F.col("_any"), F.col("outlier") & (F.col("_place") <= allowed)).otherwise((F.col("_place") == 1) & (F.col("_worst") > 1) & (allowed >= 1))
+        s = m.where(~F.coalesce(goes, F.lit(False))).select(*samples.columns)
+    return s
+
+
 def robust_standardize(df: DataFrame, keys: list[str], columns: list[str], clip: float = 50.0) -> DataFrame:
     """(x - median) / scale by key, clipped; NULL gives 0."""
     part = Window.partitionBy(*keys)
-    for c in columns:
-        df = df.withColumn("_m", F.percentile(c, 0.5).over(part))
-        df = df.withColumns({"_s": 1.4826 * F.percentile(F.abs(F.col(c) - F.col("_m")), 0.5).over(part), "_d": F.stddev_pop(c).over(part)})
-        scale = F.when(F.col("_s") > 1e-6, F.col("_s")).when(F.col("_d") > 1e-6, F.col("_d")).otherwise(1.0)
-        z = (F.col(c) - F.col("_m")) / scale
-        df = df.withColumn(f"{c}_z", F.coalesce(F.greatest(F.lit(-clip), F.least(F.lit(clip), z)), F.lit(0.0))).drop("_m", "_s", "_d")
+    df = df.withColumns({f"_m_{c}": F.percentile(c, 0.5).over(part) for c in columns})
+    df = df.withColumns({f"_s_{c}": 1.4826 * F.percentile(F.abs(F.col(c) - F.col(f"_m_{c}")), 0.5).over(part) for c in columns} | {f"_d_{c}": F.stddev_pop(c).over(part) for c in columns})
+    scale = lambda c: F.when(F.col(f"_s_{c}") > 1e-6, F.col(f"_s_{c}")).when(F.col(f"_d_{c}") > 1e-6, F.col(f"_d_{c}")).otherwise(1.0)
+    z = {f"{c}_z": F.coalesce(F.greatest(F.lit(-clip), F.least(F.lit(clip), (F.col(c) - F.col(f"_m_{c}")) / scale(c))), F.lit(0.0)) for c in columns}
+    df = df.withColumns(z).drop(*(f"_{k}_{c}" for k in "msd" for c in columns))
     return df
 
 
@@ -105,7 +122,3 @@ def model_score(metrics: DataFrame) -> DataFrame:
     parts = [(S.score_lower_is_better(F.col("accel_rms"), 2.2, 9.0, 60.0), 0.35), (S.score_lower_is_better(F.col("turn_p95"), 3.5, 15.0, 65.0), 0.25), (S.score_ratio_band(F.col("ratio"), 0.45, 1.25, 0.08, 2.8), 0.35)]
     score = S.weighted_score(parts)
     return metrics.withColumns({"score": score, "loss": 100 - score, "grade": S.score_interpretation(score)})
-
-
-def mean_by(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return df.groupBy(*keys).agg(T.rms(F.col(value)).alias(value))

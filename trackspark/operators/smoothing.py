@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackspark.operators import timeseries as T
+from trackspark.operators.compare import interpolate_columns
 
 #: Fixed values of the presets: position, velocity and jerk sigma as (horizontal, vertical), initial sigmas, gate, largest scale.
 PRESETS = {
@@ -22,10 +23,11 @@ def _noise(dt: float) -> np.ndarray:
     return np.array([[dt**5 / 20, dt**4 / 8, dt**3 / 6], [dt**4 / 8, dt**3 / 3, dt**2 / 2], [dt**3 / 6, dt**2 / 2, dt]])
 
 
-def constant_acceleration(t: np.ndarray, pos: np.ndarray, vel: np.ndarray, p: dict) -> np.ndarray:
+def constant_acceleration(t: np.ndarray, pos: np.ndarray, vel: np.ndarray, p: dict, told: dict | None = None) -> np.ndarray:
     """Forward filter and backward smoother of position, velocity and acceleration by axis; axes share the scale of the measurement noise.
 
-    The axes do not mix otherwise, so three 3 x 3 filters run side by side.
+    The axes do not mix otherwise, so three 3 x 3 filters run side by side. told: gets, by row, the normalised innovation
+    (nis), noise_scale, size of the position's innovation, trace of the smoothed covariance, and the filter's own states.
     """
     n, pick = len(t), [0, 0, 1]
     axis = lambda key: np.array([p[key][i] for i in pick])
@@ -39,6 +41,7 @@ def constant_acceleration(t: np.ndarray, pos: np.ndarray, vel: np.ndarray, p: di
         c[:, k, k] = axis(key) ** 2
     h, eye = np.array([[1.0, 0, 0], [0, 1.0, 0]]), np.eye(3)
     xs, cs, xp, cp, fs = np.empty((n, 3, 3)), np.empty((n, 3, 3, 3)), np.empty((n, 3, 3)), np.empty((n, 3, 3, 3)), np.empty((n, 3, 3))
+    seen = np.empty((n, 3))
     for i in range(n):
         if i:
             dt = max(t[i] - t[i - 1], 1e-3)
@@ -51,17 +54,23 @@ def constant_acceleration(t: np.ndarray, pos: np.ndarray, vel: np.ndarray, p: di
         r[:, 0, 0], r[:, 1, 1] = noise[:, 0], noise[:, 1]
         s = h @ c @ h.T + r
         nis = float(np.einsum("ai,aij,aj->", residual, np.linalg.inv(s), residual))
-        r *= min(p["most"], max(1.0, nis / (p["gate"] ** 2 * 6)))
+        noise_scale = min(p["most"], max(1.0, nis / (p["gate"] ** 2 * 6)))
+        seen[i] = nis, noise_scale, np.linalg.norm(residual[:, 0])
+        r *= noise_scale
         s = h @ c @ h.T + r
         gain = c @ h.T @ np.linalg.inv(s)
         x = x + np.einsum("aij,aj->ai", gain, residual)
         a = eye - gain @ h
         c = a @ c @ a.transpose(0, 2, 1) + gain @ r @ gain.transpose(0, 2, 1) + 1e-9 * eye
         xs[i], cs[i] = x, c
+    if told is not None:
+        told["filtered"] = xs.copy()
     for i in range(n - 2, -1, -1):
         g = cs[i] @ fs[i + 1].T @ np.linalg.inv(cp[i + 1])
         xs[i] += np.einsum("aij,aj->ai", g, xs[i + 1] - xp[i + 1])
         cs[i] += g @ (cs[i + 1] - cp[i + 1]) @ g.transpose(0, 2, 1)
+    if told is not None:
+        told |= {"nis": seen[:, 0], "noise_scale": seen[:, 1], "innovation": seen[:, 2], "trace": np.einsum("naii->n", cs)}
     return xs
 
 
@@ -69,16 +78,18 @@ def smooth_ca(samples: DataFrame, presets: tuple[str, ...] = ("balanced",)) -> D
     """K2: smoothed states of each track and preset; a group that fails carries its error in a row instead of stopping the job."""
     spark = samples.sparkSession
     table = spark.createDataFrame([(p,) for p in presets], "method string")
-    schema = "track_id string, method string, t double, " + ", ".join(f"{c} double" for c in _STATES) + ", error string"
+    more = ("nis", "noise_scale", "innovation", "trace")
+    schema = "track_id string, method string, t double, " + ", ".join(f"{c} double" for c in (*_STATES, *more)) + ", error string"
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("t")
         head = {"track_id": g.track_id.iloc[0], "method": g.method.iloc[0]}
+        told: dict = {}
         try:
-            s = constant_acceleration(g.t.to_numpy(), g[["x", "y", "z"]].to_numpy(), g[["vx", "vy", "vz"]].to_numpy(), PRESETS[head["method"]])
+            s = constant_acceleration(g.t.to_numpy(), g[["x", "y", "z"]].to_numpy(), g[["vx", "vy", "vz"]].to_numpy(), PRESETS[head["method"]], told)
         except np.linalg.LinAlgError as e:
-            return pd.DataFrame([head | {"t": None} | dict.fromkeys(_STATES) | {"error": str(e)}])
-        out = {c: s[:, j % 3, j // 3] for j, c in enumerate(_STATES)}
+            return pd.DataFrame([head | {"t": None} | dict.fromkeys((*_STATES, *more)) | {"error": str(e)}])
+        out = {c: s[:, j % 3, j // 3] for j, c in enumerate(_STATES)} | {c: told[c] for c in more}
         return pd.DataFrame(head | {"t": g.t.to_numpy()} | out | {"error": None})
 
     return samples.crossJoin(F.broadcast(table)).groupBy("track_id", "method").applyInPandas(run, schema)
@@ -88,9 +99,8 @@ def position_fidelity(samples: DataFrame, render: DataFrame) -> DataFrame:
     """Errors of each method at the samples' times, by linear interpolation of the rendered points."""
     keys = ["track_id", "method"]
     asked = samples.select("track_id", "t", *(F.col(c).alias(f"m{c}") for c in "xyz")).join(render.select(*keys).distinct(), "track_id")
-    for c in "xyz":
-        asked = T.interpolate_at(render.where("error is null"), asked, keys, "t", c)
-    e = [F.col(f"m{c}") - F.col(f"interp_{c}") for c in "xyz"]
+    asked = interpolate_columns(render.where("error is null"), asked, keys, "t", tuple("xyz"))
+    e = [F.col(f"m{c}") - F.col(f"p_{c}") for c in "xyz"]
     h, v = F.sqrt(e[0] * e[0] + e[1] * e[1]), F.abs(e[2])
     return asked.groupBy(*keys).agg(
         F.round(T.rms(h), 4).alias("horizontal_rmse"), F.round(T.rms(v), 4).alias("vertical_rmse"), F.round(F.percentile(h, 0.95), 4).alias("horizontal_p95"), F.round(F.max(v), 4).alias("vertical_max"),

@@ -87,7 +87,7 @@ def constant_velocity(t: np.ndarray, pos: np.ndarray, vel: np.ndarray, sigma: tu
     head = min(n, 5)
     slope = np.polyfit(t[:head] - t[0], pos[:head], 1)[0] if head >= 2 else vel[0]
     x, c = np.stack([pos[0], slope], 1), np.zeros((3, 2, 2))
-    c[:, 0, 0], c[:, 1, 1] = s**2, 900.0
+    c[:, 0, 0], c[:, 1, 1] = 2 * s**2, np.array([120.0, 120.0, 40.0]) ** 2
     xs, cs, xp, cp, fs = np.empty((n, 3, 2)), np.empty((n, 3, 2, 2)), np.empty((n, 3, 2)), np.empty((n, 3, 2, 2)), np.empty((n, 2, 2))
     for i in range(n):
         if i:

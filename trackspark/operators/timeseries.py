@@ -15,11 +15,11 @@ def over(keys: list[str], order: list[str]):
 
 
 def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], time: str, value: str, max_age: float | None = None, tie: str | None = None) -> DataFrame:
-    """Left with the latest right value at or before its time, if not older than max_age; of equal times the least tie.
+    """Left with the latest right value at or before its time, if not older than max_age; of equal times the least tie, or value.
 
     Union and a last-value window: one shuffle on the keys, no join, so no row count is multiplied.
     """
-    first = right.groupBy(*keys, time).agg((F.min_by(value, tie) if tie else F.first(value)).alias("_v"))
+    first = right.groupBy(*keys, time).agg((F.min_by(value, tie) if tie else F.min(value)).alias("_v"))
     out_cols = left.columns
     r = first.select(*keys, F.col(time).alias("_t"), F.lit(0).alias("_side"), F.struct(F.col(time).alias("t"), F.col("_v").alias("v")).alias("_r"))
     both = left.withColumns({"_t": F.col(time), "_side": F.lit(1)}).unionByName(r, allowMissingColumns=True)
@@ -168,3 +168,71 @@ def downsample(df: DataFrame, keys: list[str], order: list[str], n: int) -> Data
 def rms(c: Column) -> Column:
     """A7."""
     return F.sqrt(F.avg(c * c))
+
+
+def ratio(top: Column, low: Column) -> Column:
+    """NULL on a zero or unknown denominator."""
+    return top / F.nullif(low, F.lit(0.0))
+
+
+def finite_stats(value: Column, name: str) -> list[Column]:
+    """Rms, median, p95, least and largest of the finite values of a group; NULL where there are none."""
+    x = F.when(~F.isnan(value) & (F.abs(value) != F.lit(float("inf"))), value)
+    return [rms(x).alias(f"{name}_rms"), F.percentile(x, 0.5).alias(f"{name}_median"), F.percentile(x, 0.95).alias(f"{name}_p95"), F.min(x).alias(f"{name}_min"), F.max(x).alias(f"{name}_max")]
+
+
+def weighted_stats(value: str, weight: str) -> list[Column]:
+    """Mean and root mean square by positive weights."""
+    w = F.when((F.col(weight) > 0) & F.col(value).isNotNull(), F.col(weight))
+    return [(F.sum(w * F.col(value)) / F.sum(w)).alias("mean"), F.sqrt(F.sum(w * F.col(value) * F.col(value)) / F.sum(w)).alias("rms")]
+
+
+def interval_to_sample(df: DataFrame, keys: list[str], time: str, value: str, out: str) -> DataFrame:
+    """Values of the steps to the next row as values of rows: ends copied, inside the mean of both sides."""
+    w = over(keys, [time])
+    return df.withColumn(out, F.coalesce((F.lag(value).over(w) + F.col(value)) / 2, F.col(value), F.lag(value).over(w)))
+
+
+def neighbour_step(df: DataFrame, keys: list[str], time: str, columns: list[str], out: str) -> DataFrame:
+    """Distance to the nearer of the previous and the next row."""
+    w = over(keys, [time])
+    away = lambda f: F.sqrt(sum(((F.col(c) - f(c).over(w)) ** 2 for c in columns), F.lit(0.0)))
+    return df.withColumn(out, F.least(away(F.lag), away(F.lead)))
+
+
+def direction_changes(df: DataFrame, keys: list[str], time: str, columns: list[str], cosine: float = -0.25) -> DataFrame:
+    """How often, and how often a minute, neighbouring vectors point apart: cosine below the limit."""
+    w = over(keys, [time])
+    dot = sum((F.col(c) * F.lag(c).over(w) for c in columns), F.lit(0.0))
+    size = F.sqrt(sum((F.col(c) ** 2 for c in columns), F.lit(0.0)))
+    d = df.withColumn("_l", size).withColumns({"_d": dot, "_p": F.lag(size).over(w)})
+    turned = (F.col("_l") * F.col("_p") > 1e-12) & (F.col("_d") / (F.col("_l") * F.col("_p")) < cosine)
+    g = d.groupBy(*keys).agg(F.count_if(turned).alias("n_changes"), ((F.max(time) - F.min(time)) / 60).alias("_m"))
+    return g.withColumn("changes_per_minute", ratio(F.col("n_changes"), F.col("_m"))).drop("_m")
+
+
+def in_intervals(points: DataFrame, intervals: DataFrame, keys: list[str], time: str, bucket: float, tolerance: float = 1e-6) -> DataFrame:
+    """Points with the number `nth` of the last interval (keys, nth, a, b) that holds them, both ends included, a later one first; NULL
+    outside. Intervals are dealt to time buckets, so a long key meets only those that are near."""
+    lo, hi = F.floor((F.col("a") - tolerance) / bucket), F.floor((F.col("b") + tolerance) / bucket)
+    s = intervals.select(*(F.col(k).alias(f"_k_{k}") for k in keys), "nth", (F.col("a") - tolerance).alias("_lo"), (F.col("b") + tolerance).alias("_hi"), F.explode(F.sequence(lo, hi)).alias("_bucket"))
+    p = points.withColumns({"_rid": F.monotonically_increasing_id(), "_b": F.floor(F.col(time) / bucket)})
+    on = F.col("_b") == F.col("_bucket")
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"_k_{k}"))
+    j = p.join(s, on & F.col(time).between(F.col("_lo"), F.col("_hi")), "left")
+    best = Window.partitionBy("_rid").orderBy(F.desc_nulls_last("nth"))
+    return j.withColumn("_r", F.row_number().over(best)).where("_r = 1").select(*points.columns, "nth")
+
+
+def overlapping_intervals(left: DataFrame, right: DataFrame, keys: list[str], bucket: float, how: str = "left_semi") -> DataFrame:
+    """Intervals (keys, a, b) of left that some of right overlaps (hi > a and lo < b), or with left_anti that none does; dealt to time buckets."""
+    deal = lambda df: df.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("a") / bucket), F.floor(F.col("b") / bucket))))
+    rid = left.withColumn("_rid", F.monotonically_increasing_id())
+    r = deal(right.select(*keys, "a", "b")).select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("_bucket").alias("_k"))
+    on = (F.col("_bucket") == F.col("_k")) & (F.col("b") > F.col("_a")) & (F.col("a") < F.col("_b"))
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"_k_{k}"))
+    met = deal(rid).join(r, on, "left_semi").groupBy("_rid").agg(F.lit(True).alias("_met"))
+    j = rid.join(met, "_rid", "left")
+    return j.where(F.col("_met") if how == "left_semi" else F.col("_met").isNull()).select(*left.columns)

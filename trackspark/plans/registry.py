@@ -1,6 +1,6 @@
 """Registered queries by name, and their DuckDB twins."""
 
-from trackspark.plans import fit_queries, more_queries, quality_queries, series_queries, stream_queries, track_queries
+from trackspark.plans import complete_queries, fit_queries, more_queries, quality_queries, series_queries, stream_queries, track_queries
 
-QUERIES: dict = track_queries.QUERIES | series_queries.QUERIES | stream_queries.QUERIES | more_queries.QUERIES | fit_queries.QUERIES | quality_queries.QUERIES
-ORACLE_SQL: dict = track_queries.ORACLE_SQL | series_queries.ORACLE_SQL | stream_queries.ORACLE_SQL | more_queries.ORACLE_SQL | fit_queries.ORACLE_SQL | quality_queries.ORACLE_SQL
+QUERIES: dict = track_queries.QUERIES | series_queries.QUERIES | stream_queries.QUERIES | more_queries.QUERIES | fit_queries.QUERIES | quality_queries.QUERIES | complete_queries.QUERIES
+ORACLE_SQL: dict = track_queries.ORACLE_SQL | series_queries.ORACLE_SQL | stream_queries.ORACLE_SQL | more_queries.ORACLE_SQL | fit_queries.ORACLE_SQL | quality_queries.ORACLE_SQL | complete_queries.ORACLE_SQL

@@ -39,15 +39,9 @@ def rnd(c: str, digits: int = 6) -> str:
     return f"case when abs({c}) < {0.5 * 10.0**-digits:e} then 0e0 else round({c}, {digits}) end"
 
 
-_known: dict = {}
-
-
 def messages(spark, d) -> DataFrame:
-    """The derived messages, kept for the session: every query starts from them."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _known:
-        _known[key] = M.surveillance(spark, d).persist()
-    return _known[key]
+    """The derived messages: one pass over events, pruned to the columns that a query needs; nothing is kept."""
+    return M.surveillance(spark, d)
 
 
 def events(spark, d) -> DataFrame:
