@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackspark.functions import scalars as S
-from trackspark.operators import compare, decode, fits, prepare, quality, regimes, render
+from trackspark.operators import compare, decode, fits, prepare, quality, regimes, render, segment_scores
 from trackspark.operators import timeseries as T
 from trackspark.plans.complete_queries import staged
 from trackspark.sources import files
@@ -273,3 +273,47 @@ def test_tables_in_the_catalog_and_sinks(spark):
     k = spark.createDataFrame([("a", 1.0, ["e"])], "track_id string, t double, events array<string>")
     assert files.split_events(k, k.select("track_id"), path).first().raw_event_count == 1 and "events" not in spark.read.parquet(f"{path}/main").columns
     assert spark.read.option("header", True).csv(files.write_csv({"r": k}, path)[0]).first().events == '["e"]'
+
+
+def test_segment_scores_equal_numpy(spark, segmented):
+    rows = staged(regimes.in_segments(segmented["rows"], segmented["segments"]), "rows")
+    f = staged(fits.fit_segments(rows), "fits")
+    traits = staged(regimes.segment_features(segmented["features"], segmented["labels"], segmented["segments"]), "traits")
+    got = segment_scores.segment_scores(rows, f, traits).toPandas()
+    data = rows.toPandas()
+    parts = [f"score_{k}" for k in segment_scores.WEIGHTS]
+    rms = lambda x: np.sqrt(np.mean(np.square(x)))
+    assert len(got) == f.where("error is null").count() and got[["score", *parts]].stack().between(0, 100).all()
+    for fit in f.where("track_id = 'turn' and error is null").collect():
+        m = got[(got.track_id == "turn") & (got.component == fit.component) & (got.segment == fit.segment)].iloc[0]
+        own = data[(data.track_id == "turn") & (data.component == fit.component) & (data.segment == fit.segment)].sort_values("t")
+        t, pos, vel = own.t.to_numpy(), own[NAMES[:3]].to_numpy(), own[NAMES[3:]].to_numpy()
+        at, mid = fits.evaluate_fit(fit.asDict(), t - fit.t0), fits.evaluate_fit(fit.asDict(), (t[1:] + t[:-1]) / 2 - fit.t0)[:, 1]
+        w = fits.velocity_scale(t, pos, vel)
+        step = np.maximum(np.sqrt(w[1:] * w[:-1]), 0.1)
+        slope = np.diff(pos, axis=0) / np.diff(t)[:, None]
+        mean = lambda v: np.average(v, axis=0, weights=step)
+        spread = lambda v: np.sqrt(np.average(np.sum((v - mean(v)) ** 2, 1), weights=step))
+        assert np.isclose(m.position_rmse, rms(np.linalg.norm(at[:, 0] - pos, axis=1)), atol=1e-6)
+        assert np.isclose(m.velocity_rmse, np.sqrt(np.average(np.sum((at[:, 1] - vel) ** 2, 1), weights=w)))
+        assert np.isclose(m.difference_rmse, np.sqrt(np.average(np.sum((mid - slope) ** 2, 1), weights=step)))
+        assert np.isclose(m.detail_ratio, spread(mid) / spread(slope), rtol=1e-4)
+        grid = np.append(np.arange(0, fit.t1 - fit.t0, 1.0), fit.t1 - fit.t0)
+        s = fits.evaluate_fit(fit.asDict(), grid)
+        assert np.isclose(m.accel_p95, np.quantile(np.linalg.norm(s[:, 2], axis=1), 0.95))
+        assert np.isclose(m.closure_velocity, rms(np.linalg.norm(np.diff(s[:, 0], axis=0) / np.diff(grid)[:, None] - (s[1:, 1] + s[:-1, 1]) / 2, axis=1)))
+        known = [(m[p], k) for p, k in zip(parts, segment_scores.WEIGHTS.values(), strict=True) if pd.notna(m[p])]
+        assert np.isclose(m.score, sum(a * b for a, b in known) / sum(b for _, b in known))
+
+
+def test_joins_by_event_and_gaps(spark):
+    j = spark.createDataFrame([("a", "m", "normal_segment_join", "airborne", 1.0, 2.0, 5.5, 43.0), ("a", "m", "go_around", "unknown", 9.0, 9.0, 9.0, 90.0), ("b", "m", "go_around", "ground", 1.0, 1.0, 1.0, 1.0)], "track_id string, method string, event string, regime string, jump_p double, jump_v double, jump_a double, jump_j double")
+    c = segment_scores.continuity_summary(j)
+    n = {(r.track_id, r.kind, r.bucket): (r.n, r.jump_a) for r in c.collect()}
+    assert n["a", "normal", "all"] == (1, 5.5) and n["a", "event", "go_around"] == (1, 9.0) and n["a", "event", "hard_gap"] == (0, 0.0) and n["a", "regime", "unknown"] == (1, 9.0) and n["b", "normal", "all"] == (0, 0.0)
+    assert {r.track_id: r.join_score for r in segment_scores.join_scores(c).collect()} == {"a": pytest.approx(50.0), "b": 100.0}
+    t = [*range(0, 60), *range(160, 200), *range(400, 420)]
+    s = spark.createDataFrame([("a", float(x)) for x in t] + [("b", 1.0), ("b", 2.0), ("c", 1.0)], "track_id string, t double")
+    r = spark.createDataFrame([("a", "m", x) for x in (59.5, 100.0, 130.0, 199.9, 399.5)] + [("a", "n", 60.0), ("b", "m", 1.5), ("c", "m", 1.0)], "track_id string, method string, t double")
+    got = {(x.track_id, x.method): (x.n_gaps, x.n_bridged, x.n_bridge_frames, x.gap_score) for x in segment_scores.gap_scores(s, r).collect()}
+    assert got == {("a", "m"): (2, 1, 2, 50.0), ("a", "n"): (2, 0, 0, 100.0), ("b", "m"): (0, 0, 0, 100.0), ("c", "m"): (0, 0, 0, None)}

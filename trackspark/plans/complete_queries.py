@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackspark.functions import scalars as S
-from trackspark.operators import compare, decode, evaluation, fits, prepare, quality, regimes, render, smoothing
+from trackspark.operators import compare, decode, evaluation, fits, prepare, quality, regimes, render, segment_scores, smoothing
 from trackspark.operators import timeseries as T
 from trackspark.plans.track_queries import KEYFRAMES_SQL, MESSAGES_SQL, SAMPLES_SQL, events, keyframes, messages, rnd, rounded, samples
 from trackspark.sources import files
@@ -212,6 +212,67 @@ def k20(spark, d):
     return fits.verify_continuity(fits.fit_segments(rows, ["piecewise_balanced"], fits.boundary_states(t["rows"], t["boundaries"])))
 
 
+def scored(spark, d) -> dict[str, DataFrame]:
+    """Segments, fits, features, joins and scores of the samples, each a written table."""
+    t, rows = segmented(spark, d)
+    out = t | {"data": staged(rows, "data")}
+    out["fits"] = staged(fits.fit_segments(out["data"]), "fits")
+    out["traits"] = staged(regimes.segment_features(t["features"], t["labels"], t["segments"]), "traits")
+    out["joins"] = staged(segment_scores.join_rows(t["boundaries"], t["segments"], fits.verify_continuity(out["fits"]), out["traits"]), "joins")
+    return out
+
+
+@query("e21_segment_scores")
+def e21(spark, d):
+    t = scored(spark, d)
+    return segment_scores.segment_scores(t["data"], t["fits"], t["traits"])
+
+
+@query("a18_event_and_regime_buckets")
+def a18(spark, d):
+    return segment_scores.continuity_summary(scored(spark, d)["joins"])
+
+
+@query("j12_join_table")
+def j12(spark, d):
+    t = scored(spark, d)
+    states = staged(fits.boundary_states(t["rows"], t["boundaries"]), "states")
+    sides = staged(fits.joins(t["rows"], fits.fit_residuals(t["data"], t["fits"]), t["fits"], t["segments"]), "sides")
+    return segment_scores.join_table(t["joins"], states, fits.harmonized_velocities(sides, states), sides)
+
+
+@query("a21_segment_table")
+def a21(spark, d):
+    t = scored(spark, d)
+    scores = segment_scores.segment_scores(t["data"], t["fits"], t["traits"])
+    return segment_scores.segment_table(scores, t["segments"], t["fits"], fits.select_params(t["traits"]))
+
+
+@query("a19_a21_trajectory_table")
+def a19(spark, d):
+    t = scored(spark, d)
+    scores = staged(segment_scores.segment_scores(t["data"], t["fits"], t["traits"]), "scores")
+    joins = segment_scores.join_scores(segment_scores.continuity_summary(t["joins"]))
+    gaps = segment_scores.gap_scores(t["rows"], fits.render_fits(t["fits"], 1.0))
+    return segment_scores.trajectory_table(scores, segment_scores.method_scores(scores, joins, gaps))
+
+
+@query("e22_gap_scores", SAMPLES_SQL + """, vg as (select track_id, t as a, lead(t) over (partition by track_id order by t) as b from s
+), vm as (select *, quantile_cont(case when b - a > 1e-6 then b - a end, 0.5) over (partition by track_id) as md from vg
+), vp as (select track_id, a + margin as a, b - margin as b from (select *, least(greatest(md, 0.25e0), greatest((b - a) * 0.25e0, 0.25e0)) as margin from vm where b - a > greatest(30e0, 5 * md))
+), ve as (select track_id, min(t) as t0, max(t) as t1, cast(floor((max(t) - min(t)) / 20e0 + 1e-9) as bigint) as n from s group by 1
+), vr as (select track_id, t0 + k * 20e0 as t from (select *, unnest(generate_series(0, n)) as k from ve) union all select track_id, t1 from ve where t0 + n * 20e0 < t1 - 1e-9
+), vi as (select p.track_id, p.a, count(r.t) as n from vp p left join vr r on r.track_id = p.track_id and r.t > p.a and r.t < p.b where p.b > p.a group by 1, 2
+), vc as (select track_id, count(*) as n_gaps, count(*) filter (n > 0) as n_bridged, sum(n) as n_bridge_frames from vi group by 1
+) select e.track_id, 'grid' as method, coalesce(n_gaps, 0) as n_gaps, coalesce(n_bridged, 0) as n_bridged, cast(coalesce(n_bridge_frames, 0) as bigint) as n_bridge_frames, """ + rnd("100e0 * (1 - coalesce(n_bridged, 0) / greatest(coalesce(n_gaps, 0), 1))") + """ as gap_score
+from ve e left join vc c using (track_id) where e.t1 > e.t0""")
+def e22(spark, d):
+    s = samples(spark, d)
+    grid = T.resample(s, ["track_id"], "t", 20.0).withColumn("method", F.lit("grid"))
+    g = segment_scores.gap_scores(s, grid).where("gap_score is not null")
+    return g.select("track_id", "method", "n_gaps", "n_bridged", "n_bridge_frames", rounded("gap_score").alias("gap_score"))
+
+
 @query("m20_bad_segments")
 def m20(spark, d):
     rows = segmented(spark, d)[1]
