@@ -35,6 +35,12 @@ def _norm(*columns: str) -> Column:
     return F.sqrt(reduce(lambda a, b: a + b, [F.col(c) * F.col(c) for c in columns]))
 
 
+def _mean_score(parts: list[tuple[Column, float]]) -> Column:
+    """P26, held at 100 where rounding passes it."""
+    x = S.weighted_score(parts)
+    return F.when(x > 100, 100.0).otherwise(x)
+
+
 def _weighted_rms(value: Column, weight: Column) -> Column:
     return F.sqrt(F.sum(weight * value * value) / F.nullif(F.sum(F.when(value.isNotNull(), weight)), F.lit(0.0)))
 
@@ -161,14 +167,14 @@ def segment_scores(rows: DataFrame, fitted: DataFrame, features: DataFrame, step
     # Soft and hard limits of each metric, and its weight in its part.
     parts = {
         "position": low("position_rmse", 25, 180),
-        "velocity": S.weighted_score([(low("velocity_rmse", 10, 55), 0.55), (low("velocity_p95", 25, 95), 0.25), (low("velocity_vertical_rmse", 3, 18), 0.20)]),
-        "difference": S.weighted_score([(low("difference_rmse", 12, 70), 0.38), (low("difference_horizontal_rmse", 10, 65), 0.26), (low("difference_vertical_rmse", 3, 20), 0.18), (low("heading_median", 5, 45), 0.18)]),
-        "smoothness": S.weighted_score([(low("calm_rms", 0.08, 0.80), 0.42), (low("jerk_p95", 8, 55), 0.26), (low("snap_rms", 4, 80), 0.20), (F.when(F.col("jerk_rms").isNotNull(), low("turns_a_minute", 3, 30)), 0.12)]),
-        "plausibility": S.weighted_score([(plausible("accel_p95", 0), 0.45), (plausible("turn_p95", 1), 0.35), (plausible("vertical_accel_p95", 2), 0.20)]),
+        "velocity": _mean_score([(low("velocity_rmse", 10, 55), 0.55), (low("velocity_p95", 25, 95), 0.25), (low("velocity_vertical_rmse", 3, 18), 0.20)]),
+        "difference": _mean_score([(low("difference_rmse", 12, 70), 0.38), (low("difference_horizontal_rmse", 10, 65), 0.26), (low("difference_vertical_rmse", 3, 20), 0.18), (low("heading_median", 5, 45), 0.18)]),
+        "smoothness": _mean_score([(low("calm_rms", 0.08, 0.80), 0.42), (low("jerk_p95", 8, 55), 0.26), (low("snap_rms", 4, 80), 0.20), (F.when(F.col("jerk_rms").isNotNull(), low("turns_a_minute", 3, 30)), 0.12)]),
+        "plausibility": _mean_score([(plausible("accel_p95", 0), 0.45), (plausible("turn_p95", 1), 0.35), (plausible("vertical_accel_p95", 2), 0.20)]),
         "detail": S.score_ratio_band(F.col("detail_ratio"), 0.35, 1.20, 0.08, 2.50),
-        "closure": S.weighted_score([(low("closure_velocity", 0.25, 5), 0.55), (low("closure_accel", 0.10, 3), 0.45)]),
+        "closure": _mean_score([(low("closure_velocity", 0.25, 5), 0.55), (low("closure_accel", 0.10, 3), 0.45)]),
     }
-    out = m.withColumns({f"score_{k}": c for k, c in parts.items()}).withColumn("score", S.weighted_score([(F.col(f"score_{k}"), w) for k, w in WEIGHTS.items()]))
+    out = m.withColumns({f"score_{k}": c for k, c in parts.items()}).withColumn("score", _mean_score([(F.col(f"score_{k}"), w) for k, w in WEIGHTS.items()]))
     return out.withColumns({"duration": F.col("t1") - F.col("t0"), "grade": S.score_interpretation(F.col("score"))})
 
 
@@ -192,7 +198,7 @@ def continuity_summary(joined: DataFrame, keys: tuple[str, ...] = ("track_id", "
 
 def join_scores(summary: DataFrame, keys: tuple[str, ...] = ("track_id", "method")) -> DataFrame:
     """Of continuity_summary(): 0.58 of the largest acceleration jump's score and 0.42 of the jerk jump's over normal joins; 100 where there are none."""
-    score = S.weighted_score([(S.score_low(F.col("jump_a"), 1, 10), 0.58), (S.score_low(F.col("jump_j"), 6, 80), 0.42)])
+    score = _mean_score([(S.score_low(F.col("jump_a"), 1, 10), 0.58), (S.score_low(F.col("jump_j"), 6, 80), 0.42)])
     return summary.where("kind = 'normal'").select(*keys, F.col("n").alias("n_normal_joins"), F.col("jump_a").alias("normal_accel_jump"), F.col("jump_j").alias("normal_jerk_jump"), F.when(F.col("n") == 0, 100.0).otherwise(score).alias("join_score"))
 
 
@@ -242,7 +248,7 @@ def method_scores(scores: DataFrame, joins: DataFrame, gaps: DataFrame) -> DataF
     mean = lambda c: F.sum(w * F.col(c)) / F.nullif(F.sum(F.when(F.col(c).isNotNull(), w)), F.lit(0.0))
     g = scores.groupBy(*keys).agg(F.count("*").alias("n_segments"), mean("score").alias("segment_score"), *(mean(f"score_{k}").alias(f"mean_{k}") for k in WEIGHTS))
     out = g.join(joins, keys, "left").join(gaps, keys, "left").withColumns({"join_score": F.coalesce("join_score", F.lit(100.0)), "locality": compare.locality_score(F.col("method"), F.col("n_segments"))})
-    total = S.weighted_score([(F.col("segment_score"), 0.72), (F.col("join_score"), 0.12), (F.col("gap_score"), 0.10), (F.col("locality"), 0.06)])
+    total = _mean_score([(F.col("segment_score"), 0.72), (F.col("join_score"), 0.12), (F.col("gap_score"), 0.10), (F.col("locality"), 0.06)])
     return out.withColumn("total", total).withColumn("grade", S.score_interpretation(F.col("total")))
 
 
