@@ -95,6 +95,8 @@ def evidence_metrics(e: DataFrame) -> DataFrame:
     steps = F.percentile(F.when(F.col("dt") > 1e-6, F.col("dt")), 0.5).over(Window.partitionBy(*KEYS))
     limit = F.greatest(F.lit(30.0), 5 * steps)
     e = e.withColumns({"_e": _norm("ex", "ey", "ez"), "_miss": _norm("wx", "wy", "wz"), "_use": F.when((F.col("dt") > 1e-6) & (F.col("dt") <= limit), F.col("weight"))})
+    part = Window.partitionBy(*KEYS)
+    e = e.withColumns({f"_{p}{c}": F.sum(F.col("_use") * F.col(f"{p}{c}")).over(part) / F.nullif(F.sum("_use").over(part), F.lit(0.0)) for p in "fm" for c in "xyz"})
     use, near = F.col("_use"), F.col("_use").isNotNull()
     d = {c: F.col(f"m{c}") - F.col(f"f{c}") for c in "xyz"}
     flat = F.sqrt(d["x"] * d["x"] + d["y"] * d["y"])
@@ -104,9 +106,8 @@ def evidence_metrics(e: DataFrame) -> DataFrame:
     reliable = F.col("confidence") > 0.05
 
     def variability(p: str) -> Column:
-        square = F.sum(use * sum((F.col(f"{p}{c}") * F.col(f"{p}{c}") for c in "xyz"), F.lit(0.0))) / total
-        mean = sum(((F.sum(use * F.col(f"{p}{c}")) / total) ** 2 for c in "xyz"), F.lit(0.0))
-        return F.when(F.count(use) >= 2, F.sqrt(F.greatest(square - mean, F.lit(0.0))))
+        square = reduce(lambda x, y: x + y, [(F.col(f"{p}{c}") - F.col(f"_{p}{c}")) ** 2 for c in "xyz"])
+        return F.when(F.count(use) >= 2, F.sqrt(F.sum(use * square) / total))
 
     enough = (F.count_if(reliable) >= 2) & (F.sum(F.when(reliable, F.col("confidence"))) > 1e-9)
     g = e.groupBy(*KEYS).agg(
