@@ -64,7 +64,8 @@ def gradients(df: DataFrame, keys: list[str], time: str, columns: dict[str, str]
         df = df.withColumn("_i", F.row_number().over(w))
         for c in columns:
             known = F.when(F.col(c).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(c).alias("v")))
-            df = df.withColumns({"_a": F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_b": F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+            back = Window.partitionBy(*keys).orderBy(F.desc("_i"))
+            df = df.withColumns({"_a": F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_b": F.last(known, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))})
             a, b = F.col("_a"), F.col("_b")
             between = a["v"] + (b["v"] - a["v"]) * (F.col("_i") - a["i"]) / (b["i"] - a["i"])
             df = df.withColumn(f"_f_{c}", F.coalesce(F.col(c), F.when(a.isNull(), b["v"]).when(b.isNull(), a["v"]).otherwise(between)))
@@ -300,12 +301,13 @@ def model_score(metrics: DataFrame) -> DataFrame:
     return m.withColumns({"score": score, "loss": 100 - score, "grade": S.score_interpretation(score)})
 
 
-def evaluate(samples: DataFrame, render: DataFrame, shapes: DataFrame | None = None) -> DataFrame:
-    """All metrics of every (track, method) as one wide row. shapes: a table by track and method of E4 to E6, if wanted.
+def evaluate(samples: DataFrame, render: DataFrame, shapes: DataFrame | None = None, stage=lambda df, name: df) -> DataFrame:
+    """All metrics of every (track, method) as one wide row. shapes: a table by track and method of E4 to E6, if wanted. stage(df, name):
+    how the motion, which six tables read, is kept (a written table on a cluster).
 
     Metrics that a track cannot have are NULL; a track that has no sample keeps its row.
     """
-    m = motion(render)
+    m = stage(motion(render), "motion")
     out = motion_metrics(m)
     segments = render.groupBy(*KEYS).agg(F.count_distinct("segment").alias("n_segments"))
     tables = (segments, spectrum_metrics(m), position_metrics(samples, render), velocity_metrics(samples, render), gap_behavior(samples, m), gap_honesty(samples, render), derivative_closure(m), difference_evidence(samples, render), join_metrics(samples, m))
@@ -384,12 +386,6 @@ def require_all(metrics: DataFrame, name: str = "method", flight: str = "track_i
     return metrics.join(whole, name, "left_semi")
 
 
-def join_score(dv: Column, da: Column, dj: Column | None = None) -> Column:
-    """0.58 of the acceleration's and 0.42 of the jerk's score where both are known; without jerk the velocity's takes its place."""
-    second = S.score_low(dj, 2.0, 20.0) if dj is not None else S.score_low(dv, 1.5, 18.0)
-    return S.weighted_score([(S.score_low(da, 0.8, 10.0), 0.58), (second, 0.42)])
-
-
 def aggregate_scores(segments: DataFrame, keys: list[str], parts: dict[str, float], score: str = "score") -> DataFrame:
     """segments(keys, regime, duration, score, join_score, gap_score, locality) -> duration-weighted score by regime and over all,
     and 0.72 segment + 0.12 join + 0.10 gap + 0.06 locality over the parts that are known. Rows with regime NULL are the total."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,12 +30,28 @@ def energy_labels(features: DataFrame, slow: float = 25.0, vertical: float = 1.0
     return features.withColumn("label", F.when(F.col("speed") < slow, "ground_slow").when(v > vertical, "climb").when(v < -vertical, "descent").otherwise("level"))
 
 
-def velocity_confidence(features: DataFrame, gate: float = 55.0, still: float = 3.0) -> DataFrame:
-    """1 up to the gate, 0 from three gates on, and 0 without motion."""
-    m = F.col("mismatch")
-    scale = F.when(m <= gate, 1.0).when(m >= 3 * gate, 0.0).otherwise((3 * gate - m) / (2 * gate))
-    moving = F.when(F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")) < still, 0.0).otherwise(1.0)
-    return features.withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), scale * moving)))
+def velocity_confidence(samples: DataFrame, keys: tuple[str, ...] = ("track_id",), gate: float = 55.0, vertical: float = 9.0, angle: float = 35.0, still: float = 3.0, near: float = 10.0) -> DataFrame:
+    """Samples with `confidence`, how far a reported velocity agrees with the two-point slope of positions (W6), in 0 to 1.
+
+    The product of gate / mismatch beyond the gate (0 beyond three gates), vertical / vertical mismatch, angle / angle between the
+    directions (1 where either is below `still`), and 0 where the slope is below `still` or the nearer neighbour (W16) closer than
+    `near` metres. 1 for a key of one row.
+    """
+    own, keys = samples.columns, list(keys)
+    s = samples
+    for c in "xyz":
+        s = T.sample_gradient(s, keys, "t", c, f"_d{c}", 1e-9)
+    s = T.neighbour_step(s, keys, "t", ["x", "y", "z"], "_near")
+    square = lambda *c: reduce(lambda a, b: a + b, [x * x for x in c])
+    off = [F.col(f"v{c}") - F.col(f"_d{c}") for c in "xyz"]
+    s = s.withColumns({"_miss": F.sqrt(square(*off)), "_up": F.abs(off[2]), "_said": F.sqrt(square(F.col("vx"), F.col("vy"))), "_moved": F.sqrt(square(F.col("_dx"), F.col("_dy")))})
+    cosine = (F.col("vx") * F.col("_dx") + F.col("vy") * F.col("_dy")) / F.greatest(F.col("_said") * F.col("_moved"), F.lit(1e-9))
+    apart = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
+    within = lambda limit, x: F.least(F.lit(1.0), F.lit(limit) / F.greatest(x, F.lit(limit)))
+    slow = (F.col("_said") < still) | (F.col("_moved") < still)
+    scale = F.when(F.col("_miss") > 3 * gate, 0.0).otherwise(within(gate, F.col("_miss"))) * within(vertical, F.col("_up")) * F.when(slow, 1.0).otherwise(within(angle, apart))
+    held = F.when(F.col("_near").isNull(), 1.0).when((F.col("_moved") < still) | (F.col("_near") < near), 0.0).otherwise(scale)
+    return s.withColumn("confidence", held).select(*own, "confidence")
 
 
 def stabilize_labels(labelled: DataFrame, min_points: int, min_seconds: float, passes: int = 12) -> DataFrame:

@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackspark.functions import scalars as S
+from trackspark.operators import banded
 from trackspark.operators import timeseries as T
+from trackspark.operators.banded import local_basis
 from trackspark.operators.regimes import COMPONENT
-from trackspark.operators.splines import basis
 
 SEGMENT = [*COMPONENT, "segment"]
 PRESETS = ("accurate", "balanced", "smooth")
@@ -25,7 +26,8 @@ PRESETS = ("accurate", "balanced", "smooth")
 
 @dataclass(frozen=True)
 class Config:
-    """What a fit minimises: weights of positions, velocities, anchors' priors and of the integrals of squared derivatives."""
+    """What a fit minimises: weights of positions, velocities, anchors' priors and of the integrals of squared derivatives; and on what: rows
+    up to `overlap` seconds beyond the segment, or the `whole` component, with the share of filter states in the boundary states."""
 
     family: str = "bspline"
     degree: int = 3
@@ -48,6 +50,8 @@ class Config:
     overlap: float = 0.0
     robust: int = 2
     filter_blend: float = 0.0
+    whole: bool = False
+    hard_velocity: bool = False
 
 
 _BASE = {
@@ -71,7 +75,7 @@ def variants() -> dict[str, Config]:
         )
         hermite = replace(base, family="hermite", velocity=velocity, eta=eta)
         out |= {
-            f"piecewise_{p}": base, f"hermite_{p}": hermite, f"global_{p}": replace(base, anchored=False, accel_prior=0.0), f"overlap_{p}": replace(base, velocity_prior=0.15, overlap=pick(10.0, 16.0, 28.0)),
+            f"piecewise_{p}": base, f"hermite_{p}": hermite, f"global_{p}": replace(base, anchored=False, accel_prior=0.0, whole=True), f"overlap_{p}": replace(base, velocity_prior=0.15, overlap=pick(10.0, 16.0, 28.0)),
             f"join_smooth_{p}": replace(base, accel_prior=pick(0.22, 0.45, 0.90), jerk=pick(0.015, 0.035, 0.080)), f"stable_hermite_{p}": replace(hermite, velocity=velocity * 0.25, floor=pick(25.0, 35.0, 45.0)),
             f"quintic_{p}": quintic, f"quintic_filter_{p}": replace(quintic, filter_blend=0.5),
         }
@@ -96,7 +100,7 @@ class Methods:
     """A registry name -> (configuration, function of a group's arrays to a row); the built-in families are there from the start."""
 
     def __init__(self):
-        self.known = {n: (c, solve_hermite if c.family == "hermite" else solve_bspline) for n, c in variants().items()}
+        self.known = {n: (c, solve_hermite if c.family == "hermite" else solve_bspline) for n, c in variants().items()} | {f"searched_hermite_{p}": (variants()[f"hermite_{p}"], solve_searched) for p in PRESETS}
 
     def register(self, name: str, config: Config, solve) -> None:
         if name in self.known:
@@ -120,11 +124,31 @@ def interval_weights(t: np.ndarray, pos: np.ndarray, cfg: Config, ends: tuple[fl
     return lam, factor
 
 
+def velocity_confidence(t: np.ndarray, pos: np.ndarray, vel: np.ndarray, gate: float = 55.0, vertical: float = 9.0, angle: float = 35.0, still: float = 3.0, near: float = 10.0) -> np.ndarray:
+    """M17 of a fit's own rows, as features.velocity_confidence(): agreement with the two-point slope in size, height and direction, and motion."""
+    if len(t) < 2 or not (np.diff(t) > 0).all():
+        return np.ones(len(t))
+    slope = _slope(t, pos)
+    miss = np.linalg.norm(vel - slope, axis=1)
+    out = np.where(miss > 3 * gate, 0.0, np.minimum(1.0, gate / np.maximum(miss, gate)))
+    out *= np.minimum(1.0, vertical / np.maximum(np.abs(vel[:, 2] - slope[:, 2]), vertical))
+    reported, moved = (np.linalg.norm(v[:, :2], axis=1) for v in (vel, slope))
+    apart = np.degrees(np.arccos(np.clip((vel[:, :2] * slope[:, :2]).sum(1) / np.maximum(reported * moved, 1e-9), -1, 1)))
+    out *= np.where((reported < still) | (moved < still), 1.0, np.minimum(1.0, angle / np.maximum(apart, angle)))
+    step = np.linalg.norm(np.diff(pos, axis=0), axis=1)
+    return np.where((moved < still) | (np.minimum(np.r_[step[0], step], np.r_[step, step[-1]]) < near), 0.0, out)
+
+
+def _slope(t: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Two-point differences: over both neighbours inside, over one at the ends."""
+    before, after = np.maximum(np.arange(len(t)) - 1, 0), np.minimum(np.arange(len(t)) + 1, len(t) - 1)
+    return (pos[after] - pos[before]) / np.maximum(t[after] - t[before], 1e-9)[:, None]
+
+
 def velocity_scale(t: np.ndarray, pos: np.ndarray, vel: np.ndarray, gate: float = 50.0) -> np.ndarray:
-    """Gate / mismatch beyond the gate, 0 beyond three gates, against the two-point slope of positions."""
-    slope = np.gradient(pos, t, axis=0) if len(t) > 1 else np.zeros_like(pos)
-    miss = np.linalg.norm(slope - vel, axis=1)
-    return np.where(miss > 3 * gate, 0.0, np.minimum(1.0, gate / np.maximum(miss, 1e-9)))
+    """Gate / mismatch beyond the gate, 0 beyond three gates, against the two-point slope of positions; times M17."""
+    miss = np.linalg.norm(_slope(t, pos) - vel, axis=1) if len(t) > 1 else np.zeros(len(t))
+    return np.where(miss > 3 * gate, 0.0, np.minimum(1.0, gate / np.maximum(miss, gate))) * velocity_confidence(t, pos, vel)
 
 
 def knot_vector(t: np.ndarray, cfg: Config, at: np.ndarray, most: int = 900) -> np.ndarray:
@@ -147,54 +171,67 @@ _GAUSS = np.polynomial.legendre.leggauss(3)
 
 
 def solve_bspline(t: np.ndarray, pos: np.ndarray, vel: np.ndarray, cfg: Config, anchors: list[dict] = (), ends: tuple[float, ...] = (), scale: np.ndarray | None = None) -> dict:
-    """K4: anchors (t, p and, as priors, v, a, c) are met exactly by a KKT system, or in part by cfg.position_prior; Huber weights in robust + 1 solves."""
+    """K4: anchors (t, p and, as priors, v, a, c) are met exactly under multipliers, or in part by cfg.position_prior; velocities too with
+    cfg.hard_velocity; Huber weights in robust + 1 solves. The integrals of squared derivatives count once for each row.
+
+    The normal matrix has degree + 1 bands, so time and memory are linear in the rows, also for a whole component.
+    """
     n, d = len(t), cfg.degree
-    at = np.array([a["t"] for a in anchors], float)
-    knots = knot_vector(t, cfg, at)
-    b0, b1 = basis(knots, d, t), basis(knots, d, t, 1)
-    m = b0.shape[1]
+    knots = knot_vector(t, cfg, np.array([a["t"] for a in anchors], float))
+    rows = [local_basis(knots, d, t, k) for k in (0, 1)]
+    m = len(knots) - d - 1
     lam, factor = interval_weights(t, pos, cfg, ends)
     grid = np.unique(np.r_[t, knots])
     h = np.diff(grid)
-    x = (grid[:-1, None] + grid[1:, None]) / 2 + h[:, None] / 2 * _GAUSS[0]
+    x = ((grid[:-1, None] + grid[1:, None]) / 2 + h[:, None] / 2 * _GAUSS[0]).ravel()
     w = (h[:, None] / 2 * _GAUSS[1]).ravel()
-    of = np.clip(np.searchsorted(t, x.ravel(), "right") - 1, 0, n - 2)
-    fixed = np.zeros((m, m))
+    of = np.clip(np.searchsorted(t, x, "right") - 1, 0, n - 2)
+    fixed = np.zeros((d + 1, m))
     for order, weight in ((2, lam[of]), (3, cfg.jerk * factor[of]), (4, cfg.snap * factor[of])):
         if order <= d and np.any(weight > 0):
-            b = basis(knots, d, x.ravel(), order)
-            fixed += n * (b.T @ (b * (w * weight)[:, None])) / max(n, 1)
+            fixed += n * banded.normal(*local_basis(knots, d, x, order), w * weight, m)
     vs = velocity_scale(t, pos, vel) if scale is None else scale
-    fixed += cfg.velocity * b1.T @ (b1 * vs[:, None]) + 1e-7 * np.eye(m)
-    right = cfg.velocity * b1.T @ (vel * vs[:, None])
+    fixed += banded.normal(*rows[1], cfg.velocity * vs, m)
+    fixed[0] += 1e-7
+    right = banded.transposed(*rows[1], cfg.velocity * vs[:, None] * vel, m)
+    held, target = [], []
+    priors: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {"p": [], "v": [], "a": []}
     for a in anchors:
         for key, order, weight in (("p", 0, cfg.position_prior), ("v", 1, cfg.velocity_prior), ("a", 2, cfg.accel_prior)):
-            if a.get(key) is not None and weight > 0:
-                row = basis(knots, d, np.array([a["t"]]), order)
-                own = weight * (0.25 + 0.75 * a.get("c", 1.0))
-                fixed += own * row.T @ row
-                right = right + own * row.T @ np.asarray(a[key], float)[None]
-    hard = [a for a in anchors if cfg.anchored and cfg.position_prior == 0 and a.get("p") is not None]
-    c0 = basis(knots, d, np.array([a["t"] for a in hard]), 0) if hard else np.zeros((0, m))
-    target = np.array([a["p"] for a in hard], float).reshape(len(hard), 3)
+            if a.get(key) is None or order > d:
+                continue
+            at, row = local_basis(knots, d, np.array([float(a["t"])]), order)
+            value = np.asarray(a[key], float)
+            if cfg.anchored and (key == "p" and cfg.position_prior == 0 or key == "v" and cfg.hard_velocity):
+                held.append(banded.dense(at, row, m)[0])
+                target.append(value)
+            elif weight > 0:
+                own = np.array([weight * (0.25 + 0.75 * a.get("c", 1.0))])
+                fixed += banded.normal(at, row, own, m)
+                right += banded.transposed(at, row, own[:, None] * value[None], m)
+            else:
+                continue
+            priors[key].append((banded.dense(at, row, m)[0], value))
+    held, target = np.array(held).reshape(-1, m), np.array(target).reshape(-1, 3)
     weight = np.ones(n)
     for k in range(cfg.robust + 1):
-        a = cfg.position * b0.T @ (b0 * weight[:, None]) + fixed
-        r = cfg.position * b0.T @ (pos * weight[:, None]) + right
-        if len(hard):
-            full = np.block([[a, c0.T], [c0, np.zeros((len(hard), len(hard)))]])
-            c = np.linalg.lstsq(full, np.vstack([r, target]), rcond=None)[0][:m] if len(hard) >= m else np.linalg.solve(full, np.vstack([r, target]))[:m]
-        else:
-            c = np.linalg.solve(a, r)
-        miss = np.linalg.norm(b0 @ c - pos, axis=1)
+        low = banded.factor(fixed + banded.normal(*rows[0], cfg.position * weight, m))
+        c = banded.constrained(low, right + banded.transposed(*rows[0], cfg.position * weight[:, None] * pos, m), held, target)
+        miss = np.linalg.norm(banded.applied(*rows[0], c) - pos, axis=1)
         if k < cfg.robust:
             weight = np.minimum(1.0, cfg.delta / np.maximum(miss, cfg.delta))
-    velocity = np.linalg.norm(b1 @ c - vel, axis=1)
-    gap = np.linalg.norm(c0 @ c - target, axis=1) if len(hard) else np.zeros(1)
-    return {
-        "degree": d, "knots": knots, "cx": c[:, 0], "cy": c[:, 1], "cz": c[:, 2], "n_basis": m, "rmse": float(np.sqrt((miss**2).mean())), "p95": float(np.quantile(miss, 0.95)), "most": float(miss.max()),
-        "velocity_rmse": float(np.sqrt((velocity**2).mean())), "anchor_error": float(gap.max()), "lambda_low": float(lam.min()), "lambda_high": float(lam.max()), "least_weight": float(weight.min()),
-    }
+    velocity = np.linalg.norm(banded.applied(*rows[1], c) - vel, axis=1)
+    off = {k: np.array([np.linalg.norm(row @ c - value) for row, value in v]) for k, v in priors.items()}
+    return {"degree": d, "knots": knots, "cx": c[:, 0], "cy": c[:, 1], "cz": c[:, 2], "n_basis": m, "least_weight": float(weight.min())} | _told(miss, velocity, lam, vs, off)
+
+
+def _told(miss: np.ndarray, velocity: np.ndarray, lam: np.ndarray, vs: np.ndarray, off: dict[str, np.ndarray]) -> dict:
+    """Errors of a fit at its rows and at its anchors (p position, v velocity, a acceleration; NULL without such anchors), and its weights."""
+    out = {"rmse": float(np.sqrt((miss**2).mean())), "p95": float(np.quantile(miss, 0.95)), "most": float(miss.max()), "velocity_rmse": float(np.sqrt((velocity**2).mean()))}
+    for key, name in (("p", "anchor"), ("v", "anchor_velocity"), ("a", "anchor_accel")):
+        known = len(off.get(key, ())) > 0
+        out |= {f"{name}_error": float(off[key].max()) if known else None, f"{name}_p95": float(np.quantile(off[key], 0.95)) if known else None}
+    return out | {"lambda_low": float(lam.min(initial=np.inf)), "lambda_high": float(lam.max(initial=0)), "velocity_weight_low": float(vs.min()), "velocity_weight_median": float(np.median(vs))}
 
 
 def _blocks(t: np.ndarray, lam: np.ndarray, gamma: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,48 +269,90 @@ def solve_blocks(diag: np.ndarray, upper: np.ndarray, right: np.ndarray) -> tupl
 
 
 def solve_hermite(t: np.ndarray, pos: np.ndarray, vel: np.ndarray, cfg: Config, anchors: list[dict] = (), ends: tuple[float, ...] = (), scale: np.ndarray | None = None) -> dict:
-    """K5 and K7's score: nodal positions and velocities; anchors at the first and last row hold their entries exactly. loocv: leave-one-out
+    """K5 and K7's score: nodal positions and velocities; the entries of anchors, which must stand at rows, are held. loocv: leave-one-out
     error from the diagonal of the smoother, over entries that are free."""
-    n = len(t)
+    vs = velocity_scale(t, pos, vel) if scale is None else scale
     lam, _ = interval_weights(t, pos, cfg, ends)
-    gamma = cfg.velocity * (velocity_scale(t, pos, vel) if scale is None else scale)
+    held = {}
+    for a in anchors:
+        node = int(np.abs(t - a["t"]).argmin())
+        if abs(t[node] - a["t"]) > 1e-6:
+            raise ValueError(f"an anchor at {a['t']} s stands at no row")
+        if cfg.anchored:
+            held |= {(node, k): np.asarray(a[key], float) for k, key in ((0, "p"), (1, "v")) if a.get(key) is not None}
+    theta, loocv = hermite_nodes(t, pos, vel, lam, cfg.velocity * vs, held)
+    miss, velocity = np.linalg.norm(theta[:, 0] - pos, axis=1), np.linalg.norm(theta[:, 1] - vel, axis=1)
+    off = {key: np.array([np.linalg.norm(theta[int(np.abs(t - a["t"]).argmin()), k] - np.asarray(a[key], float)) for a in anchors if a.get(key) is not None]) for k, key in ((0, "p"), (1, "v"))}
+    return {"degree": 3, "knots": t, "cx": theta[:, :, 0].ravel(), "cy": theta[:, :, 1].ravel(), "cz": theta[:, :, 2].ravel(), "n_basis": 2 * len(t), "least_weight": 1.0, "loocv": loocv} | _told(miss, velocity, lam, vs, off)
+
+
+def hermite_nodes(t: np.ndarray, pos: np.ndarray, vel: np.ndarray, lam: np.ndarray, gamma: np.ndarray, held: dict[tuple[int, int], np.ndarray] | None = None) -> tuple[np.ndarray, float]:
+    """Nodes (row, position and velocity, axis) of the block-tridiagonal system with the held entries eliminated, and the leave-one-out score."""
+    n, held = len(t), held or {}
     diag, upper = _blocks(t, lam, gamma)
-    data = np.stack([pos, vel], 1)
-    weight = np.stack([np.ones(n), gamma], 1)
+    data, weight = np.stack([pos, vel], 1), np.stack([np.ones(n), gamma], 1)
     right = weight[:, :, None] * data
-    held = np.zeros((n, 2), bool)
-    for a in anchors if cfg.anchored else ():
-        node = int(np.abs(t - a["t"]).argmin())
-        if node in (0, n - 1):
-            for k, key in ((0, "p"), (1, "v")):
-                if a.get(key) is not None:
-                    value = np.asarray(a[key], float)
-                    held[node, k] = True
-                    right[node] -= diag[node][:, k][:, None] * value
-                    if node:
-                        right[node - 1] -= upper[node - 1][:, k][:, None] * value
-                        upper[node - 1][:, k] = 0
-                    else:
-                        right[1] -= upper[0].T[:, k][:, None] * value
-                        upper[0][k, :] = 0
-                    diag[node][k, :], diag[node][:, k] = 0, 0
-                    diag[node][k, k] = 1.0
-                    right[node, k] = value
-        for other in range(2):  # entries held before keep their values
-            if node in (0, n - 1) and held[node, other]:
-                key = "pv"[other]
-                right[node, other] = np.asarray(a[key], float)
+    for (node, k), value in held.items():
+        right[node] -= diag[node][:, k, None] * value
+        if node:
+            right[node - 1] -= upper[node - 1][:, k, None] * value
+            upper[node - 1][:, k] = 0
+        if node < n - 1:
+            right[node + 1] -= upper[node][k, :, None] * value
+            upper[node][k] = 0
+        diag[node][k], diag[node][:, k] = 0, 0
+        diag[node][k, k] = 1.0
+    for (node, k), value in held.items():
+        right[node, k] = value
     theta, inverse = solve_blocks(diag, upper, right)
-    miss = np.linalg.norm(theta[:, 0] - pos, axis=1)
-    free = ~held
+    free = np.ones((n, 2), bool)
+    for entry in held:
+        free[entry] = False
     lever = np.maximum(1 - np.stack([inverse[:, 0, 0], inverse[:, 1, 1]], 1) * weight, 1e-6)
     scaled = (theta - data) / lever[:, :, None]
-    loocv = float((weight[:, :, None] * scaled**2)[free].sum() / max(3 * free[:, 0].sum(), 1))
-    return {
-        "degree": 3, "knots": t, "cx": theta[:, :, 0].ravel(), "cy": theta[:, :, 1].ravel(), "cz": theta[:, :, 2].ravel(), "n_basis": 2 * n, "rmse": float(np.sqrt((miss**2).mean())), "p95": float(np.quantile(miss, 0.95)),
-        "most": float(miss.max()), "velocity_rmse": float(np.sqrt((np.linalg.norm(theta[:, 1] - vel, axis=1) ** 2).mean())), "anchor_error": float(miss[held[:, 0]].max(initial=0.0)) if not len(anchors) else 0.0,
-        "lambda_low": float(lam.min(initial=0)), "lambda_high": float(lam.max(initial=0)), "least_weight": 1.0, "loocv": loocv,
-    }
+    return theta, float((weight[:, :, None] * scaled**2)[free].sum() / max(3 * free[:, 0].sum(), 1))
+
+
+#: K7: bounds of log10 of eta and of the velocity weight, the first step and the least one.
+SEARCH = ((2.0, 7.0), (-3.0, 0.5), 1.0, 0.05)
+
+
+def search_hermite(t: np.ndarray, pos: np.ndarray, vel: np.ndarray, cfg: Config, bounds: tuple = SEARCH) -> tuple[Config, float, int]:
+    """K7: eta and velocity weight of least leave-one-out error, its value and the number of solves.
+
+    A pattern search from cfg in log10 space: the first of four neighbours, and of the last move's repetition, that is better is the
+    next place, and a place without a better neighbour halves the step. The slopes, the intervals' shape and M17 x M18 are computed
+    once; each place scales them and solves the block-tridiagonal system. No derivative is used, and a place is never solved twice.
+    """
+    (e0, e1), (g0, g1), step, least = bounds
+    vs = velocity_scale(t, pos, vel)
+    shape, _ = interval_weights(t, pos, replace(cfg, eta=1.0))
+    known: dict[tuple[float, float], float] = {}
+
+    def cost(at: tuple[float, float]) -> float:
+        if at not in known:
+            try:
+                known[at] = hermite_nodes(t, pos, vel, 10.0 ** at[0] * shape, 10.0 ** at[1] * vs)[1]
+            except np.linalg.LinAlgError:
+                known[at] = np.inf
+        return known[at]
+
+    inside = lambda e, g: (float(np.clip(e, e0, e1)), float(np.clip(g, g0, g1)))
+    now, move = inside(np.log10(cfg.eta), np.log10(max(cfg.velocity, 1e-9))), (0.0, 0.0)
+    while step >= least:
+        tries = [move, (step, 0.0), (-step, 0.0), (0.0, step), (0.0, -step)]
+        better = next((to for d in tries if (to := inside(now[0] + d[0], now[1] + d[1])) != now and cost(to) < cost(now)), None)
+        if better is None:
+            step, move = step / 2, (0.0, 0.0)
+        else:
+            now, move = better, (better[0] - now[0], better[1] - now[1])
+    return replace(cfg, eta=10.0 ** now[0], velocity=10.0 ** now[1]), cost(now), len(known)
+
+
+def solve_searched(t: np.ndarray, pos: np.ndarray, vel: np.ndarray, cfg: Config, anchors: list[dict] = (), ends: tuple[float, ...] = (), scale: np.ndarray | None = None) -> dict:
+    """K7 and K5: the Hermite fit at the searched weights; eta, velocity weight and number of solves stand beside its diagnostics."""
+    found, _, solves = search_hermite(t, pos, vel, cfg)
+    return solve_hermite(t, pos, vel, found, anchors, ends, scale) | {"eta": found.eta, "velocity_weight": found.velocity, "n_solves": solves}
 
 
 def evaluate_fit(fit: dict, tau: np.ndarray) -> np.ndarray:
@@ -281,7 +360,7 @@ def evaluate_fit(fit: dict, tau: np.ndarray) -> np.ndarray:
     c = np.stack([np.asarray(fit[k], float) for k in ("cx", "cy", "cz")], 1)
     knots = np.asarray(fit["knots"], float)
     if fit["family"] != "hermite":
-        return np.stack([basis(knots, int(fit["degree"]), tau, k) @ c for k in range(3)], 1)
+        return np.stack([banded.applied(*local_basis(knots, int(fit["degree"]), tau, k), c) for k in range(3)], 1)
     theta = c.reshape(-1, 2, 3)
     k = np.clip(np.searchsorted(knots, tau, "right") - 1, 0, len(knots) - 2)
     h = (knots[k + 1] - knots[k])[:, None]
@@ -294,7 +373,10 @@ def evaluate_fit(fit: dict, tau: np.ndarray) -> np.ndarray:
     return np.stack([value + slope * outside, slope, np.where(outside == 0, bend, 0.0)], 1)
 
 
-_DIAGNOSTICS = ("rmse", "p95", "most", "velocity_rmse", "anchor_error", "lambda_low", "lambda_high", "least_weight", "loocv")
+_DIAGNOSTICS = (
+    "rmse", "p95", "most", "velocity_rmse", "anchor_error", "anchor_p95", "anchor_velocity_error", "anchor_velocity_p95", "anchor_accel_error", "anchor_accel_p95", "lambda_low", "lambda_high", "least_weight",
+    "velocity_weight_low", "velocity_weight_median", "loocv", "eta", "velocity_weight", "n_solves",
+)
 FIT_SCHEMA = (
     "track_id string, component int, segment long, method string, family string, t0 double, t1 double, n long, degree int, n_basis int, knots array<double>, cx array<double>, cy array<double>, cz array<double>, "
     + ", ".join(f"{c} double" for c in _DIAGNOSTICS) + ", error string"
@@ -310,50 +392,96 @@ def with_states(rows: DataFrame, states: DataFrame | None) -> DataFrame:
     return rows.join(s, [*COMPONENT, "i"], "left")
 
 
-def fit_segments(rows: DataFrame, methods: Iterable[str] = ("piecewise_balanced",), states: DataFrame | None = None, registry: Methods | None = None, least: int = 4) -> DataFrame:
+def blended_states(states: DataFrame, filtered: DataFrame, share: float = 0.5) -> DataFrame:
+    """Boundary states moved by `share` towards the filter's states (track_id, t, x..az) at their times; confidence grows by 0.15, to 1 at
+    most. A boundary without such a state stays as it is."""
+    own = filtered.groupBy("track_id", "t").agg(*(F.first(f"{k}{c}").alias(f"_{k}{c}") for k in ("", "v", "a") for c in "xyz"))
+    j = states.join(own, ["track_id", "t"], "left")
+    known = F.col("_x").isNotNull()
+    moved = {f"{k}{c}": F.when(known, (1 - share) * F.coalesce(F.col(f"{k}{c}"), F.col(f"_{k}{c}")) + share * F.col(f"_{k}{c}")).otherwise(F.col(f"{k}{c}")) for k in ("", "v", "a") for c in "xyz"}
+    return j.withColumns(moved | {"confidence": F.when(known, F.least(F.lit(1.0), F.greatest("confidence", F.lit(0.0)) + 0.15)).otherwise(F.col("confidence"))}).select(*states.columns)
+
+
+def _extended(rows: DataFrame, guard: float, hard: DataFrame | None) -> DataFrame:
+    """K11 of rows that carry their segment: each segment's rows and, marked guard, its neighbours' within `guard` seconds, with the segment's own parameters."""
+    own = [c for c in rows.columns if c.startswith("p_")]
+    segments = rows.groupBy(*SEGMENT).agg(F.min("i").alias("first"), F.max("i").alias("last"), *(F.first(c).alias(c) for c in own))
+    plain = rows.select(*COMPONENT, "i", "t", *_AXES).dropDuplicates([*COMPONENT, "i"])
+    return overlapping(plain, segments.select(*SEGMENT, "first", "last"), guard, hard).join(segments.drop("first", "last"), SEGMENT)
+
+
+_AXES = ("x", "y", "z", "vx", "vy", "vz")
+
+
+def fit_segments(
+    rows: DataFrame, methods: Iterable[str] = ("piecewise_balanced",), states: DataFrame | None = None, registry: Methods | None = None, least: int = 4, filtered: DataFrame | None = None, hard: DataFrame | None = None,
+) -> DataFrame:
     """rows(track_id, component, segment, i, t, x..vz) -> a fit of each segment and method.
 
-    Rows may carry parameters (P31) as columns p_<field of Config>, which replace the method's own. True component ends get the end
-    guard (K14). Rows marked guard (K11) are fitted, but t0 and t1 are those of the segment's own rows. A fit that fails is a row with its error.
+    Methods with an overlap also see the rows that far beyond their segment (K11), never across the boundaries `hard`; t0 and t1 are
+    those of the segment's own rows. Methods of whole components give one fit each, as segment 0, without joins. Methods with a filter
+    blend move the states towards those of `filtered` (K2's rows), which they need. Rows may carry parameters (P31) as columns
+    p_<field of Config>, which replace those of methods that fit segments. True component ends get the end guard (K14). A fit that
+    fails is a row with its error. A group of rows is sent once for all its methods.
     """
     registry = registry or Methods()
     names = list(methods)
     for name in names:
         if not registry.can_fit(name):
             raise ValueError(f"no method {name}")
-    table = F.broadcast(rows.sparkSession.createDataFrame([(n,) for n in names], "method string"))
-    own = [c[2:] for c in rows.columns if c.startswith("p_")]
-    data = with_states(rows if "guard" in rows.columns else rows.withColumn("guard", F.lit(False)), states)
+    if filtered is None and any(registry.known[n][0].filter_blend for n in names):
+        raise ValueError("methods with a filter blend need the filter's states")
+    kinds: dict[tuple, list[str]] = {}
+    for name in names:
+        c = registry.known[name][0]
+        kinds.setdefault((c.whole, c.overlap, c.filter_blend), []).append(name)
+    out = None
+    for (whole, overlap, blend), own in kinds.items():
+        data = rows if "guard" in rows.columns else rows.withColumn("guard", F.lit(False))
+        if whole:
+            data = rows.select(*COMPONENT, F.lit(0).cast("long").alias("segment"), "i", "t", *_AXES).dropDuplicates([*COMPONENT, "i"]).withColumn("guard", F.lit(False))
+        elif overlap > 0 and "guard" not in rows.columns:
+            data = _extended(rows, overlap, hard)
+        at = None if whole or states is None else blended_states(states, filtered, blend) if blend else states
+        part = _fit_groups(data, {n: registry.known[n] for n in own}, at, least)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _fit_groups(data: DataFrame, chosen: dict, states: DataFrame | None, least: int) -> DataFrame:
+    own = [c[2:] for c in data.columns if c.startswith("p_")]
     part = Window.partitionBy(*COMPONENT)
-    data = data.withColumns({"_first": F.min("t").over(part), "_last": F.max("t").over(part)})
-    chosen = {n: registry.known[n] for n in names}
+    data = with_states(data, states).withColumns({"_first": F.min("t").over(part), "_last": F.max("t").over(part)})
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("t").drop_duplicates("t")
         inner = g[~g.guard]
-        cfg, solve = chosen[g.method.iloc[0]]
-        head = {"track_id": g.track_id.iloc[0], "component": int(g.component.iloc[0]), "segment": int(g.segment.iloc[0]), "method": g.method.iloc[0], "family": cfg.family}
-        head |= {"t0": float(inner.t.min()), "t1": float(inner.t.max()), "n": len(inner), "error": None}
+        head = {"track_id": g.track_id.iloc[0], "component": int(g.component.iloc[0]), "segment": int(g.segment.iloc[0]), "t0": float(inner.t.min()), "t1": float(inner.t.max()), "n": len(inner), "error": None}
         empty = dict.fromkeys(["degree", "n_basis", "knots", "cx", "cy", "cz", *_DIAGNOSTICS])
-        if len(g) < least or head["t0"] >= head["t1"]:
-            return pd.DataFrame([head | empty | {"error": "too few rows"}])
-        cfg = replace(cfg, **{k: type(getattr(cfg, k))(g[f"p_{k}"].iloc[0]) for k in own if pd.notna(g[f"p_{k}"].iloc[0])})
         t = g.t.to_numpy() - head["t0"]
         pos, vel = g[["x", "y", "z"]].to_numpy(float), g[["vx", "vy", "vz"]].to_numpy(float)
-        anchors = []
+        shared = []
         for j in np.flatnonzero(g.b_px.notna().to_numpy()):
             r = g.iloc[j]
-            anchors.append({"t": float(t[j]), "p": [r.b_px, r.b_py, r.b_pz], "v": [r.b_vx, r.b_vy, r.b_vz], "a": None if pd.isna(r.b_ax) else [r.b_ax, r.b_ay, r.b_az], "c": float(r.b_c)})
-        for j in (0, len(t) - 1):  # component ends: the raw position
-            if cfg.anchored and g.t.iloc[j] in (g._first.iloc[0], g._last.iloc[0]) and not any(a["t"] == t[j] for a in anchors):
-                anchors.append({"t": float(t[j]), "p": pos[j]})
+            shared.append({"t": float(t[j]), "p": [r.b_px, r.b_py, r.b_pz], "v": [r.b_vx, r.b_vy, r.b_vz], "a": None if pd.isna(r.b_ax) else [r.b_ax, r.b_ay, r.b_az], "c": float(r.b_c)})
+        true_ends = [j for j in (0, len(t) - 1) if g.t.iloc[j] in (g._first.iloc[0], g._last.iloc[0])]
         ends = tuple(x - head["t0"] for x in (g._first.iloc[0], g._last.iloc[0]))
-        try:
-            return pd.DataFrame([head | empty | solve(t, pos, vel, cfg, anchors, ends)])
-        except np.linalg.LinAlgError as e:
-            return pd.DataFrame([head | empty | {"error": str(e)}])
-
-    return data.crossJoin(table).groupBy(*SEGMENT, "method").applyInPandas(run, FIT_SCHEMA)
+        out = []
+        for name, (cfg, solve) in chosen.items():
+            row = head | empty | {"method": name, "family": cfg.family}
+            if len(g) < least or head["t0"] >= head["t1"]:
+                out.append(row | {"error": "too few rows"})
+                continue
+            if not cfg.whole:
+                cfg = replace(cfg, **{k: type(getattr(cfg, k))(g[f"p_{k}"].iloc[0]) for k in own if pd.notna(g[f"p_{k}"].iloc[0])})
+            anchors = shared + [{"t": float(t[j]), "p": pos[j]} for j in true_ends if cfg.anchored and not any(a["t"] == t[j] for a in shared)]
+            try:
+                out.append(row | solve(t, pos, vel, cfg, anchors, ends))
+            except (np.linalg.LinAlgError, ValueError) as e:
+                out.append(row | {"error": str(e)})
+        return pd.DataFrame(out)
+
+    return data.groupBy(*SEGMENT).applyInPandas(run, FIT_SCHEMA)
 
 
 def _frames(batches: Iterable[pd.DataFrame], step: float) -> Iterator[pd.DataFrame]:

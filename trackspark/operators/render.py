@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackspark.functions import scalars as S
@@ -74,20 +76,45 @@ def viewer_segments(render: DataFrame, keys: list[str]) -> DataFrame:
     return T.label_runs(render, keys, "t", "segment").select(*keys, F.col("run").cast("long").alias("run"), F.col("label").alias("segment"), "first_index", "last_index", "t0", "t1", "n")
 
 
+def next_far(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Of each point the index of the first later one more than `least` away, or the number of points.
+
+    Boxes around 2^k points in a row are kept for each k; a box that lies within reach is passed whole, and a single point's box is
+    the point itself, so nothing is passed wrongly. What a pass over all sizes leaves open is taken up by the next one.
+    """
+    n = len(x)
+    boxes = [(x, x, y, y)]
+    while 2 ** len(boxes) <= n:
+        half, b = 2 ** (len(boxes) - 1), boxes[-1]
+        boxes.append(tuple((np.minimum, np.maximum)[i % 2](b[i][:-half], b[i][half:]) for i in range(4)))
+    at = np.arange(1, n + 1)
+    left = np.arange(n)
+    while len(left):
+        before = at[left].copy()
+        for k in range(len(boxes) - 1, -1, -1):
+            own = left[at[left] + 2**k <= n]
+            x0, x1, y0, y1 = (b[at[own]] for b in boxes[k])
+            away = np.hypot(np.maximum(np.abs(x0 - x[own]), np.abs(x1 - x[own])), np.maximum(np.abs(y0 - y[own]), np.abs(y1 - y[own])))
+            at[own[away <= least]] += 2**k
+        left = left[(at[left] > before) & (at[left] < n)]
+    return at
+
+
 def neighbour_heading(points: DataFrame, keys: list[str], least: float = 0.5) -> DataFrame:
     """Bearing in degrees to the first later point more than `least` metres away, else from the last earlier one, else 0.
 
-    Points that follow each other closer than that form a run; the first point of the next run is a candidate that is checked
-    against each point, and where it fails the one after it is taken, so the search needs no pairs of all points.
+    One group a key, of its own times and places; the search by doubling takes a few passes whatever the points do.
     """
-    w = Window.partitionBy(*keys).orderBy("t")
-    step = F.sqrt((F.col("x") - F.lag("x").over(w)) ** 2 + (F.col("y") - F.lag("y").over(w)) ** 2)
-    p = points.withColumn("_new", F.when(F.coalesce(step > least, F.lit(True)), F.struct("x", "y")))
-    ahead = [F.first("_new", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)), F.element_at(F.collect_list("_new").over(w.rowsBetween(1, 64)), 2)]
-    back = [F.last(F.struct("x", "y")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.element_at(F.collect_list("_new").over(w.rowsBetween(-64, -1)), -1), F.element_at(F.collect_list("_new").over(w.rowsBetween(-64, -1)), -2)]
-    p = p.withColumns({f"_f{i}": c for i, c in enumerate(ahead)} | {f"_b{i}": c for i, c in enumerate(back)})
-    far = lambda q: F.sqrt((q["x"] - F.col("x")) ** 2 + (q["y"] - F.col("y")) ** 2) > least
-    to = [F.when(far(F.col(f"_f{i}")), F.atan2(F.col(f"_f{i}.x") - F.col("x"), F.col(f"_f{i}.y") - F.col("y"))) for i in range(2)]
-    come = [F.when(far(F.col(f"_b{i}")), F.atan2(F.col("x") - F.col(f"_b{i}.x"), F.col("y") - F.col(f"_b{i}.y"))) for i in range(3)]
-    heading = F.pmod(F.degrees(F.coalesce(*to, *come, F.lit(0.0))), F.lit(360.0))
-    return p.withColumn("heading", heading).drop("_new", *(f"_f{i}" for i in range(2)), *(f"_b{i}" for i in range(3)))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("t", kind="stable")
+        x, y, n = g.x.to_numpy(float), g.y.to_numpy(float), len(g)
+        ahead, back = next_far(x, y, least), n - 1 - next_far(x[::-1], y[::-1], least)[::-1]
+        to, start = np.minimum(ahead, n - 1), np.where(ahead < n, np.arange(n), np.maximum(back, 0))
+        end = np.where(ahead < n, to, np.arange(n))
+        known = (ahead < n) | (back >= 0)
+        heading = np.degrees(np.arctan2(x[end] - x[start], y[end] - y[start])) % 360
+        return g.assign(heading=np.where(known, heading, 0.0))
+
+    schema = points.schema.add("heading", "double")
+    return points.groupBy(*keys).applyInPandas(run, schema)

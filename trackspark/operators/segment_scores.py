@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackspark.functions import scalars as S
-from trackspark.operators import compare, fits
+from trackspark.operators import compare, features, fits
 from trackspark.operators import timeseries as T
 from trackspark.operators.fits import COMPONENT, SEGMENT
 
@@ -50,7 +50,8 @@ def evidence(rows: DataFrame, fitted: DataFrame) -> DataFrame:
     its length dt, weight, velocity of the positions f* and of the fit at mid-time m* (NULL after the last row)."""
     f = fitted.where("error is null").select(*KEYS, "family", "degree", "t0", "knots", "cx", "cy", "cz")
     own = rows.where(~F.col("guard") if "guard" in rows.columns else F.lit(True))
-    listed = own.groupBy(*SEGMENT).agg(F.sort_array(F.collect_list(F.struct("t", "i", "x", "y", "z", "vx", "vy", "vz"))).alias("rows"))
+    own = features.velocity_confidence(own.select(*SEGMENT, "i", "t", "x", "y", "z", "vx", "vy", "vz"), tuple(SEGMENT))
+    listed = own.groupBy(*SEGMENT).agg(F.sort_array(F.collect_list(F.struct("t", "i", "x", "y", "z", "vx", "vy", "vz", "confidence"))).alias("rows"))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
@@ -58,7 +59,7 @@ def evidence(rows: DataFrame, fitted: DataFrame) -> DataFrame:
                 t = np.array([x["t"] for x in r["rows"]])
                 pos, vel = (np.array([[x[c] for c in names] for x in r["rows"]], float) for names in (("x", "y", "z"), ("vx", "vy", "vz")))
                 at, mid = fits.evaluate_fit(r, t - r["t0"]), fits.evaluate_fit(r, (t[:-1] + t[1:]) / 2 - r["t0"])
-                scale = fits.velocity_scale(t, pos, vel)
+                scale = np.array([x["confidence"] for x in r["rows"]])
                 step = np.diff(t)
                 out = {"t": t, "confidence": scale, "dt": np.r_[step, np.nan], "weight": np.r_[np.maximum(np.sqrt(scale[:-1] * scale[1:]), 0.1), np.nan]}
                 for k, c in enumerate("xyz"):
@@ -151,11 +152,11 @@ def smoothness_metrics(frames: DataFrame, buckets: DataFrame) -> DataFrame:
     )
 
 
-def segment_scores(rows: DataFrame, fitted: DataFrame, features: DataFrame, step: float = 1.0) -> DataFrame:
-    """All metrics and the seven parts of each segment's score, their weighted mean and its word. features: of
+def segment_scores(rows: DataFrame, fitted: DataFrame, traits: DataFrame, step: float = 1.0) -> DataFrame:
+    """All metrics and the seven parts of each segment's score, their weighted mean and its word. traits: of
     regimes.segment_features(). Segments whose fit failed have no row; parts that cannot be known are NULL and do not count."""
     bucket = S.regime_bucket(F.col("regime_label"), F.col("median_speed"))
-    buckets = features.select(*SEGMENT, "regime_label", bucket.alias("bucket")).withColumn("floor", S.speed_floor(F.col("bucket"), F.lit("balanced")))
+    buckets = traits.select(*SEGMENT, "regime_label", bucket.alias("bucket")).withColumn("floor", S.speed_floor(F.col("bucket"), F.lit("balanced")))
     m = evidence_metrics(evidence(rows, fitted)).join(smoothness_metrics(grid_states(fitted, step), buckets), KEYS, "left").join(buckets, SEGMENT)
     low = lambda c, soft, hard: S.score_low(F.col(c), soft, hard)
 
@@ -179,10 +180,10 @@ def segment_scores(rows: DataFrame, fitted: DataFrame, features: DataFrame, step
     return out.withColumns({"duration": F.col("t1") - F.col("t0"), "grade": S.score_interpretation(F.col("score"))})
 
 
-def join_rows(boundaries: DataFrame, segments: DataFrame, continuity: DataFrame, features: DataFrame) -> DataFrame:
+def join_rows(boundaries: DataFrame, segments: DataFrame, continuity: DataFrame, traits: DataFrame) -> DataFrame:
     """Joins of fitted neighbours (fits.verify_continuity) with their boundary, its event and the left segment's regime bucket."""
     at = segments.select(*SEGMENT, F.col("last").alias("i")).join(boundaries.select(*COMPONENT, "i", "t", "reasons"), [*COMPONENT, "i"])
-    bucket = features.select(*SEGMENT, S.regime_bucket(F.col("regime_label"), F.col("median_speed")).alias("regime"))
+    bucket = traits.select(*SEGMENT, S.regime_bucket(F.col("regime_label"), F.col("median_speed")).alias("regime"))
     return continuity.join(at, SEGMENT, "left").join(bucket, SEGMENT, "left").withColumns({"event": S.boundary_event_bucket(F.col("reasons"), F.lit(False)), "regime": F.coalesce("regime", F.lit("unknown"))})
 
 
@@ -235,7 +236,7 @@ def join_table(joined: DataFrame, states: DataFrame, velocities: DataFrame, side
 
 def segment_table(scores: DataFrame, segments: DataFrame, fitted: DataFrame, params: DataFrame | None = None) -> DataFrame:
     """A wide row of each segment and method: place, sizes, fit, scores, and the chosen parameters p_* where given."""
-    f = fits.fit_diagnostics(fitted).drop("n", "t0", "t1")
+    f = fits.fit_diagnostics(fitted).drop("n", "t0", "t1").withColumnRenamed("velocity_rmse", "fit_velocity_rmse")
     out = segments.select(*SEGMENT, F.col("first").alias("first_row"), F.col("last").alias("last_row")).join(f, SEGMENT).join(scores, KEYS, "left")
     if params is None:
         return out

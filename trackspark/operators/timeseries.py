@@ -150,7 +150,8 @@ def linear_fill(df: DataFrame, keys: list[str], order: list[str], value: str, ou
     w = over(keys, order)
     i = df.withColumn("_i", F.row_number().over(w))
     known = F.when(F.col(value).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(value).alias("v")))
-    i = i.withColumn("_a", F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    back = Window.partitionBy(*keys).orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)  # a growing frame, so each row is seen once
+    i = i.withColumn("_a", F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.last(known, ignorenulls=True).over(back))
     a, b = F.col("_a"), F.col("_b")
     y = F.when(a.isNull(), b["v"]).when(b.isNull() | (a["i"] == b["i"]), a["v"]).otherwise(a["v"] + (b["v"] - a["v"]) * (F.col("_i") - a["i"]) / (b["i"] - a["i"]))
     return i.withColumn(out, y).drop("_i", "_a", "_b")
@@ -194,9 +195,9 @@ def interval_to_sample(df: DataFrame, keys: list[str], time: str, value: str, ou
 
 
 def neighbour_step(df: DataFrame, keys: list[str], time: str, columns: list[str], out: str) -> DataFrame:
-    """Distance to the nearer of the previous and the next row."""
+    """Distance to the nearer of the previous and the next row; NULL for a key's only row."""
     w = over(keys, [time])
-    away = lambda f: F.sqrt(sum(((F.col(c) - f(c).over(w)) ** 2 for c in columns), F.lit(0.0)))
+    away = lambda f: F.sqrt(sum(((F.col(c) - f(c).over(w)) * (F.col(c) - f(c).over(w)) for c in columns), F.lit(0.0)))
     return df.withColumn(out, F.least(away(F.lag), away(F.lead)))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +11,7 @@ from trackspark.operators import timeseries as T
 from trackspark.plans.track_queries import KEYFRAMES_SQL, MESSAGES_SQL, SAMPLES_SQL, events, keyframes, messages, rnd, rounded, samples
 from trackspark.sources import files
 from trackspark.sources import messages as M
+from trackspark.staging import new_path, staged
 from trackspark.streaming import streams
 
 QUERIES: dict = {}
@@ -29,15 +28,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table in the shared folder, read again; used where a table is read many times."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 _C = "over (partition by track_id, component order by t)"
 COMPONENT_SQL = SAMPLES_SQL + """, sd as (select *, t - lag(t) over (partition by track_id order by t) as dt from s
 ), sm as (select *, quantile_cont(case when dt > 0 then dt end, 0.5) over (partition by track_id) as md from sd
@@ -355,7 +345,7 @@ def evaluated(spark, d) -> DataFrame:
     curves = staged(own.unionByName(pair), "curves")
     shapes = evaluation.hausdorff(curves).join(evaluation.dtw_mean(curves), "track_id").join(quality.frechet(curves), "track_id")
     shapes = shapes.select(*(F.element_at(F.split("track_id", "\x1f"), k + 1).alias(c) for k, c in enumerate(compare.KEYS)), "hausdorff", "symmetric", "dtw", "frechet")
-    return compare.evaluate(s, frames, shapes)
+    return compare.evaluate(s, frames, shapes, staged)
 
 
 @query("e14_e23_evaluation")
@@ -468,7 +458,7 @@ def a4(spark, d):
 @query("io4_rule_messages", MESSAGES_SQL + " select raw_id from m where crc_ok = 1 and ts_utc between 1704067200 and 1704068025")
 def io4(spark, d):
     m = messages(spark, d)
-    return files.read_messages_for_rules(m, M.rules(m), True, True).select("raw_id")
+    return files.read_messages_for_rules(m, M.rule_table(spark, d), True, True).select("raw_id")
 
 
 @query("io7_full_report", MESSAGES_SQL + " select source, count(*) as n, round(min(ts_utc), 3) as t_min, round(max(ts_utc), 3) as t_max, count(gs) as n_vertical_rate from (select *, 'MISSING' as source from m) group by grouping sets ((source), ())")
@@ -478,7 +468,7 @@ def io7(spark, d):
 
 @query("io15_metadata", KEYFRAMES_SQL + ", fk as (select track_id, min_by(struct_pack(a := lat, o := lon), t) as p, count(*) as n_positions from kf where lat is not null group by 1) select track_id, 'first_keyframe' as origin_source, " + rnd("p.a", 7) + " as lat0, " + rnd("p.o", 7) + " as lon0, 36e0 as field_ft, n_positions from fk")
 def io15(spark, d):
-    m = files.reference_metadata(keyframes(spark, d), M.rules(messages(spark, d)))
+    m = files.reference_metadata(keyframes(spark, d), M.rule_table(spark, d))
     return m.select("track_id", "origin_source", rounded("lat0", 7).alias("lat0"), rounded("lon0", 7).alias("lon0"), "field_ft", "n_positions")
 
 
@@ -515,20 +505,15 @@ def s5(spark, d):
 
 @query("s7_online_filter")
 def s7(spark, d):
-    path = _shared(spark, "samples")
+    path = new_path(spark, "samples")
     samples(spark, d).select("track_id", "t", *compare.POS, *compare.VEL).write.parquet(path)
     schema = spark.read.parquet(path).schema
     return streams.run_to_table(streams.filtered_online(spark.readStream.schema(schema).parquet(path)))
 
 
-def _shared(spark, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("s2_quarantine", "select value > 1 as good, count(*) as n from events group by 1")
 def s2(spark, d):
-    path = _shared(spark, "quarantine")
+    path = new_path(spark, "quarantine")
     streams.quarantined(streams.events_stream(spark, d), F.col("value") > 1, f"{path}/good", f"{path}/bad", f"{path}/checkpoint")
     good, bad = spark.read.parquet(f"{path}/good"), spark.read.parquet(f"{path}/bad")
     return good.select(F.lit(True).alias("good")).unionByName(bad.select(F.lit(False).alias("good"))).groupBy("good").agg(F.count("*").alias("n"))
@@ -542,14 +527,14 @@ def s9(spark, d):
         return decode.frame_header(f).select("id", "df", "icao")
 
     stream = streams.events_stream(spark, d).withColumn("id", F.col("event_id"))
-    return streams.decode_new(stream, _shared(spark, "decoded"), lambda b: fields(b))
+    return streams.decode_new(stream, new_path(spark, "decoded"), lambda b: fields(b))
 
 
 @query("s10_rules_on_a_stream", MESSAGES_SQL + " select raw_id, track_id from m where ts_utc between 1704067200 and 1704068025")
 def s10(spark, d):
     """Every message of the stream meets the rules of its own address and window, from the rule table of all tracks."""
-    path = _shared(spark, "messages")
+    path = new_path(spark, "messages")
     messages(spark, d).write.parquet(path)
     m = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    rules = staged(M.rules(messages(spark, d)), "rules")
+    rules = staged(M.rule_table(spark, d), "rules")
     return streams.run_to_table(prepare.join_rules(m, rules).select("raw_id", "track_id"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trackspark.functions import scalars as S
 from trackspark.operators import features, prepare
+from trackspark.operators import timeseries as T
 from trackspark.sources import messages as M
 from trackspark.sources.messages import MESSAGES_SQL
 
@@ -45,8 +46,7 @@ def messages(spark, d) -> DataFrame:
 
 
 def events(spark, d) -> DataFrame:
-    m = messages(spark, d)
-    return prepare.events(m, M.rules(m))
+    return prepare.events(messages(spark, d), M.rule_table(spark, d))
 
 
 def keyframes(spark, d) -> DataFrame:
@@ -155,7 +155,7 @@ select track_id, count(*) as n_icao, count(*) filter (crc_ok = 1) as n_crc, coun
        count(*) filter (crc_ok = 1 and kind <> 'other' and ts_utc between 1704067200 and 1704068025) as n_window from k group by track_id""")
 def f5(spark, d):
     m = messages(spark, d)
-    return prepare.rule_counts(m, M.rules(m))
+    return prepare.rule_counts(m, M.rule_table(spark, d))
 
 
 @query("f6_filter_radius", EVENTS_SQL + """
@@ -214,7 +214,7 @@ def f11(spark, d):
 @query("j1_rules_join", EVENTS_SQL + " select raw_id, track_id from k where ts_utc between 1704067200 and 1704068025")
 def j1(spark, d):
     m = messages(spark, d)
-    return prepare.join_rules(m, M.rules(m)).select("raw_id", "track_id")
+    return prepare.join_rules(m, M.rule_table(spark, d)).select("raw_id", "track_id")
 
 
 @query("a1_keyframes", KEYFRAMES_SQL + """
@@ -296,10 +296,27 @@ def m4(spark, d):
     return features.energy_labels(features.motion_features(samples(spark, d))).groupBy("track_id", "label").agg(F.count("*").alias("n"))
 
 
-@query("m17_velocity_confidence", _FEATURES_SQL + """
-select track_id, t, round(greatest(0e0, least(1e0, case when mismatch <= 55 then 1e0 when mismatch >= 165 then 0e0 else (165 - mismatch) / 110e0 end * case when sqrt(dx * dx + dy * dy) < 3 then 0e0 else 1e0 end)), 4) as confidence from h""")
+def _slope_sql(c: str) -> str:
+    return f"coalesce((lead({c}) over w - lag({c}) over w) / greatest(lead(t) over w - lag(t) over w, 1e-9), (lead({c}) over w - {c}) / greatest(lead(t) over w - t, 1e-9), ({c} - lag({c}) over w) / greatest(t - lag(t) over w, 1e-9))"
+
+
+CONFIDENCE_SQL = SAMPLES_SQL + ", q1 as (select *, " + ", ".join(f"{_slope_sql(c)} as d{c}" for c in "xyz") + """,
+  sqrt(pow(x - lag(x) over w, 2) + pow(y - lag(y) over w, 2) + pow(z - lag(z) over w, 2)) as back, sqrt(pow(lead(x) over w - x, 2) + pow(lead(y) over w - y, 2) + pow(lead(z) over w - z, 2)) as ahead
+  from s window w as (partition by track_id order by t)
+), q2 as (select *, least(back, ahead) as near, sqrt(pow(vx - dx, 2) + pow(vy - dy, 2) + pow(vz - dz, 2)) as miss, abs(vz - dz) as up, sqrt(vx * vx + vy * vy) as said, sqrt(dx * dx + dy * dy) as moved from q1
+), q3 as (select *, degrees(acos(greatest(-1e0, least(1e0, (vx * dx + vy * dy) / greatest(said * moved, 1e-9))))) as apart from q2
+), cf as (select *, case when near is null then 1e0 when moved < 3 or near < 10 then 0e0 else
+  case when miss > 165 then 0e0 else 55e0 / greatest(miss, 55e0) end * 9e0 / greatest(up, 9e0) * case when said < 3 or moved < 3 then 1e0 else 35e0 / greatest(apart, 35e0) end end as confidence from q3)"""
+
+
+@query("m17_velocity_confidence", CONFIDENCE_SQL + " select track_id, t, " + rnd("confidence") + " as confidence from cf")
 def m17(spark, d):
-    return features.velocity_confidence(features.motion_features(samples(spark, d))).select("track_id", "t", F.round("confidence", 4).alias("confidence"))
+    return features.velocity_confidence(samples(spark, d)).select("track_id", "t", rounded("confidence").alias("confidence"))
+
+
+@query("w16_neighbour_distance", CONFIDENCE_SQL + " select track_id, t, " + rnd("near", 4) + " as near from cf")
+def w16(spark, d):
+    return T.neighbour_step(samples(spark, d), ["track_id"], "t", ["x", "y", "z"], "near").select("track_id", "t", rounded("near", 4).alias("near"))
 
 
 @query("w13_energy_runs", _FEATURES_SQL + """, lb as (
@@ -308,8 +325,6 @@ def m17(spark, d):
 ), r as (select *, sum(new) over (partition by track_id order by t rows unbounded preceding) as run from n)
 select track_id, cast(run as bigint) as run, any_value(label) as label, min(i) as first_index, max(i) as last_index, min(t) as t0, max(t) as t1, max(t) - min(t) as duration, count(*) as n from r group by track_id, run""")
 def w13(spark, d):
-    from trackspark.operators import timeseries as T
-
     runs = T.label_runs(features.energy_labels(features.motion_features(samples(spark, d))), ["track_id"], "t", "label")
     return runs.withColumns({c: F.col(c).cast("long") for c in ("run", "first_index", "last_index")})
 

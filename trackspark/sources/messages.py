@@ -73,6 +73,12 @@ def rules(messages: DataFrame) -> DataFrame:
     )
 
 
+def rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rules() of the simulated flights from the users alone: one column is read, and no message is made."""
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.floor(F.col("user_id") / 10).cast("int").alias("tr")).distinct()
+    return rules(users.select(F.format_string("T%03d", "tr").alias("track_id"), F.hex((F.lit(4915200) + F.col("tr")).cast("long")).alias("icao")))
+
+
 #: DuckDB twin of surveillance(): a chain of CTEs that ends in m.
 MESSAGES_SQL = """
 with a as (
