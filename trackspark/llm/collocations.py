@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -27,13 +27,13 @@ SEGMENTS = 8
 #: Characters of text for each bucket of stripes, and buckets at least.
 BUCKET_CHARS, BUCKETS = 8_000_000, 32
 #: Words whose stripes a task builds before it sends them on, and entries that are merged at once.
-_WORDS, _ENTRIES = 2_000_000, 1_500_000
+_WORDS, _ENTRIES = 2_000_000, 1_000_000
 #: Parts of a language that are ranked apart before their first rows meet.
 _PARTS = 256
 
 #: A-Z in lower case, and whatever ends a piece as a line feed.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\x0a\x0b\x0c\x0d" else b for b in range(256))
-_STRIPES = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("next", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))])
+_STRIPES = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("next", pa.list_(pa.string())), ("n", pa.list_(pa.int32()))])
 
 
 class _Words:
@@ -56,10 +56,12 @@ class _Words:
 
     def entries(self) -> Iterator[tuple[pa.Array, np.ndarray, pa.Array, np.ndarray, np.ndarray]]:
         """Prefixes and their numbers, next words, counts and the hashes that choose the bucket: of prefixes of one word, then of two."""
-        words = pa.array(self.number, pa.binary()).cast(pa.string())
-        hashes = common.word_hashes(list(self.number))
+        listed = sorted(self.number)  # numbers in order of the words, b"" first: neighbours in a block then share their beginnings
+        words, hashes = pa.array(listed, pa.binary()).cast(pa.string()), common.word_hashes(listed)
         parts = hashes % np.uint64(SEGMENTS)
-        n, ids = np.int64(len(self.number)), np.concatenate([*self.ids, np.zeros(2, np.int64)])
+        place = np.empty(len(listed), np.int64)
+        place[np.fromiter(map(self.number.__getitem__, listed), np.int64, len(listed))] = np.arange(len(listed))
+        n, ids = np.int64(len(listed)), np.concatenate([place[np.concatenate(self.ids)], np.zeros(2, np.int64)])
         first, second, third = ids[:-2], ids[1:-1], ids[2:]
         inside = first > 0
         pairs, at, counts = np.unique(first[inside] * n + second[inside], return_inverse=True, return_counts=True)
@@ -76,7 +78,7 @@ def _packed(lang: str | None, prefix: pa.Array, following: pa.Array, counts: np.
     """A table of stripes; entries of one prefix stand together, and heads are the places of their first."""
     ends = pa.array(np.append(heads, len(counts)).astype(np.int32))
     rows = pa.RecordBatch.from_arrays(
-        [pa.array([lang] * len(heads), pa.string()), prefix.take(pa.array(heads)), pa.ListArray.from_arrays(ends, following), pa.ListArray.from_arrays(ends, pa.array(counts, pa.int64()))], schema=_STRIPES
+        [pa.array([lang] * len(heads), pa.string()), prefix.take(pa.array(heads)), pa.ListArray.from_arrays(ends, following), pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int32)))], schema=_STRIPES
     )
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, _STRIPES, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -137,7 +139,7 @@ def _pieces(text: bytes) -> Iterator[bytes]:
 def _flat(stripes: pa.RecordBatch) -> pa.Table:
     owner = pc.list_parent_indices(stripes.column("next"))
     lang, prefix = (stripes.column(c).take(owner) for c in ("lang", "prefix"))
-    return pa.table({"lang": lang, "prefix": prefix, "next": pc.list_flatten(stripes.column("next")), "n": pc.list_flatten(stripes.column("n"))})
+    return pa.table({"lang": lang, "prefix": prefix, "next": pc.list_flatten(stripes.column("next")), "n": pc.list_flatten(stripes.column("n")).cast(pa.int64())})
 
 
 def _merged(tables: list[pa.Table]) -> pa.Table:
@@ -189,6 +191,11 @@ def stripe_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return common.staged(dealt.mapInArrow(lambda b: _merge(b, least), "lang string, size int, prefix string, next string, n long"), "stripes")
 
 
+def scored(l: str, r: str) -> Column:  # noqa: E741
+    """floor(1000000 a a / (l r)) of the columns a, l and r, in decimals: exact up to counts of 10 ** 15."""
+    return F.expr(f"(cast(1000000 as decimal(7,0)) * cast(a as decimal(15,0)) * cast(a as decimal(15,0))) div (cast({l} as decimal(19,0)) * cast({r} as decimal(19,0)))")
+
+
 def collocations(docs: DataFrame, least: int = LEAST, subsumed: int = SUBSUMED) -> DataFrame:
     """docs(text, lang) -> lang, phrase, words, a, l, r, n, score of all phrases of 2 and 3 words that no longer candidate subsumes.
 
@@ -217,9 +224,6 @@ def collocations(docs: DataFrame, least: int = LEAST, subsumed: int = SUBSUMED)
     def phrase(column: str, name: str) -> DataFrame:
         return two.select("lang", F.col("phrase").alias(column), F.col("a").alias(name))
 
-    def scored(l: str, r: str):  # noqa: E741
-        return F.expr(f"(cast(1000000 as decimal(7,0)) * cast(a as decimal(15,0)) * cast(a as decimal(15,0))) div (cast({l} as decimal(19,0)) * cast({r} as decimal(19,0)))")
-
     pairs = two.join(of("w1", "l"), ["lang", "w1"]).join(of("w2", "r"), ["lang", "w2"]).select("lang", "phrase", F.lit(2).alias("words"), "a", "l", "r", scored("l", "r").alias("score"))
     triples = three.join(of("w1", "l1"), ["lang", "w1"]).join(phrase("rest", "r1"), ["lang", "rest"]).join(phrase("prefix", "l2"), ["lang", "prefix"]).join(of("w3", "r2"), ["lang", "w3"])
     first, second = scored("l1", "r1"), scored("l2", "r2")
