@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,55 +25,104 @@ def _noise(dt: float) -> np.ndarray:
     return np.array([[dt**5 / 20, dt**4 / 8, dt**3 / 6], [dt**4 / 8, dt**3 / 3, dt**2 / 2], [dt**3 / 6, dt**2 / 2, dt]])
 
 
-def constant_acceleration(t: np.ndarray, pos: np.ndarray, vel: np.ndarray, p: dict, told: dict | None = None) -> np.ndarray:
-    """Forward filter and backward smoother of position, velocity and acceleration by axis; axes share the scale of the measurement noise.
+#: Rows whose positions give the first acceleration.
+HEAD = 7
+_H, _EYE, _RIDGE = np.array([[1.0, 0, 0], [0, 1.0, 0]]), np.eye(3), 1e-9
 
-    The axes do not mix otherwise, so three 3 x 3 filters run side by side. told: gets, by row, the normalised innovation
-    (nis), noise_scale, size of the position's innovation, trace of the smoothed covariance, and the filter's own states.
-    """
-    n, pick = len(t), [0, 0, 1]
-    axis = lambda key: np.array([p[key][i] for i in pick])
-    jerk, noise = axis("jerk") ** 2, np.stack([axis("pos") ** 2, axis("vel") ** 2], 1)
-    head = min(n, 7)
-    tau = t[:head] - t[0]
-    acc0 = np.linalg.lstsq(np.stack([np.ones(head), tau, tau**2 / 2], 1), pos[:head], rcond=None)[0][2] if head >= 3 else np.zeros(3)
-    x = np.stack([pos[0], vel[0], acc0], 1)
+
+def _axis(p: dict, key: str) -> np.ndarray:
+    return np.array([p[key][i] for i in (0, 0, 1)])
+
+
+def transition(dt: float) -> np.ndarray:
+    return np.array([[1, dt, dt * dt / 2], [0, 1, dt], [0, 0, 1]])
+
+
+def first_state(t: np.ndarray, pos: np.ndarray, vel: np.ndarray, p: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Mean (axis, position velocity acceleration) and covariances of the first row; the acceleration is that of the first HEAD rows' positions."""
+    tau = t[:HEAD] - t[0]
+    acc0 = np.linalg.lstsq(np.stack([np.ones(len(tau)), tau, tau**2 / 2], 1), pos[:HEAD], rcond=None)[0][2] if len(tau) >= 3 else np.zeros(3)
     c = np.zeros((3, 3, 3))
     for k, key in enumerate(("pos0", "vel0", "acc0")):
-        c[:, k, k] = axis(key) ** 2
-    h, eye = np.array([[1.0, 0, 0], [0, 1.0, 0]]), np.eye(3)
-    xs, cs, xp, cp, fs = np.empty((n, 3, 3)), np.empty((n, 3, 3, 3)), np.empty((n, 3, 3)), np.empty((n, 3, 3, 3)), np.empty((n, 3, 3))
-    seen = np.empty((n, 3))
+        c[:, k, k] = _axis(p, key) ** 2
+    return np.stack([pos[0], vel[0], acc0], 1), c
+
+
+def measurement(p: dict, scale: float) -> np.ndarray:
+    r = np.zeros((3, 2, 2))
+    r[:, 0, 0], r[:, 1, 1] = scale * _axis(p, "pos") ** 2, scale * _axis(p, "vel") ** 2
+    return r
+
+
+@dataclass
+class Filtered:
+    """By row: states and covariances after and before the row's measurement, the transition to it, normalised innovation, noise scale, innovation's size."""
+
+    x: np.ndarray
+    c: np.ndarray
+    xp: np.ndarray
+    cp: np.ndarray
+    f: np.ndarray
+    seen: np.ndarray
+
+
+def forward(t: np.ndarray, pos: np.ndarray, vel: np.ndarray, p: dict, start: tuple | None = None) -> Filtered:
+    """The filter over rows in order. start: time, mean and covariance after the row before them; else first_state() of these rows.
+
+    The axes share the scale of the measurement noise and do not mix otherwise, so three 3 x 3 filters run side by side.
+    """
+    n = len(t)
+    jerk = _axis(p, "jerk") ** 2
+    before, x, c = start if start is not None else (None, *first_state(t, pos, vel, p))
+    out = Filtered(np.empty((n, 3, 3)), np.empty((n, 3, 3, 3)), np.empty((n, 3, 3)), np.empty((n, 3, 3, 3)), np.tile(_EYE, (n, 1, 1)), np.empty((n, 3)))
     for i in range(n):
-        if i:
-            dt = max(t[i] - t[i - 1], 1e-3)
-            f = np.array([[1, dt, dt * dt / 2], [0, 1, dt], [0, 0, 1]])
+        if before is not None:
+            dt = max(t[i] - before, 1e-3)
+            f = transition(dt)
             x, c = x @ f.T, f @ c @ f.T + jerk[:, None, None] * _noise(dt)
-            fs[i] = f
-        xp[i], cp[i] = x, c
-        residual = np.stack([pos[i], vel[i]], 1) - x @ h.T
-        r = np.zeros((3, 2, 2))
-        r[:, 0, 0], r[:, 1, 1] = noise[:, 0], noise[:, 1]
-        s = h @ c @ h.T + r
-        nis = float(np.einsum("ai,aij,aj->", residual, np.linalg.inv(s), residual))
+            out.f[i] = f
+        before = t[i]
+        out.xp[i], out.cp[i] = x, c
+        residual = np.stack([pos[i], vel[i]], 1) - x @ _H.T
+        nis = float(np.einsum("ai,aij,aj->", residual, np.linalg.inv(_H @ c @ _H.T + measurement(p, 1.0)), residual))
         noise_scale = min(p["most"], max(1.0, nis / (p["gate"] ** 2 * 6)))
-        seen[i] = nis, noise_scale, np.linalg.norm(residual[:, 0])
-        r *= noise_scale
-        s = h @ c @ h.T + r
-        gain = c @ h.T @ np.linalg.inv(s)
+        out.seen[i] = nis, noise_scale, np.linalg.norm(residual[:, 0])
+        r = measurement(p, noise_scale)
+        gain = c @ _H.T @ np.linalg.inv(_H @ c @ _H.T + r)
         x = x + np.einsum("aij,aj->ai", gain, residual)
-        a = eye - gain @ h
-        c = a @ c @ a.transpose(0, 2, 1) + gain @ r @ gain.transpose(0, 2, 1) + 1e-9 * eye
-        xs[i], cs[i] = x, c
-    if told is not None:
-        told["filtered"] = xs.copy()
-    for i in range(n - 2, -1, -1):
-        g = cs[i] @ fs[i + 1].T @ np.linalg.inv(cp[i + 1])
-        xs[i] += np.einsum("aij,aj->ai", g, xs[i + 1] - xp[i + 1])
-        cs[i] += g @ (cs[i + 1] - cp[i + 1]) @ g.transpose(0, 2, 1)
+        a = _EYE - gain @ _H
+        c = a @ c @ a.transpose(0, 2, 1) + gain @ r @ gain.transpose(0, 2, 1) + _RIDGE * _EYE
+        out.x[i], out.c[i] = x, c
+    return out
+
+
+def backward(s: Filtered, after: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Smoothed states and covariances. after: of the row behind the last one its smoothed and predicted state and covariance, and the transition to it."""
+    x, c = s.x.copy(), s.c.copy()
+    for i in range(len(x) - 1, -1, -1):
+        if i == len(x) - 1:
+            if after is None:
+                continue
+            xs, cs, xp, cp, f = after
+        else:
+            xs, cs, xp, cp, f = x[i + 1], c[i + 1], s.xp[i + 1], s.cp[i + 1], s.f[i + 1]
+        g = c[i] @ f.T @ np.linalg.inv(cp)
+        x[i] += np.einsum("aij,aj->ai", g, xs - xp)
+        c[i] += g @ (cs - cp) @ g.transpose(0, 2, 1)
+    return x, c
+
+
+def constant_acceleration(t: np.ndarray, pos: np.ndarray, vel: np.ndarray, p: dict, told: dict | None = None) -> np.ndarray:
+    """Forward filter and backward smoother of position, velocity and acceleration by axis.
+
+    told: gets, by row, the normalised innovation (nis), noise_scale, size of the position's innovation, trace of the smoothed
+    covariance, and the filter's own states.
+    """
+    s = forward(t, pos, vel, p)
+    x, c = backward(s)
     if told is not None:
-        told |= {"nis": seen[:, 0], "noise_scale": seen[:, 1], "innovation": seen[:, 2], "trace": np.einsum("naii->n", cs)}
-    return xs
+        told |= {"filtered": s.x, "nis": s.seen[:, 0], "noise_scale": s.seen[:, 1], "innovation": s.seen[:, 2], "trace": np.einsum("naii->n", c)}
+    return x
 
 
 def smooth_ca(samples: DataFrame, presets: tuple[str, ...] = ("balanced",)) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from trackspark.staging import new_path
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,8 +22,7 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Drain the stream into a table in the shared folder, with its checkpoint beside it, and read the table."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = new_path(spark, "stream")
     q = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(f"{path}/table")
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/table")
@@ -48,86 +48,47 @@ def deduplicated(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def quarantined(stream: DataFrame, valid, good: str, bad: str, checkpoint: str) -> None:
-    """Drains a stream into two tables: rows for which `valid` (a column) is true, and the others with the time of their arrival."""
-    ok = F.coalesce(valid, F.lit(False))
+def batch_sink(path: str):
+    """A foreachBatch function whose batches are partitions `batch=<number>` of the table at path, overwritten when a batch comes again: a
+    retried or replayed batch adds nothing, and nothing that was written before is read."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.where(ok).write.mode("append").parquet(good)
-        batch.where(~ok).withColumn("batch", F.lit(number)).write.mode("append").parquet(bad)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return write
 
 
-def decode_new(stream: DataFrame, path: str, decode) -> DataFrame:
-    """Appends decode(rows) of each micro-batch to the table at path, without ids that it holds already: a replayed batch adds nothing twice."""
-    spark = stream.sparkSession
-    schema = decode(spark.createDataFrame([], stream.schema)).schema
+def parsed(lines: DataFrame, schema: str, column: str = "line") -> DataFrame:
+    """Text lines of JSON -> the fields of schema and `corrupt`, the line itself where it does not parse (fields that do are kept), else NULL."""
+    fields = T._parse_datatype_string(schema)
+    whole = T.StructType([*fields.fields, T.StructField("corrupt", T.StringType())])
+    got = F.from_json(F.col(column), whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"}).alias("_p")
+    return lines.select(got).select("_p.*")
 
-    def write(batch: DataFrame, number: int) -> None:
-        known = spark.read.schema(schema).option("ignoreMissingFiles", True).parquet(path)
-        decode(batch.dropDuplicates(["id"])).join(known.select("id"), "id", "left_anti").write.mode("append").parquet(path)
-
-    decode(spark.createDataFrame([], stream.schema)).write.mode("append").parquet(path)
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(path)
 
+def quarantined(rows: DataFrame, valid, good: str, bad: str, checkpoint: str) -> None:
+    """Drains a stream of parsed rows into two tables by batch: rows that parsed and for which `valid` (a column) is true, and the others
+    with their corrupt line. A batch that is given again replaces itself in both."""
+    ok = F.col("corrupt").isNull() & F.coalesce(valid, F.lit(False))
+    sinks = batch_sink(good), batch_sink(bad)
 
-def paired_parity(frames: DataFrame, ttl: str | None = None) -> DataFrame:
-    """D3 as a stateful stream of frames(id, icao, surface, odd, ts): the last even and odd id of each (address, surface), itself included.
-
-    State is two ids a key; with `ttl`, for a stream that runs on, it goes after so long without frames (a replay has no such clock).
-    Rows of a micro-batch are taken in order of id.
-    """
-    import pandas as pd
-
-    def update(key: tuple, groups, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = list(state.get) if state.exists else [None, None]
-        rows = pd.concat(list(groups)).sort_values("id")
-        out = []
-        for i, odd in zip(rows.id, rows.odd, strict=True):
-            last[int(odd)] = int(i)
-            out.append((int(i), last[0], last[1]))
-        state.update(tuple(last))
-        if ttl:
-            state.setTimeoutDuration(int(pd.Timedelta(ttl).total_seconds() * 1000))
-        yield pd.DataFrame(out, columns=["id", "even_id", "odd_id"]).astype({"even_id": "Int64", "odd_id": "Int64"})
-
-    return frames.groupBy("icao", "surface").applyInPandasWithState(update, "id long, even_id long, odd_id long", "even_id long, odd_id long", "append", "ProcessingTimeTimeout" if ttl else "NoTimeout")
-
-
-def filtered_online(samples: DataFrame, preset: str = "balanced") -> DataFrame:
-    """The forward half of the constant-acceleration filter with a track's last rows as state: filtered position, velocity and acceleration.
-
-    The state holds the rows since the track began, so a replay equals the batch filter; a long track should be cut into components.
-    """
-    import numpy as np
-    import pandas as pd
-
-    from trackspark.operators import smoothing
-
-    names = [f"{a}{c}" for a in ("", "v", "a") for c in "xyz"]
-    columns = ["t", "x", "y", "z", "vx", "vy", "vz"]
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        sinks[0](batch.where(ok).drop("corrupt"), number)
+        sinks[1](batch.where(~ok), number)
+        batch.unpersist()
 
-    def update(key: tuple, groups, state):
-        before = np.array(state.get[0], float).reshape(-1, 7) if state.exists else np.zeros((0, 7))
-        new = pd.concat(list(groups)).sort_values("t")[columns].to_numpy(float)
-        rows = np.vstack([before, new])
-        told: dict = {}
-        smoothing.constant_acceleration(rows[:, 0], rows[:, 1:4], rows[:, 4:], smoothing.PRESETS[preset], told)
-        out = told["filtered"][len(before) :]
-        state.update((rows.ravel().tolist(),))
-        yield pd.DataFrame({"track_id": key[0], "t": new[:, 0]} | {c: out[:, j % 3, j // 3] for j, c in enumerate(names)})
+    rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
-    schema = "track_id string, t double, " + ", ".join(f"{c} double" for c in names)
-    return samples.groupBy("track_id").applyInPandasWithState(update, schema, "rows array<double>", "append", "NoTimeout")
 
+def decode_new(stream: DataFrame, path: str, decode, late: str = "1 hour") -> DataFrame:
+    """decode(rows) of each micro-batch of a stream(id, ts, ...) as a partition of the table at path; the table itself is never read.
 
-def carried_forward(left: DataFrame, right: DataFrame, age: str, late: str = "2 hours") -> DataFrame:
-    """Each row of left(key, t) with the rows of right(key_, t_, value) at most `age` before it, also where there are none; the caller's
-    batch step keeps the latest. Both sides have watermarks, so state is bounded."""
-    a, b = left.withWatermark("t", late), right.withWatermark("t_", late)
-    return a.join(b, F.expr(f"key = key_ and t_ between t - interval {age} and t"), "leftOuter")
+    Redelivered ids are dropped by the stream's own state while the watermark remembers them; a batch that is written again replaces itself.
+    """
+    spark = stream.sparkSession
+    schema = decode(spark.createDataFrame([], stream.schema)).schema
+    sink = batch_sink(path)
+    once = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["id"])
+    once.writeStream.foreachBatch(lambda batch, number: sink(decode(batch), number)).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(path)
