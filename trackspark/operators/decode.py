@@ -47,14 +47,43 @@ def bits(payload_hex: Column, first: int, n: int) -> Column:
     return F.shiftright(value, 4 * (b + 1) - (first + n - 1)).bitwiseAND(F.lit((1 << n) - 1))
 
 
+def gray_altitude(gray: int) -> float | None:
+    """Feet of an 11-bit altitude in reflected Gray code (D2 D4 A1 A2 A4 B1 B2 B4 C1 C2 C4): eight bits count steps of 500 ft, three the
+    steps of 100 ft inside, which run backwards in odd steps. None for codes that no altitude has."""
+    coarse, fine = gray >> 3, gray & 7
+    for k in (4, 2, 1):
+        coarse, fine = coarse ^ coarse >> k, fine ^ fine >> k
+    fine = 5 if fine == 7 else fine
+    return coarse * 500.0 + (6 - fine if coarse % 2 else fine) * 100 - 1300 if 1 <= fine <= 5 else None
+
+
+def coded_altitude(code: int) -> float | None:
+    """Feet of a 12-bit code C1 A1 C2 A2 C4 A4 B1 Q B2 D2 B4 D4: with Q steps of 25 ft from -1000, else reflected Gray code; None for 0."""
+    if code >> 4 & 1:
+        return ((code >> 5) * 16 + (code & 15)) * 25.0 - 1000
+    gray = 0
+    for k in (2, 0, 10, 8, 6, 5, 3, 1, 11, 9, 7):
+        gray = gray * 2 + (code >> k & 1)
+    return gray_altitude(gray) if code else None
+
+
+_UNKNOWN = -1e6
+
+
+def altitude_feet(code: Column) -> Column:
+    """coded_altitude() of a column, by a table of the 4096 codes that the rule makes."""
+    table = F.array(*(F.lit(_UNKNOWN if (x := coded_altitude(c)) is None else x) for c in range(4096)))
+    return F.nullif(F.get(table, code.cast("int")), F.lit(_UNKNOWN))
+
+
 _LETTERS = "#ABCDEFGHIJKLMNOPQRSTUVWXYZ##### ###############0123456789######"
 
 
 def decode_frames(frames: DataFrame) -> DataFrame:
     """Checksum, type code, callsign, altitude, raw position and velocity of frames(payload_hex); other formats keep NULL fields.
 
-    Downlink formats 17 and 18 only. Altitude in feet: barometric codes with 25 ft steps (others NULL), metres of type codes 20 to 22
-    converted. Velocity of subtypes 1 and 2: ground speed in knots, track in degrees, vertical rate in feet a minute. Position: the
+    Downlink formats 17 and 18 only. Altitude in feet: barometric codes in steps of 25 ft or, in Gray code, of 100 ft; metres of type codes
+    20 to 22 converted. Velocity of subtypes 1 and 2: ground speed in knots, track in degrees, vertical rate in feet a minute. Position: the
     parity bit (odd) and the 17-bit coordinates; surface: type codes 5 to 8.
     """
     f = frame_header(frames)
@@ -68,8 +97,7 @@ def decode_frames(frames: DataFrame) -> DataFrame:
     letters = F.concat(*(F.expr(f"substring('{_LETTERS}', cast(_c{k} + 1 as int), 1)") for k in range(8)))
     f = f.withColumns({f"_c{k}": bits(h, 41 + 6 * k, 6) for k in range(8)})
     code = bits(h, 41, 12)
-    feet = F.shiftright(code, 5) * 16 + code.bitwiseAND(F.lit(15))
-    alt = F.when(tc.between(9, 18) & (F.shiftright(code, 4).bitwiseAND(F.lit(1)) == 1), feet * 25.0 - 1000).when(tc.between(20, 22), code / 0.3048)
+    alt = F.when(tc.between(9, 18), altitude_feet(code)).when(tc.between(20, 22), code / 0.3048)
     moving = tc.isin(19) & bits(h, 38, 3).isin(1, 2)
     scale = F.when(bits(h, 38, 3) == 2, 4).otherwise(1)
     part = lambda sign, size: F.when(bits(h, size, 10) > 0, (bits(h, size, 10) - 1) * scale * F.when(bits(h, sign, 1) == 1, -1).otherwise(1))
@@ -91,25 +119,31 @@ def _zones(lat: Column) -> Column:
 
 
 def resolve_position(decoded: DataFrame, lat0: float, lon0: float) -> DataFrame:
-    """Lat and lon of airborne frames from the last even and odd ones of the address (both zones must agree), else from the
-    reference point within half a zone; surface frames by the reference alone. Order: id. No age limit."""
+    """Lat and lon of frames from the last even and odd ones of the address (both zones must agree), else from the reference point
+    within half a zone. Surface pairs leave a quarter of the globe open: of the latitudes a quarter apart north and south, and the four
+    longitudes, the ones nearest the reference point are taken. Order: id. No age limit."""
     w = Window.partitionBy("icao", "surface").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     raw = F.struct("cpr_lat", "cpr_lon", "id")
     d = decoded.withColumns({f"_{n}": F.last(F.when(F.col("odd") == o, raw), ignorenulls=True).over(w) for n, o in (("even", 0), ("last_odd", 1))})
     full = float(1 << 17)
     y0, y1, x0, x1 = F.col("_even.cpr_lat") / full, F.col("_last_odd.cpr_lat") / full, F.col("_even.cpr_lon") / full, F.col("_last_odd.cpr_lon") / full
-    j = F.floor(59 * y0 - 60 * y1 + 0.5)
-    fold = lambda lat: F.when(lat >= 270, lat - 360).otherwise(lat)
-    d = d.withColumns({"_lat0": fold(6.0 * (F.pmod(j, F.lit(60)) + y0)), "_lat1": fold(360 / 59 * (F.pmod(j, F.lit(59)) + y1))})
-    late = F.col("odd") == 1
-    d = d.withColumn("_lat", F.when(late, F.col("_lat1")).otherwise(F.col("_lat0")))
-    d = d.withColumns({"_z0": _zones(F.col("_lat0")), "_z1": _zones(F.col("_lat1"))})
+    j, late, surface = F.floor(59 * y0 - 60 * y1 + 0.5), F.col("odd") == 1, F.coalesce("surface", F.lit(False))
+    span = F.when(surface, 90.0).otherwise(360.0)
+
+    def latitude(zones: int, y: Column) -> Column:
+        north = span / zones * (F.pmod(j, F.lit(zones)) + y)
+        nearer = F.when(F.abs(north - lat0) <= F.abs(north - 90 - lat0), north).otherwise(north - 90)
+        return F.when(surface, nearer).when(north >= 270, north - 360).otherwise(north)
+
+    d = d.withColumns({"_lat0": latitude(60, y0), "_lat1": latitude(59, y1)})
+    d = d.withColumns({"_lat": F.when(late, F.col("_lat1")).otherwise(F.col("_lat0")), "_z0": _zones(F.col("_lat0")), "_z1": _zones(F.col("_lat1"))})
     z = F.col("_z0")
     n = F.greatest(z - F.when(late, 1).otherwise(0), F.lit(1))
     m = F.floor(x0 * (z - 1) - x1 * z + 0.5)
-    lon = 360.0 / n * (F.pmod(m, n) + F.when(late, x1).otherwise(x0))
-    pair = (F.col("_z0") == F.col("_z1")) & ~F.col("surface") & F.col("odd").isNotNull()
-    span = F.when(F.col("surface"), 90.0).otherwise(360.0)
+    east = span / n * (F.pmod(m, n) + F.when(late, x1).otherwise(x0))
+    quarter = east + 90 * F.rint((lon0 - east) / 90)
+    lon = F.pmod(F.when(surface, quarter).otherwise(east) + 180, F.lit(360)) - 180
+    pair = (F.col("_z0") == F.col("_z1")) & F.col("odd").isNotNull()
     dlat = span / (60 - F.col("odd"))
     y, x = F.col("cpr_lat") / full, F.col("cpr_lon") / full
     at = F.floor(lat0 / dlat) + F.floor(0.5 + (lat0 - dlat * F.floor(lat0 / dlat)) / dlat - y)
@@ -117,12 +151,26 @@ def resolve_position(decoded: DataFrame, lat0: float, lon0: float) -> DataFrame:
     dlon = span / F.greatest(_zones(near_lat) - F.col("odd"), F.lit(1))
     on = F.floor(lon0 / dlon) + F.floor(0.5 + (lon0 - dlon * F.floor(lon0 / dlon)) / dlon - x)
     d = d.withColumns({
-        "lat": F.coalesce(F.when(pair, F.col("_lat")), near_lat), "lon": F.coalesce(F.when(pair, F.when(lon >= 180, lon - 360).otherwise(lon)), dlon * (on + x)),
+        "lat": F.coalesce(F.when(pair, F.col("_lat")), near_lat), "lon": F.coalesce(F.when(pair, lon), dlon * (on + x)),
         "position_source": F.when(F.col("odd").isNull(), None).when(F.coalesce(pair, F.lit(False)), "pair").otherwise("reference"), "even_id": F.col("_even.id"), "odd_id": F.col("_last_odd.id"),
     })
     return d.drop("_even", "_last_odd", "_lat", "_lat0", "_lat1", "_z0", "_z1")
 
 
+def decode_all(frames: DataFrame, decoded: DataFrame, batch: int, stage) -> DataFrame:
+    """D5's loop: batches of the oldest `batch` frames that are not decoded yet, until none is left; the new rows of all batches.
+
+    stage(df, name) keeps a batch (a written table on a cluster); the driver holds only how many batches there were.
+    """
+    known, out, nth = decoded.select("id"), None, 0
+    while True:
+        new = stage(decode_incremental(frames, known, batch), f"decoded-{nth}")
+        if new.isEmpty():
+            return new if out is None else out
+        out = new if out is None else out.unionByName(new)
+        known, nth = known.unionByName(new.select("id")), nth + 1
+
+
 def decode_incremental(frames: DataFrame, decoded: DataFrame, batch: int | None = None) -> DataFrame:
     """Decoded fields of the frames (id) above the largest id in decoded that are not in it; batch: the oldest so many, one step of a loop."""
     last = decoded.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("_last"))

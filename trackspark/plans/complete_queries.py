@@ -12,7 +12,7 @@ from trackspark.plans.track_queries import KEYFRAMES_SQL, MESSAGES_SQL, SAMPLES_
 from trackspark.sources import files
 from trackspark.sources import messages as M
 from trackspark.staging import new_path, staged
-from trackspark.streaming import streams
+from trackspark.streaming import stateful, streams
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -472,69 +472,131 @@ def io15(spark, d):
     return m.select("track_id", "origin_source", rounded("lat0", 7).alias("lat0"), rounded("lon0", 7).alias("lon0"), "field_ft", "n_positions")
 
 
-def frames(spark, d) -> DataFrame:
-    """Frames with a position or a velocity of each event: made of the table's rows, header and checksum as on the air (18 zero bits stay)."""
-    e = spark.read.parquet(f"{d}/events.parquet")
-    body = F.lpad(F.hex(F.xxhash64("event_id").bitwiseAND(F.lit((1 << 50) - 1))), 13, "0")
-    tc = F.when(F.col("event_id") % 3 == 0, "99").otherwise("58")
-    return e.select(F.col("event_id").alias("id"), "ts", F.concat(F.lit("8D"), F.lpad(F.hex(4915200 + F.floor(F.col("user_id") / 10)), 6, "0"), tc, F.lpad(body, 18, "0")).alias("payload_hex"))
+def _zones_at(lat):
+    return F.floor(2 * F.pi() / F.acos(1 - (1 - F.cos(F.pi() / 30)) / F.pow(F.cos(F.radians(lat)), F.lit(2))))
 
 
-@query("d2_decoded_frames")
+def frames(spark, d) -> DataFrame:
+    """The messages as frames on the air, id and payload_hex: of each position and of each velocity one, with format 17 and its checksum.
+
+    A fixture of the decoding queries: compact positions (17 bits, even or odd by the event's number), altitudes in steps of 25 ft,
+    velocities as whole knots east and north, climb rates in steps of 64 ft a minute.
+    """
+    m = messages(spark, d).withColumn("odd", F.col("raw_id") % 2)
+    shifted = lambda c, n: F.shiftleft(c.cast("long"), n)
+    dlat = 360.0 / (60 - F.col("odd"))
+    y = F.floor((1 << 17) * F.pmod(F.col("lat"), dlat) / dlat + 0.5)
+    dlon = 360.0 / F.greatest(_zones_at(dlat * (y / (1 << 17) + F.floor(F.col("lat") / dlat))) - F.col("odd"), F.lit(1))
+    x = F.floor((1 << 17) * F.pmod(F.col("lon"), dlon) / dlon + 0.5)
+    steps = F.floor((F.coalesce("alt", F.lit(0.0)) + 1000) / 25)
+    code = F.when(F.col("alt").isNull(), 0).otherwise(shifted(F.floor(steps / 16), 5) + 16 + steps % 16)
+    place = shifted(F.lit(11), 51) + shifted(code, 36) + shifted(F.col("odd"), 34) + shifted(y % (1 << 17), 17) + (x % (1 << 17)).cast("long")
+    e, n = F.round(F.col("gs") * F.sin(F.radians("track"))), F.round(F.col("gs") * F.cos(F.radians("track")))
+    rate = F.round(F.get_json_object("decoded_json", "$.velocity_raw[2]").cast("double") / 64)
+    part = lambda v, n: shifted(F.when(v < 0, 1).otherwise(0), n) + shifted(F.abs(v) + 1, n - 10)
+    moved = shifted(F.lit(19), 51) + shifted(F.lit(1), 48) + part(e, 42) + part(n, 31) + shifted(F.when(rate < 0, 1).otherwise(0), 19) + shifted(F.abs(rate) + 1, 10)
+    both = m.select("raw_id", "icao", F.explode(F.array(F.struct(F.lit(0).alias("kind"), place.alias("me")), F.struct(F.lit(1).alias("kind"), moved.alias("me")))).alias("x")).where("x.me is not null")
+    body = both.select((F.col("raw_id") * 2 + F.col("x.kind")).alias("id"), F.concat(F.lit("8D"), F.upper("icao"), F.lpad(F.hex("x.me"), 14, "0")).alias("body"))
+    parity = F.lpad(F.hex(decode.crc_remainder(F.concat("body", F.lit("000000")))), 6, "0")
+    return body.select("id", F.concat("body", parity).alias("payload_hex"))
+
+
+_SENT = MESSAGES_SQL + """, pv as (select *, gs * sin(radians(track)) as e, gs * cos(radians(track)) as n from m), fr as (
+  select raw_id * 2 as id, upper(icao) as icao, 11 as tc, lat, lon, floor((alt + 1000) / 25) * 25 - 1000 as alt, null::double as gs, null::double as rate, raw_id % 2 as odd from pv where lat is not null
+  union all select raw_id * 2 + 1, upper(icao), 19, null, null, null, sqrt(pow(round(e), 2) + pow(round(n), 2)), round(cast(json_extract_string(decoded_json, '$.velocity_raw[2]') as double) / 64) * 64, null from pv where gs is not null)"""
+
+
+@query("d2_decoded_frames", _SENT + " select id, 17 as df, icao, tc, 1 as crc_ok, alt, case when lat is not null then true end as in_place, " + rnd("gs", 4) + " as gs, rate as vertical_rate from fr")
 def d2(spark, d):
-    return decode.decoded_json(decode.resolve_position(decode.decode_frames(frames(spark, d)), S.REFERENCE_LAT, S.REFERENCE_LON)).drop("payload_hex")
+    """Frames decoded and placed; in_place: within 10 m of the position that was sent."""
+    got = decode.resolve_position(decode.decode_frames(frames(spark, d)), S.REFERENCE_LAT, S.REFERENCE_LON)
+    sent = messages(spark, d).where("lat is not null").select((F.col("raw_id") * 2).alias("id"), F.col("lat").alias("lat0"), F.col("lon").alias("lon0"))
+    j = got.join(sent, "id", "left")
+    near = F.when(F.col("lat0").isNotNull(), S.haversine_km(F.col("lat"), F.col("lon"), F.col("lat0"), F.col("lon0")) < 0.01)
+    return j.select("id", "df", "icao", F.col("tc").cast("int").alias("tc"), "crc_ok", "alt", near.alias("in_place"), rounded("gs", 4).alias("gs"), "vertical_rate")
+
+
+@query("d3_pairs_of_frames", _SENT + """ select id, max(case when odd = 0 then id end) over w as even_id, max(case when odd = 1 then id end) over w as odd_id from fr where odd is not null
+window w as (partition by icao order by id rows unbounded preceding)""")
+def d3(spark, d):
+    f = decode.decode_frames(frames(spark, d)).where("odd is not null")
+    return decode.pair_even_odd(f).select("id", "even_id", "odd_id")
 
 
-@query("d5_all_batches")
+@query("d5_all_batches", _SENT + " select id, 17 as df, icao, tc from fr where id > 101")
 def d5(spark, d):
-    f = frames(spark, d)
-    return decode.decode_incremental(f, f.where("id <= 100").select("id")).select("id", "df", "icao", "tc")
+    """The first frames are decoded; the rest comes in batches until none is left."""
+    f = staged(frames(spark, d), "frames")
+    batch = max(1000, f.count() // 4)
+    return decode.decode_all(f, f.where("id <= 101").select("id"), batch, staged).select("id", "df", "icao", F.col("tc").cast("int").alias("tc"))
 
 
-def _parity(f: DataFrame) -> DataFrame:
-    return f.withColumns({"icao": F.substring("payload_hex", 3, 6), "surface": F.lit(False), "odd": (F.col("id") % 2).cast("int")})
+def _stream_of(df: DataFrame, name: str) -> DataFrame:
+    """df as a stream: written files that are read as they come."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).parquet(path)
 
 
-@query("s5_stateful_pairs", """select event_id as id, max(case when event_id % 2 = 0 then event_id end) over w as even_id, max(case when event_id % 2 = 1 then event_id end) over w as odd_id from events
-window w as (partition by user_id // 10 order by event_id rows unbounded preceding)""")
+@query("s5_stateful_pairs", _SENT + """, tm as (select fr.*, m.ts_utc from fr join m on m.raw_id = fr.id // 2), wm as (select epoch_ms(to_timestamp(max(ts_utc))) - 10000 as w from tm where odd is not null)
+select id, max(case when odd = 0 then id end) over w as even_id, max(case when odd = 1 then id end) over w as odd_id from tm, wm where odd is not null and floor(ts_utc * 1000) <= wm.w
+window w as (partition by icao order by ts_utc, id rows unbounded preceding)""")
 def s5(spark, d):
-    stream = streams.events_stream(spark, d)
-    f = stream.select(F.col("event_id").alias("id"), F.floor(F.col("user_id") / 10).cast("string").alias("icao"), F.lit(False).alias("surface"), (F.col("event_id") % 2).cast("int").alias("odd"))
-    return streams.run_to_table(streams.paired_parity(f))
+    """Parity pairs of a stream of decoded frames, as far as the last watermark has come (10 s before the last frame)."""
+    f = decode.decode_frames(frames(spark, d))
+    at = messages(spark, d).select(F.col("raw_id").alias("m_id"), F.timestamp_micros(F.round(F.col("ts_utc") * 1e6).cast("long")).alias("ts"))
+    timed = f.join(at, F.floor(F.col("id") / 2) == F.col("m_id")).select("id", "icao", "surface", "odd", "ts")
+    with stateful.state_store(spark):
+        return streams.run_to_table(stateful.paired_parity(_stream_of(timed, "frames"), "10 seconds"))
 
 
 @query("s7_online_filter")
 def s7(spark, d):
-    path = new_path(spark, "samples")
-    samples(spark, d).select("track_id", "t", *compare.POS, *compare.VEL).write.parquet(path)
-    schema = spark.read.parquet(path).schema
-    return streams.run_to_table(streams.filtered_online(spark.readStream.schema(schema).parquet(path)))
-
-
-@query("s2_quarantine", "select value > 1 as good, count(*) as n from events group by 1")
+    with stateful.state_store(spark):
+        return streams.run_to_table(stateful.filtered_online(_stream_of(samples(spark, d).select("track_id", "t", *compare.POS, *compare.VEL), "samples"), late="0 seconds"))
+
+
+@query("s11_carried_forward", """with l as (select event_id as id, user_id as key, ts from events where event_type = 'error'), r as (select user_id as key, ts, min(value) as value from events where event_type = 'purchase' group by 1, 2),
+wm as (select max(ts) as w from events where event_type in ('error', 'purchase')), j as (select l.*, r.ts as rts, r.value from l asof left join r on l.key = r.key and l.ts >= r.ts)
+select id, case when epoch_us(ts) - epoch_us(rts) <= 172800000000 then value end as value, case when epoch_us(ts) - epoch_us(rts) <= 172800000000 then floor((epoch_us(ts) - epoch_us(rts)) / 1e6) end as age
+from j, wm where ts < date_trunc('second', w)""")
+def s11(spark, d):
+    """Each error with the user's last purchase in the two days before it; rows of the last second, which the watermark may cut, are left out."""
+    e = streams.events_stream(spark, d)
+    side = lambda kind: e.where(F.col("event_type") == kind)
+    left = side("error").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts")
+    right = streams.events_stream(spark, d).where("event_type = 'purchase'").select(F.col("user_id").alias("key"), "ts", "value")
+    with stateful.state_store(spark):
+        got = streams.run_to_table(stateful.carried_forward(left, right, 172800.0, "0 seconds"))
+    rows = spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    last = rows.where("event_type in ('error', 'purchase')").agg(F.date_trunc("second", F.max("ts")).alias("w"))
+    inside = rows.join(F.broadcast(last), F.col("ts") < F.col("w")).select(F.col("event_id").alias("id"))
+    return got.join(inside, "id", "left_semi").select("id", "value", F.floor("age").cast("double").alias("age"))
+
+
+@query("s2_quarantine", "select value > 1 and event_id % 7 <> 3 as good, count(*) as n from events group by 1")
 def s2(spark, d):
+    """Events as lines of JSON, of which every seventh arrives torn."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    line = F.to_json(F.struct("event_id", "value"))
+    torn = e.withColumn("line", line).select(F.when(F.col("event_id") % 7 == 3, F.expr("substring(line, 1, length(line) - 1)")).otherwise(F.col("line")).alias("line"))
     path = new_path(spark, "quarantine")
-    streams.quarantined(streams.events_stream(spark, d), F.col("value") > 1, f"{path}/good", f"{path}/bad", f"{path}/checkpoint")
+    streams.quarantined(streams.parsed(_stream_of(torn, "lines"), "event_id long, value double"), F.col("value") > 1, f"{path}/good", f"{path}/bad", f"{path}/checkpoint")
     good, bad = spark.read.parquet(f"{path}/good"), spark.read.parquet(f"{path}/bad")
     return good.select(F.lit(True).alias("good")).unionByName(bad.select(F.lit(False).alias("good"))).groupBy("good").agg(F.count("*").alias("n"))
 
 
-@query("s9_incremental_decode", "select event_id as id, 17 as df, upper(to_hex(4915200 + user_id // 10)) as icao from events")
+@query("s9_incremental_decode", _SENT + " select id, 17 as df, icao, tc from fr")
 def s9(spark, d):
-    def fields(batch: DataFrame) -> DataFrame:
-        body = F.lpad(F.hex(4915200 + F.floor(F.col("user_id") / 10)), 6, "0")
-        f = batch.select(F.col("event_id").alias("id"), F.concat(F.lit("8D"), body, F.lit("99"), F.lpad(F.lit("0"), 18, "0")).alias("payload_hex")) if "event_id" in batch.columns else batch
-        return decode.frame_header(f).select("id", "df", "icao")
-
-    stream = streams.events_stream(spark, d).withColumn("id", F.col("event_id"))
-    return streams.decode_new(stream, new_path(spark, "decoded"), lambda b: fields(b))
+    """Frames of a stream decoded batch by batch, each batch a partition of the table."""
+    f = frames(spark, d).withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("id")))
+    out = streams.decode_new(_stream_of(f, "frames"), new_path(spark, "decoded"), lambda b: decode.decode_frames(b.drop("ts")).select("id", "df", "icao", F.col("tc").cast("int").alias("tc")))
+    return out.select("id", "df", "icao", "tc")
 
 
 @query("s10_rules_on_a_stream", MESSAGES_SQL + " select raw_id, track_id from m where ts_utc between 1704067200 and 1704068025")
 def s10(spark, d):
     """Every message of the stream meets the rules of its own address and window, from the rule table of all tracks."""
-    path = new_path(spark, "messages")
-    messages(spark, d).write.parquet(path)
-    m = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    m = _stream_of(messages(spark, d), "messages")
     rules = staged(M.rule_table(spark, d), "rules")
     return streams.run_to_table(prepare.join_rules(m, rules).select("raw_id", "track_id"))
