@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -649,60 +650,90 @@ def select_params(features: DataFrame, preset: str = "balanced") -> DataFrame:
     table = spark.createDataFrame(
         [(n, e[k], v[k], s, o, j, a, x) for n, (e, v, s, o, j, a, x) in POLICY.items()], "policy string, p_eta double, p_velocity double, p_spacing double, p_per_basis double, p_jerk double, p_accel_prior double, p_accel double"
     )
-    f = features.select(*SEGMENT, "regime_label", "median_speed", "median_mismatch", policy_class(F.col("regime_label"), F.col("median_speed"), F.col("median_mismatch")).alias("policy"))
+    f = features.select(*SEGMENT, "regime_label", "median_speed", "median_mismatch", "duration", "n", policy_class(F.col("regime_label"), F.col("median_speed"), F.col("median_mismatch")).alias("policy"))
     high = F.col("median_mismatch") > F.greatest(F.lit(10.0), 0.25 * F.greatest(F.col("median_speed"), F.lit(1.0)))
     j = f.join(F.broadcast(table), "policy")
     return j.withColumn("p_velocity", F.when(high & ~F.col("policy").isin("ground", "steady"), POLICY["noisy"][1][k]).otherwise(F.col("p_velocity")))
 
 
-#: K9: multipliers of eta, velocity, knot spacing, rows a basis, jerk and acceleration prior.
+# Fixed values of K9: multipliers of eta, velocity, knot spacing, rows a basis, jerk and acceleration prior; then their order by preset,
+# `short` standing for the three recipes of short transitions; the clamps; and by tokens of a regime the acceleration and jerk that it
+# may have and the weight of its motion.
 RECIPES = {
     "base": (1, 1, 1, 1, 1, 1), "more_detail": (0.45, 1, 0.7, 0.7, 0.75, 0.7), "detail_light": (0.55, 0.45, 0.75, 0.8, 0.7, 0.75), "detail_heavy": (0.7, 1.75, 0.85, 0.8, 0.9, 0.8), "low_velocity": (1, 0.35, 1, 1, 1, 1),
     "high_velocity": (1, 2, 1, 1, 1, 1), "smoother": (1.8, 0.7, 1.25, 1.35, 1.5, 1.3), "very_smooth": (3.2, 0.3, 1.6, 1.8, 2.5, 1.8), "rough_guard": (4, 0.2, 1.8, 2.1, 3, 2.2), "flexible": (0.75, 1.25, 0.65, 0.65, 0.6, 0.6),
     "flexible_low": (0.85, 0.35, 0.7, 0.75, 0.8, 0.7), "smooth_deriv": (1.4, 0.7, 1.15, 1.2, 2.2, 1.5), "low_jerk": (0.8, 1, 0.9, 0.9, 2, 0.9), "high_smooth": (2.5, 0.7, 1, 1.2, 2, 1.6),
+    "low_smooth": (0.35, 1, 1, 0.9, 0.7, 0.7), "wide_knots": (2, 0.3, 1.45, 1.6, 2, 1.5),
 }
 SHORT_RECIPES = {"short_1": (1.6, 0.2, 1.35, 1.5, 2.4, 1.6), "short_2": (2.4, 0.15, 1.6, 1.8, 3.2, 2), "short_3": (1.4, 0.25, 1.25, 1.45, 2, 1.4)}
-_MULTIPLIED = ("eta", "velocity", "spacing", "per_basis", "jerk", "accel_prior")
-
-
-def candidate_grid(params: DataFrame, most: int = 14) -> DataFrame:
-    """K9: each segment's parameters times each recipe, the first `most`, and three more for transitions of less than 75 s; equal ones once."""
-    spark = params.sparkSession
-    rows = [(n, k < most, k, *map(float, m)) for k, (n, m) in enumerate(RECIPES.items())] + [(n, False, 100 + k, *map(float, m)) for k, (n, m) in enumerate(SHORT_RECIPES.items())]
-    table = spark.createDataFrame(rows, "recipe string, usual boolean, nth int, " + ", ".join(f"m_{c} double" for c in _MULTIPLIED))
-    short = (F.col("policy") == "transition") & (F.col("duration") < 75) if "duration" in params.columns else F.lit(False)
-    j = params.join(F.broadcast(table), F.col("usual") | short & (F.col("nth") >= 100))
-    limits = {"eta": (1.0, 1e7), "velocity": (0.0, 1.0), "spacing": (1.0, 60.0), "per_basis": (2.0, 40.0), "jerk": (0.0, 1.0), "accel_prior": (0.0, 10.0)}
-    out = j.withColumns({f"p_{c}": F.greatest(F.lit(limits[c][0]), F.least(F.lit(limits[c][1]), F.col(f"p_{c}") * F.col(f"m_{c}"))) for c in _MULTIPLIED})
-    w = Window.partitionBy(*SEGMENT, *(F.round(f"p_{c}", 9) for c in _MULTIPLIED)).orderBy("nth")
-    return out.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "usual", *(f"m_{c}" for c in _MULTIPLIED))
-
-
-def candidate_score(preset: str = "balanced", accel0: float = 1.5, jerk0: float = 0.6) -> Column:
-    """K9: cost of a candidate from rmse, p95, most, accel_rms, jerk_rms, n_basis, n, duration and transition."""
+ORDER = {
+    "accurate": ("base", "more_detail", "detail_light", "detail_heavy", "short", "flexible", "flexible_low", "low_smooth", "low_jerk"),
+    "balanced": ("base", "more_detail", "detail_light", "detail_heavy", "low_velocity", "short", *(n for k, n in enumerate(RECIPES) if k >= 5)),
+    "smooth": ("base", "short", "smoother", "very_smooth", "rough_guard", "smooth_deriv", "high_smooth", "wide_knots", "low_velocity"),
+}
+MOST_CANDIDATES = {"accurate": 14, "balanced": 14, "smooth": 10}
+CLAMPS = {"eta": (500.0, 1e6), "velocity": (0.0, 0.12), "spacing": (1.0, 12.0), "per_basis": (2.5, 16.0), "jerk": (0.0, 0.05), "accel_prior": (0.0, 0.5), "accel": (0.35, 3.0)}
+MOTION = (
+    (("rough", "noisy", "surveillance"), (3.5, 2.5, 1.75)), (("turn", "transition"), (7.0, 6.0, 0.65)), (("energy_constant",), (3.0, 2.0, 1.35)), (("energy_gain", "energy_loss", "climb", "descent"), (5.0, 4.0, 1.0)),
+    (("ground",), (2.0, 1.5, 1.2)), ((), (4.5, 3.5, 1.0)),
+)
+TRANSITIONS = ("transition", "turn", "energy_gain", "energy_loss", "climb", "descent")
+_MULTIPLIED = {"eta": "m_eta", "velocity": "m_velocity", "spacing": "m_spacing", "per_basis": "m_per_basis", "jerk": "m_jerk", "accel_prior": "m_accel_prior", "accel": "m_accel_prior"}
+
+
+def _says(regime: Column, tokens: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [F.lower(regime).contains(x) for x in tokens], F.lit(False))
+
+
+def candidate_grid(params: DataFrame, preset: str = "balanced", most: int | None = None) -> DataFrame:
+    """K9: each segment's parameters times the recipes of the preset in its order, those for short transitions only where a segment is one (at
+    most 90 s or 80 rows), clamped; equal ones once, and of the rest the first `most` (14, or 10 for smooth)."""
+    rows, nth = [], 0
+    for name in ORDER[preset]:
+        for recipe, m in SHORT_RECIPES.items() if name == "short" else [(name, RECIPES[name])]:
+            rows.append((recipe, name == "short", nth, *map(float, m)))
+            nth += 1
+    table = F.broadcast(params.sparkSession.createDataFrame(rows, "recipe string, for_short boolean, nth int, " + ", ".join(f"{c} double" for c in dict.fromkeys(_MULTIPLIED.values()))))
+    short = _says(F.col("regime_label"), TRANSITIONS) & ((F.col("duration") > 0) & (F.col("duration") <= 90) | (F.col("n") > 0) & (F.col("n") <= 80))
+    j = params.join(table, ~F.col("for_short") | short)
+    out = j.withColumns({f"p_{c}": F.greatest(F.lit(CLAMPS[c][0]), F.least(F.lit(CLAMPS[c][1]), F.col(f"p_{c}") * F.col(m))) for c, m in _MULTIPLIED.items()})
+    same = Window.partitionBy(*SEGMENT, *(F.round(f"p_{c}", 8 if c in ("jerk", "accel_prior") else 6) for c in _MULTIPLIED)).orderBy("nth")
+    once = out.withColumn("_r", F.row_number().over(same)).where("_r = 1")
+    kept = once.withColumn("_r", F.row_number().over(Window.partitionBy(*SEGMENT).orderBy("nth"))).where(F.col("_r") <= (most or MOST_CANDIDATES[preset]))
+    return kept.drop("_r", "for_short", *_MULTIPLIED.values())
+
+
+def candidate_score(preset: str = "balanced") -> Column:
+    """K9: cost of a candidate from rmse, p95, most, accel_rms, jerk_rms, n_basis, n, duration and regime_label: position, motion against what
+    the regime may have, complexity, and, for transitions shorter than 75 s, the risk at joins."""
     k = PRESETS.index(preset)
     sp, sm = (0.85, 1.0, 1.2)[k], (0.45, 1.0, 2.0)[k]
-    motion = (F.col("accel_rms") / accel0) ** 2 + 0.6 * (F.col("jerk_rms") / jerk0) ** 2
-    crowd = (F.col("n_basis") / F.col("n")) ** 2
-    short = F.when(F.col("transition"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (75 - F.col("duration")) / 75))).otherwise(0.0)
-    return sp * (F.col("rmse") + 0.2 * F.col("p95") + 0.02 * F.col("most")) + 8 * sm * motion + 4 * crowd + 6 * short * (crowd + 0.1 * (F.col("jerk_rms") / jerk0) ** 2)
-
-
-def tuned(rows: DataFrame, params: DataFrame, preset: str = "balanced", states: DataFrame | None = None, most: int = 14) -> DataFrame:
-    """K9, K7: fits every candidate of every segment, one task each, and keeps the cheapest; ties: the earlier recipe."""
-    grid = candidate_grid(params, most)
-    data = rows.join(grid.select(*SEGMENT, "nth", "policy", *(c for c in grid.columns if c.startswith("p_"))), SEGMENT)
+    target = [F.lit(x) for x in MOTION[-1][1]]
+    for tokens, values in MOTION[-2::-1]:
+        target = [F.when(_says(F.col("regime_label"), tokens), v).otherwise(t) for v, t in zip(values, target, strict=True)]
+    a, j = F.col("accel_rms") / target[0], F.col("jerk_rms") / target[1]
+    crowd = (F.col("n_basis") / F.greatest("n", F.lit(1))) ** 2
+    short = F.when(_says(F.col("regime_label"), TRANSITIONS), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (75 - F.col("duration")) / 75))).otherwise(0.0)
+    return sp * (F.col("rmse") + 0.2 * F.col("p95") + 0.02 * F.col("most")) + 8 * sm * target[2] * (a * a + 0.6 * j * j) + 4 * crowd + 6 * short * (crowd + 0.1 * j * j)
+
+
+def tuned(rows: DataFrame, params: DataFrame, preset: str = "balanced", states: DataFrame | None = None, most: int | None = None, config: Config | None = None) -> DataFrame:
+    """K9: fits every candidate of every segment and keeps the cheapest; ties: the earlier recipe. nth is its place, recipe its name."""
+    grid = candidate_grid(params, preset, most)
+    data = rows.join(grid.select(*SEGMENT, "nth", *(c for c in grid.columns if c.startswith("p_"))), SEGMENT)
     keyed = data.withColumn("segment", F.col("segment") * 1000 + F.col("nth"))
-    fits = fit_segments(keyed, [f"piecewise_{preset}"], states)
+    registry = Methods()
+    registry.register("candidate", config or variants()[f"piecewise_{preset}"], solve_bspline)
+    fits = fit_segments(keyed, ["candidate"], states, registry).withColumn("method", F.lit(f"piecewise_{preset}"))
     frames = render_fits(fits.withColumn("track_id", F.concat_ws("\x1f", "track_id", F.col("segment").cast("string"))))
     w = Window.partitionBy("track_id", "component").orderBy("t")
     step = F.sqrt(sum(((F.col(f"a{c}") - F.lag(f"a{c}").over(w)) ** 2 for c in "xyz"), F.lit(0.0))) / (F.col("t") - F.lag("t").over(w))
     shape = frames.withColumns({"a": F.sqrt(F.col("ax") ** 2 + F.col("ay") ** 2 + F.col("az") ** 2), "j": step}).groupBy("track_id", "component").agg(T.rms(F.col("a")).alias("accel_rms"), T.rms(F.col("j")).alias("jerk_rms"))
     shape = shape.select(F.element_at(F.split("track_id", "\x1f"), 1).alias("track_id"), "component", F.element_at(F.split("track_id", "\x1f"), 2).cast("long").alias("segment"), "accel_rms", F.coalesce("jerk_rms", F.lit(0.0)).alias("jerk_rms"))
-    kind = params.select(*SEGMENT, (F.col("policy") == "transition").alias("transition"))
-    scored = fits.join(shape, SEGMENT).withColumns({"nth": F.col("segment") % 1000, "segment": F.floor(F.col("segment") / 1000).cast("long"), "duration": F.col("t1") - F.col("t0")}).join(kind, SEGMENT)
+    kind = grid.select(*SEGMENT, "nth", "recipe", "regime_label")
+    scored = fits.join(shape, SEGMENT).withColumns({"nth": (F.col("segment") % 1000).cast("int"), "segment": F.floor(F.col("segment") / 1000).cast("long"), "duration": F.col("t1") - F.col("t0")}).join(kind, [*SEGMENT, "nth"])
     best = Window.partitionBy(*SEGMENT).orderBy(F.round("cost", 9), "nth")
-    return scored.withColumn("cost", candidate_score(preset)).withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r", "accel_rms", "jerk_rms", "transition", "duration")
+    return scored.withColumn("cost", candidate_score(preset)).withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r", "accel_rms", "jerk_rms", "regime_label", "duration")
 
 
 #: Limits of rmse, p95, largest error; of the vertical ones; and of the vertical window error, by preset.
@@ -727,17 +758,63 @@ def bad_segments(residuals: DataFrame, preset: str = "balanced", k: int = 5, run
     return b.withColumn("place", F.row_number().over(Window.partitionBy(*COMPONENT, "method").orderBy(F.desc("priority"), "segment")).cast("long"))
 
 
-def refined_boundaries(boundaries: DataFrame, segments: DataFrame, residuals: DataFrame, bad: DataFrame, most_new: int = 8, points: int = 8, seconds: float = 8.0) -> DataFrame:
-    """M21, one pass, and T4: boundaries and, in the worst `most_new` bad segments of each component, the row of largest error that leaves
-    both parts enough rows and time."""
-    worst = bad.where(F.col("place") <= most_new).select(*SEGMENT)
-    r = residuals.join(worst, SEGMENT).join(segments, SEGMENT)
+#: The limits of a segmentation inside a bad segment: one boundary, less support, spikes as candidates.
+INSIDE = {"min_points": 8, "min_seconds": 8.0, "spacing": 8.0, "state_points": 7, "state_seconds": 6.0, "most_segments": 2}
+
+
+def inner_boundaries(rows: DataFrame, segments: DataFrame, bad: DataFrame, stage=lambda df, name: df) -> DataFrame:
+    """The boundary that M16, run inside each bad segment under looser limits, finds there: SEGMENT, i, t, score, reasons.
+
+    Each bad segment is a component of its own, so all of them go through one run of the segmentation's jobs. Segments that are bad
+    only for their height are left to the residual's peak.
+    """
+    from trackspark.operators import regimes
+
+    limits = regimes.Limits(**INSIDE)
+    flat = bad.where(~F.exists("reasons", lambda r: r.contains("vertical"))).select(*SEGMENT).distinct()
+    own = regimes.in_segments(rows, segments).join(flat, SEGMENT)
+    first = segments.select(*SEGMENT, "first")
+    name = F.concat_ws("\x1f", "track_id", F.col("component").cast("string"), F.col("segment").cast("string"))
+    inner = own.join(first, SEGMENT).select(name.alias("track_id"), F.lit(0).alias("component"), (F.col("i") - F.col("first")).alias("i"), "t", *_AXES)
+    inner = stage(inner, "inside")
+    features = stage(regimes.motion_features(inner), "inside-features")
+    labels = stage(regimes.regime_labels(regimes.raw_labels(features, limits), limits), "inside-labels")
+    bands = regimes.adaptive_deadbands(features, limits)
+    found = [regimes.transition_candidates(labels, features, limits, ("energy", "turn")), regimes.go_around_candidates(features, bands, limits), regimes.vertical_reversal_candidates(features, bands, limits)]
+    found += [regimes.altitude_lobe_candidates(features, bands, limits), regimes.spike_candidates(features, threshold=3.0)]
+    b = regimes.select_boundaries(regimes.union_candidates(*found), inner, limits)
+    part = F.split("track_id", "\x1f")
+    keyed = b.select(part[0].alias("track_id"), part[1].cast("int").alias("component"), part[2].cast("long").alias("segment"), "i", "t", "score", "reasons").join(first, SEGMENT)
+    return keyed.select(*SEGMENT, (F.col("i") + F.col("first")).alias("i"), "t", F.greatest("score", F.lit(100.0)).alias("score"), F.array_append("reasons", F.lit("feature_split")).alias("reasons"))
+
+
+def residual_peaks(segments: DataFrame, residuals: DataFrame, bad: DataFrame, points: int = 8, seconds: float = 8.0, window: int = 5) -> DataFrame:
+    """M21's other way: in each bad segment the row of largest rolling median error that leaves both parts enough rows and time; the height's
+    error, and a twentieth of the whole one, where a reason is vertical. SEGMENT, i, t, score, reasons."""
+    wanted = bad.select(*SEGMENT, F.exists("reasons", lambda r: r.contains("vertical")).alias("vertical"))
+    r = residuals.join(wanted, SEGMENT).join(segments, SEGMENT)
     part = Window.partitionBy(*SEGMENT)
-    r = r.withColumns({"_a": F.min("t").over(part), "_b": F.max("t").over(part), "e": F.sqrt(F.col("ex") ** 2 + F.col("ey") ** 2 + F.col("ez") ** 2)})
+    r = r.withColumns({"_a": F.min("t").over(part), "_b": F.max("t").over(part), "e": F.sqrt(F.col("ex") ** 2 + F.col("ey") ** 2 + F.col("ez") ** 2), "ev": F.abs("ez")})
+    for c in ("e", "ev"):
+        r = T.rolling_median(r, SEGMENT, ["t"], c, window, f"{c}_m")
     fit = (F.col("i") - F.col("first") + 1 >= points) & (F.col("last") - F.col("i") + 1 >= points) & (F.col("t") - F.col("_a") >= seconds) & (F.col("_b") - F.col("t") >= seconds)
-    new = r.where(fit).groupBy(*SEGMENT).agg(F.max_by(F.struct("i", "t"), F.struct(F.round("e", 9), -F.col("i"))).alias("m"), F.max("e").alias("score"))
-    n = new.select(*COMPONENT, F.col("m.i").alias("i"), F.col("m.t").alias("t"), "score", F.array(F.lit("quality_refinement")).alias("reasons"))
-    return boundaries.select(*COMPONENT, "i", "t", "score", "reasons").unionByName(n.join(boundaries.select(*COMPONENT, "i"), [*COMPONENT, "i"], "left_anti"))
+    r = r.where(fit).withColumn("score", F.when(F.col("vertical"), F.col("ev_m") + 0.05 * F.col("e_m")).otherwise(F.col("e_m")))
+    new = r.groupBy(*SEGMENT).agg(F.max_by(F.struct("i", "t", "vertical", "score"), F.struct(F.round("score", 9), -F.col("i"))).alias("m"))
+    reason = F.when(F.col("m.vertical"), "vertical_residual_peak").otherwise("residual_peak")
+    return new.select(*SEGMENT, F.col("m.i").alias("i"), F.col("m.t").alias("t"), F.greatest("m.score", F.lit(100.0)).alias("score"), F.array(reason).alias("reasons"))
+
+
+def refined_boundaries(rows: DataFrame, boundaries: DataFrame, segments: DataFrame, residuals: DataFrame, bad: DataFrame, most_new: int = 8, most_segments: int = 48, stage=lambda df, name: df) -> DataFrame:
+    """M21, one pass, and T4: boundaries and, in the bad segments of each component, worst first, a new one each: M16's inside, else the
+    residual's peak; at most `most_new` of them and `most_segments` segments in all. A segment without room for two parts gets none."""
+    inner = inner_boundaries(rows, segments, bad, stage)
+    peaks = residual_peaks(segments, residuals, bad).join(inner.select(*SEGMENT), SEGMENT, "left_anti")
+    order = bad.select(*SEGMENT, "place")
+    count = segments.groupBy(*COMPONENT).agg(F.count("*").alias("_n"))
+    new = inner.unionByName(peaks).join(order, SEGMENT).join(count, COMPONENT)
+    new = new.withColumn("_r", F.row_number().over(Window.partitionBy(*COMPONENT).orderBy("place", "segment"))).where((F.col("_r") <= most_new) & (F.col("_n") + F.col("_r") <= most_segments))
+    new = new.select(*COMPONENT, "i", "t", "score", F.array_append("reasons", F.lit("quality_refinement")).alias("reasons"))
+    return boundaries.select(*COMPONENT, "i", "t", "score", "reasons").unionByName(new.join(boundaries.select(*COMPONENT, "i"), [*COMPONENT, "i"], "left_anti"))
 
 
 def synthetic_gap_plan(samples: DataFrame, fraction: float = 0.05, gaps: int = 1, low: float = 8.0, high: float = 16.0, guard: float = 45.0, seed: int = 17, least: int = 24) -> DataFrame:
@@ -850,31 +927,50 @@ def verify_continuity(fits: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     return out.withColumns({f"smooth_{n}": F.col(f"jump_{n}") <= tolerance for n in "pva"})
 
 
-def component_fit(tables: dict[str, DataFrame], features: DataFrame, preset: str = "balanced", passes: int = 2, stage=lambda df, name: df) -> dict[str, DataFrame]:
-    """K12 with M21: policy, prefit with soft joins, harmonised joins, final fit, and at most `passes` refinements of bad segments.
+def component_fit(tables: dict[str, DataFrame], preset: str = "balanced", passes: int = 2, most: int | None = None, stage=lambda df, name: df) -> dict[str, DataFrame]:
+    """K12 with K9 and M21: policy, prefit with soft joins, harmonised joins, the cheapest candidate under the joins' velocities as equalities,
+    and at most `passes` refinements of bad segments.
 
-    tables: of regimes.segment_tracks(); features(rows, labels, segments): regimes.segment_features. stage(df, name): how a table is kept between the stages (a written table on a cluster).
+    tables: of regimes.segment_tracks(). A refinement only touches the segments that it splits: the others keep their fits and the states
+    at their ends, under new numbers, so a pass costs what it changes. It ends early where no bad segment can be split. stage(df, name):
+    how a table is kept between the stages (a written table on a cluster).
     """
     from trackspark.operators import regimes
 
     rows, boundaries = tables["rows"], tables["boundaries"]
+    final = replace(variants()[f"piecewise_{preset}"], hard_velocity=True)
+    soft = Methods()
+    soft.register("prefit", replace(variants()[f"piecewise_{preset}"], position_prior=0.5, velocity_prior=0.025), solve_bspline)
+    segments = stage(regimes.build_segments(rows, boundaries), "segments")
+    todo, shared, kept, n_boundaries = segments, None, None, boundaries.count()
     for k in range(passes + 1):
-        segments = stage(regimes.build_segments(rows, boundaries), f"segments-{k}")
-        data = stage(regimes.in_segments(rows, segments), f"rows-{k}")
-        params = select_params(regimes.segment_features(tables["features"], tables["labels"], segments), preset)
+        data = stage(regimes.in_segments(rows, todo), f"rows-{k}")
+        params = select_params(regimes.segment_features(tables["features"], tables["labels"], todo), preset)
+        params = stage(params, f"params-{k}")
         own = data.join(params.select(*SEGMENT, *(c for c in params.columns if c.startswith("p_"))), SEGMENT)
-        states = stage(boundary_states(rows, boundaries), f"states-{k}")
-        soft = Methods()
-        soft.register("prefit", replace(variants()[f"piecewise_{preset}"], position_prior=0.5, velocity_prior=0.05), solve_bspline)
-        prefit = stage(fit_segments(own, ["prefit"], states, soft), f"prefit-{k}")
-        velocity = harmonized_velocities(joins(rows, fit_residuals(data, prefit), prefit, segments), states)
-        shared = states.drop("vx", "vy", "vz").join(velocity, [*COMPONENT, "i"])
-        fits = stage(fit_segments(own, [f"piecewise_{preset}"], shared), f"fits-{k}")
-        residuals = stage(fit_residuals(data, fits), f"residuals-{k}")
-        bad = bad_segments(residuals, preset)
+        new = boundaries if shared is None else boundaries.join(shared.select(*COMPONENT, "i"), [*COMPONENT, "i"], "left_anti")
+        states = stage(boundary_states(rows, new), f"states-{k}")
+        known = states if shared is None else states.unionByName(shared.select(*states.columns))
+        prefit = stage(fit_segments(own, ["prefit"], known, soft), f"prefit-{k}")
+        velocity = harmonized_velocities(joins(rows, fit_residuals(data, prefit), prefit, todo), states)
+        joined = states.join(velocity.withColumnsRenamed({f"v{c}": f"_v{c}" for c in "xyz"}), [*COMPONENT, "i"], "left")
+        fresh = joined.select(*(F.coalesce(f"_{c}", c).alias(c) if c in ("vx", "vy", "vz") else F.col(c) for c in states.columns))
+        shared = stage(fresh if shared is None else fresh.unionByName(shared.select(*states.columns)), f"shared-{k}")
+        best = tuned(data, params, preset, shared, most, final)
+        fits = stage(best if kept is None else best.unionByName(kept.select(*best.columns)), f"fits-{k}")
+        residuals = stage(fit_residuals(regimes.in_segments(rows, segments), fits), f"residuals-{k}")
+        bad = stage(bad_segments(residuals, preset), f"bad-{k}")
         if k == passes or bad.isEmpty():
             break
-        boundaries = stage(refined_boundaries(boundaries, segments, residuals, bad), f"boundaries-{k}")
+        refined = stage(refined_boundaries(rows, boundaries, segments, residuals, bad, stage=stage), f"boundaries-{k}")
+        n = refined.count()
+        if n == n_boundaries:
+            break
+        before, boundaries, n_boundaries = segments, refined, n
+        segments = stage(regimes.build_segments(rows, boundaries), f"segments-{k}")
+        same = before.withColumnRenamed("segment", "_old").join(segments, [*COMPONENT, "first", "last"]).select(*COMPONENT, "_old", "segment")
+        kept = stage(fits.withColumnRenamed("segment", "_old").join(same, [*COMPONENT, "_old"]).drop("_old"), f"kept-{k}")
+        todo = stage(segments.join(same.select(*SEGMENT), SEGMENT, "left_anti"), f"todo-{k}")
     return {"segments": segments, "states": shared, "fits": fits, "residuals": residuals, "bad": bad, "boundaries": boundaries}
 
 

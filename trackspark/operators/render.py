@@ -6,9 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trackspark.functions import scalars as S
-from trackspark.operators import timeseries as T
+from trackspark.operators import timeseries
 from trackspark.operators.splines import _bracket
 
 POS, VEL, ACC, JERK = (tuple(f"{p}{c}" for c in "xyz") for p in ("", "v", "a", "j"))
@@ -53,7 +54,7 @@ def evaluate_states(states: DataFrame, queries: DataFrame, keys: list[str], hold
 def render_states(states: DataFrame, step: float = 0.25, keys: tuple[str, ...] = ("track_id", "method")) -> DataFrame:
     """K15 of filter states: W25's grid, K3's values; one segment a track."""
     known = states.where("t is not null")
-    grid = T.resample(known, list(keys), "t", step)
+    grid = timeseries.resample(known, list(keys), "t", step)
     return evaluate_states(known, grid, list(keys)).withColumn("segment", F.lit(0).cast("long"))
 
 
@@ -64,7 +65,7 @@ def with_structs(render: DataFrame, field_ft: float = 0.0) -> DataFrame:
 
 def densified(render: DataFrame, keys: list[str], step: float = 0.25) -> DataFrame:
     """W25 as a viewer has it: positions on the grid by a line, vectors held from the row on the left."""
-    grid = T.resample(render, keys, "t", step)
+    grid = timeseries.resample(render, keys, "t", step)
     j = _bracket(render, grid, keys, [*POS, *VEL])
     t, a, b = F.col("_t"), F.col("_a"), F.col("_b")
     share = F.when(b["t"] > a["t"], (t - a["t"]) / (b["t"] - a["t"])).otherwise(0.0)
@@ -73,7 +74,7 @@ def densified(render: DataFrame, keys: list[str], step: float = 0.25) -> DataFra
 
 def viewer_segments(render: DataFrame, keys: list[str]) -> DataFrame:
     """IO9 and W21: runs of equal segment with first and last frame index and time."""
-    return T.label_runs(render, keys, "t", "segment").select(*keys, F.col("run").cast("long").alias("run"), F.col("label").alias("segment"), "first_index", "last_index", "t0", "t1", "n")
+    return timeseries.label_runs(render, keys, "t", "segment").select(*keys, F.col("run").cast("long").alias("run"), F.col("label").alias("segment"), "first_index", "last_index", "t0", "t1", "n")
 
 
 def next_far(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
@@ -116,5 +117,4 @@ def neighbour_heading(points: DataFrame, keys: list[str], least: float = 0.5) ->
         heading = np.degrees(np.arctan2(x[end] - x[start], y[end] - y[start])) % 360
         return g.assign(heading=np.where(known, heading, 0.0))
 
-    schema = points.schema.add("heading", "double")
-    return points.groupBy(*keys).applyInPandas(run, schema)
+    return points.groupBy(*keys).applyInPandas(run, T.StructType([*points.schema.fields, T.StructField("heading", T.DoubleType())]))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackspark.functions import scalars as S
-from trackspark.operators import compare, decode, evaluation, fits, prepare, quality, regimes, render, segment_scores, smoothing
+from trackspark.operators import compare, decode, evaluation, fits, prepare, quality, regimes, render, scan, segment_scores, smoothing
 from trackspark.operators import timeseries as T
 from trackspark.plans.track_queries import KEYFRAMES_SQL, MESSAGES_SQL, SAMPLES_SQL, events, keyframes, messages, rnd, rounded, samples
 from trackspark.sources import files
@@ -149,14 +149,28 @@ def segmented(spark, d):
 
 @query("k13_method_variants")
 def k13(spark, d):
+    """All 24 methods, and the three whose weights are searched."""
     t, rows = segmented(spark, d)
     states = staged(fits.boundary_states(t["rows"], t["boundaries"]), "states")
-    return fits.fit_diagnostics(fits.fit_segments(rows, [f"{m}_balanced" for m in ("piecewise", "hermite", "join_smooth", "stable_hermite", "quintic")], states))
+    smooth = staged(smoothing.smooth_ca(t["rows"]), "filtered")
+    return fits.fit_diagnostics(fits.fit_segments(staged(rows, "data"), fits.Methods().known, states, filtered=smooth))
+
+
+@query("k7_searched_weights")
+def k7(spark, d):
+    f = fits.fit_segments(segmented(spark, d)[1], ["hermite_balanced", "searched_hermite_balanced"])
+    return f.select(*fits.SEGMENT, "method", "loocv", "eta", "velocity_weight", "n_solves", "error")
+
+
+@query("k2_scan")
+def k2_scan(spark, d):
+    """Every track in chunks of a hundred rows."""
+    return scan.smooth_ca_scan(samples(spark, d), ("balanced",), 100, stage=staged)
 
 
 @query("k12_component_fit")
 def k12(spark, d):
-    out = fits.component_fit(tracks(spark, d), None, "balanced", 1, staged)
+    out = fits.component_fit(tracks(spark, d), "balanced", stage=staged)
     return fits.fit_diagnostics(out["fits"])
 
 
@@ -164,7 +178,16 @@ def k12(spark, d):
 def k9(spark, d):
     t, rows = segmented(spark, d)
     params = fits.select_params(regimes.segment_features(t["features"], t["labels"], t["segments"]))
-    return fits.tuned(rows, params, most=3).select(*fits.SEGMENT, "nth", "rmse", "n_basis", "cost")
+    return fits.tuned(rows, params).select(*fits.SEGMENT, "nth", "recipe", "rmse", "n_basis", "cost")
+
+
+@query("w22_neighbour_heading", SAMPLES_SQL + """, nx as (select a.track_id, a.t, a.x, a.y, arg_min(struct_pack(x := b.x, y := b.y), b.t) filter (b.t > a.t) as f, arg_max(struct_pack(x := b.x, y := b.y), b.t) filter (b.t < a.t) as p
+  from s a left join s b on b.track_id = a.track_id and sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) > 400 group by all
+), hd as (select track_id, t, degrees(case when f is not null then atan2(f.x - x, f.y - y) when p is not null then atan2(x - p.x, y - p.y) else 0e0 end) as h from nx)
+select track_id, t, """ + rnd("h - 360e0 * floor(h / 360e0)", 3) + " as heading from hd")
+def w22(spark, d):
+    """Bearings to the first point more than 400 m away, several rows ahead."""
+    return render.neighbour_heading(samples(spark, d), ["track_id"], 400.0).select("track_id", "t", rounded("heading", 3).alias("heading"))
 
 
 @query("k11_overlap_rows")

@@ -187,7 +187,11 @@ def e20(spark, d):
     return s.groupBy("track_id").agg(rounded(F.avg("a") / F.nullif(F.avg("b"), F.lit(0.0)), 5).alias("ratio"))
 
 
-@query("e24_report_rows", TICKS + " select user_id, metric, " + rnd("value", 4) + " as value from (select user_id, avg(v) as mean, max(v) as most, min(v) as least from tk group by 1) unpivot (value for metric in (mean, most, least))")
+@query("e24_report_rows", TICKS + """, g as (select user_id, count(*) as n, cast(sum(cast(round(v * 10000) as bigint)) as bigint) as s, max(v) as most, min(v) as least from tk group by 1)
+select user_id, metric, """ + rnd("value", 4) + " as value from (select user_id, ((2 * s + n) // (2 * n)) / 10000e0 as mean, most, least from g) unpivot (value for metric in (mean, most, least))")
 def e24(spark, d):
-    g = ticks(spark, d).groupBy("user_id").agg(F.avg("v").alias("mean"), F.max("v").alias("most"), F.min("v").alias("least"))
+    """The mean is that of whole ten-thousandths, rounded half up in whole numbers, so that the order of addition decides nothing."""
+    s, n = F.sum(F.round(F.col("v") * 10000).cast("long")), F.count("*")
+    g = ticks(spark, d).groupBy("user_id").agg(s.alias("s"), n.alias("n"), F.max("v").alias("most"), F.min("v").alias("least"))
+    g = g.select("user_id", (F.expr("(2 * s + n) div (2 * n)") / 10000.0).alias("mean"), "most", "least")
     return g.unpivot("user_id", ["mean", "most", "least"], "metric", "value").withColumn("value", rounded("value", 4))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackspark.operators import compare
 from trackspark.operators import timeseries as T
 from trackspark.plans.track_queries import rnd, rounded
 
@@ -64,26 +65,25 @@ def _segments(k: DataFrame) -> DataFrame:
 
 @query("j3_interval_join", TICKS + _SEG + """ select tk.user_id, tk.t, cast(max(seg) as bigint) as seg from tk join sg on tk.user_id = sg.user_id and tk.t between a and b group by 1, 2""")
 def j3(spark, d):
-    """Inclusive ends; at a shared end the later segment wins. The equi key keeps the range join inside one user."""
+    """Inclusive ends; at a shared end the later segment wins. Points meet only the intervals of their own 200 hours."""
     k = ticks(spark, d)
-    s = _segments(k).withColumnRenamed("user_id", "u")
-    return k.join(s, (F.col("user_id") == F.col("u")) & F.col("t").between(F.col("a"), F.col("b"))).groupBy("user_id", "t").agg(F.max("seg").cast("long").alias("seg"))
+    s = _segments(k).withColumnRenamed("seg", "nth")
+    return T.in_intervals(k.select("user_id", "t"), s, K, "t", 200.0, 0.0).where("nth is not null").select("user_id", "t", F.col("nth").cast("long").alias("seg"))
 
 
 @query("j5_inside_gaps", TICKS + _SEG + """ select count(*) as n from (select 1 from tk where kind = 'view' and exists (select 1 from sg where sg.user_id = tk.user_id and tk.t > a and tk.t < b and b - a > 100))""")
 def j5(spark, d):
     k = ticks(spark, d)
-    s = _segments(k).where("b - a > 100").withColumnRenamed("user_id", "u")
-    return k.where("kind = 'view'").join(s, (F.col("user_id") == F.col("u")) & (F.col("t") > F.col("a")) & (F.col("t") < F.col("b")), "left_semi").agg(F.count("*").alias("n"))
+    gaps = _segments(k).where("b - a > 100").select("user_id", "a", "b")
+    return compare.in_gap(k.where("kind = 'view'").select("user_id", "t"), gaps, K, "t").where("t > gap_a").agg(F.count("*").alias("n"))
 
 
 @query("j6_interval_overlap", TICKS + _SEG + """ select x.user_id, cast(x.seg as bigint) as seg from sg x where b is not null and not exists (
   select 1 from tk e where e.kind = 'error' and e.user_id = x.user_id and x.b > e.t - 5 and x.a < e.t + 5)""")
 def j6(spark, d):
     k = ticks(spark, d)
-    e = k.where("kind = 'error'").select(F.col("user_id").alias("u"), (F.col("t") - 5).alias("lo"), (F.col("t") + 5).alias("hi"))
-    s = _segments(k)
-    return s.join(e, (F.col("user_id") == F.col("u")) & (F.col("b") > F.col("lo")) & (F.col("a") < F.col("hi")), "left_anti").select("user_id", F.col("seg").cast("long").alias("seg"))
+    e = k.where("kind = 'error'").select("user_id", (F.col("t") - 5).alias("a"), (F.col("t") + 5).alias("b"))
+    return T.overlapping_intervals(_segments(k), e, K, 200.0, "left_anti").select("user_id", F.col("seg").cast("long").alias("seg"))
 
 
 @query("j7_anti_join", "select o_custkey, count(*) as n from orders where o_custkey not in (select c_custkey from customer where c_custkey % 3 = 0) group by 1")
