@@ -603,3 +603,60 @@ def test_digests_use_the_shared_folder(spark):
     assert t.count() == 3
     common.unstage(t)
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def words_of(a, n):
+    return " ".join(f"{a}{i}" for i in range(n))
+
+
+def paragraphs_of(a, n):
+    return "".join(f"<p>{words_of(f'{a}{i}x', 10)}</p>" for i in range(n // 10))
+
+
+@pytest.mark.parametrize("page,wanted,unwanted", [
+    ('<div class="content">%c50</div><div class="sidebar">%s60</div>', "c", "s"),
+    ('<div class="content">%c50</div><div class="sidebar">%s500</div>', "c", "s"),
+    ('<article>%c50<div class="promo">%s60</div></article>', "c", "s"),
+    ('<article>%c50</article><section class="discussion">%s80</section>', "c", "s"),
+    ('<div class="post">%c50</div><div id="usercomments">%s80</div>', "c", "s"),
+    ('<article><div class="banner">%c50</div><div class="notice">%d60</div></article>', "cd", ""),
+    ('<form id="aspnetForm"><nav>%s20</nav><div>%c50</div><div class="ad">%t20</div></form>', "c", "st"),
+    ('<form id="aspnetForm">%c50</form>', "c", ""),
+    ('<article class="commentary">%c50</article>', "c", ""),
+    ('<div class="side">%c50<div class="share">%s20</div></div><footer>%t10</footer>', "c", "st"),
+])
+def test_marked_elements_are_left_out_unless_they_wrap_the_content(page, wanted, unwanted):
+    made = re.sub(r"%([a-z])(\d+)", lambda m: paragraphs_of(m[1], int(m[2])), page)
+    got = html_extract.main_text(f"<html><body>{made}</body></html>")
+    for m in re.finditer(r"%([a-z])(\d+)", page):
+        assert (f"{m[1]}0x0" in got, f"{m[1]}{int(m[2]) // 10 - 1}x9" in got) == ((m[1] in wanted,) * 2)
+    assert not set(unwanted) & {w[0] for w in got.split()}
+
+
+def test_a_main_of_links_keeps_them():
+    links = "".join(f"<li><a href=x>{words_of(f'l{i}x', 3)}</a></li>" for i in range(12))
+    got = html_extract.main_text(f"<body><nav><a href=y>menu</a></nav><main><h1>All of them</h1><ul>{links}</ul></main></body>")
+    assert got.split("\n") == ["All of them", *(words_of(f"l{i}x", 3) for i in range(12))]
+
+
+def test_long_unclosed_and_deeply_nested_pages(spark):
+    deep = "<div>" * 3000 + "deep words stand here" + "</div>" * 3000
+    unclosed = "<body><nav>menu<article><p>" + words_of("u", 60)
+    long_ = "<article>" + paragraphs_of("v", 30_000) + "</article>"
+    rows = [(1, "a", deep), (2, "b", unclosed), (3, "c", long_), (3, "c", long_), (None, None, "<p>no id</p>")]
+    pages = spark.createDataFrame([(*r, "clash", 7) for r in rows], "page_id long, url string, html string, text string, n_chars int")
+    got = html_extract.extract_main_text(pages).collect()
+    assert Counter(r.page_id for r in got) == Counter([1, 2, 3, 3, None])
+    by = {r.page_id: r for r in got}
+    assert by[1].text == "deep words stand here" and by[2].text == words_of("u", 60) and len(by[3].text.split()) == 30_000 and by[None].text == "no id"
+    assert all(r.n_chars == len(r.text) for r in got)
+
+
+@pytest.mark.parametrize("record,wanted", [
+    ({"messages": [{"role": "user", "content": [{"type": "text", "text": "hi"}, {"type": "image", "url": "u"}, {"type": "text", "text": " there"}]}, {"role": "assistant", "content": "plain"}]}, [("user", "hi there"), ("assistant", "plain")]),
+    ({"messages": [{"role": "user", "content": {"text": "hi"}}, {"role": "assistant", "content": {"text": "ho"}}]}, [("user", "hi"), ("assistant", "ho")]),
+    ({"messages": [{"role": "user", "content": {"text": "hi"}}, {"role": "assistant", "content": ["a", {"text": "b"}, 3]}, {"role": "user", "content": None}]}, [("user", "hi"), ("assistant", "ab3"), ("user", "")]),
+    ({"prompt": 12, "completion": True}, [("user", "12"), ("assistant", "true")]),
+])
+def test_mixed_contents_become_text_item_by_item(record, wanted):
+    assert chat_format.canonical_turns(record, chat_format.select_mapping(chat_format.field_paths(record))) == wanted

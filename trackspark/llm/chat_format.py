@@ -49,6 +49,7 @@ MAPPINGS = (
     _listed("turn rows", "turns", "role", "text"),
     _listed("messages", "messages", "role", "content"),
     _listed("message parts", "messages", "role", "content[].text"),
+    _listed("message objects", "messages", "role", "content.text"),
     _listed("from and value", "conversations", "from", "value", roles=(("human", "user"), ("gpt", "assistant"))),
     Mapping("instruction", frozenset({"instruction", "output"}), frozenset({"input", "system"}), None, (("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))),
     Mapping("prompt", frozenset({"prompt", "completion"}), frozenset({"system"}), None, (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",)))),
@@ -82,9 +83,33 @@ def values_at(record: object, path: str) -> list:
     return found
 
 
+def as_text(value: object) -> str:
+    """A value as the text that it says: strings as they are, numbers and booleans as in JSON, lists item by item without a break, objects by
+    their `text`, `content` or `value`, the first that they have. Nulls, and objects without these, say nothing."""
+    if isinstance(value, str):
+        return value
+    if isinstance(value, dict):
+        return next((as_text(value[k]) for k in ("text", "content", "value") if value.get(k) is not None), "")
+    if isinstance(value, list):
+        return "".join(map(as_text, value))
+    return "" if value is None else json.dumps(value)
+
+
 def text_at(record: object, path: str) -> str | None:
     found = values_at(record, path)
-    return "".join(map(str, found)) if found else None
+    return "".join(map(as_text, found)) if found else None
+
+
+def turn_text(turn: dict, path: str) -> str:
+    """Text of a turn at a path whose first field may hold a text, an object, or a list that mixes both: each item gives what is at the rest
+    of the path, or else what it says itself."""
+    head, _, rest = path.replace("[]", "").partition(".")
+    value = turn.get(head)
+    if not rest:
+        return as_text(value)
+    items = value if isinstance(value, list) else [value]
+    found = ((text_at(x, rest), x) for x in items)
+    return "".join(as_text(x) if text is None else text for text, x in found)
 
 
 def wrapped(paths: set[str]) -> str:
@@ -106,7 +131,10 @@ def select_mapping(paths: set[str], mappings: tuple[Mapping, ...] = MAPPINGS) ->
 
 
 def canonical_turns(record: object, mapping: Mapping) -> list[tuple[str, str]]:
-    """Turns (role, text) of a record; items of the list that are no objects have no role and no text and are left out."""
+    """Turns (role, text) of a record; items of the list that are no objects have no role and no text and are left out.
+
+    The texts of a list may be plain, objects or lists of parts, mixed from turn to turn and from part to part (turn_text).
+    """
     names = dict(mapping.roles)
     turns = []
     for role, fields in mapping.parts:
@@ -118,7 +146,7 @@ def canonical_turns(record: object, mapping: Mapping) -> list[tuple[str, str]]:
         for item in values_at(record, f"{items}[]"):
             if isinstance(item, dict):
                 said = text_at(item, role) or ""
-                turns.append((names.get(said, said), text_at(item, text) or ""))
+                turns.append((names.get(said, said), turn_text(item, text)))
     return turns
 
 

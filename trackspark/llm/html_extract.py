@@ -38,12 +38,17 @@ _MARK = re.compile(
     r"|overlay|pagination|pager|widget|toolbar|search|skip|legal|copyright|contentinfo|complementary|search)(?=$|[\s_\d-])",
     re.I,
 )
-_COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|replies|respond|disqus)(?=$|[\s_\d-])", re.I)
+_COMMENT = re.compile(r"(?:^|[\s_-])(?:[a-z]*comments?(?:list|area|section|thread|box|form)?|discussions?|replies|respond|disqus)(?=$|[\s_\d-])", re.I)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 
 #: Names that tell of the page's layout or state, not of what the element is.
 _MODIFIER = re.compile(r"(?:has|no|with|without|is|not|hide|show)[-_].*|.*[-_](?:enabled|disabled|on|off|open|closed)", re.I)
 
+#: Elements that are templates but may also wrap a whole page.
+_WRAPPING = frozenset(("form", "fieldset"))
+#: Marked elements are wrappers of the content where the words outside them are fewer than this part of those in the largest of them.
+WRAPPED = 0.05
+
 #: Weights before any labelled page is seen: of a word, a word in a template element, and tags by kind.
 PRIOR = {"word": 1.0, "template word": -1.0, "link word": 0.3, "inline": -0.1, "block": -0.3, "container": -1.0, "template": -5.0}
 
@@ -52,62 +57,79 @@ def _marks(attributes: str) -> str:
     return " ".join(y for x in _NAMES.findall(attributes) for y in "".join(x).split() if not _MODIFIER.fullmatch(y)) if "=" in attributes else ""
 
 
+class _Words:
+    """Words of a page, or of its articles: outside template elements, and by the start of the outermost one that only its names (or a form) make one."""
+
+    def __init__(self) -> None:
+        self.plain = {True: 0, False: 0}
+        self.marked = {True: Counter(), False: Counter()}
+
+    def wrappers(self) -> frozenset[int]:
+        """Starts of the elements that must be the content's wrappers, as next to nothing stands outside them: the largest, and those at least half as large."""
+        inside = bool(self.plain[True] or self.marked[True])
+        most = max(self.marked[inside].values(), default=0)
+        if self.plain[inside] >= WRAPPED * most:
+            return frozenset()
+        return frozenset(at for at, n in self.marked[inside].items() if 2 * n >= most)
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
     """(kind, text of a text token or the tag's name, whether the tag ends a block). Attributes never count as text.
 
-    An element whose names alone make it a template, but which holds more than half of the words of the page's articles, or
-    of a page without article, is its content's wrapper: its words are left to the weights.
+    An element whose names make it a template is one however long it is, as long as the article (or a page without article) has words
+    beside such elements; where it has next to none, they wrap its content and count as plain, and what is marked inside them is seen anew.
     """
-    words = {True: Counter(), False: Counter()}
-    for _ in _tokens(page, frozenset(), words):
-        pass
-    own = words[bool(words[True][-1])]
-    return _tokens(page, frozenset(at for at, n in own.items() if at >= 0 and 2 * n > own[-1]))
-
-
-def _tokens(page: str, wrappers: frozenset[int] = frozenset(), words: dict[bool, Counter] | None = None) -> Iterator[tuple[str, str, bool]]:
-    """tokens(), with the elements that start at `wrappers` plain. words: counts those inside and outside articles, in all (-1)
-    and by the starts of the elements around them that are templates by their names alone."""
-    open_: list[tuple[str, int]] = []  # (element, 0 plain, 1 template, 2 reader comments)
-    named: list[tuple[int, bool, bool]] = []  # of each open element: its start if its names alone mark it, or -1; inside an article; inside what is a template anyway
+    plain: frozenset[int] = frozenset()
+    while True:
+        words = _Words()
+        for _ in _tokens(page, plain, words):
+            pass
+        found = words.wrappers()
+        if found <= plain:
+            return _tokens(page, plain)
+        plain |= found
+
+
+def _tokens(page: str, wrappers: frozenset[int] = frozenset(), words: _Words | None = None) -> Iterator[tuple[str, str, bool]]:
+    """tokens(), with the elements that start at `wrappers` plain. words: counts where words stand."""
+    # of each open element: its name; 0 plain, 1 template, 2 reader comments; start of the outermost template element if that may be a wrapper, else -1; inside an article
+    open_: list[tuple[str, int, int, bool]] = []
     for m in _TOKEN.finditer(page):
         text, name = m[5], m[3]
+        _, held, via, inside = open_[-1] if open_ else ("", 0, -1, False)
         if text is not None:
-            held = open_[-1][1] if open_ else 0
-            if words is not None and not (named and named[-1][2]):
-                n, inside = len(text.split()), bool(named) and named[-1][1]
-                for into in (True, False) if inside else (False,):
-                    words[into][-1] += n
-                    for at, within, _ in named:
-                        if at >= 0 and (within or not into):
-                            words[into][at] += n
-            yield "template word" if held else "link word" if any(x == "a" for x, _ in open_[-4:]) else "word", text, False
+            if words is not None:
+                n = len(text.split())
+                for scope in (True, False) if inside else (False,):
+                    if not held:
+                        words.plain[scope] += n
+                    elif via >= 0 and n:
+                        words.marked[scope][via] += n
+            linked = not inside and any(x == "a" for x, *_ in open_[-4:])
+            yield "template word" if held else "link word" if linked else "word", text, False
         elif name is not None:
             name = name.lower()
             end = name not in _INLINE and name != "br"
-            held = open_[-1][1] if open_ else 0
             if m[2]:
                 at = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name), None)
                 if at is not None:
-                    held = max(x for _, x in open_[at:])
-                    del open_[at:], named[at:]
+                    held = max(x for _, x, *_ in open_[at:])
+                    del open_[at:]
             elif name not in _VOID:
                 marks = _marks(m[4])
-                inside = any(x in ("article", "main") for x, _ in open_)
                 marked = 2 if _COMMENT.search(marks) else 1 if _MARK.search(marks) else 0
                 always = name in _TEMPLATE and not (name == "header" and inside and not marks)
-                named_only = marked == 1 and not always
-                own = 0 if name in ("html", "body", "article", "main") or named_only and m.start() in wrappers else max(marked, always)
-                if name in ("article", "main") and marked == 0 and held == 1 or name in ("html", "body"):
-                    held = 0  # an unclosed menu ends where the article begins
+                may_wrap = marked < 2 and (not always or name in _WRAPPING)
+                own = 0 if name in ("html", "body", "article", "main") or may_wrap and m.start() in wrappers else max(marked, always)
                 if name == "p" and open_ and open_[-1][0] == "p":
                     open_.pop()
-                    named.pop()
-                    held = open_[-1][1] if open_ else 0
+                    _, held, via, inside = open_[-1] if open_ else ("", 0, -1, False)
+                if name in ("article", "main") and marked == 0 and held == 1 or name in ("html", "body"):
+                    held = 0  # an unclosed menu ends where the article begins
+                if own and not held:
+                    via = m.start() if may_wrap else -1
                 held = max(held, own)
-                open_.append((name, held))
-                anyway = held > 0 and (always or own == 2 or bool(named) and named[-1][2])
-                named.append((m.start() if named_only and own else -1, inside, anyway))
+                open_.append((name, held, via, inside or name in ("article", "main")))
             yield "template" if held else "inline" if not end else "block" if re.fullmatch(r"p|h[1-6]|li|ul|ol|dl|dt|dd|blockquote|pre|t[rdh]|table|tbody|figure|figcaption|hr", name) else "container", name, end
 
 
