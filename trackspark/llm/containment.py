@@ -131,14 +131,15 @@ class Items:
         return out
 
 
-def item_blocks(items: DataFrame, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS) -> Iterator[Items]:
-    """items(item_id, text) in blocks whose size is checked, so that what goes to the tasks does not grow with the table."""
+def item_blocks(items: DataFrame, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS) -> Iterator[tuple[Items, bool]]:
+    """items(item_id, text) in blocks whose size is checked, so that what goes to the tasks does not grow with the table; and whether it is the only
+    block. The driver holds one block: who reads several ends each one's work in a table before the next."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     blocks = max(1, -(-n // block_items), -(-chars // block_chars))
     for b in range(blocks):
         own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        yield Items([r.item_id for r in own], [r.text for r in own])
+        yield Items([r.item_id for r in own], [r.text for r in own]), blocks == 1
 
 
 def _pairs(batches: Iterable[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
@@ -161,12 +162,14 @@ def contained_items(docs: DataFrame, items: DataFrame, **blocks: int) -> DataFra
 
     Words lie between ASCII white space, A-Z in lower case; items of fewer words are one shingle, which a document holds
     where these words follow each other. Null and word-free texts neither hold nor are held. Rows repeat as docs and items
-    do. One pass over docs for each block of items, without a shuffle; a task holds a batch of documents.
+    do. One pass over docs for each block of items, without a shuffle; a task holds a batch of documents. With several blocks each pass ends
+    in a table in the shared folder, so that neither the driver nor a task holds more than one block.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = None
-    for own in item_blocks(items, **blocks):
+    for own, alone in item_blocks(items, **blocks):
         part = rows.mapInArrow(lambda b, own=own: _pairs(b, own), "doc_id long, item_id long, n_item_shingles long, n_shared long")
+        part = part if alone else common.staged(part, "contained")
         found = part if found is None else found.unionByName(part)
     return found.withColumn("containment", F.col("n_shared") / F.col("n_item_shingles"))
 
@@ -181,8 +184,11 @@ def decontaminated(docs: DataFrame, items: DataFrame, **blocks: int) -> DataFram
     names = [f"c{i}" for i in range(len(docs.columns))]
     schema = ", ".join(f"{n} {docs.schema[i].dataType.simpleString()}" for i, n in enumerate(names))
     text, out = names[docs.columns.index("text")], docs.toDF(*names)
-    for own in item_blocks(items, **blocks):
-        out = out.mapInArrow(lambda b, own=own: _clean(b, own, text), schema)
+    for own, alone in item_blocks(items, **blocks):
+        before, out = out, out.mapInArrow(lambda b, own=own: _clean(b, own, text), schema)
+        if not alone:
+            out = common.staged(out, "clean")
+            common.unstage(before)
     return out.toDF(*docs.columns)
 
 
