@@ -275,6 +275,22 @@ def test_tables_in_the_catalog_and_sinks(spark):
     assert spark.read.option("header", True).csv(files.write_csv({"r": k}, path)[0]).first().events == '["e"]'
 
 
+def trusted(t, pos, vel):
+    """M17 row by row, from its definition."""
+    out = []
+    for i in range(len(t)):
+        a, b = max(i - 1, 0), min(i + 1, len(t) - 1)
+        slope = (pos[b] - pos[a]) / (t[b] - t[a])
+        miss, up = np.linalg.norm(vel[i] - slope), abs(vel[i, 2] - slope[2])
+        said, moved = np.hypot(*vel[i, :2]), np.hypot(*slope[:2])
+        angle = np.degrees(np.arccos(np.clip(vel[i, :2] @ slope[:2] / max(said * moved, 1e-9), -1, 1)))
+        near = min(np.linalg.norm(pos[i] - pos[j]) for j in (a, b) if j != i)
+        w = 0.0 if miss > 165 else min(1, 55 / max(miss, 1e-9))
+        w *= min(1, 9 / max(up, 1e-9)) * (1 if said < 3 or moved < 3 else min(1, 35 / max(angle, 1e-9)))
+        out.append(0.0 if moved < 3 or near < 10 else w)
+    return out
+
+
 def test_segment_scores_equal_numpy(spark, segmented):
     rows = staged(regimes.in_segments(segmented["rows"], segmented["segments"]), "rows")
     f = staged(fits.fit_segments(rows), "fits")
@@ -289,7 +305,7 @@ def test_segment_scores_equal_numpy(spark, segmented):
         own = data[(data.track_id == "turn") & (data.component == fit.component) & (data.segment == fit.segment)].sort_values("t")
         t, pos, vel = own.t.to_numpy(), own[NAMES[:3]].to_numpy(), own[NAMES[3:]].to_numpy()
         at, mid = fits.evaluate_fit(fit.asDict(), t - fit.t0), fits.evaluate_fit(fit.asDict(), (t[1:] + t[:-1]) / 2 - fit.t0)[:, 1]
-        w = fits.velocity_scale(t, pos, vel)
+        w = np.array(trusted(t, pos, vel))
         step = np.maximum(np.sqrt(w[1:] * w[:-1]), 0.1)
         slope = np.diff(pos, axis=0) / np.diff(t)[:, None]
         mean = lambda v: np.average(v, axis=0, weights=step)
