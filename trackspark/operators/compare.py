@@ -361,14 +361,37 @@ def dataset_weight(metric: Column | None, n_samples: Column, duration: Column) -
 
 
 def aggregate_dataset(metrics: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """metrics(keys, metric, value, weight) over flights: names *_count and violations_* are summed, *_rmse are a weighted RMS, the
-    rest a weighted mean; only positive weights count."""
-    x, w = F.col("value"), F.when(F.col(weight) > 0, F.col(weight))
-    summed = F.col("metric").endswith("_count") | F.col("metric").startswith("violations_") | F.col("metric").startswith("n_")
+    """metrics(keys, metric, value, weight) over flights: names *_count, violations_* and n_* are summed, names that end with _rmse or hold
+    _rmse_ are a weighted RMS, the rest a weighted mean; only positive weights count."""
+    x, w, name = F.col("value"), F.when(F.col(weight) > 0, F.col(weight)), F.col("metric")
+    summed = name.endswith("_count") | name.startswith("violations_") | name.startswith("n_")
     g = metrics.groupBy(*keys, "metric").agg(
         F.sum("value").alias("_s"), (F.sum(w * x) / F.sum(w)).alias("_m"), F.sqrt(F.sum(w * x * x) / F.sum(w)).alias("_q"), F.count("*").alias("n_flights")
     )
-    return g.select(*keys, "metric", "n_flights", F.when(summed, F.col("_s")).when(F.col("metric").contains("_rmse"), F.col("_q")).otherwise(F.col("_m")).alias("value"))
+    return g.select(*keys, "metric", "n_flights", F.when(summed, F.col("_s")).when(name.endswith("_rmse") | name.contains("_rmse_"), F.col("_q")).otherwise(F.col("_m")).alias("value"))
+
+
+def common_texts(wide: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Keys and those text columns whose known values all agree within a key; NULL where they differ."""
+    return wide.groupBy(*keys).agg(*(F.when(F.min(c) == F.max(c), F.min(c)).alias(c) for c in columns))
+
+
+def weighted_metrics(wide: DataFrame, metric: str | None = None, names: list[str] | None = None) -> DataFrame:
+    """A16 for A15: long_metrics() of evaluate() with the weight of each (track, method): the chosen metric, else compared rows, else 1."""
+    w = dataset_weight(F.col(metric) if metric else None, F.col("n_compared"), F.lit(None).cast("double"))
+    return long_metrics(wide, names).join(wide.select(*KEYS, w.alias("weight")), KEYS)
+
+
+def selected_flights(table: DataFrame, wanted: list[str], keys: tuple[str, ...] = ("track_id", "icao")) -> DataFrame:
+    """T5: rows whose track or address is wanted, in any case and without blanks at the ends; what nobody has is an error when read. The
+    list is a parameter and small, so it is broadcast."""
+    names = sorted({w.strip().upper() for w in wanted if w and w.strip()})
+    asked = F.broadcast(table.sparkSession.createDataFrame([(n,) for n in names], "wanted string"))
+    hit = reduce(lambda a, b: a | b, [F.upper(F.trim(k)) == F.col("wanted") for k in keys if k in table.columns])
+    found = table.select(F.explode(F.array(*(F.upper(F.trim(k)) for k in keys if k in table.columns))).alias("has")).distinct()
+    missing = asked.join(found, F.col("wanted") == F.col("has"), "left_anti").agg(F.array_join(F.array_sort(F.collect_list("wanted")), ", ").alias("_missing"))
+    fine = F.when(F.col("_missing") == "", True).otherwise(F.raise_error(F.concat(F.lit("no flight "), F.col("_missing"))).cast("boolean"))
+    return table.join(asked, hit, "left_semi").crossJoin(F.broadcast(missing)).where(fine).drop("_missing")
 
 
 def method_coverage(metrics: DataFrame, flight: str = "track_id", weight: str | None = None) -> DataFrame:
@@ -384,13 +407,3 @@ def require_all(metrics: DataFrame, name: str = "method", flight: str = "track_i
     total = metrics.select(F.count_distinct(flight).alias("_all"))
     whole = metrics.groupBy(name).agg(F.count_distinct(flight).alias("_n")).join(F.broadcast(total), F.col("_n") == F.col("_all")).select(name)
     return metrics.join(whole, name, "left_semi")
-
-
-def aggregate_scores(segments: DataFrame, keys: list[str], parts: dict[str, float], score: str = "score") -> DataFrame:
-    """segments(keys, regime, duration, score, join_score, gap_score, locality) -> duration-weighted score by regime and over all,
-    and 0.72 segment + 0.12 join + 0.10 gap + 0.06 locality over the parts that are known. Rows with regime NULL are the total."""
-    w = F.when((F.col("duration") > 0), F.col("duration"))
-    mean = lambda c: (F.sum(F.when(F.col(c).isNotNull(), w * F.col(c))) / F.sum(F.when(F.col(c).isNotNull(), w))).alias(c)
-    g = segments.groupingSets([[*keys, "regime"], [*keys]], *keys, "regime").agg(*(mean(c) for c in (score, *parts)), F.sum("duration").alias("duration"))
-    total = S.weighted_score([(F.col(score), 0.72), *((F.col(c), x) for c, x in parts.items())])
-    return g.withColumn("total", total)

@@ -53,8 +53,10 @@ def gray_altitude(gray: int) -> float | None:
     coarse, fine = gray >> 3, gray & 7
     for k in (4, 2, 1):
         coarse, fine = coarse ^ coarse >> k, fine ^ fine >> k
+    if fine in (0, 5, 6):
+        return None
     fine = 5 if fine == 7 else fine
-    return coarse * 500.0 + (6 - fine if coarse % 2 else fine) * 100 - 1300 if 1 <= fine <= 5 else None
+    return coarse * 500.0 + (6 - fine if coarse % 2 else fine) * 100 - 1300
 
 
 def coded_altitude(code: int) -> float | None:
@@ -118,10 +120,11 @@ def _zones(lat: Column) -> Column:
     return F.when(F.abs(lat) >= 87, F.when(F.abs(lat) > 87, 1).otherwise(2)).otherwise(F.floor(2 * F.pi() / F.acos(inner)))
 
 
-def resolve_position(decoded: DataFrame, lat0: float, lon0: float) -> DataFrame:
+def resolve_position(decoded: DataFrame, lat0: float, lon0: float, pairs: bool = True) -> DataFrame:
     """Lat and lon of frames from the last even and odd ones of the address (both zones must agree), else from the reference point
     within half a zone. Surface pairs leave a quarter of the globe open: of the latitudes a quarter apart north and south, and the four
-    longitudes, the ones nearest the reference point are taken. Order: id. No age limit."""
+    longitudes, the ones nearest the reference point are taken. Order: id. No age limit: frames of an address that come out of order,
+    or far apart, are better placed without pairs, by the reference point alone (pairs=False)."""
     w = Window.partitionBy("icao", "surface").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     raw = F.struct("cpr_lat", "cpr_lon", "id")
     d = decoded.withColumns({f"_{n}": F.last(F.when(F.col("odd") == o, raw), ignorenulls=True).over(w) for n, o in (("even", 0), ("last_odd", 1))})
@@ -143,7 +146,7 @@ def resolve_position(decoded: DataFrame, lat0: float, lon0: float) -> DataFrame:
     east = span / n * (F.pmod(m, n) + F.when(late, x1).otherwise(x0))
     quarter = east + 90 * F.rint((lon0 - east) / 90)
     lon = F.pmod(F.when(surface, quarter).otherwise(east) + 180, F.lit(360)) - 180
-    pair = (F.col("_z0") == F.col("_z1")) & F.col("odd").isNotNull()
+    pair = (F.col("_z0") == F.col("_z1")) & F.col("odd").isNotNull() & F.lit(pairs)
     dlat = span / (60 - F.col("odd"))
     y, x = F.col("cpr_lat") / full, F.col("cpr_lon") / full
     at = F.floor(lat0 / dlat) + F.floor(0.5 + (lat0 - dlat * F.floor(lat0 / dlat)) / dlat - y)

@@ -196,8 +196,9 @@ CHECKS = (
 )
 
 
-def skip_reason(kf: DataFrame) -> DataFrame:
-    """keyframes with skip_reason, NULL for those that make samples. A keyframe table without a frame column is in local_enu."""
+def skip_reason(kf: DataFrame, require_paired: bool = True) -> DataFrame:
+    """keyframes with skip_reason, NULL for those that make samples. A keyframe table without a frame column is in local_enu. Without
+    require_paired the flag is not asked, so that each later check speaks for itself."""
     k = kf if "frame" in kf.columns else kf.withColumn("frame", F.lit("local_enu"))
     reason = F.lit(None).cast("string")
     finite = [S.to_finite(F.col(c)).isNotNull() for c in ("t", "lat", "lon", "alt", "ve", "vn", "vz")]
@@ -205,7 +206,7 @@ def skip_reason(kf: DataFrame) -> DataFrame:
     for c in finite[1:]:
         whole = whole & c
     reason = F.when(~whole, "number not finite")
-    for name, check in CHECKS[::-1]:
+    for name, check in CHECKS[:0:-1] + CHECKS[:1] * require_paired:
         reason = F.when(~F.coalesce(F.expr(check), F.lit(False)), name).otherwise(reason)
     return k.withColumn("skip_reason", reason)
 
@@ -241,6 +242,35 @@ def stage_report(**stages: DataFrame) -> DataFrame:
     return out.crossJoin(F.broadcast(first)).withColumn("share", F.col("n") / F.nullif("n_first", F.lit(0))).drop("n_first")
 
 
+def outlier_report(ev: DataFrame, k: float = 3.0, lat0: float = S.REFERENCE_LAT, lon0: float = S.REFERENCE_LON) -> DataFrame:
+    """A4: of each track and test (distance, speed, acceleration, any) the rows beyond its limit, those that it could see, and their share
+    (NULL of none): F6's radius of the rule, and F7's Q3 + k * IQR, which need four values and a spread."""
+    d = S.haversine_km(F.lit(lat0), F.lit(lon0), F.col("lat"), F.col("lon"))
+    speed = position_diagnostics(ev).select("track_id", "raw_id", F.col("speed_kmh").alias("_speed"))
+    accel = velocity_diagnostics(ev).select("track_id", "raw_id", F.col("accel").alias("_accel"))
+    j = ev.withColumn("_distance", d).join(speed, ["track_id", "raw_id"], "left").join(accel, ["track_id", "raw_id"], "left")
+    part = Window.partitionBy("track_id")
+    bad = {"distance": F.coalesce(F.col("_distance") > F.col("radius_km"), F.lit(False))}
+    for c in ("speed", "accel"):
+        j = j.withColumns({f"_{c}_q": F.percentile(f"_{c}", F.array(F.lit(0.25), F.lit(0.75))).over(part), f"_{c}_n": F.count(f"_{c}").over(part)})
+        iqr = F.col(f"_{c}_q")[1] - F.col(f"_{c}_q")[0]
+        bad[c] = F.coalesce((F.col(f"_{c}_n") >= 4) & (iqr > 0) & (F.col(f"_{c}") > F.col(f"_{c}_q")[1] + k * iqr), F.lit(False))
+    bad["any"] = bad["distance"] | bad["speed"] | bad["accel"]
+    seen = {"distance": F.col("lat").isNotNull(), "speed": F.col("lat").isNotNull(), "accel": F.col("ve").isNotNull(), "any": F.lit(True)}
+    tests = F.explode(F.array(*(F.struct(F.lit(n).alias("test"), bad[n].alias("out"), seen[n].alias("seen")) for n in bad)))
+    g = j.select("track_id", tests.alias("x")).groupBy("track_id", "x.test").agg(F.count_if("x.out").alias("n"), F.count_if("x.seen").alias("denominator"))
+    return g.withColumn("fraction", F.col("n") / F.nullif("denominator", F.lit(0)))
+
+
+def normalize_report(raw: DataFrame, ev: DataFrame, kf: DataFrame) -> DataFrame:
+    """A4: of each track the raw rows, the rows after the rule's filters, their kinds, and its keyframes, the paired ones, and the share of these."""
+    kinds = [F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("position", "velocity", "position_velocity")]
+    a, b = raw.groupBy("track_id").agg(F.count("*").alias("n_raw")), ev.groupBy("track_id").agg(F.count("*").alias("n_filtered"), *kinds)
+    c = kf.groupBy("track_id").agg(F.count("*").alias("n_keyframes"), F.count_if("paired").alias("n_paired"))
+    out = a.join(b, "track_id", "left").join(c, "track_id", "left").na.fill(0)
+    return out.withColumn("paired_share", F.col("n_paired") / F.nullif("n_keyframes", F.lit(0)))
+
+
 def skip_reasons(kf: DataFrame) -> DataFrame:
     """how many keyframes each check turns away first."""
     reason = F.when(~F.col("full_position"), "no full position").when(~F.col("full_velocity"), "no full velocity").otherwise("used")

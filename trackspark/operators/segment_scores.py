@@ -254,6 +254,15 @@ def method_scores(scores: DataFrame, joins: DataFrame, gaps: DataFrame) -> DataF
     return out.withColumn("total", total).withColumn("grade", S.score_interpretation(F.col("total")))
 
 
+def regime_scores(scores: DataFrame, keys: tuple[str, ...] = ("track_id", "method")) -> DataFrame:
+    """A19 by regime: keys, bucket, segments and their duration-weighted score; ground, airborne and approach_final always have a row."""
+    keys = list(keys)
+    w = F.when(F.col("duration") > 0, F.col("duration")).otherwise(F.greatest(F.col("n").cast("double"), F.lit(1.0)))
+    found = scores.groupBy(*keys, F.coalesce("bucket", F.lit("unknown")).alias("bucket")).agg(F.count("*").alias("n_segments"), (F.sum(w * F.col("score")) / F.nullif(F.sum(F.when(F.col("score").isNotNull(), w)), F.lit(0.0))).alias("score"))
+    named = scores.select(*keys).distinct().select(*keys, F.explode(F.array(*map(F.lit, REGIMES))).alias("bucket"))
+    return named.join(found, [*keys, "bucket"], "full_outer").select(*keys, "bucket", F.coalesce("n_segments", F.lit(0)).alias("n_segments"), "score")
+
+
 def trajectory_table(scores: DataFrame, methods: DataFrame) -> DataFrame:
     """The rows of method_scores() and of segment_scores() in one table, told apart by row_type."""
     m = methods.withColumn("row_type", F.lit("method_summary"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackspark.functions import scalars as S
-from trackspark.operators import compare, decode, evaluation, fits, prepare, quality, regimes, render, scan, segment_scores, smoothing
+from trackspark.functions.tables import register_tables
+from trackspark.operators import compare, decode, evaluation, fits, prepare, quality, regimes, render, scan, segment_scores, sketch, smoothing
 from trackspark.operators import timeseries as T
-from trackspark.plans.track_queries import KEYFRAMES_SQL, MESSAGES_SQL, SAMPLES_SQL, events, keyframes, messages, rnd, rounded, samples
+from trackspark.plans.track_queries import EVENTS_SQL, KEYFRAMES_SQL, MESSAGES_SQL, SAMPLES_SQL, events, keyframes, messages, rnd, rounded, samples
 from trackspark.sources import files
 from trackspark.sources import messages as M
 from trackspark.staging import new_path, staged
@@ -261,6 +262,12 @@ def a21(spark, d):
     return segment_scores.segment_table(scores, t["segments"], t["fits"], fits.select_params(t["traits"]))
 
 
+@query("a19_regime_scores")
+def a19_regimes(spark, d):
+    t = scored(spark, d)
+    return segment_scores.regime_scores(segment_scores.segment_scores(t["data"], t["fits"], t["traits"]))
+
+
 @query("a19_a21_trajectory_table")
 def a19(spark, d):
     t = scored(spark, d)
@@ -378,11 +385,118 @@ def e23(spark, d):
 
 @query("a14_a17_dataset")
 def a17(spark, d):
-    long_ = staged(compare.long_metrics(staged(evaluated(spark, d), "metrics")), "long")
-    whole = compare.aggregate_dataset(long_.withColumn("weight", F.lit(1.0)), ["method"], "weight")
+    """Methods that every flight has, by the weighted means of their metrics, ranked."""
+    wide = staged(evaluated(spark, d), "metrics")
+    whole = compare.aggregate_dataset(compare.require_all(compare.weighted_metrics(wide)), ["method"], "weight")
     return compare.rank(compare.score_methods(whole.select(F.lit("all").alias("data"), "method", "metric", "value"), ["data"]).select("data", "method", "overall").distinct(), ["data"], "overall")
 
 
+@query("a15_weighted_dataset", _MEDIAN_SQL + """, pe as (select track_id, count(*) as n, sqrt(avg(pow(p_x - x, 2) + pow(p_y - y, 2))) as h, avg(p_z - z) as v from rm group by 1), lm as (
+  select unnest(['horizontal_rmse', 'vertical_mean', 'n_compared']) as metric, unnest([h, v, n]) as value, n as weight from pe)
+select 'median' as method, metric, count(*) as n_flights, """ + rnd("case when metric = 'n_compared' then sum(value) when metric = 'horizontal_rmse' then sqrt(sum(weight * value * value) / sum(weight)) else sum(weight * value) / sum(weight) end", 3) + " as value from lm group by 2")
+def a15(spark, d):
+    wide = compare.position_metrics(samples(spark, d), medians(spark, d))
+    g = compare.aggregate_dataset(compare.weighted_metrics(wide, None, ["horizontal_rmse", "vertical_mean", "n_compared"]), ["method"], "weight")
+    return g.select("method", "metric", "n_flights", rounded("value", 3).alias("value"))
+
+
+_MINUTES_SQL = _MEDIAN_SQL + """, rr as (select track_id, t, p_x as x, p_y as y, p_z as z, p_vx as vx, p_vy as vy, p_vz as vz, cast(floor(t / 60) as bigint) as segment from rm
+), ra as (select *, """ + ", ".join(f"{_w5('v' + c)} as a{c}" for c in "xyz") + " from rr" + _W + "), rj as (select *, " + ", ".join(f"{_w5('a' + c)} as j{c}" for c in "xyz") + " from ra" + _W + """
+), gg as (select track_id, t as a, lead(t) over (partition by track_id order by t) as b from s)"""
+
+
+@query("e12_gap_behavior", _MINUTES_SQL + """, ga as (select * from gg where b - a > 10), mid as (select track_id, (a + b) / 2 as t, a, b from ga
+), pt as (select ga.track_id, sqrt(ax * ax + ay * ay + az * az) as acc, sqrt(jx * jx + jy * jy + jz * jz) as jrk from ga join rj on rj.track_id = ga.track_id and rj.t > ga.a and rj.t < ga.b)
+select tk.track_id, 'median' as method, coalesce((select count(*) from ga where ga.track_id = tk.track_id), 0) as n_long_gaps, coalesce((select count(*) from pt where pt.track_id = tk.track_id), 0) as n_gap_frames,
+  """ + rnd("coalesce((select quantile_cont(acc, 0.95) from pt where pt.track_id = tk.track_id), 0)", 4) + " as gap_accel_p95, " + rnd("coalesce((select quantile_cont(jrk, 0.95) from pt where pt.track_id = tk.track_id), 0)", 4) + " as gap_jerk_p95 from (select distinct track_id from rr) tk")
+def e12(spark, d):
+    """Of samples every third of which is kept, so that the render of all has frames inside their gaps."""
+    r = medians(spark, d)
+    g = compare.gap_behavior(samples(spark, d), compare.motion(r.select(*compare.KEYS, "segment", "t", *compare.POS, *compare.VEL)))
+    return g.select("track_id", "method", "n_long_gaps", "n_gap_frames", rounded("gap_accel_p95", 4).alias("gap_accel_p95"), rounded("gap_jerk_p95", 4).alias("gap_jerk_p95"))
+
+
+@query("e18_join_metrics", _MINUTES_SQL + """, gl as (select *, quantile_cont(case when b - a > 0 then b - a end, 0.5) over (partition by track_id) as md from gg), hg as (select track_id, a, b from gl where b - a > greatest(10e0, 5 * coalesce(md, 1))
+), jn as (select track_id, t, lag(t) over w as lo, segment <> lag(segment) over w as new, sqrt(""" + " + ".join(f"pow({c} - lag({c}) over w - 0.5e0 * (v{c} + lag(v{c}) over w) * greatest(t - lag(t) over w, 1e-6), 2)" for c in "xyz") + ") as cl, sqrt("
+    + " + ".join(f"pow(v{c} - lag(v{c}) over w, 2)" for c in "xyz") + ") as dv, sqrt(" + " + ".join(f"pow(a{c} - lag(a{c}) over w, 2)" for c in "xyz") + """) as da from ra window w as (partition by track_id order by t)
+), jh as (select *, t - lo > 10 or exists (select 1 from hg where hg.track_id = jn.track_id and hg.b > jn.lo and hg.a < jn.t) as hard from jn where new)
+select track_id, 'median' as method, count(*) filter (not hard) as n_joins, count(*) filter (hard) as n_hard_joins, """ + ", ".join(rnd(f"quantile_cont({c}, 0.95) filter (not hard)", 4) + f" as {n}" for c, n in (("cl", "join_closure_p95"), ("dv", "join_velocity_p95"), ("da", "join_accel_p95"))) + " from jh group by 1")
+def e18(spark, d):
+    m = compare.motion(medians(spark, d))
+    j = compare.join_metrics(samples(spark, d), m)
+    return j.select("track_id", "method", "n_joins", "n_hard_joins", *(rounded(c, 4).alias(c) for c in ("join_closure_p95", "join_velocity_p95", "join_accel_p95")))
+
+
+@query("e17_dynamic_metrics", _MOTION_SQL + ", sn as (select *, " + ", ".join(f"{_w5('j' + c)} as s{c}" for c in "xyz") + " from mx" + _W + """), so as (select *, sqrt(sx * sx + sy * sy + sz * sz) as snap, j / greatest(sqrt(vx * vx + vy * vy + vz * vz), case when sp >= 30 or z >= 30 then 35e0 else 6e0 end) as calm from sn)
+select track_id, """ + ", ".join(f"{rnd(e, 4)} as {n}" for n, e in {"calm_rms": "sqrt(avg(calm * calm))", "calm_p95": "quantile_cont(calm, 0.95)", "snap_rms": "sqrt(avg(snap * snap))", "snap_p95": "quantile_cont(snap, 0.95)", "turn_all_p95": "quantile_cont(rate, 0.95)", "bank_all_p95": "quantile_cont(bank, 0.95)"}.items()) + " from so group by 1")
+def e17(spark, d):
+    own = samples(spark, d).withColumns({"method": F.lit("raw"), "segment": F.lit(0)})
+    m = compare.motion_metrics(compare.motion(own))
+    return m.select("track_id", *(rounded(c, 4).alias(c) for c in ("calm_rms", "calm_p95", "snap_rms", "snap_p95", "turn_all_p95", "bank_all_p95")))
+
+
+def _quintic_sql(c: str) -> str:
+    """Value, velocity and acceleration at share u of a step h between two states, of the quintic that meets both."""
+    h = "(b.t - a.t)"
+    c0, c1, c2 = f"a.{c}", f"a.v{c} * {h}", f"0.5e0 * a.a{c} * {h} * {h}"
+    d0, d1, d2 = f"(b.{c} - ({c0}) - ({c1}) - ({c2}))", f"(b.v{c} * {h} - ({c1}) - 2 * ({c2}))", f"(b.a{c} * {h} * {h} - 2 * ({c2}))"
+    c3, c4, c5 = f"(10 * {d0} - 4 * {d1} + 0.5e0 * {d2})", f"(-15 * {d0} + 7 * {d1} - {d2})", f"(6 * {d0} - 3 * {d1} + 0.5e0 * {d2})"
+    value = f"({c0}) + ({c1}) * u + ({c2}) * u * u + {c3} * pow(u, 3) + {c4} * pow(u, 4) + {c5} * pow(u, 5)"
+    slope = f"(({c1}) + 2 * ({c2}) * u + 3 * {c3} * u * u + 4 * {c4} * pow(u, 3) + 5 * {c5} * pow(u, 4)) / {h}"
+    return f"{rnd(value, 3)} as {c}, {rnd(slope, 4)} as v{c}"
+
+
+@query("k3_evaluated_states", SAMPLES_SQL + ", st as (select track_id, i, t - 1704067200 as t, x, y, z, vx, vy, vz, " + ", ".join(f"{_w5('v' + c)} as a{c}" for c in "xyz") + " from s" + _W + """
+), ab as (select a.track_id, a, b, unnest([0.2371e0, 0.6113e0, 0.8717e0]) as u from st a join st b on b.track_id = a.track_id and b.i = a.i + 1)
+select track_id, """ + rnd("a.t + u * (b.t - a.t)", 6) + " as t, " + ", ".join(_quintic_sql(c) for c in "xyz") + " from ab")
+def k3(spark, d):
+    """States of the samples with differentiated acceleration, at three places of each step; times from the epoch of the data, so that shares keep their digits."""
+    s = samples(spark, d).withColumn("t", F.col("t") - M.EPOCH)
+    s = compare.gradients(s, ["track_id"], "t", {f"v{c}": f"a{c}" for c in "xyz"}, fill=False)
+    w = Window.partitionBy("track_id").orderBy("t")
+    asked = s.select("track_id", F.col("t").alias("_a"), F.lead("t").over(w).alias("_b")).where("_b is not null")
+    asked = asked.select("track_id", F.explode(F.transform(F.array(*map(F.lit, (0.2371, 0.6113, 0.8717))), lambda u: F.col("_a") + u * (F.col("_b") - F.col("_a")))).alias("t"))
+    got = render.evaluate_states(s, asked, ["track_id"])
+    return got.select("track_id", rounded("t").alias("t"), *(rounded(c, 3).alias(c) for c in compare.POS), *(rounded(c, 4).alias(c) for c in compare.VEL))
+
+
+@query("x5_resampled", SAMPLES_SQL + """, ve as (select track_id, min(t) as t0, max(t) as t1, cast(floor((max(t) - min(t)) / 17.37e0 + 1e-9) as bigint) as n from s group by 1
+), vr as (select track_id, t0 + k * 17.37e0 as t from (select *, unnest(generate_series(0, n)) as k from ve) union all select track_id, t1 from ve where t0 + n * 17.37e0 < t1 - 1e-9
+), ap as (select vr.track_id, vr.t, a.t as t_a, a.x as ax, a.z as az from vr asof join s a on a.track_id = vr.track_id and vr.t >= a.t
+), bp as (select ap.*, b.t as t_b, b.x as bx, b.z as bz from ap asof join s b on b.track_id = ap.track_id and ap.t <= b.t)
+select track_id, t, """ + rnd("case when t_b = t_a then ax else ax + (bx - ax) * (t - t_a) / (t_b - t_a) end", 4) + " as x, " + rnd("case when t_b = t_a then az else az + (bz - az) * (t - t_a) / (t_b - t_a) end", 4) + " as z from bp")
+def x5(spark, d):
+    """Tracks on a grid of 17.37 s by the table function, from SQL."""
+    register_tables(spark)
+    got = spark.sql("select * from resampled(table({rows}), 17.37d)", rows=samples(spark, d).select("track_id", "t", "x", "z"))
+    return got.select("track_id", "t", rounded("x", 4).alias("x"), rounded("z", 4).alias("z"))
+
+
+@query("x5_spool_records", "select user_id // 10 as source, count(*) as n, cast(sum(event_id) as bigint) as events, count(*) filter (event_id % 2 = 1) as n_odd from events group by 1")
+def x5_spool(spark, d):
+    """Events as binary spools by source, read with LATERAL."""
+    e = spark.read.parquet(f"{d}/events.parquet").withColumn("source", F.floor(F.col("user_id") / 10))
+    record = F.concat(F.lpad(F.hex("event_id"), 8, "0"), F.lit("000000000000"), F.lpad(F.hex(F.col("event_id") % 2), 2, "0"), F.lit("3208"), F.lpad(F.hex("event_id"), 16, "0"))
+    spools = e.groupBy("source", F.floor(F.col("event_id") / 5000).alias("day")).agg(F.unhex(F.array_join(F.sort_array(F.collect_list(record)), "")).alias("content"))
+    register_tables(spark)
+    got = spark.sql("select source, s.* from {spools} as f, lateral spool_records(f.content) as s where not s.torn", spools=spools)
+    return got.groupBy("source").agg(F.count("*").alias("n"), F.sum("ts_utc").alias("events"), F.count_if(F.col("signal") == 1).alias("n_odd"))
+
+
+@query("a23_sketched_quantiles", "select distinct l_suppkey, unnest([0.1e0, 0.5e0, 0.99e0]) as q, true as within from lineitem where l_quantity > 0")
+def a23(spark, d):
+    """Weighted quantiles by summaries: whether the exact share of weight below and up to each is within 1 % of what was asked."""
+    li = spark.read.parquet(f"{d}/lineitem.parquet").select("l_suppkey", "l_extendedprice", "l_quantity")
+    got = None
+    for q in (0.1, 0.5, 0.99):
+        one = sketch.weighted_quantile(li, ["l_suppkey"], "l_extendedprice", "l_quantity", q, approximate=True, entries=200).withColumn("q", F.lit(q))
+        got = one if got is None else got.unionByName(one)
+    j = li.join(got, "l_suppkey")
+    share = lambda c: F.sum(F.when(c, F.col("l_quantity")).otherwise(0.0)) / F.sum("l_quantity")
+    x, wanted = F.col("l_extendedprice"), F.col("wq_l_extendedprice")
+    return j.groupBy("l_suppkey", "q").agg(share(x < wanted).alias("low"), share(x <= wanted).alias("high")).select("l_suppkey", "q", ((F.col("low") <= F.col("q") + 0.01) & (F.col("high") >= F.col("q") - 0.01)).alias("within"))
+
+
 _METRIC = "select l_returnflag as data, cast(l_linenumber as varchar) as method, metric, avg(value) as value from (select l_returnflag, l_linenumber, unnest(['accel_rms', 'jerk_rms', 'dtw']) as metric, unnest([l_quantity, l_discount, l_tax]) as value from lineitem) group by all"
 
 
@@ -449,14 +563,61 @@ def x3(spark, d):
     return messages(spark, d).where("lat is not null").select("raw_id", rounded(F.expr("haversine_km(56.923611D, 23.971111D, lat, lon)")).alias("km"), F.expr("bucket_time(ts_utc, 2D)").alias("bucket"))
 
 
-@query("f7_kinematic_outliers")
+@query("f11_all_checks", KEYFRAMES_SQL + """ select paired_first, case when paired_first and not paired then 'not paired' when not full_position then 'no full position' when not full_velocity then 'no full velocity' else 'used' end as skip_reason, count(*) as n
+from kf, (select unnest([true, false]) as paired_first) group by 1, 2""")
+def f11(spark, d):
+    """With the flag asked first, and with each part asked for itself."""
+    k = keyframes(spark, d)
+    both = prepare.skip_reason(k).withColumn("paired_first", F.lit(True)).unionByName(prepare.skip_reason(k, False).withColumn("paired_first", F.lit(False)))
+    return both.groupBy("paired_first", F.coalesce("skip_reason", F.lit("used")).alias("skip_reason")).agg(F.count("*").alias("n"))
+
+
+_FILTERED_SQL = EVENTS_SQL + """, pp as (select *, last_value(case when lat is not null then struct_pack(t := ts_utc, la := lat, lo := lon) end ignore nulls) over w as p, last_value(case when ve is not null then struct_pack(t := ts_utc, e := ve, n := vn, z := vz) end ignore nulls) over w as q
+  from e window w as (partition by track_id order by ts_utc, raw_id rows between unbounded preceding and 1 preceding)
+), pd as (select *, case when lat is not null and ts_utc - p.t > 0 then 2e0 * 6371.0088e0 * asin(sqrt(pow(sin(radians(lat - p.la) / 2), 2) + cos(radians(p.la)) * cos(radians(lat)) * pow(sin(radians(lon - p.lo) / 2), 2))) / (ts_utc - p.t) * 3600 end as speed,
+  case when ve is not null and ts_utc - q.t > 0 then sqrt(pow(ve - q.e, 2) + pow(vn - q.n, 2) + pow(coalesce(abs(vz - q.z), 0), 2)) / (ts_utc - q.t) end as accel,
+  2e0 * 6371.0088e0 * asin(sqrt(pow(sin(radians(lat - 56.923611e0) / 2), 2) + cos(radians(56.923611e0)) * cos(radians(lat)) * pow(sin(radians(lon - 23.971111e0) / 2), 2))) as km from pp
+), pq as (select track_id, quantile_cont(speed, 0.25) as s1, quantile_cont(speed, 0.75) as s3, count(speed) as sn, quantile_cont(accel, 0.25) as a1, quantile_cont(accel, 0.75) as a3, count(accel) as an from pd group by 1
+), pb as (select pd.*, coalesce(km > 90, false) as o_distance, coalesce(sn >= 4 and s3 > s1 and speed > s3 + 3 * (s3 - s1), false) as o_speed, coalesce(an >= 4 and a3 > a1 and accel > a3 + 3 * (a3 - a1), false) as o_accel from pd join pq using (track_id))"""
+
+
+@query("f7_kinematic_outliers", _FILTERED_SQL + " select raw_id from pb where not (o_speed or o_accel)")
 def f7(spark, d):
     return prepare.filter_kinematic_outliers(events(spark, d)).select("raw_id")
 
 
-@query("f11_all_checks", KEYFRAMES_SQL + """ select coalesce(case when not paired then 'not paired' end, 'used') as skip_reason, count(*) as n from kf group by 1""")
-def f11(spark, d):
-    return prepare.skip_reason(keyframes(spark, d)).groupBy(F.coalesce("skip_reason", F.lit("used")).alias("skip_reason")).agg(F.count("*").alias("n"))
+@query("a4_outlier_report", _FILTERED_SQL + """ select track_id, test, count(*) filter (o) as n, count(*) filter (s) as denominator, """ + rnd("count(*) filter (o) / nullif(count(*) filter (s), 0)") + """ as fraction from (
+  select track_id, unnest(['distance', 'speed', 'accel', 'any']) as test, unnest([o_distance, o_speed, o_accel, o_distance or o_speed or o_accel]) as o, unnest([lat is not null, lat is not null, ve is not null, true]) as s from pb) group by 1, 2""")
+def a4_outliers(spark, d):
+    return prepare.outlier_report(events(spark, d)).select("track_id", "test", "n", "denominator", rounded("fraction").alias("fraction"))
+
+
+@query("a4_normalize_report", KEYFRAMES_SQL + """, ra as (select track_id, count(*) as n_raw from m group by 1), fb as (select track_id, count(*) as n_filtered, count(*) filter (kind = 'position') as n_position, count(*) filter (kind = 'velocity') as n_velocity, count(*) filter (kind = 'position_velocity') as n_position_velocity from e group by 1
+), kc as (select track_id, count(*) as n_keyframes, count(*) filter (paired) as n_paired from kf group by 1)
+select track_id, n_raw, coalesce(n_filtered, 0) as n_filtered, coalesce(n_position, 0) as n_position, coalesce(n_velocity, 0) as n_velocity, coalesce(n_position_velocity, 0) as n_position_velocity, coalesce(n_keyframes, 0) as n_keyframes, coalesce(n_paired, 0) as n_paired,
+  """ + rnd("n_paired / nullif(n_keyframes, 0)") + " as paired_share from ra left join fb using (track_id) left join kc using (track_id)")
+def a4_normalized(spark, d):
+    ev = events(spark, d)
+    r = prepare.normalize_report(messages(spark, d), ev, prepare.build_keyframes(ev))
+    return r.withColumn("paired_share", rounded("paired_share"))
+
+
+@query("w3_recomputed_diagnostics", _FILTERED_SQL + """, kp as (select *, max(lat is not null) over (partition by track_id order by ts_utc, raw_id rows unbounded preceding) as seen from pb where not (o_speed or o_accel)
+), k2 as (select track_id, ts_utc, lat, lon, last_value(case when lat is not null then struct_pack(t := ts_utc, la := lat, lo := lon) end ignore nulls) over (partition by track_id order by ts_utc, raw_id rows between unbounded preceding and 1 preceding) as p2 from kp where seen
+), k3 as (select track_id, case when ts_utc - p2.t > 0 then 2e0 * 6371.0088e0 * asin(sqrt(pow(sin(radians(lat - p2.la) / 2), 2) + cos(radians(p2.la)) * cos(radians(lat)) * pow(sin(radians(lon - p2.lo) / 2), 2))) / (ts_utc - p2.t) * 3600 end as speed from k2 where lat is not null)
+select track_id, count(*) as n, """ + rnd("quantile_cont(speed, 0.5)", 4) + " as median_speed, " + rnd("max(speed)", 4) + " as most_speed from k3 group by 1")
+def w3(spark, d):
+    """Position diagnostics after the outliers of the first diagnostics and the rows before the first position are gone."""
+    _, p, _ = prepare.prepared(events(spark, d))
+    return p.groupBy("track_id").agg(F.count("*").alias("n"), rounded(F.percentile("speed_kmh", 0.5), 4).alias("median_speed"), rounded(F.max("speed_kmh"), 4).alias("most_speed"))
+
+
+@query("t5_selected_flights", MESSAGES_SQL + ", al as (select distinct track_id, upper(icao) as icao from m) select track_id, icao from al where track_id in (select min(track_id) from al) or icao in (select max(icao) from al)")
+def t5(spark, d):
+    """The first track by its name, and the last one by its address."""
+    table = staged(M.rule_table(spark, d).select("track_id", "icao"), "rules")
+    first = table.agg(F.min("track_id").alias("a"), F.max("icao").alias("b")).first()
+    return compare.selected_flights(table, [f" {first.a.lower()}", first.b])
 
 
 @query("f12_filtered_samples")
@@ -531,8 +692,8 @@ _SENT = MESSAGES_SQL + """, pv as (select *, gs * sin(radians(track)) as e, gs *
 
 @query("d2_decoded_frames", _SENT + " select id, 17 as df, icao, tc, 1 as crc_ok, alt, case when lat is not null then true end as in_place, " + rnd("gs", 4) + " as gs, rate as vertical_rate from fr")
 def d2(spark, d):
-    """Frames decoded and placed; in_place: within 10 m of the position that was sent."""
-    got = decode.resolve_position(decode.decode_frames(frames(spark, d)), S.REFERENCE_LAT, S.REFERENCE_LON)
+    """Frames decoded and placed by the reference point, as their ids are in no order of time; in_place: within 10 m of the position that was sent."""
+    got = decode.resolve_position(decode.decode_frames(frames(spark, d)), S.REFERENCE_LAT, S.REFERENCE_LON, pairs=False)
     sent = messages(spark, d).where("lat is not null").select((F.col("raw_id") * 2).alias("id"), F.col("lat").alias("lat0"), F.col("lon").alias("lon0"))
     j = got.join(sent, "id", "left")
     near = F.when(F.col("lat0").isNotNull(), S.haversine_km(F.col("lat"), F.col("lon"), F.col("lat0"), F.col("lon0")) < 0.01)

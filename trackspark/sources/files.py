@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import struct
 import warnings
-from collections.abc import Iterable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackspark.functions import scalars as S
+from trackspark.functions.tables import register_tables
 
 RULE_SCHEMA = (
     "rules array<struct<track_id string, icao string, time_window struct<first_point_unix double, last_point_unix double>, "
@@ -116,28 +114,14 @@ def reference_metadata(keyframes: DataFrame, rules: DataFrame, q: float = 1.0) -
     )
 
 
-_RECORD = struct.Struct(">I6sBBB")
-
-
-def _spool_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-            at, rows = 0, []
-            while at + _RECORD.size <= len(content):
-                ts, mlat, signal, kind, size = _RECORD.unpack_from(content, at)
-                at += _RECORD.size
-                if at + size > len(content):
-                    break  # a torn last record
-                rows.append((path, ts, int.from_bytes(mlat, "big"), signal, kind, content[at : at + size]))
-                at += size
-            for a in range(0, len(rows), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[a : a + 50_000], strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["path", "ts_utc", "mlat48", "signal", "beast_type", "payload"])
 
 
 def read_spool(spark: SparkSession, path: str) -> DataFrame:
-    """IO14: binary logs of (time 4 bytes, mlat 6, signal, type, length, payload), big-endian, as rows; a task reads whole files."""
+    """IO14: binary logs of (time 4 bytes, mlat 6, signal, type, length, payload), big-endian, as rows by the table function spool_records; a
+    torn last record is left out. A task reads whole files."""
+    register_tables(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_spool_rows, "path string, ts_utc long, mlat48 long, signal int, beast_type int, payload binary")
+    return spark.sql("select path, s.* except (torn) from {files} as f, lateral spool_records(f.content) as s where not s.torn", files=files)
 
 
 def write_tracks(df: DataFrame, path: str) -> DataFrame:
