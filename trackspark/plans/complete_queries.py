@@ -416,6 +416,35 @@ def e12(spark, d):
     return g.select("track_id", "method", "n_long_gaps", "n_gap_frames", rounded("gap_accel_p95", 4).alias("gap_accel_p95"), rounded("gap_jerk_p95", 4).alias("gap_jerk_p95"))
 
 
+def _mad_sql(c: str) -> str:
+    return f"case when 1.4826e0 * quantile_cont(abs(d_{c} - m_{c}), 0.5) > 1.4826e-12 then 1.4826e0 * quantile_cont(abs(d_{c} - m_{c}), 0.5) else stddev_pop(d_{c}) end as s_{c}"
+
+
+@query("e15_difference_evidence", _MEDIAN_SQL + ", rg as (select *, t - lag(t) over w as back, lead(t) over w - t as ahead, " + ", ".join(f"{_w5(c)} as r{c}" for c in "xyz") + " from rm" + _W + """
+), rl as (select *, greatest(10e0, 4 * coalesce(quantile_cont(case when back > 0 then back end, 0.5) over (partition by track_id), 1)) as lim from rg
+), rd as (select *, case when not (coalesce(back > lim, false) or coalesce(ahead > lim, false)) then sqrt(pow(p_vx - rx, 2) + pow(p_vy - ry, 2) + pow(p_vz - rz, 2)) end as d, sqrt(p_vx * p_vx + p_vy * p_vy) as ms, sqrt(rx * rx + ry * ry) as rs, p_vz as mz from rl
+), re as (select *, """ + ", ".join(f"{c} - lag({c}) over w as d_{c}" for c in ("ms", "rs", "mz", "rz")) + " from rd" + _W + "), rf as (select *, " + ", ".join(f"quantile_cont(d_{c}, 0.5) over (partition by track_id) as m_{c}" for c in ("ms", "rs", "mz", "rz")) + """ from re
+), rh as (select track_id, count(*) as n, case when count(d) >= 3 then sqrt(avg(d * d)) end as e, """ + ", ".join(_mad_sql(c) for c in ("ms", "rs", "mz", "rz")) + """ from rf group by 1)
+select track_id, 'median' as method, """ + rnd("e", 4) + " as difference_rmse, " + rnd("case when n >= 8 and s_rs >= 1e-9 then s_ms / s_rs end", 4) + " as speed_detail, " + rnd("case when n >= 8 and s_rz >= 1e-9 then s_mz / s_rz end", 4) + " as vertical_detail from rh")
+def e15(spark, d):
+    g = compare.difference_evidence(samples(spark, d), medians(spark, d))
+    return g.select("track_id", "method", *(rounded(c, 4).alias(c) for c in ("difference_rmse", "speed_detail", "vertical_detail")))
+
+
+@query("w21_viewer_segments", _MINUTES_SQL + """, ri as (select *, row_number() over (partition by track_id order by t) - 1 as i from rr)
+select track_id, 'median' as method, row_number() over (partition by track_id order by segment) as run, segment, cast(min(i) as bigint) as first_index, cast(max(i) as bigint) as last_index, min(t) as t0, max(t) as t1, count(*) as n from ri group by track_id, segment""")
+def w21(spark, d):
+    return render.viewer_segments(medians(spark, d), compare.KEYS).withColumns({c: F.col(c).cast("long") for c in ("first_index", "last_index")})
+
+
+@query("w23_changes_per_minute", SAMPLES_SQL + """, dc as (select track_id, t, vx * lag(vx) over w + vy * lag(vy) over w + vz * lag(vz) over w as dp, sqrt(vx * vx + vy * vy + vz * vz) * sqrt(pow(lag(vx) over w, 2) + pow(lag(vy) over w, 2) + pow(lag(vz) over w, 2)) as nn from s window w as (partition by track_id order by t))
+select track_id, count(*) filter (nn > 1e-12 and dp / nn < 0.9e0) as n_changes, """ + rnd("count(*) filter (nn > 1e-12 and dp / nn < 0.9e0) / nullif((max(t) - min(t)) / 60e0, 0)") + " as changes_per_minute from dc group by 1")
+def w23(spark, d):
+    """Velocities that turn by more than about 26 degrees from row to row."""
+    g = T.direction_changes(samples(spark, d), ["track_id"], "t", list(compare.VEL), 0.9)
+    return g.select("track_id", "n_changes", rounded("changes_per_minute").alias("changes_per_minute"))
+
+
 @query("e18_join_metrics", _MINUTES_SQL + """, gl as (select *, quantile_cont(case when b - a > 0 then b - a end, 0.5) over (partition by track_id) as md from gg), hg as (select track_id, a, b from gl where b - a > greatest(10e0, 5 * coalesce(md, 1))
 ), jn as (select track_id, t, lag(t) over w as lo, segment <> lag(segment) over w as new, sqrt(""" + " + ".join(f"pow({c} - lag({c}) over w - 0.5e0 * (v{c} + lag(v{c}) over w) * greatest(t - lag(t) over w, 1e-6), 2)" for c in "xyz") + ") as cl, sqrt("
     + " + ".join(f"pow(v{c} - lag(v{c}) over w, 2)" for c in "xyz") + ") as dv, sqrt(" + " + ".join(f"pow(a{c} - lag(a{c}) over w, 2)" for c in "xyz") + """) as da from ra window w as (partition by track_id order by t)
