@@ -493,12 +493,12 @@ def k3(spark, d):
 ), vr as (select track_id, t0 + k * 17.37e0 as t from (select *, unnest(generate_series(0, n)) as k from ve) union all select track_id, t1 from ve where t0 + n * 17.37e0 < t1 - 1e-9
 ), ap as (select vr.track_id, vr.t, a.t as t_a, a.x as ax, a.z as az from vr asof join sz a on a.track_id = vr.track_id and vr.t >= a.t
 ), bp as (select ap.*, b.t as t_b, b.x as bx, b.z as bz from ap asof join sz b on b.track_id = ap.track_id and ap.t <= b.t)
-select track_id, t, """ + rnd("case when t_b = t_a then ax else ax + (bx - ax) * (t - t_a) / (t_b - t_a) end", 4) + " as x, " + rnd("case when t_b = t_a then az else az + (bz - az) * (t - t_a) / (t_b - t_a) end", 4) + " as z from bp")
+select track_id, t, """ + rnd("case when t_b = t_a then ax else ax + (bx - ax) * (t - t_a) / (t_b - t_a) end", 6) + " as x, " + rnd("case when t_b = t_a then az else az + (bz - az) * (t - t_a) / (t_b - t_a) end", 6) + " as z from bp")
 def x5(spark, d):
     """Tracks on a grid of 17.37 s by the table function, from SQL; times from the epoch of the data."""
     register_tables(spark)
     got = spark.sql("select * from resampled(table({rows}), 17.37d)", rows=samples(spark, d).select("track_id", (F.col("t") - M.EPOCH).alias("t"), "x", "z"))
-    return got.select("track_id", "t", rounded("x", 4).alias("x"), rounded("z", 4).alias("z"))
+    return got.select("track_id", "t", rounded("x").alias("x"), rounded("z").alias("z"))
 
 
 @query("x5_spool_records", "select user_id // 10 as source, count(*) as n, cast(sum(event_id) as bigint) as events, count(*) filter (event_id % 2 = 1) as n_odd from events group by 1")
