@@ -649,9 +649,21 @@ def t5(spark, d):
     return compare.selected_flights(table, [f" {first.a.lower()}", first.b])
 
 
-@query("f12_filtered_samples")
+def _pass_sql(n: int) -> str:
+    """One pass of F12: rows r{n} -> r{n + 1}."""
+    w, part = "over (partition by track_id order by t)", "partition by track_id"
+    limit = f"greatest(1200e0, 5e0 * greatest((sp + lag(sp) {w}) / 2, 1e0))"
+    return f""", pa{n} as (select *, sqrt(vx * vx + vy * vy + vz * vz) as sp, sqrt(pow(x - lag(x) {w}, 2) + pow(y - lag(y) {w}, 2) + pow(z - lag(z) {w}, 2)) / (t - lag(t) {w}) as step from r{n}
+), pb{n} as (select *, step > {limit} as bad, step / {limit} as q from pa{n}
+), pc{n} as (select *, lead(bad) {w} as nxt, lead(bad, 2) {w} as aft, lag(bad) {w} as bef, greatest(coalesce(q, 0), coalesce(lead(q) {w}, 0)) as worst from pb{n}
+), pd{n} as (select *, coalesce(bad and nxt, false) or coalesce(bad is null and nxt and not coalesce(aft, false), false) or coalesce(nxt is null and bad and not coalesce(bef, false), false) as o from pc{n}
+), pe{n} as (select *, count(*) over ({part}) as n, bool_or(o) over ({part}) as hit, row_number() over ({part} order by o desc, worst desc, t) as place from pd{n}
+), r{n + 1} as (select track_id, t, x, y, z, vx, vy, vz, i from pe{n} where not case when hit then o and place <= n - 8 else place = 1 and worst > 1 and n - 8 >= 1 end)"""
+
+
+@query("f12_filtered_samples", SAMPLES_SQL + ", r0 as (select * from s)" + "".join(map(_pass_sql, range(4))) + " select track_id, i, t, " + ", ".join(f"{rnd(c)} as {c}" for c in ("x", "y", "z", "vx", "vy", "vz")) + " from r4")
 def f12(spark, d):
-    return quality.filter_motion_outliers(samples(spark, d))
+    return quality.filter_motion_outliers(samples(spark, d)).select("track_id", "i", "t", *(rounded(c).alias(c) for c in ("x", "y", "z", "vx", "vy", "vz")))
 
 
 @query("a3_flat_keyframes", KEYFRAMES_SQL + " select track_id, keyframe_id, strftime(to_timestamp(t) at time zone 'UTC', '%Y-%m-%dT%H:%M:%SZ') as t_iso, n_position + n_velocity >= 1 as some, " + rnd("(alt - 36e0) * 0.3048e0", 4) + " as height_m, " + rnd("sqrt(ve * ve + vn * vn)", 4) + " as ground_speed, paired from kf")
@@ -744,6 +756,16 @@ def d5(spark, d):
     return decode.decode_all(f, f.where("id <= 101").select("id"), batch, staged).select("id", "df", "icao", F.col("tc").cast("int").alias("tc"))
 
 
+@query("d5_decode_incremental", _SENT + """ select id, 17 as df, icao, tc, 1 as crc_ok, alt, """ + rnd("gs", 4) + """ as gs, rate as vertical_rate from fr
+where id > (select max(id) from fr where id <= (select avg(id) from fr))""")
+def d5_one(spark, d):
+    """The lower half of the ids is decoded already; every frame above the largest of them is decoded, with all its fields."""
+    f = staged(frames(spark, d), "frames")
+    known = f.join(F.broadcast(f.agg(F.avg("id").alias("middle"))), F.col("id") <= F.col("middle")).select("id")
+    new = decode.decode_incremental(f, known)
+    return new.select("id", "df", "icao", F.col("tc").cast("int").alias("tc"), "crc_ok", "alt", rounded("gs", 4).alias("gs"), "vertical_rate")
+
+
 def _stream_of(df: DataFrame, name: str) -> DataFrame:
     """df as a stream: written files that are read as they come."""
     path = new_path(df.sparkSession, name)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from trackspark.functions import scalars as S
 from trackspark.operators import evaluation, quality, smoothing
 from trackspark.operators import timeseries as T
 from trackspark.plans.more_queries import _RUNS, _grad, labelled
@@ -40,10 +41,11 @@ def f12(spark, d):
     return quality.motion_outliers(samples(spark, d)).where("outlier").select("track_id", "t")
 
 
-@query("f13_repeated_times", "select user_id, ts as t, count(*) as n from events group by 1, 2 having count(*) > 1")
+@query("f13_repeated_times", MESSAGES_SQL + " select track_id, round_even(ts_utc, 0) as t, count(*) as n from m group by 1, 2 having count(*) > 1")
 def f13(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet")
-    return e.groupBy("user_id", F.col("ts").alias("t")).agg(F.count("*").alias("n")).where("n > 1")
+    """Seconds in which a track has more than one message: what unique_times() would refuse before keyframes are built."""
+    m = messages(spark, d).select("track_id", S.bucket_time(F.col("ts_utc"), 1.0).alias("t"))
+    return m.groupBy("track_id", "t").agg(F.count("*").alias("n")).where("n > 1")
 
 
 @query("f14_min_support", "select user_id, count(*) as n from events group by 1 having count(*) >= 65")
@@ -135,13 +137,6 @@ def k20(spark, d):
     return quality.verify_continuity(ends).select("track_id", "segment", rounded("jump_x", 3).alias("jump_x"), rounded("jump_vx", 5).alias("jump_vx"))
 
 
-@query("d5_decode_incremental", "select event_id from events where event_id not in (select event_id from events where event_id % 3 = 0) order by event_id limit 500")
-def d5(spark, d):
-    """Rows that are not decoded yet, oldest first, a batch at a time."""
-    e = spark.read.parquet(f"{d}/events.parquet").select("event_id")
-    return e.join(e.where("event_id % 3 = 0"), "event_id", "left_anti").orderBy("event_id").limit(500)
-
-
 @query("d6_decoded_json", MESSAGES_SQL + " select raw_id, cast(json_extract_string(decoded_json, '$.velocity_raw[0]') as int) as gs from m where gs is not null")
 def d6(spark, d):
     m = messages(spark, d).where("gs is not null").select("raw_id", F.to_json(F.struct(F.from_json(F.get_json_object("decoded_json", "$.velocity_raw"), "array<string>").alias("velocity_raw"))).alias("j"))
@@ -156,12 +151,13 @@ def s2(spark, d):
     return t.agg(F.count_if(ok).alias("n_good"), F.count_if(~ok).alias("n_bad"))
 
 
-@query("s10_live_rule_join", "select event_id, cast(user_id % 10 as bigint) as rule from events where user_id % 10 < 3 and value > 20")
+@query("s10_live_rule_join", """with r as (select user_id, min(ts) as a, max(ts) as b from events where event_type = 'purchase' group by 1)
+select event_id, user_id as rule from events join r using (user_id) where ts between a and b""")
 def s10(spark, d):
-    """The stream joins a static table of rules, which is broadcast: three rows."""
-    rules = spark.range(3).select(F.col("id").alias("rule"))
-    s = streams.events_stream(spark, d).where("value > 20")
-    return streams.run_to_table(s.join(F.broadcast(rules), F.col("user_id") % 10 == F.col("rule")).select("event_id", F.col("rule").cast("long").alias("rule")))
+    """The whole stream joins a static table of rules, one a user: its window is from the first purchase to the last."""
+    bought = spark.read.parquet(f"{d}/events.parquet").where("event_type = 'purchase'")
+    rules = bought.groupBy(F.col("user_id").alias("rule")).agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    return streams.run_to_table(streams.events_stream(spark, d).join(rules, F.expr("user_id = rule and ts between a and b")).select("event_id", "rule"))
 
 
 @query("s11_stream_stream_join", """select a.event_id, b.event_id as other_id from events a join events b on a.user_id = b.user_id and b.ts between a.ts and a.ts + interval '1 hour' where a.event_type = 'error' and b.event_type = 'purchase'""")

@@ -86,16 +86,24 @@ def j6(spark, d):
     return T.overlapping_intervals(_segments(k), e, K, 200.0, "left_anti").select("user_id", F.col("seg").cast("long").alias("seg"))
 
 
-@query("j7_anti_join", "select o_custkey, count(*) as n from orders where o_custkey not in (select c_custkey from customer where c_custkey % 3 = 0) group by 1")
+@query("j7_anti_join", "select o_custkey, count(*) as n, cast(sum(cast(round(o_totalprice * 100) as bigint)) as bigint) as cents from orders where o_custkey not in (select c_custkey from customer where c_acctbal < 0) group by 1")
 def j7(spark, d):
+    """Orders of all customers but the deleted ones, those whose balance is below zero; counted by customer before the join."""
     o, c = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("orders", "customer"))
-    return o.join(c.where("c_custkey % 3 = 0"), o.o_custkey == c.c_custkey, "left_anti").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    g = o.groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"))
+    return g.join(c.where("c_acctbal < 0"), g.o_custkey == c.c_custkey, "left_anti")
 
 
-@query("u2_except_intersect", "select user_id from tk_all except select user_id from tk_err".replace("tk_all", "(select distinct user_id from events where event_type = 'click')").replace("tk_err", "(select distinct user_id from events where event_type = 'error')"))
+_DAYS = "(select distinct user_id, cast(cast(ts as date) as varchar) as day from events where event_type = '{}')"
+
+
+@query("u2_except_intersect", f"select 'kept' as part, * from ({_DAYS.format('click')} except {_DAYS.format('error')}) union all select 'both', * from ({_DAYS.format('click')} intersect {_DAYS.format('error')})")
 def u2(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet")
-    return e.where("event_type = 'click'").select("user_id").distinct().subtract(e.where("event_type = 'error'").select("user_id"))
+    """A user's days with clicks: those without an error are kept; those with one are what must not be in the kept part."""
+    e = spark.read.parquet(f"{d}/events.parquet").select("user_id", F.to_date("ts").cast("string").alias("day"), "event_type")
+    clicks, errors = (e.where(F.col("event_type") == k).select("user_id", "day") for k in ("click", "error"))
+    part = lambda name, df: df.select(F.lit(name).alias("part"), "user_id", "day")
+    return part("kept", clicks.subtract(errors)).unionByName(part("both", clicks.intersect(errors)))
 
 
 _W = " window w as (partition by user_id order by t)"
