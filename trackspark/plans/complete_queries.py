@@ -87,10 +87,12 @@ def m2(spark, d):
     return regimes.adaptive_deadbands(features(spark, d)).select("track_id", "component", *(rounded(c).alias(c) for c in ("energy_band", "vertical_band", "accel_band", "turn_band", "lateral_band")))
 
 
-@query("m4_energy_states", BANDS_SQL + ", l1 as (select *, " + ", ".join(f"{_med(c, 2)} as s_{c}" for c in ("speed", "vertical_rate", "speed_accel", "energy_rate")) + """ from f5 join bb using (track_id, component)
+ENERGY_SQL = BANDS_SQL + ", l1 as (select *, " + ", ".join(f"{_med(c, 2)} as s_{c}" for c in ("speed", "vertical_rate", "speed_accel", "energy_rate")) + """ from f5 join bb using (track_id, component)
 ), l2 as (select *, case when s_speed < 25 then 'ground_slow' when s_vertical_rate > vertical_band then 'climb' when s_vertical_rate < -vertical_band then 'descent' when s_speed_accel > accel_band then 'level_accel'
-  when s_speed_accel < -accel_band then 'level_decel' when s_energy_rate > energy_band then 'energy_gain' when s_energy_rate < -energy_band then 'energy_loss' else 'energy_constant' end as energy from l1)
-select track_id, component, i, energy from l2""")
+  when s_speed_accel < -accel_band then 'level_decel' when s_energy_rate > energy_band then 'energy_gain' when s_energy_rate < -energy_band then 'energy_loss' else 'energy_constant' end as energy from l1)"""
+
+
+@query("m4_energy_states", ENERGY_SQL + " select track_id, component, i, energy from l2")
 def m4(spark, d):
     return regimes.raw_labels(features(spark, d)).select("track_id", "component", "i", "energy")
 
@@ -122,6 +124,100 @@ def m7(spark, d):
     return tracks(spark, d)["candidates"]
 
 
+_Z = ("energy_rate", "vertical_rate", "speed_accel", "heading_rate", "abs_lateral_accel", "residual", "mismatch", "accel", "vertical_accel")
+_Z_SQL = ", zm as (select track_id, component, " + ", ".join(f"quantile_cont({c}, 0.5) as m_{c}" for c in _Z) + """ from f5 group by 1, 2
+), zs as (select track_id, component, """ + ", ".join(f"max(m_{c}) as m_{c}, 1.4826e0 * quantile_cont(abs({c} - m_{c}), 0.5) as s_{c}, stddev_pop({c}) as d_{c}" for c in _Z) + """ from f5 join zm using (track_id, component) group by 1, 2
+), zz as (select track_id, component, i, t, """ + ", ".join(f"abs(coalesce(greatest(-50e0, least(50e0, ({c} - m_{c}) / case when s_{c} > 1e-6 then s_{c} when d_{c} > 1e-6 then d_{c} else 1e0 end)), 0)) as z_{c}" for c in _Z) + " from f5 join zs using (track_id, component))"
+
+
+def _either(*tokens: str) -> str:
+    return "(" + " or ".join(f"contains(was, '{x}') or contains(now, '{x}')" for x in tokens) + ")"
+
+
+_WEIGHED = ((("climb", "descent"), 10), (("energy_gain", "energy_loss"), 6), (("accel", "decel"), 4), (("rapid",), 3))
+
+
+@query("m7_m8_energy_changes", ENERGY_SQL + _Z_SQL + """, c0 as (select track_id, component, i as st, count(*) over (partition by track_id, component) as nr, lag(energy) over (partition by track_id, component order by t) as was, energy as now from l2
+), c1 as (select *, greatest(1, least(st, greatest(nr - 2, 1))) as s0 from c0 where was <> now
+), c2 as (select c1.*, zz.* exclude (track_id, component), abs(i - s0) as away, round(0.45e0 * z_mismatch + 0.45e0 * z_residual + 0.20e0 * (z_accel + 0.5e0 * z_vertical_accel + 0.5e0 * z_speed_accel) + 0.05e0 * abs(i - s0), 9) as cost
+  from c1 join zz on zz.track_id = c1.track_id and zz.component = c1.component and zz.i between greatest(1, st - 4, s0 - 6) and least(nr - 2, st + 3, s0 + 6)
+), c3 as (select *, row_number() over (partition by track_id, component, st order by cost, away, i) as nth from c2)
+select track_id, component, i, """ + rnd("80e0 + 2e0 * (4" + "".join(f" + case when {_either(*k)} then {v} else 0 end" for k, v in _WEIGHED) + ") + 0.7e0 * z_energy_rate + 0.6e0 * z_vertical_rate + 0.45e0 * z_speed_accel + 0.75e0 * z_heading_rate + 0.45e0 * z_abs_lateral_accel + 0.35e0 * z_residual", 4) + """ as score,
+  concat_ws(',', 'energy_state_transition', 'regime_from_' || was, 'regime_to_' || now, case when i <> st then 'optimized_boundary_sample' end, """ + ", ".join(f"case when {_either(*k)} then '{v}' end" for k, v in ((("climb",), "climb_state_transition"), (("descent",), "descent_state_transition"), (("accel", "decel"), "speed_change_transition"))) + """) as reasons
+from c3 where nth = 1""")
+def m7_energy(spark, d):
+    """Changes of the energy label as it stands before it is stabilised, each at the quietest row of its band."""
+    f = staged(features(spark, d), "features")
+    return _told(regimes.transition_candidates(regimes.raw_labels(f), f, kinds=("energy",)))
+
+
+def _told(candidates: DataFrame) -> DataFrame:
+    return candidates.select("track_id", "component", "i", rounded("score", 4).alias("score"), F.array_join("reasons", ",").alias("reasons"))
+
+
+def _modes_sql(rate: str, gate: str) -> str:
+    """Smoothed rows md with their vertical mode, and rn: the runs of modes with their medians."""
+    return f"""{BANDS_SQL}, ma as (select *, {_med("z", 2)} as alt, count(*) over (partition by track_id, component) as nr from f5 join bb using (track_id, component)
+), mb as (select *, {rate} as r0 from ma
+), mc as (select track_id, component, i, t, nr, alt, vertical_band, {_med("r0", 2)} as rate, {_med("energy_rate", 2)} as er, {_med("speed_accel", 2)} as sa from mb
+), me as (select *, case when rate >= {gate} then 'climb' when rate <= -{gate} then 'descent' else 'level' end as mode from mc
+), mf as (select *, case when mode is not distinct from lag(mode) {_C} then 0 else 1 end as nw from me
+), md as (select *, sum(nw) over (partition by track_id, component order by t rows unbounded preceding) as run from mf
+), rn as (select track_id, component, run, min(mode) as mode, min(i) as i0, max(i) as i1, min(t) as t0, max(t) as t1, count(*) as n, max(nr) as nr, quantile_cont(alt, 0.5) as alt, quantile_cont(rate, 0.5) as rate,
+  quantile_cont(er, 0.5) as er, quantile_cont(sa, 0.5) as sa from md group by 1, 2, 3)"""
+
+
+def _turns_sql(runs: str, pairs: str) -> str:
+    """pr: pairs of runs l and r; at: each with its extreme row from the end of l to the start of r."""
+    fields = ("nth", "mode", "i0", "i1", "t0", "t1", "n", "nr", "alt", "rate", "er", "sa", "shelf")
+    return f""", rs as ({runs}), rr as (select *, row_number() over (partition by track_id, component order by i0) as nth from rs
+), pr as (select l.track_id, l.component, {", ".join(f"l.{c} as l_{c}, r.{c} as r_{c}" for c in fields)} from rr l join rr r on l.track_id = r.track_id and l.component = r.component where {pairs}
+), ex as (select pr.*, md.i, md.alt, row_number() over (partition by pr.track_id, pr.component, l_i0, r_i0 order by case when l_mode = 'climb' then -md.alt else md.alt end, md.i) as best
+  from pr join md on md.track_id = pr.track_id and md.component = pr.component and md.i between l_i1 and r_i0
+), xt as (select *, case when l_mode = 'climb' then alt - l_alt else l_alt - alt end as bef, case when l_mode = 'climb' then alt - r_alt else r_alt - alt end as aft from ex where best = 1)"""
+
+
+_PLACED = "greatest(1, least({}, l_nr - 2))"
+_NEAR = "(r_i0 - l_i1 - 1 <= 8 and r_t0 - l_t1 <= 25)"
+_SHAPE = "case when l_mode = 'climb' then 'local_altitude_maximum' else 'local_altitude_minimum' end"
+
+
+@query("m9_go_around_places", _modes_sql("vertical_rate", "greatest(vertical_band, 0.75e0)") + _turns_sql("select *, 0e0 as shelf from rn", "l.mode = 'descent' and l.n >= 4 and l.t1 - l.t0 >= 6 and r.nth between l.nth + 1 and l.nth + 3") + f""", ft as (
+  select *, r_mode = 'climb' and r_n >= 4 and r_t1 - r_t0 >= 6 and {_NEAR} as fit from xt
+), fs as (select *, bool_or(r_mode = 'descent') over (partition by track_id, component, l_i0 order by r_nth) as halt, fit and greatest(bef, aft) >= 10 as good from ft where fit or r_mode = 'descent'
+), fk as (select *, row_number() over (partition by track_id, component, l_i0 order by r_nth) as k from fs where good and not halt)
+select track_id, component, {_PLACED.format("i")} as i, {rnd("60e0 + greatest(0, bef) + greatest(0, aft) + 2 * abs(r_rate) + greatest(0, r_er) + greatest(0, r_sa)", 4)} as score,
+  'go_around_transition,vertical_mode_reversal_descent_to_climb,local_altitude_minimum' as reasons from fk where k = 1""")
+def m9(spark, d):
+    f = staged(features(spark, d), "features")
+    return _told(regimes.go_around_candidates(f, regimes.adaptive_deadbands(f)))
+
+
+@query("m10_vertical_reversals", _modes_sql(f"coalesce(0.5e0 * {_sg('alt')} + 0.5e0 * vertical_rate, {_sg('alt')})", "greatest(vertical_band, 0.75e0)") + _turns_sql("select *, 0e0 as shelf from rn where n >= 4 and t1 - t0 >= 6", "l.mode <> 'level' and r.nth between l.nth + 1 and l.nth + 3") + f""", fs as (
+  select *, greatest(0, bef) + greatest(0, aft) as total, bool_or(r_mode = l_mode) over (partition by track_id, component, l_i0 order by r_nth) as halt from xt where {_NEAR} or r_mode = l_mode
+), fk as (select *, row_number() over (partition by track_id, component, l_i0 order by r_nth) as k from fs where {_NEAR} and r_mode <> l_mode and total >= 25 and greatest(bef, aft) >= 12.5e0 and not halt
+), fe as (select fk.track_id, fk.component, l_i0, quantile_cont(md.er, 0.5) as e from fk join md on md.track_id = fk.track_id and md.component = fk.component and md.i between l_i0 and r_i1 where k = 1 group by 1, 2, 3)
+select track_id, component, {_PLACED.format("i")} as i, {rnd("55e0 + total + 2 * abs(l_rate) + 2 * abs(r_rate) + abs(e)", 4)} as score,
+  'vertical_reversal_transition,vertical_mode_reversal_' || l_mode || '_to_' || r_mode || ',' || {_SHAPE} as reasons from fk join fe using (track_id, component, l_i0) where k = 1""")
+def m10(spark, d):
+    f = staged(features(spark, d), "features")
+    return _told(regimes.vertical_reversal_candidates(f, regimes.adaptive_deadbands(f)))
+
+
+_SHELF = "sum(case when mode = 'level' then t1 - t0 else 0 end) over (partition by track_id, component order by i0 rows unbounded preceding)"
+
+
+@query("m11_altitude_lobes", _modes_sql(f"coalesce(0.75e0 * {_sg('alt')} + 0.25e0 * vertical_rate, {_sg('alt')})", "greatest(0.35e0, 0.5e0 * vertical_band)") + _turns_sql(f"select * from (select *, {_SHELF} as shelf from rn where n >= 8 and t1 - t0 >= 8) where mode <> 'level'", "r.nth = l.nth + 1 and l.mode <> r.mode") + f""", fk as (
+  select *, greatest(0, bef) + greatest(0, aft) as total, {_PLACED.format("case when r_shelf - l_shelf >= 8 and r_i0 > l_i1 then r_i0 else i end")} as j from xt
+), en as (select track_id, component, min(t) as a, max(t) as b, count(*) as m from md group by 1, 2)
+select fk.track_id, fk.component, fk.j as i, {rnd("70e0 + total + 2 * abs(l_rate) + 2 * abs(r_rate)", 4)} as score, 'altitude_lobe_transition,altitude_lobe_' || l_mode || '_to_' || r_mode || ',' || {_SHAPE} || ',large_vertical_excursion' as reasons
+from fk join en using (track_id, component) join md on md.track_id = fk.track_id and md.component = fk.component and md.i = fk.j
+where total >= 35 and least(bef, aft) >= 12 and j >= 7 and m - j >= 8 and md.t - a >= 8 and b - md.t >= 8""")
+def m11(spark, d):
+    f = staged(features(spark, d), "features")
+    return _told(regimes.altitude_lobe_candidates(f, regimes.adaptive_deadbands(f)))
+
+
 @query("m12_m13_extra_candidates")
 def m13(spark, d):
     f = staged(features(spark, d), "features")
