@@ -218,6 +218,77 @@ def m11(spark, d):
     return _told(regimes.altitude_lobe_candidates(f, regimes.adaptive_deadbands(f)))
 
 
+def energy_runs(f: DataFrame) -> DataFrame:
+    """Rows with the number of their run of equal energy labels."""
+    w = Window.partitionBy(*regimes.COMPONENT).orderBy("t")
+    new = regimes.raw_labels(f).withColumn("_new", F.when(F.col("energy").eqNullSafe(F.lag("energy").over(w)), 0).otherwise(1))
+    return new.withColumn("segment", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
+_RUN_SQL = ENERGY_SQL + f""", e1 as (select *, case when energy is not distinct from lag(energy) {_C} then 0 else 1 end as nw from l2
+), e2 as (select *, sum(nw) over (partition by track_id, component order by t rows unbounded preceding) as segment from e1)"""
+_PARAMETERS = ("p_eta", "p_velocity", "p_spacing", "p_per_basis", "p_jerk", "p_accel_prior", "p_accel")
+_POLICY_ROWS = ", ".join(
+    f"('{preset}', '{name}', {'null' if eta[k] is None else float(eta[k])}, {velocity[k]}, {fits.POLICY['noisy'][1][k]}, {', '.join(map(str, rest))})"
+    for k, preset in enumerate(fits.PRESETS) for name, (eta, velocity, *rest) in fits.POLICY.items()
+)
+
+
+@query("p31_policies", _RUN_SQL + """, sg as (select track_id, component, segment, min(energy) || case when median(heading_rate) > min(turn_band) then '__turn_left_slow' else '' end as regime, median(speed) as speed, median(mismatch) as miss from e2 group by 1, 2, 3
+), hi as (select *, miss > greatest(10e0, 0.25e0 * greatest(speed, 1)) as high from sg
+), po as (select *, case when regime = 'ground_slow' or speed < 25 then 'ground' when contains(regime, 'turn_') then 'transition' when high then 'noisy' when contains(regime, 'energy_gain') or contains(regime, 'energy_loss') then 'energy_change'
+  when regime = 'energy_constant' then 'energy_constant' else 'steady' end as policy from hi
+), pt(preset, policy, p_eta, p_velocity, noisy, p_spacing, p_per_basis, p_jerk, p_accel_prior, p_accel) as (values """ + _POLICY_ROWS + """)
+select track_id, component, cast(segment as bigint) as segment, preset, policy, cast(case when high and policy not in ('ground', 'steady') then noisy else p_velocity end as double) as p_velocity, """
+    + ", ".join(f"cast({c} as double) as {c}" for c in _PARAMETERS if c != "p_velocity") + " from po join pt using (policy)")
+def p31(spark, d):
+    """The smoothing parameters that each run of energy labels gets, for all presets; runs that turn more than their band say so in their label."""
+    f = staged(features(spark, d), "features")
+    half = lambda c: F.percentile(c, 0.5)
+    turns = F.when(half("heading_rate") > F.min("turn_band"), "__turn_left_slow").otherwise("")
+    s = energy_runs(f).groupBy(*regimes.COMPONENT, "segment").agg(
+        F.concat(F.min("energy"), turns).alias("regime_label"), half("speed").alias("median_speed"), half("mismatch").alias("median_mismatch"), (F.max("t") - F.min("t")).alias("duration"), F.count("*").alias("n"),
+    )
+    s = staged(s, "runs")
+    out = [fits.select_params(s, p).select("track_id", "component", "segment", F.lit(p).alias("preset"), "policy", *_PARAMETERS) for p in fits.PRESETS]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def _line(c: str) -> str:
+    return f"regr_slope({c}, u) as v{c}, regr_intercept({c}, u) as o{c}"
+
+
+@query("k10_harmonized_joins", _RUN_SQL + f""", e3 as (select track_id, component, i, t - 1704067200 as u, t, x, y, z, vx, vy, vz, segment, nw from e2
+), sr as (select * from e3 union all select * replace (segment - 1 as segment) from e3 where nw = 1 and segment > 1
+), li as (select track_id, component, segment, min(i) as i0, max(i) as i1, {_line("x")}, {_line("y")}, {_line("z")} from sr group by 1, 2, 3 having count(*) >= 2
+), re as (select track_id, component, segment, sqrt(avg(pow(x - ox - li.vx * u, 2) + pow(y - oy - li.vy * u, 2) + pow(z - oz - li.vz * u, 2))) as rmse from sr join li using (track_id, component, segment) group by 1, 2, 3
+), lr as (select * from li join re using (track_id, component, segment)
+), ar as (select *, {", ".join(f"({c} - lag({c}) {_C}) / (t - lag(t) {_C}) as s1{c}, (lead({c}) {_C} - {c}) / (lead(t) {_C} - t) as s2{c}, (lead({c}) {_C} - lag({c}) {_C}) / (lead(t) {_C} - lag(t) {_C}) as s3{c}, {_med('v' + c, 2)} as st{c}" for c in "xyz")},
+  quantile_cont(sqrt(vx * vx + vy * vy + vz * vz), 0.5) over (partition by track_id, component order by t rows between 3 preceding and 3 following) as sp from e3
+), jn as (select ar.*, 1 / (1 + l.rmse / 80) as lw, 1 / (1 + r.rmse / 80) as rw, {", ".join(f"l.v{c} as l{c}, r.v{c} as r{c}" for c in "xyz")} from lr l join lr r on l.track_id = r.track_id and l.component = r.component and l.i1 = r.i0
+  join ar on ar.track_id = l.track_id and ar.component = l.component and ar.i = l.i1
+), hv as (select track_id, component, i, sp, {", ".join(f"(lw * l{c} + rw * r{c} + 0.75e0 * st{c} + 0.10e0 * v{c} + coalesce(0.35e0 * list_median([s1{c}, s2{c}, s3{c}]), 0)) / (lw + rw + 0.85e0 + case when coalesce(s1{c}, s2{c}, s3{c}) is null then 0 else 0.35e0 end) as h{c}" for c in "xyz")} from jn
+), hk as (select *, least(1e0, greatest(30e0, 2.5e0 * greatest(sp, 1e-6)) / greatest(sqrt(hx * hx + hy * hy + hz * hz), 1e-9)) as k from hv)
+select track_id, component, i, {", ".join(f"{rnd(f'h{c} * k', 4)} as v{c}" for c in "xyz")} from hk""")
+def k10(spark, d):
+    """Joins of straight lines through the runs of energy labels, with the medians of five reported velocities as the shared state."""
+    rows = staged(energy_runs(staged(features(spark, d), "features")).select(*regimes.COMPONENT, "i", "t", "x", "y", "z", "vx", "vy", "vz", "segment"), "runs")
+    w = Window.partitionBy(*regimes.COMPONENT).orderBy("t")
+    first = F.coalesce(F.lag("segment").over(w) != F.col("segment"), F.lit(False))
+    own = rows.withColumn("_first", first).withColumn("segment", F.explode(F.when(F.col("_first"), F.array(F.col("segment"), F.col("segment") - 1)).otherwise(F.array("segment"))))
+    own = own.withColumn("u", F.col("t") - M.EPOCH)
+    key = [*regimes.COMPONENT, "segment"]
+    lines = own.groupBy(*key).agg(F.min("i").alias("first"), F.max("i").alias("last"), *(g(c, "u").alias(f"{n}_{c}") for c in "xyz" for g, n in ((F.regr_slope, "v"), (F.regr_intercept, "o")))).where("last > first")
+    miss = sum(((F.col(c) - F.col(f"o_{c}") - F.col(f"v_{c}") * F.col("u")) ** 2 for c in "xyz"), F.lit(0.0))
+    lines = lines.withColumn("method", F.lit("line"))
+    at = own.join(lines, key)
+    told = at.groupBy(*key, "method").agg(F.sqrt(F.avg(miss)).alias("rmse"))
+    residuals = at.select(*key, "method", "i", *(F.col(f"v_{c}").alias(f"v{c}") for c in "xyz"))
+    states = rows.select(*regimes.COMPONENT, "i", *(F.percentile(f"v{c}", 0.5).over(w.rowsBetween(-2, 2)).alias(f"v{c}") for c in "xyz"))
+    j = fits.joins(rows, residuals, told, lines.select(*key, "first", "last"))
+    return fits.harmonized_velocities(j, states).select("track_id", "component", "i", *(rounded(f"v{c}", 4).alias(f"v{c}") for c in "xyz"))
+
+
 @query("m12_m13_extra_candidates")
 def m13(spark, d):
     f = staged(features(spark, d), "features")
