@@ -96,3 +96,33 @@ def test_curve_distances_see_every_point_and_axis(spark):
                 warp[i, j] = d[i, j] + min((warp[p] for p in before), default=0)
                 reach[i, j] = max(d[i, j], min((reach[p] for p in before), default=0))
         assert np.isclose(w[k], warp[-1, -1] / sum(d.shape)) and np.isclose(f[k], reach[-1, -1])
+
+
+def test_flat_keyframes_tell_an_override_and_where_acceleration_comes_from(spark):
+    """The field's elevation replaces altitudes inside the window on the ground, and what was reported stays readable."""
+    from trackspark.operators import prepare
+
+    columns = "raw_id long, track_id string, ts_utc double, lat double, lon double, alt double, gs double, track double, ve double, vn double, vz double, kind string, bucket double, field_ft double, ground_first double, ground_last double"
+    rows = [
+        (1, "A", 0.0, 57.0, 24.0, 90.0, 100.0, 90.0, 51.0, 0.0, 1.0, "position_velocity", 0.0, 36.0, 0.0, 1.0),
+        (2, "A", 4.0, 57.0, 24.1, 136.0, 100.0, 90.0, 55.0, 3.0, None, "position_velocity", 4.0, 36.0, 0.0, 1.0),
+        (3, "A", 5.0, 57.0, 24.1, None, None, None, None, None, None, "position", 5.0, 36.0, 0.0, 1.0),
+        (4, "A", 30.0, None, None, None, 100.0, 90.0, 51.0, 0.0, 1.0, "velocity", 30.0, 36.0, 0.0, 1.0),
+    ]
+    flat = prepare.flatten_keyframes(prepare.build_keyframes(spark.createDataFrame(rows, columns)))
+    a, b, c, e = flat.orderBy("t").collect()
+    assert (a.alt_ft, a.alt_reported_ft, a.altitude_source, a.on_ground, a.height_m) == (36.0, 90.0, "field elevation", True, 0.0)
+    assert (b.alt_ft, b.alt_reported_ft, b.altitude_source, b.on_ground) == (136.0, None, "reported", False)
+    assert (c.altitude_source, c.height_shown_m, c.has_vertical, c.velocity_formed, c.acc_source) == ("missing", None, None, None, None)
+    assert (e.altitude_source, e.on_ground, e.distance_km, e.position_formed) == (None, None, None, None)
+    assert (a.acc_source, b.acc_source, e.acc_source) == ("first", "change of velocity", "too long")
+    assert (b.acc_east, b.acc_north, b.acc_up, b.acc_horizontal, b.acc_size) == (1.0, 0.75, None, 1.25, 1.25)
+    assert (a.n_velocity_3d, b.n_velocity_3d, a.row_ids, a.event_kinds) == (1, 0, "[1]", '["position_velocity"]')
+    assert len(flat.columns) >= 50
+
+
+def test_flat_keyframes_of_an_empty_table(spark):
+    from trackspark.operators import prepare
+
+    columns = "raw_id long, track_id string, ts_utc double, lat double, lon double, alt double, gs double, track double, ve double, vn double, vz double, kind string, bucket double, field_ft double"
+    assert prepare.flatten_keyframes(prepare.build_keyframes(spark.createDataFrame([], columns))).count() == 0

@@ -202,9 +202,9 @@ def source_event_kind(source: Column | None, lat: Column, lon: Column, gs: Colum
 
 
 def field_height(alt_ft: Column, field_ft: Column, clip: bool = False) -> tuple[Column, Column]:
-    """Metres above sea level and above the field; the latter not below 0 when clipped for display."""
+    """Metres above sea level and above the field; the latter not below 0 when clipped for display, and NULL without an altitude."""
     height = (alt_ft - field_ft) * FT_TO_M
-    return alt_ft * FT_TO_M, F.greatest(height, F.lit(0.0)) if clip else height
+    return alt_ft * FT_TO_M, F.when(height.isNotNull(), F.greatest(height, F.lit(0.0))) if clip else height
 
 
 def on_ground_override(t: Column, alt_ft: Column, field_ft: Column, first: Column, last: Column) -> Column:

@@ -90,11 +90,16 @@ def build_keyframes(ev: DataFrame) -> DataFrame:
     """A1: one row for each track and bucket; means combine before the shuffle."""
     pos, vel = F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.col("ve").isNotNull()
     mean = lambda c, where: F.avg(F.when(where, F.col(c))).alias(c)
+    grounded = F.lit(False)
+    ev = ev.withColumn("_told", F.col("alt"))
     if "ground_first" in ev.columns:  # P17
+        grounded = F.coalesce(F.col("ts_utc").between(F.col("ground_first"), F.col("ground_last")), F.lit(False))
         ev = ev.withColumn("alt", S.on_ground_override(F.col("ts_utc"), F.col("alt"), F.col("field_ft"), F.col("ground_first"), F.col("ground_last")))
     k = ev.groupBy("track_id", F.col("bucket").alias("t")).agg(
         F.avg(F.when(vel, F.col("gs"))).alias("reported_gs"), F.sort_array(F.collect_list("raw_id")).alias("raw_ids"), F.transform(F.sort_array(F.collect_list(F.struct("ts_utc", "raw_id", "kind"))), lambda x: x["kind"]).alias("event_kinds"),
         mean("lat", pos), mean("lon", pos), mean("alt", pos), mean("ve", vel), mean("vn", vel), mean("vz", vel),
+        mean("_told", pos).alias("alt_reported"), F.max(pos & grounded).alias("on_ground"), F.count_if(vel & F.col("vz").isNotNull()).alias("n_velocity_3d"),
+        F.avg(F.when(pos, S.haversine_km(F.lit(S.REFERENCE_LAT), F.lit(S.REFERENCE_LON), F.col("lat"), F.col("lon")))).alias("distance_km"),
         F.count_if(pos).alias("n_position"), F.count_if(vel).alias("n_velocity"), F.sort_array(F.collect_set("kind")).alias("kinds"), F.min("field_ft").alias("field_ft"),
     )
     full_p, full_v = F.col("lat").isNotNull() & F.col("alt").isNotNull(), F.col("ve").isNotNull() & F.col("vz").isNotNull()
@@ -135,14 +140,36 @@ def aggregate_event_kind(kinds: Column) -> Column:
     return F.when(F.size(known) == 0, "unknown").when(F.coalesce(both, F.lit(False)), "position_velocity").when(F.size(known) == 1, F.get(known, F.lit(0))).otherwise("mixed")
 
 
-def flatten_keyframes(kf: DataFrame, field_ft: str = "field_ft") -> DataFrame:
-    """A3: keyframes as flat columns: heights, local metres, speeds, flags and counts; lists as their sizes and first items."""
+def flatten_keyframes(kf: DataFrame, field_ft: str = "field_ft", max_dt: float = 10.0) -> DataFrame:
+    """A3: keyframes as flat columns: ids and kinds (lists as JSON), position, heights and what they refer to, speeds, counts, how values
+    were formed, flags, and the acceleration since the last keyframe with a velocity (W4), with where it comes from.
+
+    alt_reported_ft is the mean altitude before the field's elevation replaced it (P17), NULL where it did not; a keyframe with no row of a
+    kind has NULLs in that kind's columns. One window by track for the acceleration, nothing is joined.
+    """
     x, y = S.local_xy(F.col("lat"), F.col("lon"))
     msl, height = S.field_height(F.col("alt"), F.col(field_ft))
-    return kf.select(
-        "track_id", "keyframe_id", "t", S.iso_utc(F.col("t")).alias("t_iso"), "event_kind", "mixed_kind", F.array_join("source_kinds", ",").alias("source_kinds"), F.size("raw_ids").alias("n_rows"), F.get("raw_ids", F.lit(0)).alias("first_raw_id"),
-        F.element_at("raw_ids", -1).alias("last_raw_id"), "lat", "lon", F.col("alt").alias("alt_ft"), msl.alias("alt_m"), height.alias("height_m"), x.alias("x_m"), y.alias("y_m"), F.col("ve").alias("east_mps"), F.col("vn").alias("north_mps"),
-        F.col("vz").alias("up_mps"), "ground_speed", (F.col("ground_speed") / S.KNOT_TO_MPS).alias("ground_speed_kt"), "track_deg", "reported_gs", "n_position", "n_velocity", "full_position", "full_velocity", "paired",
+    shown = S.field_height(F.col("alt"), F.col(field_ft), True)[1]
+    w = Window.partitionBy("track_id").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    moves = F.col("ve").isNotNull()
+    k = kf.withColumn("_p", F.last(F.when(moves, F.struct("t", "ve", "vn", "vz")), ignorenulls=True).over(w))
+    dt = F.col("t") - F.col("_p.t")
+    near = moves & (dt > 0) & (dt <= max_dt)
+    k = k.withColumns({f"_a{c}": F.when(near, (F.col(f"v{c}") - F.col(f"_p.v{c}")) / dt) for c in "enz"})
+    flat = F.sqrt(F.col("_ae") * F.col("_ae") + F.col("_an") * F.col("_an"))
+    size = F.sqrt(F.col("_ae") * F.col("_ae") + F.col("_an") * F.col("_an") + F.coalesce(F.col("_az") * F.col("_az"), F.lit(0.0)))
+    origin = F.when(moves, F.when(F.col("_p").isNull(), "first").when(dt <= 0, "no step").when(dt > max_dt, "too long").otherwise("change of velocity"))
+    placed = F.col("n_position") > 0
+    source = F.when(placed, F.when(F.col("on_ground"), "field elevation").when(F.col("alt").isNotNull(), "reported").otherwise("missing"))
+    return k.select(
+        "track_id", "keyframe_id", "t", S.iso_utc(F.col("t")).alias("t_iso"), "event_kind", "mixed_kind", F.array_join("source_kinds", ",").alias("source_kinds"), F.to_json("event_kinds").alias("event_kinds"), F.to_json("raw_ids").alias("row_ids"),
+        F.size("raw_ids").alias("n_rows"), F.get("raw_ids", F.lit(0)).alias("first_raw_id"), F.element_at("raw_ids", -1).alias("last_raw_id"), "lat", "lon", x.alias("x_m"), y.alias("y_m"), F.when(placed, F.col("distance_km")).alias("distance_km"),
+        F.col("alt").alias("alt_ft"), F.when(F.col("on_ground"), F.col("alt_reported")).alias("alt_reported_ft"), source.alias("altitude_source"), F.when(placed, F.col("on_ground")).alias("on_ground"), msl.alias("alt_m"), height.alias("height_m"),
+        shown.alias("height_shown_m"), F.col(field_ft).alias("field_ft"), F.lit("field").alias("height_reference"), F.when(F.col(field_ft).isNotNull(), "rule").otherwise("none").alias("height_reference_source"),
+        F.col("ve").alias("east_mps"), F.col("vn").alias("north_mps"), F.col("vz").alias("up_mps"), (F.col("vz") / S.FT_TO_M * 60).alias("vertical_rate_fpm"), F.when(moves, F.col("vz").isNotNull()).alias("has_vertical"),
+        "ground_speed", (F.col("ground_speed") / S.KNOT_TO_MPS).alias("ground_speed_kt"), "reported_gs", "track_deg", F.radians("track_deg").alias("track_rad"), "n_position", "n_velocity", "n_velocity_3d",
+        F.when(placed, "mean of rows").alias("position_formed"), F.when(moves, "mean vector of rows").alias("velocity_formed"), *(F.col(f"_a{c}").alias(n) for c, n in (("e", "acc_east"), ("n", "acc_north"), ("z", "acc_up"))),
+        flat.alias("acc_horizontal"), F.abs("_az").alias("acc_vertical"), size.alias("acc_size"), origin.alias("acc_source"), F.lit(False).alias("acc_observed"), "full_position", "full_velocity", "paired",
     )
 
 

@@ -833,10 +833,37 @@ def f12(spark, d):
     return quality.filter_motion_outliers(samples(spark, d)).select("track_id", "i", "t", *(rounded(c).alias(c) for c in ("x", "y", "z", "vx", "vy", "vz")))
 
 
-@query("a3_flat_keyframes", KEYFRAMES_SQL + " select track_id, keyframe_id, strftime(to_timestamp(t) at time zone 'UTC', '%Y-%m-%dT%H:%M:%SZ') as t_iso, n_position + n_velocity >= 1 as some, " + rnd("(alt - 36e0) * 0.3048e0", 4) + " as height_m, " + rnd("sqrt(ve * ve + vn * vn)", 4) + " as ground_speed, paired from kf")
+_FLAT = {
+    "lat": 9, "lon": 9, "x_m": 3, "y_m": 3, "distance_km": 6, "alt_ft": 4, "alt_m": 4, "height_m": 4, "height_shown_m": 4, "east_mps": 6, "north_mps": 6, "up_mps": 6, "vertical_rate_fpm": 4, "ground_speed": 6, "ground_speed_kt": 6,
+    "reported_gs": 6, "track_deg": 5, "track_rad": 6, "acc_east": 6, "acc_north": 6, "acc_up": 6, "acc_horizontal": 6, "acc_vertical": 6, "acc_size": 6,
+}
+_PLAIN = (
+    "track_id", "keyframe_id", "t_iso", "event_kind", "mixed_kind", "source_kinds", "event_kinds", "row_ids", "n_rows", "first_raw_id", "last_raw_id", "altitude_source", "on_ground", "field_ft", "height_reference", "height_reference_source",
+    "has_vertical", "n_position", "n_velocity", "n_velocity_3d", "position_formed", "velocity_formed", "acc_source", "acc_observed", "full_position", "full_velocity", "paired",
+)
+
+
+@query("a3_flat_keyframes", KEYFRAMES_SQL + f""", rg as (select track_id, bucket as t, list(kind order by ts_utc, raw_id) as ks, list(raw_id order by raw_id) as ids, avg(gs) filter (ve is not null) as reported_gs, count(*) filter (ve is not null and vz is not null) as n_velocity_3d,
+  avg(2e0 * 6371.0088e0 * asin(sqrt(pow(sin(radians(lat - 56.923611e0) / 2), 2) + cos(radians(56.923611e0)) * cos(radians(lat)) * pow(sin(radians(lon - 23.971111e0) / 2), 2)))) filter (lat is not null and lon is not null) as distance_km from e group by 1, 2
+), kj as (select kf.*, rg.* exclude (track_id, t) from kf join rg using (track_id, t)
+), kg as (select *, 6378137e0 / sqrt(1 - 0.0066943799901413165e0 * pow(sin(radians(lat)), 2)) as cu, 6378137e0 / sqrt(1 - 0.0066943799901413165e0 * pow(sin(radians(56.923611e0)), 2)) as cr, radians(56.923611e0) as la, radians(23.971111e0) as lo,
+  lag(case when ve is not null then struct_pack(t := t, ve := ve, vn := vn, vz := vz) end ignore nulls) over (partition by track_id order by t) as p from kj
+), kx as (select *, cu * cos(radians(lat)) * cos(radians(lon)) - cr * cos(la) * cos(lo) as gx, cu * cos(radians(lat)) * sin(radians(lon)) - cr * cos(la) * sin(lo) as gy, (1 - 0.0066943799901413165e0) * (cu * sin(radians(lat)) - cr * sin(la)) as gz,
+  ve is not null and t - p.t > 0 and t - p.t <= 10 as near from kg
+), ka as (select *, case when near then (ve - p.ve) / (t - p.t) end as ae, case when near then (vn - p.vn) / (t - p.t) end as an, case when near then (vz - p.vz) / (t - p.t) end as az, degrees(atan2(ve, vn)) as dg from kx
+), fl as (select * exclude (kinds), strftime(to_timestamp(t) at time zone 'UTC', '%Y-%m-%dT%H:%M:%SZ') as t_iso, case when list_contains(ks, 'position_velocity') or list_contains(ks, 'position') and list_contains(ks, 'velocity') then 'position_velocity' else ks[1] end as mixed_kind,
+  list_reduce(ks, lambda a, b: case when contains(',' || a || ',', ',' || b || ',') then a else a || ',' || b end) as source_kinds, cast(to_json(ks) as varchar) as event_kinds, cast(to_json(ids) as varchar) as row_ids, cast(len(ids) as int) as n_rows, ids[1] as first_raw_id, ids[-1] as last_raw_id,
+  -sin(lo) * gx + cos(lo) * gy as x_m, -sin(la) * cos(lo) * gx - sin(la) * sin(lo) * gy + cos(la) * gz as y_m, alt as alt_ft, alt * 0.3048e0 as alt_m, (alt - 36e0) * 0.3048e0 as height_m, case when alt is not null then greatest((alt - 36e0) * 0.3048e0, 0e0) end as height_shown_m,
+  case when n_position > 0 then case when alt is not null then 'reported' else 'missing' end end as altitude_source, case when n_position > 0 then false end as on_ground, 36e0 as field_ft, 'field' as height_reference, 'rule' as height_reference_source,
+  ve as east_mps, vn as north_mps, vz as up_mps, vz / 0.3048e0 * 60 as vertical_rate_fpm, case when ve is not null then vz is not null end as has_vertical, sqrt(ve * ve + vn * vn) as ground_speed, sqrt(ve * ve + vn * vn) / 0.514444e0 as ground_speed_kt,
+  dg - 360 * floor(dg / 360) as track_deg, radians(dg - 360 * floor(dg / 360)) as track_rad, case when n_position > 0 then 'mean of rows' end as position_formed, case when ve is not null then 'mean vector of rows' end as velocity_formed,
+  ae as acc_east, an as acc_north, az as acc_up, sqrt(ae * ae + an * an) as acc_horizontal, abs(az) as acc_vertical, sqrt(ae * ae + an * an + coalesce(az * az, 0)) as acc_size,
+  case when ve is null then null when p is null then 'first' when t - p.t > 10 then 'too long' else 'change of velocity' end as acc_source, false as acc_observed from ka)
+select {", ".join(_PLAIN)}, {", ".join(f"{rnd(c, k)} as {c}" for c, k in _FLAT.items())} from fl""")
 def a3(spark, d):
+    """Every column of the flat keyframes but the time itself (t_iso has it) and the altitude before an override, as the rules have no window on the ground."""
     k = prepare.flatten_keyframes(keyframes(spark, d))
-    return k.select("track_id", "keyframe_id", "t_iso", (F.col("n_position") + F.col("n_velocity") >= 1).alias("some"), rounded("height_m", 4).alias("height_m"), rounded("ground_speed", 4).alias("ground_speed"), "paired")
+    return k.select(*_PLAIN, *(rounded(c, n).alias(c) for c, n in _FLAT.items()))
 
 
 @query("a4_stage_report", MESSAGES_SQL + """, g as (select * from m where crc_ok = 1) select * from (
