@@ -20,3 +20,10 @@ def many_users(tmp_path_factory):
 @pytest.mark.parametrize("name", ["a1_keyframes", "a5_best_callsign", "a4_normalize_report"])
 def test_track_names_of_more_than_ten_thousand_users_equal_sql(spark, many_users, name):
     assert_same(registry.QUERIES[name](spark, many_users), registry.ORACLE_SQL[name], many_users)
+
+
+def test_headings_of_velocities_that_cancel_equal_sql(spark, tmp_path):
+    """Two opposite flights that share a track, each message with its counterpart at the same time."""
+    one = f"select * from '{SF}/events.parquet' where epoch(ts)::bigint // 3600 % 3 = 0 qualify row_number() over (partition by epoch(ts)::bigint // 3600 order by ts) = 1"
+    duckdb.connect().execute(f"copy (select event_id + c::bigint * 1000000 as event_id, ts, c as user_id, 'error' as event_type, value, props from ({one}), (values (1000), (10060)) k(c)) to '{tmp_path}/events.parquet' (format parquet)")
+    assert_same(registry.QUERIES["a3_flat_keyframes"](spark, str(tmp_path)), registry.ORACLE_SQL["a3_flat_keyframes"], str(tmp_path))
