@@ -27,3 +27,32 @@ def test_headings_of_velocities_that_cancel_equal_sql(spark, tmp_path):
     one = f"select * from '{SF}/events.parquet' where epoch(ts)::bigint // 3600 % 3 = 0 qualify row_number() over (partition by epoch(ts)::bigint // 3600 order by ts) = 1"
     duckdb.connect().execute(f"copy (select event_id + c::bigint * 1000000 as event_id, ts, c as user_id, 'error' as event_type, value, props from ({one}), (values (1000), (10060)) k(c)) to '{tmp_path}/events.parquet' (format parquet)")
     assert_same(registry.QUERIES["a3_flat_keyframes"](spark, str(tmp_path)), registry.ORACLE_SQL["a3_flat_keyframes"], str(tmp_path))
+
+
+def test_checksum_of_any_size_is_the_remainder(spark):
+    from pyspark.sql import functions as F
+
+    from trackspark.operators import decode
+
+    frames = ["8D4840D6202CC371C32CE0576098", "8d4840d6202cc371c32ce0576099", "02E197B00179C3", "FFFFFFFF", "8D4840D6202CC371C32CE0576098FF01", "00112233445566778899AABB", "FFFFFF", None]
+
+    def remainder(x: str | None) -> int | None:
+        if x is None or len(x) <= 6:
+            return None
+        rest = int(x, 16)
+        for k in range(rest.bit_length() - 1, 23, -1):
+            rest ^= decode.GENERATOR << k - 24 if rest >> k & 1 else 0
+        return rest
+
+    got = spark.createDataFrame([(x,) for x in frames], "h string").repartition(1).select("h", decode.crc_remainder(F.col("h")).alias("r")).collect()
+    assert {r.h: r.r for r in got} == {x: remainder(x) for x in frames}
+
+
+def test_the_checksum_of_a_frame_takes_no_step_by_step_fold(spark):
+    """At most one fold, for odd sizes, over bytes; it was one over the bits of each byte, made again for each field."""
+    from pyspark.sql import functions as F
+
+    from trackspark.operators import decode
+
+    made = spark.range(1).select(F.lpad(F.hex("id"), 28, "0").alias("h")).select(decode.crc_remainder(F.col("h")).alias("r"))
+    assert made._jdf.queryExecution().analyzed().toString().count("aggregate(") <= 1

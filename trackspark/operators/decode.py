@@ -16,21 +16,39 @@ def frame_header(frames: DataFrame) -> DataFrame:
     return frames.withColumns({"df": F.when(sized, df), "icao": F.when(sized, F.upper(F.substring("payload_hex", 3, 6)))})
 
 
-def crc_remainder(payload_hex: Column) -> Column:
-    """Remainder of the whole frame by the generator; 0 where the frame is intact. Byte by byte, bit by bit, without Python."""
-    size = F.length(payload_hex) / 2
-    starts = F.sequence(F.lit(0), size.cast("int") - 1)
-
-    def byte(acc: Column, i: Column) -> Column:
-        value = F.conv(payload_hex.substr(2 * i + 1, F.lit(2)), 16, 10).cast("long")
+def _powers() -> list[list[int]]:
+    """The remainder of each byte value by the generator, by the number of bytes behind it, up to 13."""
+    out = [list(range(256))]
+    for _ in range(13):
+        row = []
+        for rest in out[-1]:
+            for _ in range(8):
+                rest = rest << 1 ^ (GENERATOR if rest >> 23 & 1 else 0)
+            row.append(rest)
+        out.append(row)
+    return out
 
-        def bit(a: Column, k: Column) -> Column:
-            shifted = a * 2 + F.expr("0") + F.call_function("mod", F.floor(value / F.pow(F.lit(2), k)).cast("long"), F.lit(2))
-            return F.when(shifted >= F.lit(1 << 24), shifted.bitwiseXOR(F.lit(GENERATOR))).otherwise(shifted)
 
-        return F.aggregate(F.array(*(F.lit(k) for k in range(7, -1, -1))), acc, bit)
-
-    return F.when(size > 3, F.aggregate(starts, F.lit(0).cast("long"), byte))
+def crc_remainder(payload_hex: Column) -> Column:
+    """Remainder of the whole frame by the generator; 0 where the frame is intact. Remainders add up bit by bit, so that of a frame of 7 or
+    14 bytes is its bytes' own, looked up by value and place; other sizes go byte by byte. Without Python."""
+    size = F.length(payload_hex) / 2
+    powers = _powers()
+    byte = lambda i: F.conv(payload_hex.substr(2 * i + 1, F.lit(2)), 16, 10).cast("int")
+
+    def sized(n: int) -> Column:
+        out = F.lit(0).cast("long")
+        for i in range(n):
+            out = out.bitwiseXOR(F.get(F.lit(powers[n - 1 - i]), byte(F.lit(i))).cast("long"))
+        return out
+
+    def step(acc: Column, i: Column) -> Column:
+        """The byte joins at the end; the one that leaves at the front comes back as its remainder, three bytes on."""
+        behind = F.shiftleft(acc.bitwiseAND(F.lit(0xFFFF)), 8).bitwiseOR(byte(i).cast("long"))
+        return behind.bitwiseXOR(F.get(F.lit(powers[3]), F.shiftright(acc, 16).cast("int")).cast("long"))
+
+    other = F.aggregate(F.sequence(F.lit(0), size.cast("int") - 1), F.lit(0).cast("long"), step)
+    return F.when(size == 14, sized(14)).when(size == 7, sized(7)).when(size > 3, other)
 
 
 def pair_even_odd(frames: DataFrame) -> DataFrame:

@@ -940,7 +940,7 @@ def d2(spark, d):
 @query("d3_pairs_of_frames", _SENT + """ select id, max(case when odd = 0 then id end) over w as even_id, max(case when odd = 1 then id end) over w as odd_id from fr where odd is not null
 window w as (partition by icao order by id rows unbounded preceding)""")
 def d3(spark, d):
-    f = decode.decode_frames(frames(spark, d)).where("odd is not null")
+    f = decode.decode_frames(staged(frames(spark, d), "frames")).where("odd is not null")
     return decode.pair_even_odd(f).select("id", "even_id", "odd_id")
 
 
