@@ -56,3 +56,16 @@ def test_the_checksum_of_a_frame_takes_no_step_by_step_fold(spark):
 
     made = spark.range(1).select(F.lpad(F.hex("id"), 28, "0").alias("h")).select(decode.crc_remainder(F.col("h")).alias("r"))
     assert made._jdf.queryExecution().analyzed().toString().count("aggregate(") <= 1
+
+
+def test_batches_are_cut_by_id_and_no_rows_are_ordered(spark):
+    from trackspark.operators import decode
+
+    frames = spark.range(0, 5000).selectExpr("id * id + id % 7 as id", "'8D4840D6202CC371C32CE0576098' as payload_hex")
+    known = frames.where("id < 0").select("id")
+    new = decode.decode_incremental(frames, known, 1234)
+    plan = new._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" not in plan and "Limit" not in plan
+    ids = sorted(r.id for r in frames.collect())
+    assert sorted(r.id for r in new.select("id").collect()) == ids[:1234]
+    assert decode.decode_incremental(frames, known, 9999).count() == 5000

@@ -192,11 +192,30 @@ def decode_all(frames: DataFrame, decoded: DataFrame, batch: int, stage) -> Data
         known, nth = known.unionByName(new.select("id")), nth + 1
 
 
+def nth_id(df: DataFrame, n: int, parts: int = 1024) -> int | None:
+    """The n-th least id, None where there are fewer rows: counts of equal parts of the ids' range, then of that part alone, until a part is
+    one id. No rows are ordered, and at most `parts` counts come to the driver at a time."""
+    low, high = df.agg(F.min("id"), F.max("id")).first()
+    while low is not None and low < high:
+        width = -(-(high - low + 1) // parts)
+        counts = df.where(F.col("id").between(low, high)).groupBy(F.expr(f"(id - ({low})) div {width}").alias("part")).count().collect()
+        for part, size in sorted(counts):
+            if size >= n:
+                break
+            n -= size
+        else:
+            return None
+        low, high = low + part * width, min(high, low + (part + 1) * width - 1)
+    return low
+
+
 def decode_incremental(frames: DataFrame, decoded: DataFrame, batch: int | None = None) -> DataFrame:
-    """Decoded fields of the frames (id) above the largest id in decoded that are not in it; batch: the oldest so many, one step of a loop."""
+    """Decoded fields of the frames (id) above the largest id in decoded that are not in it; batch: the oldest so many (and those that
+    share the last id), one step of a loop."""
     last = decoded.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("_last"))
     new = frames.join(F.broadcast(last), F.col("id") > F.col("_last")).drop("_last").join(decoded.select("id"), "id", "left_anti")
-    return decode_frames(new.orderBy("id").limit(batch) if batch else new)
+    end = nth_id(new.select("id"), batch) if batch else None
+    return decode_frames(new if end is None else new.where(F.col("id") <= end))
 
 
 def decoded_json(decoded: DataFrame) -> DataFrame:
