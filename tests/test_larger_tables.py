@@ -69,3 +69,27 @@ def test_batches_are_cut_by_id_and_no_rows_are_ordered(spark):
     ids = sorted(r.id for r in frames.collect())
     assert sorted(r.id for r in new.select("id").collect()) == ids[:1234]
     assert decode.decode_incremental(frames, known, 9999).count() == 5000
+
+
+def test_first_summaries_of_many_keys_need_memory_by_rows():
+    """A key's rows lie far apart; small arrays for every key and batch took several hundred bytes a row."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from trackspark.operators import sketch
+
+    n, rng = 10_000, np.random.default_rng(3)
+    names = np.array([f'{{"l_suppkey":{k}}}' for k in range(20_000)])
+
+    def batches():
+        for _ in range(40):
+            yield pa.RecordBatch.from_arrays([pa.array(names[rng.integers(0, 20_000, n)]), pa.array(rng.random(n)), pa.array(np.ones(n))], ["key", "v", "w"])
+
+    tracemalloc.start()
+    weight = sum(float(np.sum(b.column("w").flatten().to_numpy())) for b in sketch._first(batches(), 200))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert weight == 40 * n
+    assert peak < 40e6

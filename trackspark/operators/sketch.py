@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from trackspark.operators import timeseries as T
 
-#: Entries of a summary; a buffer holds up to BUFFERED times as many before it is cut down. Entries that a task holds over all keys.
-ENTRIES, BUFFERED, HELD = 1000, 4, 2_000_000
+#: Entries of a summary; a buffer of summaries holds up to BUFFERED times as many before it is cut down. Rows that a task holds over all keys.
+ENTRIES, BUFFERED, HELD = 1000, 4, 1_000_000
 #: Parts that a key's summaries are merged in before the last merge, so that a hot key meets in no single task.
 PARTS = 32
 
@@ -68,18 +68,28 @@ class _Held:
 
 
 def _first(batches: Iterable[pa.RecordBatch], entries: int) -> Iterator[pa.RecordBatch]:
-    held = _Held(entries)
+    """Rows as they come -> a summary of each key for every HELD rows: the rows wait as columns, so that memory does not grow with the keys."""
+    kept, n = [], 0
     for b in batches:
-        keys = b.column("key").dictionary_encode()
-        codes, values, weights = keys.indices.to_numpy(), b.column("v").to_numpy(zero_copy_only=False), b.column("w").to_numpy(zero_copy_only=False)
-        order = np.argsort(codes, kind="stable")
-        cuts = np.flatnonzero(np.r_[True, np.diff(codes[order]) != 0])
-        names = keys.dictionary.to_pylist()
-        for own in np.split(order, cuts[1:]) if len(order) else ():
-            held.add(names[codes[own[0]]], values[own], weights[own])
-        if held.size > HELD:
-            yield from held.rows()
-    yield from held.rows()
+        kept.append(b)
+        n += b.num_rows
+        if n >= HELD:
+            yield from _reduced(pa.Table.from_batches(kept), entries)
+            kept, n = [], 0
+    if n:
+        yield from _reduced(pa.Table.from_batches(kept), entries)
+
+
+def _reduced(rows: pa.Table, entries: int) -> Iterator[pa.RecordBatch]:
+    keys = rows["key"].combine_chunks().dictionary_encode()
+    codes, values, weights = keys.indices.to_numpy(), rows["v"].to_numpy(), rows["w"].to_numpy()
+    order = np.argsort(codes, kind="stable")
+    cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(codes[order]) != 0]), len(order)]
+    for a in range(0, len(cuts) - 1, 256):
+        own = [order[x:y] for x, y in zip(cuts[a : a + 256], cuts[a + 1 : a + 257], strict=False)]
+        made = [summary(values[o], weights[o], entries) for o in own]
+        names = keys.dictionary.take(pa.array([codes[o[0]] for o in own]))
+        yield pa.RecordBatch.from_arrays([names, *(pa.array([m[k] for m in made], pa.list_(pa.float64())) for k in (0, 1))], ["key", "v", "w"])
 
 
 def _merged(batches: Iterable[pa.RecordBatch], entries: int) -> Iterator[pa.RecordBatch]:
