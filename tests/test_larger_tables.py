@@ -93,3 +93,26 @@ def test_first_summaries_of_many_keys_need_memory_by_rows():
     tracemalloc.stop()
     assert weight == 40 * n
     assert peak < 40e6
+
+
+def test_a_banded_factor_needs_few_calls_and_is_the_same():
+    """Calls of numpy for every step made it several times slower; the factor is that of the dense matrix."""
+    import cProfile
+
+    import numpy as np
+
+    from trackspark.operators import banded
+
+    k, m = 6, 60
+    bands = np.random.default_rng(1).random((k, m))
+    bands[0] += 8
+    for q in range(1, k):
+        bands[q, m - q :] = 0
+    profile = cProfile.Profile()
+    low = profile.runcall(banded.factor, bands)
+    full = sum(np.diag(bands[q, : m - q], -q) + (np.diag(bands[q, : m - q], q) if q else 0) for q in range(k))
+    assert np.allclose(sum(np.diag(low[q, : m - q], -q) for q in range(k)), np.linalg.cholesky(full), rtol=1e-12, atol=1e-14)
+    with pytest.raises(np.linalg.LinAlgError):
+        banded.factor(-bands)
+    # steps in Python: no numpy function is called for a column
+    assert sum(e.callcount for e in profile.getstats()) < 4 * m
