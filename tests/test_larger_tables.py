@@ -116,3 +116,26 @@ def test_a_banded_factor_needs_few_calls_and_is_the_same():
         banded.factor(-bands)
     # steps in Python: no numpy function is called for a column
     assert sum(e.callcount for e in profile.getstats()) < 4 * m
+
+def _tracks(spark, n: int):
+    """Tracks of twelve rows in one component and segment."""
+    rows = [(f"T{k:03d}", 0, 0, i, float(i), 80.0 * i + k, 3.0 * i, 5.0 * (i % 3), 80.0, 3.0, 0.0) for k in range(n) for i in range(12)]
+    return spark.createDataFrame(rows, "track_id string, component int, segment long, i long, t double, x double, y double, z double, vx double, vy double, vz double")
+
+
+@pytest.mark.parametrize("name", ["fits", "states", "residuals", "evidence", "filter", "splines", "shapes", "scan", "labels"])
+def test_groups_that_python_works_on_are_dealt_over_the_cores(spark, name):
+    """Their bytes are few, so adaptive execution put all of them into one task."""
+    from pyspark.sql import functions as F
+
+    from trackspark.operators import evaluation, fits, regimes, scan, segment_scores, smoothing, splines
+    from trackspark.staging import staged
+
+    s = _tracks(spark, 40)
+    fitted = lambda: staged(fits.fit_segments(s), "fits")
+    made = {
+        "fits": lambda: fits.fit_segments(s), "states": lambda: fits.boundary_states(s, s.where("i = 5")), "residuals": lambda: fits.fit_residuals(s, fitted()), "evidence": lambda: segment_scores.evidence(s, fitted()),
+        "filter": lambda: smoothing.smooth_ca(s), "splines": lambda: splines.fit_bsplines(s, ("balanced",)), "shapes": lambda: evaluation.hausdorff(s.withColumn("which", (F.col("i") % 2).cast("int"))),
+        "scan": lambda: scan.smooth_ca_scan(s, ("balanced",), 4, stage=staged), "labels": lambda: regimes.regime_labels(regimes.raw_labels(regimes.motion_features(s))),
+    }[name]()
+    assert made.select("track_id", F.spark_partition_id().alias("p")).distinct().select("p").distinct().count() > 4

@@ -482,7 +482,7 @@ def _fit_groups(data: DataFrame, chosen: dict, states: DataFrame | None, least:
                 out.append(row | {"error": str(e)})
         return pd.DataFrame(out)
 
-    return data.groupBy(*SEGMENT).applyInPandas(run, FIT_SCHEMA)
+    return T.spread(data, *SEGMENT).groupBy(*SEGMENT).applyInPandas(run, FIT_SCHEMA)
 
 
 def _frames(batches: Iterable[pd.DataFrame], step: float) -> Iterator[pd.DataFrame]:
@@ -504,7 +504,7 @@ def render_fits(fits: DataFrame, step: float = 0.25) -> DataFrame:
     w = Window.partitionBy(*COMPONENT, "method").orderBy("segment")
     good = fits.where("error is null").withColumn("last", F.lead("segment").over(w).isNull()).select(*SEGMENT, "method", "family", "t0", "t1", "degree", "knots", "cx", "cy", "cz", "last")
     schema = "track_id string, method string, component int, segment long, t double, " + ", ".join(f"{p}{c} double" for p in ("", "v", "a") for c in "xyz")
-    return good.mapInPandas(lambda b: _frames(b, step), schema)
+    return T.spread(good, *SEGMENT, "method").mapInPandas(lambda b: _frames(b, step), schema)
 
 
 def fit_residuals(rows: DataFrame, fits: DataFrame) -> DataFrame:
@@ -521,7 +521,7 @@ def fit_residuals(rows: DataFrame, fits: DataFrame) -> DataFrame:
                 out = {"i": [x["i"] for x in r["rows"]], "t": t} | {f"e{c}": got[:, 0, k] - np.array([x[c] for x in r["rows"]]) for k, c in enumerate("xyz")} | {f"v{c}": got[:, 1, k] for k, c in enumerate("xyz")}
                 yield pd.DataFrame({k: r[k] for k in (*SEGMENT, "method")} | out)
 
-    return asked.mapInPandas(run, "track_id string, component int, segment long, method string, i long, t double, ex double, ey double, ez double, vx double, vy double, vz double")
+    return T.spread(asked, *SEGMENT, "method").mapInPandas(run, "track_id string, component int, segment long, method string, i long, t double, ex double, ey double, ez double, vx double, vy double, vz double")
 
 
 def boundary_states(rows: DataFrame, boundaries: DataFrame, points: int = 11, least: int = 3, raw: float = 0.35, accel: float = 30.0) -> DataFrame:
@@ -567,7 +567,7 @@ def boundary_states(rows: DataFrame, boundaries: DataFrame, points: int = 11, le
         head = {"track_id": g.track_id.iloc[0], "component": int(g.component.iloc[0]), "i": int(i), "t": float(at.s_t), "confidence": float(confidence)}
         return pd.DataFrame([head | {f"{k}{c}": float(x) for k, vec in (("", p), ("v", v), ("a", a)) for c, x in zip("xyz", vec, strict=True)}])
 
-    return near.groupBy(*COMPONENT, "i").applyInPandas(run, "track_id string, component int, i long, t double, confidence double, " + ", ".join(f"{k}{c} double" for k in ("", "v", "a") for c in "xyz"))
+    return T.spread(near, *COMPONENT, "i").groupBy(*COMPONENT, "i").applyInPandas(run, "track_id string, component int, i long, t double, confidence double, " + ", ".join(f"{k}{c} double" for k in ("", "v", "a") for c in "xyz"))
 
 
 def overlapping(rows: DataFrame, segments: DataFrame, guard: float, hard: DataFrame | None = None) -> DataFrame:
@@ -921,7 +921,7 @@ def verify_continuity(fits: DataFrame, tolerance: float = 1e-6) -> DataFrame:
 
     schema = "track_id string, component int, segment long, method string, " + ", ".join(f"{s}_{n} array<double>" for s in ("first", "last") for n in "pvaj")
     w = Window.partitionBy(*COMPONENT, "method").orderBy("segment")
-    e = ends.mapInPandas(run, schema)
+    e = T.spread(ends, *SEGMENT, "method").mapInPandas(run, schema)
     jump = lambda n: F.sqrt(F.aggregate(F.zip_with(F.lead(f"first_{n}").over(w), F.col(f"last_{n}"), lambda a, b: (a - b) ** 2), F.lit(0.0), lambda a, b: a + b))
     out = e.withColumns({f"jump_{n}": jump(n) for n in "pvaj"}).where("jump_p is not null").select(*SEGMENT, "method", *(f"jump_{n}" for n in "pvaj"))
     return out.withColumns({f"smooth_{n}": F.col(f"jump_{n}") <= tolerance for n in "pva"})

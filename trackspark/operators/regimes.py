@@ -225,7 +225,7 @@ def regime_labels(labelled: DataFrame, limits: Limits = Limits()) -> DataFrame:
         regime = stabilized(whole, t, own, ("climb", "descent", "turn_", "rough_air", "accel", "decel"), short(6.0))
         return pd.DataFrame({"track_id": g.track_id, "component": g.component, "i": g.i, "energy": energy, "turn": turn, "rough": rough, "regime": regime})
 
-    return labelled.select(*COMPONENT, "i", "t", "energy", "turn", "rough", "turned").groupBy(*COMPONENT).applyInPandas(run, schema)
+    return T.spread(labelled.select(*COMPONENT, "i", "t", "energy", "turn", "rough", "turned"), *COMPONENT).groupBy(*COMPONENT).applyInPandas(run, schema)
 
 
 def transition_weight(kind: str, left: Column, right: Column) -> Column:
@@ -429,7 +429,7 @@ def change_point_candidates(features: DataFrame, columns: tuple[str, ...] = ("ve
         at = change_points(g[[f"z_{c}" for c in columns]].to_numpy(float), factor * np.log(max(len(g), 2)) * len(columns), least) if len(g) >= 2 * least else []
         return g.iloc[at].assign(score=40.0)[[*COMPONENT, "i", "t", "score"]]
 
-    out = features.select(*COMPONENT, "i", "t", *(f"z_{c}" for c in columns)).groupBy(*COMPONENT).applyInPandas(run, "track_id string, component int, i long, t double, score double")
+    out = T.spread(features.select(*COMPONENT, "i", "t", *(f"z_{c}" for c in columns)), *COMPONENT).groupBy(*COMPONENT).applyInPandas(run, "track_id string, component int, i long, t double, score double")
     return out.withColumn("reasons", F.array(F.lit("pelt")))
 
 
@@ -473,7 +473,7 @@ def select_boundaries(candidates: DataFrame, rows: DataFrame, limits: Limits = L
                 k -= 1
         return g.iloc[sorted(kept)][[*COMPONENT, "i", "t", "score", "reasons"]]
 
-    return c.groupBy(*COMPONENT).applyInPandas(choose, "track_id string, component int, i long, t double, score double, reasons array<string>")
+    return T.spread(c, *COMPONENT).groupBy(*COMPONENT).applyInPandas(choose, "track_id string, component int, i long, t double, score double, reasons array<string>")
 
 
 def build_segments(rows: DataFrame, boundaries: DataFrame) -> DataFrame:

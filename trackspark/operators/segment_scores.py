@@ -67,7 +67,7 @@ def evidence(rows: DataFrame, fitted: DataFrame) -> DataFrame:
                 yield pd.DataFrame({k: r[k] for k in KEYS} | out)
 
     names = ("t", "confidence", "dt", "weight", *(f"{p}{c}" for c in "xyz" for p in "ewfm"))
-    out = listed.join(f, SEGMENT).mapInPandas(run, "track_id string, component int, segment long, method string, " + ", ".join(f"{n} double" for n in names))
+    out = T.spread(listed.join(f, SEGMENT), *KEYS).mapInPandas(run, "track_id string, component int, segment long, method string, " + ", ".join(f"{n} double" for n in names))
     return out.select(*KEYS, *(F.nanvl(n, F.lit(None).cast("double")).alias(n) for n in names))
 
 
@@ -87,7 +87,7 @@ def grid_states(fitted: DataFrame, step: float = 1.0) -> DataFrame:
                 out = {f"{p}{c}": at[:, d, k] for d, p in enumerate(("", "v", "a")) for k, c in enumerate("xyz")} | {f"j{c}": jerk[:, k] for k, c in enumerate("xyz")}
                 yield pd.DataFrame({k: r[k] for k in KEYS} | {"t": r["t0"] + tau} | out)
 
-    return f.mapInPandas(run, "track_id string, component int, segment long, method string, t double, " + ", ".join(f"{p}{c} double" for p in ("", "v", "a", "j") for c in "xyz"))
+    return T.spread(f, *KEYS).mapInPandas(run, "track_id string, component int, segment long, method string, t double, " + ", ".join(f"{p}{c} double" for p in ("", "v", "a", "j") for c in "xyz"))
 
 
 def evidence_metrics(e: DataFrame) -> DataFrame:

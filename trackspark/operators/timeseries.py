@@ -14,6 +14,16 @@ def over(keys: list[str], order: list[str]):
     return Window.partitionBy(*keys).orderBy(*order)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by their keys over at least three tasks a core, before Python works on groups of them.
+
+    Adaptive execution merges shuffle partitions by their bytes. Fits and filters cost far more a byte than native steps, so that whole jobs
+    ended up in a task or two and their time did not fall with more cores; a number that is asked for is not merged.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], time: str, value: str, max_age: float | None = None, tie: str | None = None) -> DataFrame:
     """Left with the latest right value at or before its time, if not older than max_age; of equal times the least tie, or value.
 
