@@ -63,7 +63,7 @@ def hausdorff(pairs: DataFrame, n: int = 2000) -> DataFrame:
             there, back = float(np.sqrt(nearest.max())), float(np.sqrt(back_.max()))
         return pd.DataFrame([{"track_id": g.track_id.iloc[0], "hausdorff": there, "reverse": back, "symmetric": there if there is None else max(there, back)}])
 
-    return pairs.groupBy("track_id").applyInPandas(run, "track_id string, hausdorff double, reverse double, symmetric double")
+    return T.spread(pairs, "track_id").groupBy("track_id").applyInPandas(run, "track_id string, hausdorff double, reverse double, symmetric double")
 
 
 def dtw_mean(pairs: DataFrame, n: int = 700) -> DataFrame:
@@ -82,7 +82,7 @@ def dtw_mean(pairs: DataFrame, n: int = 700) -> DataFrame:
             total[i, j] = cost[i - 1, j - 1] + np.minimum(np.minimum(total[i - 1, j], total[i, j - 1]), total[i - 1, j - 1])
         return pd.DataFrame([{"track_id": g.track_id.iloc[0], "dtw": total[-1, -1] / (len(a) + len(b))}])
 
-    return pairs.groupBy("track_id").applyInPandas(run, "track_id string, dtw double")
+    return T.spread(pairs, "track_id").groupBy("track_id").applyInPandas(run, "track_id string, dtw double")
 
 
 def score_methods(metrics: DataFrame) -> DataFrame:

@@ -97,7 +97,7 @@ def frechet(pairs: DataFrame, n: int = 700) -> DataFrame:
             total[i, j] = np.maximum(cost[i - 1, j - 1], np.minimum(np.minimum(total[i - 1, j], total[i, j - 1]), total[i - 1, j - 1]))
         return pd.DataFrame([{"track_id": g.track_id.iloc[0], "frechet": total[-1, -1]}])
 
-    return pairs.groupBy("track_id").applyInPandas(run, "track_id string, frechet double")
+    return T.spread(pairs, "track_id").groupBy("track_id").applyInPandas(run, "track_id string, frechet double")
 
 
 def high_frequency_share(series: DataFrame, value: str, hertz: float = 0.4, least: int = 8) -> DataFrame:

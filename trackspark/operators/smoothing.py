@@ -143,7 +143,7 @@ def smooth_ca(samples: DataFrame, presets: tuple[str, ...] = ("balanced",)) -> D
         out = {c: s[:, j % 3, j // 3] for j, c in enumerate(_STATES)} | {c: told[c] for c in more}
         return pd.DataFrame(head | {"t": g.t.to_numpy()} | out | {"error": None})
 
-    return samples.crossJoin(F.broadcast(table)).groupBy("track_id", "method").applyInPandas(run, schema)
+    return T.spread(samples.crossJoin(F.broadcast(table)), "track_id", "method").groupBy("track_id", "method").applyInPandas(run, schema)
 
 
 def position_fidelity(samples: DataFrame, render: DataFrame) -> DataFrame:
