@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackspark.operators import smoothing
+from trackspark.operators import timeseries as T
 from trackspark.operators.smoothing import _EYE, _H, _RIDGE, _STATES, PRESETS, _axis, _noise, first_state, forward, measurement, transition
 
 _SHAPES = {"a": (3, 3, 3), "b": (3, 3), "c": (3, 3, 3), "eta": (3, 3), "j": (3, 3, 3)}
@@ -62,6 +63,7 @@ def _arrays(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 _KEYS = ["track_id", "method", "chunk"]
+spread = lambda df: T.spread(df, *_KEYS)
 _KEY_SCHEMA = "track_id string, method string, chunk long"
 _ELEMENT_SCHEMA = _KEY_SCHEMA + ", scales array<double>, " + ", ".join(f"{k} array<double>" for k in _SHAPES)
 _ENTRY_SCHEMA = _KEY_SCHEMA + ", mean array<double>, cov array<double>"
@@ -137,11 +139,11 @@ def smooth_ca_scan(samples: DataFrame, presets: tuple[str, ...] = ("balanced",),
         moved = float(np.max(np.abs(scales - known) / scales, initial=0.0))
         return pd.DataFrame([dict(zip(_KEYS, key, strict=True)) | {"scales": scales.tolist()} | _packed(_chunk_element(g, scales, p)) | {"moved": moved}])
 
-    elements = stage(base.groupBy(*_KEYS).applyInPandas(first_elements, _ELEMENT_SCHEMA), "elements")
+    elements = stage(spread(base).groupBy(*_KEYS).applyInPandas(first_elements, _ELEMENT_SCHEMA), "elements")
     while True:
         entered = stage(elements.join(starts, ["track_id", "method"]).groupBy("track_id", "method").applyInPandas(enter, _ENTRY_SCHEMA), "entered")
         both = entered.join(elements.select(*_KEYS, "scales"), _KEYS)
-        again = stage(base.groupBy(*_KEYS).cogroup(both.groupBy(*_KEYS)).applyInPandas(rescaled, _ELEMENT_SCHEMA + ", moved double"), "elements")
+        again = stage(spread(base).groupBy(*_KEYS).cogroup(spread(both).groupBy(*_KEYS)).applyInPandas(rescaled, _ELEMENT_SCHEMA + ", moved double"), "elements")
         if (again.agg(F.max("moved")).first()[0] or 0.0) <= tolerance:
             break
         elements = again.drop("moved")
@@ -171,7 +173,7 @@ def smooth_ca_scan(samples: DataFrame, presets: tuple[str, ...] = ("balanced",),
         return pd.DataFrame(out)
 
     entering = entered
-    mapped = base.groupBy(*_KEYS).cogroup(entering.groupBy(*_KEYS)).applyInPandas(maps, _KEY_SCHEMA + ", e array<double>, g array<double>, l array<double>")
+    mapped = spread(base).groupBy(*_KEYS).cogroup(spread(entering).groupBy(*_KEYS)).applyInPandas(maps, _KEY_SCHEMA + ", e array<double>, g array<double>, l array<double>")
     follow = stage(mapped.groupBy("track_id", "method").applyInPandas(behind, _ENTRY_SCHEMA), "behind").withColumnsRenamed({"mean": "mean_after", "cov": "cov_after"})
 
     def smoothed(key, g: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
@@ -183,5 +185,5 @@ def smooth_ca_scan(samples: DataFrame, presets: tuple[str, ...] = ("balanced",),
         return pd.DataFrame({"track_id": key[0], "method": key[1], "t": g.t.to_numpy()} | {n: x[:, k % 3, k // 3] for k, n in enumerate(_STATES)} | {"nis": s.seen[:, 0], "noise_scale": s.seen[:, 1], "trace": np.einsum("naii->n", c)})
 
     schema = "track_id string, method string, t double, " + ", ".join(f"{c} double" for c in (*_STATES, "nis", "noise_scale", "trace"))
-    return base.groupBy(*_KEYS).cogroup(entering.join(follow, _KEYS).groupBy(*_KEYS)).applyInPandas(smoothed, schema)
+    return spread(base).groupBy(*_KEYS).cogroup(spread(entering.join(follow, _KEYS)).groupBy(*_KEYS)).applyInPandas(smoothed, schema)
 
