@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackspark.operators import timeseries as T
+
 #: Fixed values of the spline presets: knot spacing (s), observations per basis, velocity weight, eta, Huber delta (m), jerk weight.
 PRESETS = {
     "accurate": (3.0, 4, 0.04, 5e4, 60.0, 0.001),
@@ -77,7 +79,7 @@ def fit_bsplines(samples: DataFrame, presets: tuple[str, ...] = ("balanced",), d
         return pd.DataFrame([head | {"knots": knots, "cx": c[:, 0], "cy": c[:, 1], "cz": c[:, 2], "rmse": rmse, "error": None}])
 
     schema = "track_id string, component int, method string, t0 double, t1 double, n long, knots array<double>, cx array<double>, cy array<double>, cz array<double>, rmse double, error string"
-    return samples.crossJoin(table).groupBy("track_id", "component", "method").applyInPandas(run, schema)
+    return T.spread(samples.crossJoin(table), "track_id", "component", "method").groupBy("track_id", "component", "method").applyInPandas(run, schema)
 
 
 def constant_velocity(t: np.ndarray, pos: np.ndarray, vel: np.ndarray, sigma: tuple[float, float] = (25.0, 40.0), accel: tuple[float, float] = (8.0, 4.0), gate: float = 4.5) -> np.ndarray:
