@@ -139,3 +139,11 @@ def test_groups_that_python_works_on_are_dealt_over_the_cores(spark, name):
         "scan": lambda: scan.smooth_ca_scan(s, ("balanced",), 4, stage=staged), "labels": lambda: regimes.regime_labels(regimes.raw_labels(regimes.motion_features(s))),
     }[name]()
     assert made.select("track_id", F.spark_partition_id().alias("p")).distinct().select("p").distinct().count() > 4
+
+
+def test_the_way_back_from_the_plane_computes_its_points_once(spark):
+    """The projection stands once in the plan; it was evaluated again in each step and for each field."""
+    from trackspark.plans import track_queries
+
+    plan = track_queries.QUERIES["p10_round_trip"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1 and plan.split("aggregate(")[1].split("lambdafunction(")[1].count("lat#") == 0

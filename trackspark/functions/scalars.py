@@ -68,17 +68,20 @@ def geodetic_to_ecef(lat: Column, lon: Column, h: Column | float = 0.0) -> tuple
 
 
 def ecef_to_geodetic(x: Column, y: Column, z: Column) -> Column:
-    """P10: struct(lat, lon, h) after eight fixed-point steps."""
-    p = F.sqrt(x * x + y * y)
-    start = F.struct(F.atan2(z, p * (1 - WGS84_E2)).alias("lat"), F.lit(0.0).alias("h"))
+    """P10: struct(lat, lon, h) after eight fixed-point steps. The steps read x, y and z, which may be long expressions, as values."""
 
     def step(acc: Column, _: Column) -> Column:
         s = F.sin(acc["lat"])
         n = WGS84_A / F.sqrt(1 - WGS84_E2 * s * s)
-        h = p / F.greatest(F.cos(acc["lat"]), F.lit(1e-15)) - n
-        return F.struct(F.atan2(z, p * (1 - WGS84_E2 * n / (n + h))).alias("lat"), h.alias("h"))
+        h = acc["p"] / F.greatest(F.cos(acc["lat"]), F.lit(1e-15)) - n
+        return F.struct(F.atan2(acc["z"], acc["p"] * (1 - WGS84_E2 * n / (n + h))).alias("lat"), h.alias("h"), acc["p"].alias("p"), acc["z"].alias("z"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(8)), start, step, lambda a: F.struct(F.degrees(a["lat"]).alias("lat"), F.degrees(F.atan2(y, x)).alias("lon"), a["h"].alias("h")))
+    def solved(v: Column) -> Column:
+        p = F.sqrt(v["x"] * v["x"] + v["y"] * v["y"])
+        start = F.struct(F.atan2(v["z"], p * (1 - WGS84_E2)).alias("lat"), F.lit(0.0).alias("h"), p.alias("p"), v["z"].alias("z"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(8)), start, step, lambda a: F.struct(F.degrees(a["lat"]).alias("lat"), F.degrees(F.atan2(v["y"], v["x"])).alias("lon"), a["h"].alias("h")))
+
+    return F.transform(F.array(F.struct(x.alias("x"), y.alias("y"), z.alias("z"))), solved)[0]
 
 
 def local_xy(lat: Column, lon: Column, lat0: float = REFERENCE_LAT, lon0: float = REFERENCE_LON) -> tuple[Column, Column]:

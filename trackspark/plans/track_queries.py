@@ -123,8 +123,7 @@ def p_geometry(spark, d):
 def p10(spark, d):
     m = messages(spark, d).where("lat is not null")
     x, y = S.local_xy(F.col("lat"), F.col("lon"))
-    back = S.xy_to_latlon(x, y)
-    return m.select("raw_id", F.round(back["lat"], 6).alias("lat"), F.round(back["lon"], 6).alias("lon"))
+    return m.select("raw_id", S.xy_to_latlon(x, y).alias("back")).select("raw_id", F.round("back.lat", 6).alias("lat"), F.round("back.lon", 6).alias("lon"))
 
 
 @query("p_flags", EVENTS_SQL + """
