@@ -7,6 +7,8 @@ import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +71,24 @@ def test_collocations_equal_brute_force(spark, monkeypatch, words, entries, top)
     assert len(want) > 10 and sorted(map(tuple, got)) == want
 
 
+def test_tasks_hold_numbers_of_entries_not_their_strings(monkeypatch):
+    packed, held = collocations._packed, []
+
+    def watched(*parts):
+        held.append(pa.total_allocated_bytes())
+        return packed(*parts)
+
+    monkeypatch.setattr(collocations, "_packed", watched)
+    rng = np.random.default_rng(3)
+    text = " ".join(f"commonword{i:06d}" for i in rng.zipf(1.3, 200_000) % 5_000)
+    docs, before = pa.RecordBatch.from_pydict({"lang": ["en"], "text": [text]}), pa.total_allocated_bytes()
+    sent = [(b, s) for part in collocations._build([docs], 8) for b, s in zip(part.column("bucket").to_pylist(), part.column("stripes").to_pylist(), strict=True)]
+    assert len(sent) == len(held) == 16 and max(held) - before < 20 * 200_000  # 30 bytes and more of a word when prefixes and next words of all entries were strings
+    first = [pa.RecordBatch.from_pydict({"bucket": [0], "stripes": [s]}) for b, s in sent if b == 0]
+    once, thrice = (sorted((r["size"], r["prefix"], r["next"] or "", r["n"]) for part in collocations._merge(first * k, least) for r in part.to_pylist()) for k, least in ((1, 4), (3, 12)))
+    assert once and thrice == [(*r[:3], 3 * r[3]) for r in once]
+
+
 def test_scores_are_exact_beyond_64_bits(spark):
     a, l, r = 3_000_000_000, 3_000_000_001, 3_000_000_007
     got = spark.createDataFrame([(a, l, r)], "a long, l long, r long").select(collocations.scored("l", "r").alias("s")).first().s

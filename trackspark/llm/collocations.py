@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -51,57 +52,91 @@ class _Words:
             if own := piece.split():
                 words += own
                 words.append(b"")
-        self.ids.append(np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)))
+        self.ids.append(np.fromiter(map(self.number.__getitem__, words), np.int32, len(words)))
         self.size += len(words)
 
-    def entries(self) -> Iterator[tuple[pa.Array, np.ndarray, pa.Array, np.ndarray, np.ndarray]]:
-        """Prefixes and their numbers, next words, counts and the hashes that choose the bucket: of prefixes of one word, then of two."""
+    def entries(self) -> Iterator[tuple[pa.Array, tuple[np.ndarray, ...], np.ndarray, np.ndarray, np.ndarray]]:
+        """The words in order; numbers of prefixes' words and of next words, counts and the hashes that choose the bucket: of prefixes of one word, then of two.
+
+        Entries are numbers only and come in order of their prefix: strings of all of them at once would take most of a task's memory.
+        """
         listed = sorted(self.number)  # numbers in order of the words, b"" first: neighbours in a block then share their beginnings
         words, hashes = pa.array(listed, pa.binary()).cast(pa.string()), common.word_hashes(listed)
-        parts = hashes % np.uint64(SEGMENTS)
-        place = np.empty(len(listed), np.int64)
-        place[np.fromiter(map(self.number.__getitem__, listed), np.int64, len(listed))] = np.arange(len(listed))
-        n, ids = np.int64(len(listed)), np.concatenate([place[np.concatenate(self.ids)], np.zeros(2, np.int64)])
-        first, second, third = ids[:-2], ids[1:-1], ids[2:]
-        inside = first > 0
-        pairs, at, counts = np.unique(first[inside] * n + second[inside], return_inverse=True, return_counts=True)
-        a, b = np.divmod(pairs, n)
-        yield words.take(pa.array(a)), a, words.take(pa.array(b)), counts, common.mixed(hashes[a]) + parts[b]
-        longer = (second > 0)[inside]
-        triples, counts = np.unique(at[longer] * n + third[inside][longer], return_counts=True)
-        p, c = np.divmod(triples, n)
-        prefix = pc.binary_join_element_wise(words.take(pa.array(a[p])), words.take(pa.array(b[p])), " ")
-        yield prefix, p, words.take(pa.array(c)), counts, common.mixed(common.mixed(hashes[a[p]]) ^ hashes[b[p]]) + parts[c]
+        parts = (hashes % np.uint64(SEGMENTS)).astype(np.uint8)
+        place = np.empty(len(listed), np.int32)
+        place[np.fromiter(map(self.number.__getitem__, listed), np.int32, len(listed))] = np.arange(len(listed), dtype=np.int32)
+        n, ids = np.int64(len(listed)), np.zeros(self.size + 2, np.int32)
+        at = 0
+        for own in self.ids:
+            ids[at : at + len(own)] = place[own]
+            at += len(own)
+        self.number.clear()
+        self.ids.clear()
+        del listed, place
+        inside = np.flatnonzero(ids[:-2]).astype(np.int32)
+        pairs, at, counts = _counted(ids[inside].astype(np.int64) * n + ids[inside + 1])
+        a, b = (x.astype(np.int32) for x in np.divmod(pairs, n))
+        del pairs
+        yield words, (a,), b, counts, common.mixed(hashes[a]) + parts[b]
+        longer = np.flatnonzero(ids[inside + 1])
+        triples = at[longer].astype(np.int64) * n + ids[inside[longer] + 2]
+        del at, ids, inside, longer
+        triples, _, counts = _counted(triples, False)
+        p, c = (x.astype(np.int32) for x in np.divmod(triples, n))
+        del triples
+        a, b = a[p], b[p]
+        yield words, (a, b), c, counts, common.mixed(common.mixed(hashes[a]) ^ hashes[b]) + parts[c]
+
+
+def _counted(keys: np.ndarray, places: bool = True) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """Different keys in order (without places they are sorted where they stand), each key's place among them (if asked for) and their counts; np.unique holds twice as much."""
+    if places:
+        order = np.argsort(keys)
+        keys = keys[order]
+    else:
+        keys.sort()
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    heads = np.flatnonzero(first)
+    at = None
+    if places:
+        at = np.empty(len(keys), np.int32)
+        at[order] = np.cumsum(first, dtype=np.int32) - 1
+    return keys[heads], at, np.diff(heads, append=len(keys)).astype(np.int32)
 
 
 def _packed(lang: str | None, prefix: pa.Array, following: pa.Array, counts: np.ndarray, heads: np.ndarray) -> bytes:
-    """A table of stripes; entries of one prefix stand together, and heads are the places of their first."""
+    """A table of stripes; heads are the places of their first entries."""
     ends = pa.array(np.append(heads, len(counts)).astype(np.int32))
-    rows = pa.RecordBatch.from_arrays(
-        [pa.array([lang] * len(heads), pa.string()), prefix.take(pa.array(heads)), pa.ListArray.from_arrays(ends, following), pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int32)))], schema=_STRIPES
-    )
+    rows = pa.RecordBatch.from_arrays([pa.array([lang] * len(heads), pa.string()), prefix, pa.ListArray.from_arrays(ends, following), pa.ListArray.from_arrays(ends, pa.array(counts))], schema=_STRIPES)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, _STRIPES, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_batch(rows)
     return sink.getvalue().to_pybytes()
 
 
-def _sent(lang: str, words: _Words, buckets: int) -> Iterator[pa.RecordBatch]:
-    for prefix, codes, following, counts, where in words.entries():
+def _sent(lang: str, held: _Words, buckets: int) -> Iterator[pa.RecordBatch]:
+    for words, prefix, following, counts, where in held.entries():
         bucket = (common.mixed(where) % np.uint64(buckets)).astype(np.int32)
+        del where
         order = np.argsort(bucket, kind="stable")  # entries come in order of their prefix
-        prefix, codes, following, counts, bucket = prefix.take(pa.array(order)), codes[order], following.take(pa.array(order)), counts[order], bucket[order]
         if not len(order):
             continue
-        heads = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (bucket[1:] != bucket[:-1])]))
+        bucket = bucket[order]
         cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         ids, blobs = [], []
-        for a, b in zip(cuts, np.append(cuts[1:], len(bucket)), strict=True):
-            own = heads[np.searchsorted(heads, a) : np.searchsorted(heads, b)] - a
-            ids.append(bucket[a])
-            blobs.append(_packed(lang, prefix.slice(a, b - a), following.slice(a, b - a), counts[a:b], own))
-        for i in range(0, len(ids), 64):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 64], pa.int32()), pa.array(blobs[i : i + 64], pa.binary())], ["bucket", "stripes"])
+        for i, j in zip(cuts, np.append(cuts[1:], len(bucket)), strict=True):
+            own = order[i:j]
+            codes = [x[own] for x in prefix]
+            heads = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in codes], axis=0)]))
+            texts = [words.take(pa.array(x[heads])) for x in codes]
+            ids.append(bucket[i])
+            blobs.append(_packed(lang, texts[0] if len(texts) == 1 else pc.binary_join_element_wise(*texts, " "), words.take(pa.array(following[own])), counts[own], heads))
+            if len(ids) == 64:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "stripes"])
+                ids, blobs = [], []
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "stripes"])
 
 
 def _build(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -116,12 +151,11 @@ def _build(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
                     held[lang].add(piece)
                     size += held[lang].size - before
                     if size >= _WORDS:
-                        for k, words in held.items():
-                            yield from _sent(k, words, buckets)
-                        held.clear()
+                        while held:
+                            yield from _sent(*held.popitem(), buckets)
                         size = 0
-    for k, words in held.items():
-        yield from _sent(k, words, buckets)
+    while held:
+        yield from _sent(*held.popitem(), buckets)
 
 
 def _pieces(text: bytes) -> Iterator[bytes]:
@@ -136,49 +170,87 @@ def _pieces(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
-def _flat(stripes: pa.RecordBatch) -> pa.Table:
-    owner = pc.list_parent_indices(stripes.column("next"))
-    lang, prefix = (stripes.column(c).take(owner) for c in ("lang", "prefix"))
-    return pa.table({"lang": lang, "prefix": prefix, "next": pc.list_flatten(stripes.column("next")), "n": pc.list_flatten(stripes.column("n")).cast(pa.int64())})
+class _Stripes(NamedTuple):
+    """Stripes of one language: prefixes, how many entries each has, and the entries' next words (a dictionary) and counts."""
+
+    prefix: pa.Array
+    sizes: np.ndarray
+    following: pa.DictionaryArray
+    n: np.ndarray
 
 
-def _merged(tables: list[pa.Table]) -> pa.Table:
-    """Elementwise sums of stripes."""
-    out = pa.concat_tables(tables).group_by(["lang", "prefix", "next"], use_threads=False).aggregate([("n", "sum")])
-    return out.rename_columns(["lang", "prefix", "next", "n"])
+def _flat(stripes: pa.RecordBatch) -> _Stripes:
+    """Words are copied, so that the block itself can go."""
+    column = stripes.column("next")
+    prefix = stripes.column("prefix").take(pa.array(np.arange(stripes.num_rows, dtype=np.int32)))
+    return _Stripes(prefix, np.diff(np.asarray(column.offsets)), pc.list_flatten(column).dictionary_encode(), np.array(pc.list_flatten(stripes.column("n"))))
 
 
-def _read_off(stripes: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
+def _merged(held: list[_Stripes]) -> _Stripes:
+    """Elementwise sums of stripes of one language, by numbers of their prefixes and next words."""
+    prefix = pa.chunked_array([s.prefix for s in held]).combine_chunks().dictionary_encode()
+    following = pa.chunked_array([s.following for s in held]).unify_dictionaries()
+    names = following.chunk(0).dictionary
+    keys = np.repeat(np.asarray(prefix.indices), np.concatenate([s.sizes for s in held])).astype(np.int64) * len(names)
+    at = 0
+    for chunk in following.chunks:
+        keys[at : at + len(chunk)] += np.asarray(chunk.indices)
+        at += len(chunk)
+    n = np.concatenate([s.n for s in held])
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    del order
+    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    n, keys = np.add.reduceat(n, heads, dtype=np.int64), keys[heads]
+    owner, following = np.divmod(keys, len(names))
+    return _Stripes(prefix.dictionary, np.bincount(owner, minlength=len(prefix.dictionary)), pa.DictionaryArray.from_arrays(pa.array(following.astype(np.int32)), names), n)
+
+
+def _read_off(lang: str, stripes: _Stripes, least: int) -> Iterator[pa.RecordBatch]:
     """Merged stripes -> (lang, size, prefix, next, n): totals of prefixes of one word (size 1), then extensions of at least `least` occurrences."""
-    two = pc.match_substring(stripes.column("prefix"), " ")
-    totals = stripes.filter(pc.invert(two)).group_by(["lang", "prefix"], use_threads=False).aggregate([("n", "sum")])
-    nothing = pa.nulls(totals.num_rows, pa.string())
-    rows = [pa.table({"lang": totals["lang"], "size": pa.array(np.ones(totals.num_rows, np.int32)), "prefix": totals["prefix"], "next": nothing, "n": totals["n_sum"]})]
-    wanted = pc.and_(pc.greater_equal(stripes.column("n"), least), pc.not_equal(stripes.column("next"), ""))
-    size = pc.add(pc.cast(two, pa.int32()), pa.scalar(2, pa.int32()))
-    rows.append(pa.table({"lang": stripes["lang"], "size": size, "prefix": stripes["prefix"], "next": stripes["next"], "n": stripes["n"]}).filter(wanted))
-    for t in rows:
-        yield from t.combine_chunks().to_batches(max_chunksize=50_000)
+    prefix, sizes, following, n = stripes
+    two = np.asarray(pc.match_substring(prefix, " "))
+    one = np.flatnonzero(~two)
+    totals = np.add.reduceat(n, np.cumsum(sizes) - sizes)[one]  # no stripe is empty
+    ends = np.asarray(pc.equal(following.dictionary, ""))[np.asarray(following.indices)]
+    wanted = np.flatnonzero((n >= least) & ~ends)
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[wanted]
+    for words, size, after, counts in ((one, np.ones(len(one)), None, totals), (owner, two[owner] + 2, wanted, n[wanted])):
+        for i in range(0, len(words), 50_000):
+            own = words[i : i + 50_000]
+            nexts = pa.nulls(len(own), pa.string()) if after is None else following.take(pa.array(after[i : i + 50_000])).dictionary_decode()
+            columns = [pa.array([lang] * len(own), pa.string()), pa.array(size[i : i + 50_000].astype(np.int32)), prefix.take(pa.array(own)), nexts, pa.array(counts[i : i + 50_000])]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "size", "prefix", "next", "n"])
 
 
 def _merge(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """(bucket, stripes) in order of bucket -> what is read off each bucket's merged stripes."""
-    now, held, size = None, [], 0
+    now, held, size = None, defaultdict(list), 0
     for batch in batches:
         for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("stripes"), strict=True):
             if bucket != now and held:
-                yield from _read_off(_merged(held), least)
-                held, size = [], 0
+                yield from _bucket(held, least)
+                size = 0
             now = bucket
             with pa.ipc.open_stream(blob.as_buffer()) as stream:
                 for stripes in stream:
-                    held.append(_flat(stripes))
-                    size += held[-1].num_rows
+                    own = held[stripes.column("lang")[0].as_py()]
+                    own.append(_flat(stripes))
+                    size += len(own[-1].n)
             if size >= _ENTRIES:
-                held = [_merged(held)]
-                size = held[0].num_rows // 2  # what is merged already counts half, so that a large bucket is not merged anew for each blob
-    if held:
-        yield from _read_off(_merged(held), least)
+                for lang, own in held.items():
+                    held[lang] = [_merged(own)]
+                size = sum(len(own[0].n) for own in held.values()) // 2  # what is merged already counts half, so that a large bucket is not merged anew for each blob
+    yield from _bucket(held, least)
+
+
+def _bucket(held: dict[str, list[_Stripes]], least: int) -> Iterator[pa.RecordBatch]:
+    """What is read off the stripes held, language by language; they go meanwhile."""
+    while held:
+        lang, own = held.popitem()
+        merged = _merged(own)
+        own.clear()
+        yield from _read_off(lang, merged, least)
 
 
 def stripe_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
