@@ -114,6 +114,72 @@ def test_carried_forward_equals_the_batch_join(spark):
     assert np.allclose(have.value, want.asof_value, equal_nan=True) and np.allclose(have.age, want.age, equal_nan=True) and want.age.isna().any() and want.age.notna().any()
 
 
+class Handle:
+    """State of one key in memory, with the number of calls that Spark would answer over a socket."""
+
+    def __init__(self):
+        self.values, self.timers, self.calls = {}, [], 0
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return Value(self, name)
+
+    getListState = getValueState  # noqa: N815
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.append(at)
+
+
+class Value:
+    def __init__(self, handle, name):
+        self.handle, self.name = handle, name
+
+    def _call(self):
+        self.handle.calls += 1
+        return self.handle.values
+
+    def exists(self):
+        return self.name in self._call()
+
+    def get(self):
+        return self._call().get(self.name)
+
+    def update(self, value):
+        self._call()[self.name] = value
+
+    put = update
+
+    def clear(self):
+        self._call().pop(self.name, None)
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.ms
+
+
+def test_a_key_of_the_carry_forward_join_calls_its_state_a_few_times(spark):
+    big = 2**53 + 1
+    rows = pd.DataFrame({"side": [1, 0, 1, 0], "id": [big, 0, 7, 0], "us": [9_000_000, 5_000_000, 4_000_000, 5_000_000], "value": [np.nan, 2.0, np.nan, 1.0]}).assign(ts=lambda d: pd.to_datetime(d.us, unit="us"))
+    frame = spark.createDataFrame([(0, 0, 0, 0.0, None)], "us long, side int, id long, value double, ts timestamp")
+    p, handle = stateful._Carried(stateful._schema(frame, ["us", "side", "id", "value"]), 60_000, 60_000), Handle()
+    p.init(handle)
+    assert not list(p.handleInputRows(("k",), iter([rows.iloc[:3], rows.iloc[3:]]), Clock(0))) and handle.calls <= 3  # 6 before
+    assert handle.timers == [4000]
+    first = pd.concat(p.handleExpiredTimer(("k",), Clock(5000), None))
+    assert first.id.tolist() == [7] and first.value.isna().all() and handle.timers == [4000, 9000]
+    handle.calls = 0
+    second = pd.concat(p.handleExpiredTimer(("k",), Clock(10_000), None))
+    assert second.id.tolist() == [big] and second.value.tolist() == [1.0] and second.age.tolist() == [4.0]
+    assert handle.calls <= 4 and handle.timers[-1] == 69_000
+    assert not list(p.handleExpiredTimer(("k",), Clock(69_000), None)) and not handle.values  # silent for its idle time
+    late = pd.DataFrame({"side": [1], "id": [3], "us": [np.nan], "value": [np.nan]})
+    assert pd.concat(p.handleInputRows(("k",), iter([late]), Clock(80_000))).id.tolist() == [3]  # a row without a time finds nothing
+
+
 def test_replayed_batches_add_nothing_and_corrupt_lines_are_kept_apart(spark, tmp_path):
     lines = ['{"id": 1, "v": 2.5}', '{"id": 2, "v": "x"}', '{"id": 3, "v": 0.5', "", '{"id": 4, "v": 3.0, "more": 1}', '{"id": 5}']
     spark.createDataFrame([(x,) for x in lines], "line string").coalesce(1).write.parquet(f"{tmp_path}/in")
