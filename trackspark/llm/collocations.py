@@ -29,6 +29,8 @@ SEGMENTS = 8
 BUCKET_CHARS, BUCKETS = 8_000_000, 32
 #: Words whose stripes a task builds before it sends them on, and entries that are merged at once.
 _WORDS, _ENTRIES = 2_000_000, 1_000_000
+#: Bytes of blocks that a task sends at once.
+_SENT_BYTES = 2_000_000
 #: Parts of a language that are ranked apart before their first rows meet.
 _PARTS = 256
 
@@ -132,7 +134,7 @@ def _sent(lang: str, held: _Words, buckets: int) -> Iterator[pa.RecordBatch]:
             texts = [words.take(pa.array(x[heads])) for x in codes]
             ids.append(bucket[i])
             blobs.append(_packed(lang, texts[0] if len(texts) == 1 else pc.binary_join_element_wise(*texts, " "), words.take(pa.array(following[own])), counts[own], heads))
-            if len(ids) == 64:
+            if len(ids) == 64 or sum(map(len, blobs)) >= _SENT_BYTES:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "stripes"])
                 ids, blobs = [], []
         if ids:
@@ -251,6 +253,8 @@ def _bucket(held: dict[str, list[_Stripes]], least: int) -> Iterator[pa.RecordBa
         merged = _merged(own)
         own.clear()
         yield from _read_off(lang, merged, least)
+        del merged
+        pa.default_memory_pool().release_unused()
 
 
 def stripe_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
