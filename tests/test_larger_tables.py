@@ -147,3 +147,21 @@ def test_the_way_back_from_the_plane_computes_its_points_once(spark):
 
     plan = track_queries.QUERIES["p10_round_trip"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("aggregate(") == 1 and plan.split("aggregate(")[1].split("lambdafunction(")[1].count("lat#") == 0
+
+
+def test_intervals_are_found_again_whatever_the_partitions(spark):
+    """Intervals with a wide column, whose shuffle is merged in another way on each side of a join."""
+    from pyspark.sql import functions as F
+
+    from trackspark.operators import timeseries as T
+
+    rows = spark.range(40000).groupBy((F.col("id") % 2000).alias("k")).agg(F.concat_ws(",", F.collect_list(F.sha2(F.col("id").cast("string"), 512))).alias("wide"))
+    left = rows.select("k", "wide", F.col("k").cast("double").alias("a"), (F.col("k") + 1).cast("double").alias("b"))
+    right = spark.range(0, 2000, 2).select(F.col("id").alias("k"), F.col("id").cast("double").alias("a"), (F.col("id") + 0.5).alias("b"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        found = {how: sorted(r.k for r in T.overlapping_intervals(left, right, ["k"], 6.0, how).collect()) for how in ("left_semi", "left_anti")}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found == {"left_semi": list(range(0, 2000, 2)), "left_anti": list(range(1, 2000, 2))}

@@ -237,13 +237,15 @@ def in_intervals(points: DataFrame, intervals: DataFrame, keys: list[str], time:
 
 
 def overlapping_intervals(left: DataFrame, right: DataFrame, keys: list[str], bucket: float, how: str = "left_semi") -> DataFrame:
-    """Intervals (keys, a, b) of left that some of right overlaps (hi > a and lo < b), or with left_anti that none does; dealt to time buckets."""
+    """Intervals (keys, a, b) of left that some of right overlaps (hi > a and lo < b), or with left_anti that none does; dealt to time buckets.
+
+    Intervals are found again by their own values: an id of rows would be made anew on each side of the join, and other partitions give other ids.
+    """
     deal = lambda df: df.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("a") / bucket), F.floor(F.col("b") / bucket))))
-    rid = left.withColumn("_rid", F.monotonically_increasing_id())
-    r = deal(right.select(*keys, "a", "b")).select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("_bucket").alias("_k"))
+    own = [*keys, "a", "b"]
+    r = deal(right.select(*own)).select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("_bucket").alias("_k"))
     on = (F.col("_bucket") == F.col("_k")) & (F.col("b") > F.col("_a")) & (F.col("a") < F.col("_b"))
     for k in keys:
         on = on & (F.col(k) == F.col(f"_k_{k}"))
-    met = deal(rid).join(r, on, "left_semi").groupBy("_rid").agg(F.lit(True).alias("_met"))
-    j = rid.join(met, "_rid", "left")
-    return j.where(F.col("_met") if how == "left_semi" else F.col("_met").isNull()).select(*left.columns)
+    met = deal(left.select(*own)).join(r, on, "left_semi").select(*own).distinct()
+    return left.join(met, own, how).select(*left.columns)
