@@ -165,3 +165,12 @@ def test_intervals_are_found_again_whatever_the_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert found == {"left_semi": list(range(0, 2000, 2)), "left_anti": list(range(1, 2000, 2))}
+
+
+def test_boundary_samples_of_costs_that_are_equal_to_six_digits_are_the_nearer(spark):
+    from trackspark.operators import segmentation
+
+    miss = {i: 10.0 for i in range(11)} | {3: (1.0 - 0.10 - 1e-8) / 0.45, 4: (1.0 - 0.05) / 0.45}
+    features = spark.createDataFrame([("A", i, float(i), m) for i, m in miss.items()], "track_id string, i long, t double, mismatch double")
+    found = segmentation.choose_boundary_sample(spark.createDataFrame([("A", 5)], "track_id string, sample_index long"), features)
+    assert [tuple(r) for r in found.collect()] == [("A", 5, 4, 4.0)]

@@ -24,6 +24,12 @@ def to_finite(c: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
 
 
+def round_half(c: Column, digits: int = 0) -> Column:
+    """Halves away from zero, of the number scaled by ten to the digits, as SQL's round has it; -0 stays -0, so that directions of velocities do."""
+    scale = F.lit(10.0**digits)
+    return F.signum(c) * F.round(F.abs(c) * scale) / scale
+
+
 def norm_icao(c: Column) -> Column:
     """P2."""
     return F.upper(c.cast("string"))
@@ -113,9 +119,14 @@ def event_kind(lat: Column, lon: Column, gs: Column, track: Column) -> Column:
     return F.when(pos & vel, "position_velocity").when(pos, "position").when(vel, "velocity").otherwise("other")
 
 
+def wrapped(c: Column, half: Column) -> Column:
+    """An angle less whole turns, by the floor of their number, as SQL has it: pmod() gives the other end for one just below half a turn back."""
+    return c + half - 2 * half * F.floor((c + half) / (2 * half)) - half
+
+
 def angle_diff_deg(a: Column, b: Column) -> Column:
-    """Wrapped difference in [-180, 180)."""
-    return F.pmod(a - b + 180, F.lit(360.0)) - 180
+    """Wrapped difference in [-180, 180]; the upper end only where a remainder just below 0 rounds up to the whole turn."""
+    return wrapped(a - b, F.lit(180.0))
 
 
 def lerp(a: Column, b: Column, w: Column) -> Column:

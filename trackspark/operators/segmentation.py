@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackspark.functions import scalars as S
 from trackspark.operators import timeseries as T
 
 #: Values that a boundary's reason adds to its score in the selection.
@@ -33,11 +34,11 @@ def union_candidates(*candidates: DataFrame) -> DataFrame:
 
 
 def choose_boundary_sample(candidates: DataFrame, features: DataFrame, max_shift: int = 6) -> DataFrame:
-    """M8: the quietest sample within max_shift rows of a candidate; ties: nearer, then lower index."""
+    """M8: the quietest sample within max_shift rows of a candidate, by its cost to six digits; ties: nearer, then lower index."""
     f = features.select(F.col("track_id").alias("f_track"), F.col("i").alias("f_i"), F.col("t").alias("f_t"), "mismatch")
     near = candidates.join(f, (F.col("track_id") == F.col("f_track")) & F.col("f_i").between(F.col("sample_index") - max_shift, F.col("sample_index") + max_shift))
     away = F.abs(F.col("f_i") - F.col("sample_index"))
-    cost = F.struct((0.45 * F.col("mismatch") + 0.05 * away).alias("c"), away.alias("d"), F.col("f_i").alias("i"), F.col("f_t").alias("t"))
+    cost = F.struct(S.round_half(0.45 * F.col("mismatch") + 0.05 * away, 6).alias("c"), away.alias("d"), F.col("f_i").alias("i"), F.col("f_t").alias("t"))
     return near.groupBy("track_id", "sample_index").agg(F.min(cost).alias("b")).select("track_id", "sample_index", F.col("b.i").alias("chosen_index"), F.col("b.t").alias("chosen_t"))
 
 
