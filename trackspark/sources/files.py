@@ -105,7 +105,8 @@ def reference_metadata(keyframes: DataFrame, rules: DataFrame, q: float = 1.0) -
     """IO15: by track the frame, origin (the rule's, else the first keyframe with a position), field elevation, units and bucket."""
     first = keyframes.where("lat is not null and lon is not null").groupBy("track_id").agg(F.min_by(F.struct("lat", "lon"), "t").alias("at"), F.count("*").alias("n_positions"))
     have = set(rules.columns)
-    r = rules.select("track_id", *(F.col(c) if c in have else F.lit(None).cast("double").alias(c) for c in ("origin_lat", "origin_lon", "field_ft", "q")))
+    told = [F.col(c) if c in have else F.lit(None).cast("double").alias(c) for c in ("origin_lat", "origin_lon", "field_ft", "q")]
+    r = rules.select("track_id", F.struct(*told).alias("r")).groupBy("track_id").agg(F.min("r").alias("r")).select("track_id", "r.*")  # flights that share a track have a rule each
     j = first.join(r, "track_id", "left")
     own = F.col("origin_lat").isNotNull() & F.col("origin_lon").isNotNull()
     return j.select(
