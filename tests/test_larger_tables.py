@@ -174,3 +174,32 @@ def test_boundary_samples_of_costs_that_are_equal_to_six_digits_are_the_nearer(s
     features = spark.createDataFrame([("A", i, float(i), m) for i, m in miss.items()], "track_id string, i long, t double, mismatch double")
     found = segmentation.choose_boundary_sample(spark.createDataFrame([("A", 5)], "track_id string, sample_index long"), features)
     assert [tuple(r) for r in found.collect()] == [("A", 5, 4, 4.0)]
+
+
+@pytest.fixture(scope="module")
+def shared_tracks(tmp_path_factory):
+    """Two tracks of eleven flights each, of sixty copies of the events: velocities cancel out, means of several rows end in half a digit."""
+    d = tmp_path_factory.mktemp("shared")
+    copies = "select event_id + c * 100000 as event_id, ts, user_id + c * 1500 as user_id, event_type, value, props from '/root/testdata/sf0.1/events.parquet', range(60) k(c)"
+    kept = "substr('T' || lpad(cast(user_id // 10 as varchar), 3, '0'), 1, 4) in ('T108', 'T116')"
+    duckdb.connect().execute(f"copy (select * from ({copies}) where {kept} order by event_id) to '{d}/events.parquet' (format parquet)")
+    return str(d)
+
+
+SHARED = ("io15_metadata", "a3_flat_keyframes", "e10_unwrapped_heading", "w17_cumulative_turn", "m5_turn_labels", "e3_velocity_metrics", "e8_e13_motion_metrics", "e17_dynamic_metrics", "m1_all_features", "m7_m8_energy_changes", "p31_policies")
+
+
+@pytest.mark.parametrize("name", SHARED)
+def test_tracks_that_flights_share_equal_sql(spark, shared_tracks, name):
+    assert_same(registry.QUERIES[name](spark, shared_tracks), registry.ORACLE_SQL[name], shared_tracks)
+
+
+def test_means_do_not_depend_on_the_order_of_rows(spark):
+    from pyspark.sql import functions as F
+
+    from trackspark.operators import prepare
+
+    rows = [("A", i, v) for i, v in enumerate((1e16, 1.0, -1e16, 3.0, None))]
+    for part in (rows, rows[::-1], rows[2:] + rows[:2]):
+        g = spark.createDataFrame(part, "k string, raw_id long, v double").groupBy("k").agg(prepare.mean_by(F.col("v"), "raw_id").alias("v"))
+        assert g.first().v == 0.75

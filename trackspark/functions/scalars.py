@@ -119,6 +119,12 @@ def event_kind(lat: Column, lon: Column, gs: Column, track: Column) -> Column:
     return F.when(pos & vel, "position_velocity").when(pos, "position").when(vel, "velocity").otherwise("other")
 
 
+def direction(y: Column, x: Column) -> Column:
+    """atan2 by the signs of zeros too, as SQL has it (Spark's takes -0 for 0): a rounded velocity that cancels out keeps the side it came from."""
+    below = lambda c: (c < 0) | (c.cast("string") == "-0.0")
+    return F.when((y == 0) & below(x), F.when(below(y), -F.pi()).otherwise(F.pi())).otherwise(F.atan2(y, x))
+
+
 def wrapped(c: Column, half: Column) -> Column:
     """An angle less whole turns, by the floor of their number, as SQL has it: pmod() gives the other end for one just below half a turn back."""
     return c + half - 2 * half * F.floor((c + half) / (2 * half)) - half

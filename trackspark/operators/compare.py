@@ -41,7 +41,7 @@ def norm(columns) -> Column:
 
 def interpolate_columns(series: DataFrame, queries: DataFrame, keys: list[str], time: str, columns) -> DataFrame:
     """J4 for several columns at once, each over its own known points: columns p_<name>; two sorts whatever the number of columns."""
-    mean = series.groupBy(*keys, time).agg(*(F.avg(c).alias(c) for c in columns))
+    mean = series.groupBy(*keys, time).agg(*(F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.avg(c)).alias(c) for c in columns))  # a sum would make 0 of -0
     points = mean.select(*keys, F.col(time).alias("_t"), F.lit(0).alias("_q"), *(F.when(F.col(c).isNotNull(), F.struct(F.col(time).alias("t"), F.col(c).alias("v"))).alias(f"_p_{c}") for c in columns))
     both = queries.withColumns({"_t": F.col(time), "_q": F.lit(1)}).unionByName(points, allowMissingColumns=True)
     before = Window.partitionBy(*keys).orderBy("_t", "_q").rowsBetween(Window.unboundedPreceding, 0)
@@ -101,8 +101,8 @@ def motion(render: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     r = gradients(r, keys, "t", dict(zip(ACC, JERK, strict=True)), fill=False)
     r = gradients(r, keys, "t", dict(zip(JERK, SNAP, strict=True)), fill=False)
     w = Window.partitionBy(*keys).orderBy("t")
-    step = F.pmod(F.col("_h") - F.lag("_h").over(w) + F.pi(), 2 * F.pi()) - F.pi()
-    r = r.withColumn("_h", F.atan2("vx", "vy")).withColumn("_s", F.coalesce(step, F.lit(0.0)))
+    step = S.wrapped(F.col("_h") - F.lag("_h").over(w), F.pi())
+    r = r.withColumn("_h", S.direction(F.col("vx"), F.col("vy"))).withColumn("_s", F.coalesce(step, F.lit(0.0)))
     r = r.withColumn("heading", F.first("_h").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     r = gradients(r, keys, "t", {"heading": "turn"}, fill=False)
     return r.drop("_has_v", "_has_a", "_h", "_s", *(f"_d{a}" for a in ACC))
@@ -166,7 +166,7 @@ def velocity_metrics(samples: DataFrame, render: DataFrame) -> DataFrame:
     q = asked(samples, render, VEL).where(" and ".join(f"p_{c} is not null and m_{c} is not null" for c in VEL))
     dx, dy, dz = (F.col(f"p_{c}") - F.col(f"m_{c}") for c in VEL)
     speed = lambda p: F.sqrt(F.col(f"{p}_vx") * F.col(f"{p}_vx") + F.col(f"{p}_vy") * F.col(f"{p}_vy"))
-    angle = S.angle_diff_deg(F.degrees(F.atan2("p_vx", "p_vy")), F.degrees(F.atan2("m_vx", "m_vy")))
+    angle = S.angle_diff_deg(*(F.degrees(S.direction(F.col(f"{p}_vx"), F.col(f"{p}_vy"))) for p in "pm"))
     return q.groupBy(*KEYS).agg(
         T.rms(F.sqrt(dx * dx + dy * dy)).alias("velocity_rmse"), T.rms(speed("p") - speed("m")).alias("speed_rmse"), T.rms(F.when(speed("m") > MOVING, angle)).alias("angle_rmse"),
         T.rms(dz).alias("vertical_velocity_rmse"), T.rms(F.sqrt(dx * dx + dy * dy + dz * dz)).alias("velocity_evidence_rmse"),

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackspark.functions import scalars as S
 from trackspark.operators import timeseries as T
 
 
@@ -29,8 +30,8 @@ def smoothness(samples: DataFrame) -> DataFrame:
 def unwrapped_heading(samples: DataFrame) -> DataFrame:
     """Compass heading made continuous, and its rate in degrees a second."""
     w = Window.partitionBy("track_id").orderBy("t")
-    h = samples.withColumn("h", F.degrees(F.atan2("vx", "vy")))
-    d = h.withColumn("d", F.pmod(F.col("h") - F.lag("h").over(w) + 180, F.lit(360.0)) - 180)
+    h = samples.withColumn("h", F.degrees(S.direction(F.col("vx"), F.col("vy"))))
+    d = h.withColumn("d", S.wrapped(F.col("h") - F.lag("h").over(w), F.lit(180.0)))
     total = F.first("h").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))
     return d.withColumns({"heading": total, "rate": F.col("d") / (F.col("t") - F.lag("t").over(w))})
 

@@ -77,8 +77,8 @@ def motion_features(rows: DataFrame) -> DataFrame:
     w = _w()
     dt = F.greatest(F.col("t") - F.lag("t").over(w), F.lit(1e-6))
     step = lambda c: (F.col(c) - F.lag(c).over(w)) / dt
-    s = rows.withColumns({"_speed": F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")), "_h": F.atan2("vy", "vx")})
-    turn = F.pmod(F.col("_h") - F.lag("_h").over(w) + F.pi(), 2 * F.pi()) - F.pi()
+    s = rows.withColumns({"_speed": F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")), "_h": S.direction(F.col("vy"), F.col("vx"))})
+    turn = S.wrapped(F.col("_h") - F.lag("_h").over(w), F.pi())
     change = F.sqrt(reduce(lambda a, b: a + b, [step(c) * step(c) for c in ("vx", "vy", "vz")]))
     s = _interval(s, {"_rate": turn / dt, "_acc": F.when(F.lag("t").over(w).isNotNull(), change), "_vacc": step("vz"), **{f"_p{c}": step(c) for c in "xyz"}})
     s = s.withColumn("_e", F.col("z") + F.col("_speed") * F.col("_speed") / (2 * S.GRAVITY))
@@ -249,7 +249,7 @@ def boundary_samples(changes: DataFrame, features: DataFrame, max_shift: int = 6
     z = lambda c: F.abs(f"f_{c}")
     away = F.abs(F.col("f_i") - start)
     cost = 0.45 * z("mismatch") + 0.45 * z("residual") + 0.20 * (z("accel") + 0.5 * z("vertical_accel") + 0.5 * z("speed_accel")) + 0.05 * away
-    best = F.struct(F.round(cost, 9).alias("cost"), away.alias("away"), F.col("f_i").alias("i"), F.col("f_t").alias("t"), *(z(c).alias(c) for c in ("energy_rate", "vertical_rate", "speed_accel", "heading_rate", "abs_lateral_accel", "residual")))
+    best = F.struct(S.round_half(cost, 9).alias("cost"), away.alias("away"), F.col("f_i").alias("i"), F.col("f_t").alias("t"), *(z(c).alias(c) for c in ("energy_rate", "vertical_rate", "speed_accel", "heading_rate", "abs_lateral_accel", "residual")))
     keys = changes.columns
     return near.groupBy(*keys).agg(F.min(best).alias("b")).where("b.i between 1 and n_rows - 2")
 

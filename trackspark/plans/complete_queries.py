@@ -863,7 +863,7 @@ select {", ".join(_PLAIN)}, {", ".join(f"{rnd(c, k)} as {c}" for c, k in _FLAT.i
 def a3(spark, d):
     """Every column of the flat keyframes but the time itself (t_iso has it) and the altitude before an override, as the rules have no window on the ground."""
     k = prepare.flatten_keyframes(keyframes(spark, d))
-    degrees = F.degrees(F.atan2("east_mps", "north_mps"))  # also of velocities that cancel out, as the SQL has it; P20 gives them none
+    degrees = F.degrees(S.direction(F.col("east_mps"), F.col("north_mps")))  # also of velocities that cancel out, as the SQL has it; P20 gives them none
     k = k.withColumn("track_deg", degrees - 360 * F.floor(degrees / 360)).withColumn("track_rad", F.radians("track_deg"))
     return k.select(*_PLAIN, *(rounded(c, n).alias(c) for c, n in _FLAT.items()))
 

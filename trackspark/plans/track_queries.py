@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None):
 def rounded(c, digits: int = 6):
     """Rounded, and never -0, so that engines agree on the text of a value."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.when(F.abs(c) < 0.5 * 10.0**-digits, 0.0).otherwise(F.round(c, digits))
+    return F.when(F.abs(c) < 0.5 * 10.0**-digits, 0.0).otherwise(S.round_half(c, digits))
 
 
 def r6(*columns: str):
