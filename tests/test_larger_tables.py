@@ -203,3 +203,20 @@ def test_means_do_not_depend_on_the_order_of_rows(spark):
     for part in (rows, rows[::-1], rows[2:] + rows[:2]):
         g = spark.createDataFrame(part, "k string, raw_id long, v double").groupBy("k").agg(prepare.mean_by(F.col("v"), "raw_id").alias("v"))
         assert g.first().v == 0.75
+
+
+def test_curve_distances_see_every_point_of_long_curves(spark):
+    """One point off the line, which neither 2,000 nor 700 evenly spread points hold."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from trackspark.operators import evaluation, quality
+
+    n = 2500
+    held = {int(i) for k in (700, 2000) for i in np.linspace(0, n - 1, k).round()}
+    odd = next(i for i in range(1000, n) if i not in held)
+    t = F.col("id").cast("double")
+    line = lambda which: spark.range(n).select(F.lit("a").alias("track_id"), F.lit(which).alias("which"), t.alias("t"), t.alias("x"), F.when((F.col("id") == odd) & (F.lit(which) == 1), 300.0).otherwise(0.0).alias("y"))
+    pairs = line(0).unionByName(line(1))
+    assert evaluation.hausdorff(pairs).first().symmetric == 300 and quality.frechet(pairs).first().frechet == 300
+    assert np.isclose(evaluation.dtw_mean(pairs).first().dtw, 300 / (2 * n))

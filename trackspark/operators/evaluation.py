@@ -42,46 +42,50 @@ def envelope_violations(samples: DataFrame, speed: float = 350.0, vertical: floa
     return samples.groupBy("track_id").agg(F.count_if(v > speed).alias("n_fast"), F.count_if(F.abs("vz") > vertical).alias("n_vertical"), F.count("*").alias("n"))
 
 
-def curve(pairs: pd.DataFrame, which: int, n: int) -> np.ndarray:
-    """Points of one curve of (which, t, x, y and z where there is one) in order of time, at most n of them, evenly spread."""
-    own = pairs[pairs.which == which].sort_values("t")[[c for c in ("x", "y", "z") if c in pairs]].dropna().to_numpy(float)
-    return own if len(own) <= n else own[np.linspace(0, len(own) - 1, n).round().astype(int)]
+def curve(pairs: pd.DataFrame, which: int) -> np.ndarray:
+    """All points of one curve of (which, t, x, y and z where there is one) in order of time."""
+    return pairs[pairs.which == which].sort_values("t")[[c for c in ("x", "y", "z") if c in pairs]].dropna().to_numpy(float)
 
 
-def hausdorff(pairs: DataFrame, n: int = 2000) -> DataFrame:
+def diagonals(cost, a: np.ndarray, b: np.ndarray) -> float:
+    """Last cell of a table whose cell (i, j) is cost(distance of a[i] and b[j], least of its three neighbours before); every point counts,
+    and only three anti-diagonals are kept."""
+    older, old = np.full(len(a) + 1, np.inf), np.full(len(a) + 1, np.inf)
+    older[0] = 0
+    for s in range(2, len(a) + len(b) + 1):
+        i = np.arange(max(1, s - len(b)), min(len(a), s - 1) + 1)
+        new = np.full(len(a) + 1, np.inf)
+        new[i] = cost(np.sqrt(((a[i - 1] - b[s - i - 1]) ** 2).sum(1)), np.minimum(np.minimum(old[i - 1], old[i]), older[i - 1]))
+        older, old = old, new
+    return float(old[-1])
+
+
+def hausdorff(pairs: DataFrame) -> DataFrame:
     """Largest distance from a point of curve 0 of (track_id, which, t, x, y, z) to its nearest of curve 1, the reverse, and the
-    larger of both; at most n evenly spread points of each curve, as the reference has it."""
+    larger of both; of all points, in blocks of 512 by 4,096."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        a, b = (curve(g, k, n) for k in (0, 1))
+        a, b = (curve(g, k) for k in (0, 1))
         there, back = None, None
         if len(a) and len(b):
-            nearest, back_ = np.empty(len(a)), np.full(len(b), np.inf)
+            nearest, back_ = np.full(len(a), np.inf), np.full(len(b), np.inf)
             for i in range(0, len(a), 512):
-                d = ((a[i : i + 512, None] - b[None]) ** 2).sum(2)
-                nearest[i : i + 512] = d.min(1)
-                back_ = np.minimum(back_, d.min(0))
+                for j in range(0, len(b), 4096):
+                    d = ((a[i : i + 512, None] - b[None, j : j + 4096]) ** 2).sum(2)
+                    nearest[i : i + 512] = np.minimum(nearest[i : i + 512], d.min(1))
+                    back_[j : j + 4096] = np.minimum(back_[j : j + 4096], d.min(0))
             there, back = float(np.sqrt(nearest.max())), float(np.sqrt(back_.max()))
         return pd.DataFrame([{"track_id": g.track_id.iloc[0], "hausdorff": there, "reverse": back, "symmetric": there if there is None else max(there, back)}])
 
     return T.spread(pairs, "track_id").groupBy("track_id").applyInPandas(run, "track_id string, hausdorff double, reverse double, symmetric double")
 
 
-def dtw_mean(pairs: DataFrame, n: int = 700) -> DataFrame:
-    """E5: mean cost of dynamic time warping of two curves of (track_id, which, t, x, y, z), of at most n points each; anti-diagonals in numpy."""
+def dtw_mean(pairs: DataFrame) -> DataFrame:
+    """E5: mean cost of dynamic time warping of two curves of (track_id, which, t, x, y, z), of all their points; anti-diagonals in numpy."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        a, b = (curve(g, k, n) for k in (0, 1))
-        if len(a) == 0 or len(b) == 0:
-            return pd.DataFrame([{"track_id": g.track_id.iloc[0], "dtw": None}])
-        cost = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
-        total = np.full((len(a) + 1, len(b) + 1), np.inf)
-        total[0, 0] = 0
-        for s in range(2, len(a) + len(b) + 1):
-            i = np.arange(max(1, s - len(b)), min(len(a), s - 1) + 1)
-            j = s - i
-            total[i, j] = cost[i - 1, j - 1] + np.minimum(np.minimum(total[i - 1, j], total[i, j - 1]), total[i - 1, j - 1])
-        return pd.DataFrame([{"track_id": g.track_id.iloc[0], "dtw": total[-1, -1] / (len(a) + len(b))}])
+        a, b = (curve(g, k) for k in (0, 1))
+        return pd.DataFrame([{"track_id": g.track_id.iloc[0], "dtw": diagonals(np.add, a, b) / (len(a) + len(b)) if len(a) and len(b) else None}])
 
     return T.spread(pairs, "track_id").groupBy("track_id").applyInPandas(run, "track_id string, dtw double")
 

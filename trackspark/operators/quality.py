@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trackspark.functions import scalars as S
 from trackspark.operators import timeseries as T
-from trackspark.operators.evaluation import curve
+from trackspark.operators.evaluation import curve, diagonals
 
 
 def motion_outliers(samples: DataFrame, floor: float = 1200.0, factor: float = 5.0) -> DataFrame:
@@ -81,21 +81,12 @@ def verify_continuity(segments: DataFrame) -> DataFrame:
     return segments.withColumns({f"jump_{c}": F.abs(F.lead(f"first_{c}").over(w) - F.col(f"last_{c}")) for c in ("x", "vx")}).where("jump_x is not null")
 
 
-def frechet(pairs: DataFrame, n: int = 700) -> DataFrame:
-    """Discrete Frechet distance of two curves of (track_id, which, t, x, y, z), of at most n points each; one group a track, anti-diagonals in numpy."""
+def frechet(pairs: DataFrame) -> DataFrame:
+    """Discrete Frechet distance of two curves of (track_id, which, t, x, y, z), of all their points; one group a track, anti-diagonals in numpy."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        a, b = (curve(g, k, n) for k in (0, 1))
-        if len(a) == 0 or len(b) == 0:
-            return pd.DataFrame([{"track_id": g.track_id.iloc[0], "frechet": None}])
-        cost = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
-        total = np.full((len(a) + 1, len(b) + 1), np.inf)
-        total[0, 0] = 0
-        for s in range(2, len(a) + len(b) + 1):
-            i = np.arange(max(1, s - len(b)), min(len(a), s - 1) + 1)
-            j = s - i
-            total[i, j] = np.maximum(cost[i - 1, j - 1], np.minimum(np.minimum(total[i - 1, j], total[i, j - 1]), total[i - 1, j - 1]))
-        return pd.DataFrame([{"track_id": g.track_id.iloc[0], "frechet": total[-1, -1]}])
+        a, b = (curve(g, k) for k in (0, 1))
+        return pd.DataFrame([{"track_id": g.track_id.iloc[0], "frechet": diagonals(np.maximum, a, b) if len(a) and len(b) else None}])
 
     return T.spread(pairs, "track_id").groupBy("track_id").applyInPandas(run, "track_id string, frechet double")
 
